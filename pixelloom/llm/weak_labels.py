@@ -49,13 +49,14 @@ def labellers() -> dict[str, Callable[[], Column]]:
     """Votes from the columns _text, _words (array) and _n."""
     text, words, n = F.col("_text"), F.col("_words"), F.col("_n")
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    solid = F.length(F.regexp_replace(text, r"[\p{N}\s]+", ""))  # neither digits nor white space
     same = F.size(F.filter(F.transform(words, lambda w, i: F.get(words, i - 1) == w), lambda x: F.coalesce(x, F.lit(False))))
     return {
         "length": lambda: _vote(n < 10, F.lit(False)),
         "symbols": lambda: _vote(_share(_count(text, r"[#*$%&|<>!]"), n) > 0.15, _share(_count(text, r"[#*$%&|<>!]"), n) < 0.03),
         "stutter": lambda: _vote(_share(same, n) > 0.2, _share(same, n) < 0.02),
         "capitals": lambda: _vote(_share(_count(text, r"\p{Lu}"), letters) > 0.4, _share(_count(text, r"\p{Lu}"), letters) < 0.15),
-        "letters": lambda: _vote(_share(letters, F.length(text)) < 0.68, _share(letters, F.length(text)) > 0.74),
+        "letters": lambda: _vote(_share(letters, solid) < 0.85, _share(letters, solid) > 0.92),
         "variety": lambda: _vote(_share(F.size(F.array_distinct(words)), n) < 0.12, _share(F.size(F.array_distinct(words)), n) > 0.3),
         "sentences": lambda: _vote(~text.rlike(r"[.!?]") & (n >= 40), (_share(_count(text, r"[.?]"), n) > 0.02) & (_share(_count(text, r"[.?]"), n) < 0.3)),
     }
@@ -67,16 +68,15 @@ def prepared(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 class LabelModel:
-    """P(good), and each labeller's accuracy on good and on bad texts when it votes."""
+    """P(good), and for each labeller how often it gives each vote on good and on bad texts."""
 
     def __init__(self, labellers: int):
-        self.prior, self.right = 0.7, [{GOOD: 0.8, BAD: 0.8} for _ in range(labellers)]
+        # the start only says that labellers are right more often than wrong
+        self.prior = 0.8
+        self.gives = [{GOOD: {GOOD: 0.6, BAD: 0.05, NONE: 0.35}, BAD: {GOOD: 0.3, BAD: 0.4, NONE: 0.3}} for _ in range(labellers)]
 
     def log_odds(self, j: int, vote: str) -> float:
-        r = self.right[j]
-        if vote == GOOD:
-            return math.log(r[GOOD] / (1 - r[BAD]))
-        return math.log((1 - r[GOOD]) / r[BAD]) if vote == BAD else 0.0
+        return math.log(self.gives[j][GOOD][vote] / self.gives[j][BAD][vote])
 
     def posterior(self, votes: str) -> float:
         x = math.log(self.prior / (1 - self.prior)) + sum(self.log_odds(j, v) for j, v in enumerate(votes))
@@ -87,20 +87,20 @@ class LabelModel:
         for _ in range(rounds if total else 0):
             p = {v: self.posterior(v) for v in patterns}
             self.prior = min(0.99, max(0.01, sum(n * p[v] for v, n in patterns.items()) / total))
-            for j, r in enumerate(self.right):
-                for kind, weight in ((GOOD, lambda v: p[v]), (BAD, lambda v: 1 - p[v])):  # noqa: B023
-                    said = sum(n * weight(v) for v, n in patterns.items() if v[j] != NONE)
-                    true = sum(n * weight(v) for v, n in patterns.items() if v[j] == kind)
-                    # each labeller is better than chance: this names the two classes, too
-                    r[kind] = min(0.999, max(0.55, (true + 4) / (said + 5)))
+            for j, gives in enumerate(self.gives):
+                for kind in (GOOD, BAD):
+                    mass = {v: n * (p[v] if kind == GOOD else 1 - p[v]) for v, n in patterns.items()}
+                    whole = sum(mass.values())
+                    for vote in (GOOD, BAD, NONE):
+                        gives[kind][vote] = (sum(m for v, m in mass.items() if v[j] == vote) + 0.5) / (whole + 1.5)
         return self
 
     def column(self, votes: Column) -> Column:
         """The posterior for the votes as a string column."""
         x = F.lit(math.log(self.prior / (1 - self.prior)))
-        for j in range(len(self.right)):
+        for j in range(len(self.gives)):
             v = F.substring(votes, j + 1, 1)
-            x = x + F.when(v == GOOD, self.log_odds(j, GOOD)).when(v == BAD, self.log_odds(j, BAD)).otherwise(0.0)
+            x = x + F.when(v == GOOD, self.log_odds(j, GOOD)).when(v == BAD, self.log_odds(j, BAD)).otherwise(self.log_odds(j, NONE))
         return 1 / (1 + F.exp(-x))
 
 
@@ -123,7 +123,7 @@ def fit_scorer(drawn: DataFrame) -> LogisticRegressionModel | None:
     rows = drawn.select(F.col("_x").alias("features"), (F.col("_p") >= 0.5).cast("double").alias("label"), F.abs(2 * F.col("_p") - 1).alias("weight"))
     if rows.select("label").distinct().count() < 2:
         return None
-    return LogisticRegression(weightCol="weight", maxIter=30, regParam=1e-4, standardization=False, aggregationDepth=2).fit(rows)
+    return LogisticRegression(weightCol="weight", maxIter=30, regParam=1e-3, aggregationDepth=2).fit(rows)
 
 
 def weak_label_quality(docs: DataFrame, text_col: str = "text", sample: int = 8000, bits: int = 14, threshold: float = 0.5) -> DataFrame:
