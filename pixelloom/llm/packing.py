@@ -25,6 +25,9 @@ columns are ignored. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -40,36 +43,90 @@ from . import shared
 
 WINDOW = 4096
 END = 2
-#: Most word forms whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Parts of words whose ids a worker remembers before it starts anew; it still knows
+#: those of the time before, so frequent ones are never learned again.
+REMEMBERED = 600_000
 
 
 @lru_cache
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
-class WordIds(dict):
-    """Ids of white-space-separated words as uint16 bytes. The tokenizer's normaliser
-    and splitter never look across white space, so a text's ids are its words' ids."""
+#: Texts in Latin scripts, where lower case and character classes are beyond doubt.
+_PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-\u012f\u0131-\u017f]*")
+#: White space to str.split, but not to the tokenizer.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
+def _of(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(0x21, 0x180) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: How the tokenizer splits plain text, with letters first (fixed pattern; it is in the tokenizer's file).
+_PARTS = re.compile(f"[{_of('L')}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_of('N')}]|[^\\s{_of('L')}{_of('N')}]+").findall
+
+
+def parts_of(text: str | None) -> list[str]:
+    """The text in parts that the tokenizer encodes each by itself. Plain texts fall
+    apart as in the tokenizer's own splitter, in lower case, as in its normaliser;
+    others at white space, which it drops, and have a new line in front."""
+    if not text:
+        return []
+    if "<|" not in text and _PLAIN.fullmatch(text):
+        return _PARTS(text.lower())
+    words = re.split("[ \t-\r]+", text) if _SEPARATORS.search(text) else text.split()
+    return [f"\n{w}" for w in words if w]
+
+
+class PartIds(dict):
+    """Ids of the parts of texts as uint16 bytes."""
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer = _tokenizer(path)
-
-    def learn(self, words: set[str]) -> None:
+        self.tokenizer, self.old = _tokenizer(path), {}
+        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.ends_part = np.zeros(1 << 16, bool)
+        self.ends_part[ends] = True
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of every text; parts not seen before are learned together."""
+        parts = [parts_of(t) for t in texts]
+        found = [list(map(self.get, p)) for p in parts]
+        short = [k for k, f in enumerate(found) if None in f]
+        self.learn({p for k in short for p, x in zip(parts[k], found[k], strict=True) if x is None})
+        for k in short:
+            found[k] = [self[p] if x is None else x for p, x in zip(parts[k], found[k], strict=True)]
+        out = [b"".join(f) for f in found]
         if len(self) > REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        fresh = [w for w in words if w not in self]
-        for word, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self[word] = np.array(e.ids, np.uint16).tobytes()
+        return out
+
+    def learn(self, parts: set[str]) -> None:
+        for p in parts & self.old.keys():
+            self[p] = self.old[p]
+        plain = [p for p in parts if p not in self and p[0] != "\n"]
+        # one call for all: every part's last token, and no other, ends a word
+        flat = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint16)
+        cuts = (np.flatnonzero(self.ends_part[flat]) + 1).tolist()
+        if len(cuts) != len(plain):
+            raise ValueError("the tokenizer does not take parts apart at word ends")
+        data, at = flat.tobytes(), 0
+        for p, end in zip(plain, cuts, strict=True):
+            self[p] = data[2 * at : 2 * end]
+            at = end
+        whole = [p for p in parts if p not in self]
+        for p, e in zip(whole, self.tokenizer.encode_batch_fast([p[1:] for p in whole], add_special_tokens=False), strict=True):
+            self[p] = np.array(e.ids, np.uint16).tobytes()
 
 
 @lru_cache
-def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def _part_ids(path: str) -> PartIds:
+    return PartIds(path)
 
 
 def default_tokenizer() -> str:
@@ -78,23 +135,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: ASCII white space to spaces; str.split(" ") then splits at nothing else.
-_TO_SPACE = str.maketrans("\t\n\v\f\r", "     ")
-
-
 def tokenise(docs: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str) -> DataFrame:
     """(doc_id, source, part, before, n, ids): ids as uint16 bytes with the end
     token; before counts the source's tokens that precede in partition ``part``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, end = _word_ids(tokenizer), np.array([END], np.uint16).tobytes()
+        held, end = _part_ids(tokenizer), np.array([END], np.uint16).tobytes()
         part, so_far = TaskContext.get().partitionId(), {}
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                texts = [(t or "").translate(_TO_SPACE).split(" ") for t in batch.column(1).to_pylist()]
-                held.learn(set().union(*texts))
-                ids = [b"".join(map(held.__getitem__, words)) + end for words in texts]
+                ids = [i + end for i in held.ids(batch.column(1).to_pylist())]
                 before = []
                 for source, i in zip(batch.column(2).to_pylist(), ids, strict=True):
                     before.append(so_far.get(source, 0))

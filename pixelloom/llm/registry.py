@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, line_rules, packing, simhash, suffix_dedup, url_filter, weak_labels
+from . import exact_dedup, language, line_rules, packing, pieces, simhash, suffix_dedup, url_filter, warc, weak_labels
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_revisit_resolution": warc.op1_revisit_resolution,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_line_frequency": line_rules.op3_line_frequency,
         "op4_simhash": simhash.op4_simhash,
@@ -19,11 +20,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
         "op8_temporal_url_filter": url_filter.op8_temporal_url_filter,
         "op9_weak_label_quality": weak_labels.op9_weak_label_quality,
+        "op10_sentencepiece": pieces.op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_revisit_resolution": warc.OP1_SQL,
         "op2_exact_dedup": exact_dedup.OP2_SQL,
         "op3_line_frequency": line_rules.OP3_SQL,
         "op8_temporal_url_filter": url_filter.OP8_SQL,

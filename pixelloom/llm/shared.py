@@ -36,9 +36,13 @@ def folder(spark: SparkSession) -> str:
     return f"file://{_own_folder()}"
 
 
+def token() -> str:
+    return uuid.uuid4().hex
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, remembered for ``sweep``."""
-    _written.append(path := f"{folder(spark)}/{name}-{uuid.uuid4().hex}")
+    _written.append(path := f"{folder(spark)}/{name}-{token()}")
     return path
 
 
@@ -50,13 +54,17 @@ def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete every table that ``cut`` has written so far. Only for callers that
     have stored all results which read them."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        delete(spark, _written.pop())
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,5 +74,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     """Add a unique row key. It is the same in every scan of the same files, and
     in every attempt of a task, as it counts rows within a file split. A frame
-    that comes from a shuffle must be ``cut`` first."""
+    that comes from a shuffle must be ``cut`` first.
+
+    Spark derives the size of splits from the cores it has at the time; the number
+    is pinned here, so that splits stay as they are if executors come or go."""
+    spark, pin = df.sparkSession, "spark.sql.files.minPartitionNum"
+    if spark.conf.get(pin, None) is None:
+        spark.conf.set(pin, str(spark.sparkContext.defaultParallelism))
     return df.withColumn(name, F.monotonically_increasing_id())

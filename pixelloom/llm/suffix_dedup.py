@@ -41,7 +41,7 @@ from . import shared
 LENGTH = 200
 KGRAM = 48
 #: Window starts that are hashed together; longer texts are cut into such pieces, with an overlap.
-PIECE = 1 << 19
+PIECE = 1 << 17
 ODD = 0x9E3779B97F4A7C15
 
 
@@ -284,7 +284,7 @@ def _in_buckets(length: int):
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-            if sum(b.num_rows for b in held) >= 4000:
+            if sum(b.num_rows for b in held) >= 2000:
                 yield from settle(False)
         if held:
             yield from settle(True)

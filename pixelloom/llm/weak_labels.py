@@ -9,12 +9,12 @@ judges every text, whether the labellers spoke or not.
 
 The vote patterns are counted over all rows (at most 3 ** labellers patterns reach
 the driver). The scorer is fitted by Spark's logistic regression on about ``sample``
-rows, drawn by a hash of the text; the bound is a parameter. All rows are scored.
+rows, drawn by a hash of text and row; the bound is a parameter. All rows are scored.
 
 Defined results: a text without words (null, empty, blank) is rejected with
 score 0. Repeated texts get equal scores. If there is nothing to learn from, or
 only one kind of text, the posterior alone decides. Columns named like the added
-ones (``p_good``, ``score``, ``kept``) are replaced; others stay.
+ones (``score``, ``kept``) are replaced; others stay.
 """
 
 from __future__ import annotations
@@ -24,13 +24,16 @@ from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
 
 GOOD, BAD, NONE = "g", "b", "-"
-ADDED = ("p_good", "score", "kept")
+#: Bounds on how often a labeller calls a good text bad, and a bad one.
+FALSE_ALARM, DETECTION = 0.02, 0.05
+ADDED = ("score", "kept")
 
 
 def _vote(bad: Column, good: Column) -> Column:
@@ -41,41 +44,75 @@ def _share(part: Column, whole: Column) -> Column:
     return part / F.greatest(whole, F.lit(1))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once, also where a lambda reads it for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _same(words: Column) -> Column:
+    """For each word, whether it is the one before."""
+    return F.transform(words, lambda w, i: F.coalesce(F.get(words, i - 1) == w, F.lit(False)))
+
+
 def _count(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
 def labellers() -> dict[str, Callable[[], Column]]:
-    """Votes from the columns _text, _words (array) and _n."""
-    text, words, n = F.col("_text"), F.col("_words"), F.col("_n")
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
-    solid = F.length(F.regexp_replace(text, r"[\p{N}\s]+", ""))  # neither digits nor white space
-    same = F.size(F.filter(F.transform(words, lambda w, i: F.get(words, i - 1) == w), lambda x: F.coalesce(x, F.lit(False))))
+    """Votes from the columns of ``prepared``."""
+    n, letters = F.col("_n"), F.col("_letters")
+    part = lambda c, whole: _share(F.col(c), whole)
+    never = F.lit(False)  # no symptom is no proof of the contrary
     return {
-        "length": lambda: _vote(n < 10, F.lit(False)),
-        "symbols": lambda: _vote(_share(_count(text, r"[#*$%&|<>!]"), n) > 0.15, _share(_count(text, r"[#*$%&|<>!]"), n) < 0.03),
-        "stutter": lambda: _vote(_share(same, n) > 0.2, _share(same, n) < 0.02),
-        "capitals": lambda: _vote(_share(_count(text, r"\p{Lu}"), letters) > 0.4, _share(_count(text, r"\p{Lu}"), letters) < 0.15),
-        "letters": lambda: _vote(_share(letters, solid) < 0.85, _share(letters, solid) > 0.92),
-        "variety": lambda: _vote(_share(F.size(F.array_distinct(words)), n) < 0.12, _share(F.size(F.array_distinct(words)), n) > 0.3),
-        "sentences": lambda: _vote(~text.rlike(r"[.!?]") & (n >= 40), (_share(_count(text, r"[.?]"), n) > 0.02) & (_share(_count(text, r"[.?]"), n) < 0.3)),
+        "symbols": lambda: _vote(part("_symbols", n) > 0.15, never),
+        "stutter": lambda: _vote(part("_same", n) > 0.2, never),
+        "capitals": lambda: _vote(part("_capitals", letters) > 0.4, never),
+        "letters": lambda: _vote(_share(letters, F.col("_solid")) < 0.8, never),
+        "variety": lambda: _vote((part("_distinct", n) < 0.12) & (n >= 50), (part("_distinct", n) > 0.4) & (n >= 20)),
+        "sentences": lambda: _vote((F.col("_stops") == 0) & (n >= 40), (part("_stops", n) > 0.02) & (part("_stops", n) < 0.34)),
     }
 
 
+def measured(rows: DataFrame) -> DataFrame:
+    """Adds what the labellers look at."""
+    text, words = F.col("_text"), F.col("_words")
+    return rows.select(
+        "*",
+        F.length(F.regexp_replace(text, r"[^\p{L}]+", "")).alias("_letters"),
+        F.length(F.regexp_replace(text, r"[\p{N}\s.,;:?'()-]+", "")).alias("_solid"),  # neither digits nor white space nor common punctuation
+        _count(text, r"\p{Lu}+").alias("_capitals"),
+        _count(text, r"[#*$%&|<>!]+").alias("_symbols"),
+        _count(text, r"[.!?]+").alias("_stops"),
+        _let(words, lambda ws: F.size(F.filter(_same(ws), lambda x: x))).alias("_same"),
+        F.size(F.array_distinct(words)).alias("_distinct"),
+    )
+
+
 def prepared(docs: DataFrame, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.withColumn("_text", text).withColumn("_words", F.filter(F.split("_text", f"{shared.SPACE}+"), lambda w: w != "")).withColumn("_n", F.size("_words"))
 
 
+def _bound(rates: dict[str, float], vote: str, least: float = 0.0, most: float = 1.0) -> None:
+    """Keep one rate within bounds; the others share the rest as before."""
+    to = min(most, max(least, rates[vote]))
+    rest = (1 - to) / (1 - rates[vote])
+    for v in rates:
+        rates[v] = to if v == vote else rates[v] * rest
+
+
 class LabelModel:
     """P(good), and for each labeller how often it gives each vote on good and on bad texts."""
 
     def __init__(self, labellers: int):
         # the start only says that labellers are right more often than wrong
         self.prior = 0.8
-        self.gives = [{GOOD: {GOOD: 0.6, BAD: 0.05, NONE: 0.35}, BAD: {GOOD: 0.3, BAD: 0.4, NONE: 0.3}} for _ in range(labellers)]
+        self.gives = [{GOOD: {GOOD: 0.6, BAD: 0.02, NONE: 0.38}, BAD: {GOOD: 0.4, BAD: 0.3, NONE: 0.3}} for _ in range(labellers)]
 
     def log_odds(self, j: int, vote: str) -> float:
+        """What a vote says; silence says nothing."""
+        if vote == NONE:
+            return 0.0
         return math.log(self.gives[j][GOOD][vote] / self.gives[j][BAD][vote])
 
     def posterior(self, votes: str) -> float:
@@ -93,6 +130,9 @@ class LabelModel:
                     whole = sum(mass.values())
                     for vote in (GOOD, BAD, NONE):
                         gives[kind][vote] = (sum(m for v, m in mass.items() if v[j] == vote) + 0.5) / (whole + 1.5)
+                # what is known of every labeller: it seldom calls a good text bad, and not never a bad one
+                _bound(gives[GOOD], BAD, most=FALSE_ALARM)
+                _bound(gives[BAD], BAD, least=DETECTION)
         return self
 
     def column(self, votes: Column) -> Column:
@@ -100,7 +140,7 @@ class LabelModel:
         x = F.lit(math.log(self.prior / (1 - self.prior)))
         for j in range(len(self.gives)):
             v = F.substring(votes, j + 1, 1)
-            x = x + F.when(v == GOOD, self.log_odds(j, GOOD)).when(v == BAD, self.log_odds(j, BAD)).otherwise(self.log_odds(j, NONE))
+            x = x + F.when(v == GOOD, self.log_odds(j, GOOD)).when(v == BAD, self.log_odds(j, BAD)).otherwise(0.0)
         return 1 / (1 + F.exp(-x))
 
 
@@ -111,9 +151,9 @@ def features(rows: DataFrame, bits: int) -> DataFrame:
     to the one before is marked."""
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("_text", r"\p{Lu}+", "A"), r"[\p{L}\p{M}&&[^A]]+", "a"), r"\p{N}+", "0")
     shapes = F.filter(F.split(shape, f"{shared.SPACE}+"), lambda w: w != "")
-    words = F.col("_words")
-    marked = F.zip_with(shapes, F.transform(words, lambda w, i: F.coalesce(F.get(words, i - 1) == w, F.lit(False))), lambda s, same: F.when(same, F.concat(s, F.lit("="))).otherwise(s))
-    tokens = F.transform(F.array(marked), lambda m: F.concat(m, F.transform(m, lambda s, i: F.concat_ws(" ", F.get(m, i - 1), s))))[0]
+    marked = lambda ws: F.zip_with(shapes, _same(ws), lambda s, same: F.when(same, F.concat(s, F.lit("="))).otherwise(s))
+    pairs = lambda m: F.concat(m, F.transform(m, lambda s, i: F.concat_ws(" ", F.get(m, i - 1), s)))
+    tokens = _let(_let(F.col("_words"), marked), pairs)
     counted = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=1 << bits)
     return Normalizer(inputCol="_tf", outputCol="_x").transform(counted.transform(rows.withColumn("_tokens", tokens)))
 
@@ -127,28 +167,27 @@ def fit_scorer(drawn: DataFrame) -> LogisticRegressionModel | None:
 
 
 def weak_label_quality(docs: DataFrame, text_col: str = "text", sample: int = 8000, bits: int = 14, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with p_good (posterior of the votes), score (of the linear scorer) and kept."""
+    """``docs`` with score (of the linear scorer, 0 to 1) and kept."""
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED])
     rows = prepared(base, text_col)
     voters = labellers()
     votes = F.concat(*[f() for f in voters.values()])
-    draw = shared.cut(rows.where("_n > 0").select(F.xxhash64("_text").alias("h"), votes.alias("votes")), "votes")
-    patterns = {r.votes: r["count"] for r in draw.groupBy("votes").count().collect()}  # at most 3 ** labellers
+    counted = measured(rows).where("_n > 0").select(votes.alias("votes")).groupBy("votes").count()
+    patterns = {r.votes: r["count"] for r in counted.collect()}  # at most 3 ** labellers
     model = LabelModel(len(voters)).fit(patterns)
     total = sum(patterns.values())
     rate = F.lit(int(min(1.0, sample / max(1, total)) * (1 << 30)))
-    drawn = rows.where("_n > 0").where(F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) < rate)
+    # by text and row: of a text that a third of the rows repeat, no larger part is drawn than of others
+    keyed = prepared(shared.with_row(base), text_col).withColumn("_draw", F.pmod(F.xxhash64("_text", "_row"), F.lit(1 << 30)))
+    drawn = measured(keyed.where((F.col("_draw") < rate) & (F.col("_n") > 0)))
     drawn = shared.cut(features(drawn.withColumn("_p", model.column(votes)), bits).select("_x", "_p"), "training")
     scorer = fit_scorer(drawn)
-    judged = rows.withColumn("p_good", F.when(F.col("_n") > 0, model.column(votes)).otherwise(0.0))
     if scorer is None:
-        judged = judged.withColumn("score", F.col("p_good"))
+        judged = measured(rows).withColumn("score", F.when(F.col("_n") > 0, model.column(votes)).otherwise(0.0))
     else:
         scorer = scorer.setFeaturesCol("_x").setProbabilityCol("_prob").setPredictionCol("_pred").setRawPredictionCol("_raw")
-        from pyspark.ml.functions import vector_to_array
-
-        judged = scorer.transform(features(judged, bits)).withColumn("score", F.when(F.col("_n") > 0, vector_to_array("_prob")[1]).otherwise(0.0))
-    return judged.select(*[F.col(f"`{c}`") for c in base.columns], "p_good", "score", (F.col("score") >= threshold).alias("kept"))
+        judged = scorer.transform(features(rows, bits)).withColumn("score", F.when(F.col("_n") > 0, vector_to_array("_prob")[1]).otherwise(0.0))
+    return judged.select(*[F.col(f"`{c}`") for c in base.columns], "score", (F.col("score") >= threshold).alias("kept"))
 
 
 def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

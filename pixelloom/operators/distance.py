@@ -1,0 +1,52 @@
+"""Exact Euclidean distance to the nearest false pixel (Felzenszwalb & Huttenlocher 2012,
+in two passes): columns by window functions, rows as a minimum over one row's array."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+FAR = 1 << 40
+
+
+@F.pandas_udf("array<long>")
+def _row_pass(rows: pd.Series) -> pd.Series:
+    """min over x' of g(x') + (x - x')**2, for each x of each row."""
+
+    def one(g: np.ndarray) -> np.ndarray:
+        x = np.arange(len(g))
+        return (np.asarray(g)[None, :] + (x[:, None] - x[None, :]) ** 2).min(axis=1)
+
+    return rows.map(one)
+
+
+def squared_distance(df: DataFrame, col: str, name: str, padded: bool) -> DataFrame:
+    """``df`` with ``name``: squared distance (long) from each pixel to the nearest
+    where ``col`` is false; with ``padded``, everything outside the image is false.
+    Null where there is none. ``df`` has the image's h."""
+    up = Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(0, Window.unboundedFollowing)
+    zero = F.when(~F.col(col), F.col("y"))
+    above = F.last(zero, ignorenulls=True).over(up)
+    below = F.first(zero, ignorenulls=True).over(down)
+    if padded:
+        above, below = F.coalesce(above, F.lit(-1)), F.coalesce(below, F.col("h"))
+    g = F.least(F.col("y") - above, below - F.col("y")).cast("long")  # least skips nulls
+    columns = df.select("image_id", "y", "x", F.coalesce(g * g, F.lit(FAR)).alias("g"))
+    rows = columns.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "g"))).alias("line"))  # one row of pixels
+    line = F.transform("line", lambda p: p["g"])
+    line = F.concat(F.array(F.lit(0).cast("long")), line, F.array(F.lit(0).cast("long"))) if padded else line
+    rows = rows.withColumn("d", _row_pass(line))
+    near = F.slice("d", 2, F.size("line")) if padded else F.col("d")
+    out = rows.select("image_id", "y", F.explode(F.arrays_zip(F.transform("line", lambda p: p["x"]).alias("x"), near.alias("d"))).alias("p"))
+    out = out.select("image_id", "y", F.col("p.x").alias("x"), F.when(F.col("p.d") < FAR, F.col("p.d")).alias(name))
+    return df.join(out, ["image_id", "y", "x"])
+
+
+def water_distance(df: DataFrame, water: str, name: str) -> DataFrame:
+    """Distance to water, never more than the image's diagonal, which it is without water."""
+    out = squared_distance(df.withColumn("_dry", ~F.col(water)), "_dry", "_d2", padded=False)
+    diagonal = F.sqrt((F.col("h") * F.col("h") + F.col("w") * F.col("w")).cast("double"))
+    return out.withColumn(name, F.least(F.sqrt(F.coalesce("_d2", F.lit(FAR)).cast("double")), diagonal)).drop("_dry", "_d2")

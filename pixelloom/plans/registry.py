@@ -5,11 +5,397 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..config import mini
+from ..functions import colour, scores
+from ..operators import components as cc
+from ..operators import detect, distance, report, stages, windows
+from ..sources import images
+from . import scenes as sc
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+CFG = mini()
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _oracles[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
+
+
+def _candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.candidate_mask(sc.scene_pixels(spark, sf_dir), CFG)
+
+
+@query(f"WITH {sc.PX} SELECT image_id, count(*) AS pixels, count_if(water) AS water_pixels, count_if(canopy) AS canopy_pixels, round(100.0::DOUBLE * count_if(water) / count(*), 2) AS water_pct, round(100.0::DOUBLE - round(100.0::DOUBLE * count_if(water) / count(*), 2), 2) AS non_water_pct FROM px GROUP BY image_id")
+def scene_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.coverage(sc.scene_pixels(spark, sf_dir))
+
+
+def _up(v: str, lo: float, hi: float) -> str:
+    return f"least(greatest(({v} - {float(lo)}::DOUBLE) / {float(hi - lo)}::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE)"
+
+
+def _down(v: str, lo: float, hi: float) -> str:
+    return f"(1.0::DOUBLE - {_up(v, lo, hi)})"
+
+
+def _band(v: str, lo: float, hi: float, s: float) -> str:
+    return f"least({_up(v, lo - s, lo)}, {_down(v, hi, hi + s)})"
+
+
+def _gate(v: str, floor: float) -> str:
+    return f"({v} * ({floor}::DOUBLE + {1.0 - floor!r}::DOUBLE * support))"
+
+
+CUES = f"""
+m AS (SELECT *, greatest(b, g, r) AS top, least(b, g, r) AS low FROM px),
+deg AS (
+  SELECT *, CASE WHEN top = low THEN 0.0::DOUBLE WHEN top = r THEN 60.0::DOUBLE * (g - b) / (top - low)::DOUBLE
+                 WHEN top = g THEN 120.0::DOUBLE + 60.0::DOUBLE * (b - r) / (top - low)::DOUBLE ELSE 240.0::DOUBLE + 60.0::DOUBLE * (r - g) / (top - low)::DOUBLE END AS d FROM m
+),
+hsv AS (
+  SELECT *, (floor((CASE WHEN d < 0 THEN d + 360.0::DOUBLE ELSE d END) / 2.0::DOUBLE + 0.5::DOUBLE)::INTEGER) % 180 AS hh,
+         CASE WHEN top = 0 THEN 0 ELSE floor(255.0::DOUBLE * (top - low) / top + 0.5::DOUBLE)::INTEGER END AS s, top AS v, b - greatest(g, r) AS dom,
+         (2 * g - r - b) / greatest(b + g + r, 1)::DOUBLE AS exg FROM deg
+),
+cue AS (
+  SELECT *, greatest(least({_band("hh", 85, 135, 8)}, {_up("s", 20, 35)}, {_up("v", 10, 25)}) * {_up("dom", -4, 2)}, least({_up("dom", 0, 6)}, {_up("v", 10, 25)})) AS blue,
+         least({_band("hh", 5, 35, 6)}, {_band("s", 25, 215, 20)}, {_band("v", 35, 255, 20)}) AS turbid,
+         least({_down("v", 50, 70)}, {_down("s", 80, 110)}) AS dark,
+         least({_down("s", 30, 45)}, {_band("v", 55, 235, 20)}) AS pale,
+         greatest(least({_band("hh", 36, 84, 6)}, {_up("s", 30, 45)}), {_up("exg", 0.02, 0.14)}) AS veg FROM hsv
+),
+lik AS (
+  SELECT *, least(greatest(greatest({_gate("blue", 0.27)}, {_gate("turbid", 0.05)}, {_gate("dark", 0.15)}, {_gate("pale", 0.12)}) - 0.45::DOUBLE * veg, 0.0::DOUBLE), 1.0::DOUBLE) AS evidence FROM cue
+)"""
+
+
+@query(f"""WITH {sc.RGB}, {CUES}
+SELECT image_id, sum(hh)::BIGINT AS hue_sum, sum(s)::BIGINT AS sat_sum, sum(round(blue * 10000)::BIGINT)::BIGINT AS blue, sum(round(turbid * 10000)::BIGINT)::BIGINT AS turbid,
+       sum(round(dark * 10000)::BIGINT)::BIGINT AS dark, sum(round(pale * 10000)::BIGINT)::BIGINT AS pale, sum(round(veg * 10000)::BIGINT)::BIGINT AS vegetation,
+       sum(round(evidence * 10000)::BIGINT)::BIGINT AS evidence, count_if(evidence::FLOAT >= 0.45::FLOAT) AS wet FROM lik GROUP BY image_id""")
+def water_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = sc.colour_pixels(spark, sf_dir)
+    bgr = (F.col("b"), F.col("g"), F.col("r"))
+    px = px.select("image_id", colour.hue(*bgr).alias("hh"), colour.saturation(*bgr).alias("s"), colour.blue_cue(*bgr).alias("blue"), colour.turbid_cue(*bgr).alias("turbid"), colour.dark_cue(*bgr).alias("dark"), colour.pale_cue(*bgr).alias("pale"), colour.vegetation(*bgr).alias("vegetation"), colour.likelihood(*bgr, F.col("support")).alias("evidence"))
+    fine = lambda c: F.sum(F.round(F.col(c) * 10000).cast("long")).alias(c)
+    wet = F.count_if(F.col("evidence").cast("float") >= F.lit(0.45).cast("float")).alias("wet")
+    return px.groupBy("image_id").agg(F.sum("hh").alias("hue_sum"), F.sum("s").alias("sat_sum"), *[fine(c) for c in ("blue", "turbid", "dark", "pale", "vegetation", "evidence")], wet)
+
+
+@query(f"""WITH {sc.PX}, v AS (SELECT *, water::INTEGER AS v FROM px),
+a AS (SELECT *, sum(v) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS sx FROM v),
+b AS (SELECT *, sum(sx) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS s FROM a)
+SELECT image_id, sum(s)::BIGINT AS total, max(s)::BIGINT AS most, sum(s * x)::BIGINT AS by_x, sum(s * y)::BIGINT AS by_y FROM b GROUP BY image_id""")
+def box_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = windows.box_sums(sc.scene_pixels(spark, sf_dir).withColumn("v", F.col("water").cast("int")), ["v"], 9)
+    s = F.col("sum_v")
+    return px.groupBy("image_id").agg(F.sum(s).alias("total"), F.max(s).alias("most"), F.sum(s * F.col("x")).alias("by_x"), F.sum(s * F.col("y")).alias("by_y"))
+
+
+_MIRROR = """
+e AS (SELECT image_id, v, unnest(list_filter([y, CASE WHEN y BETWEEN 1 AND 2 THEN -y END, CASE WHEN y BETWEEN 45 AND 46 THEN 94 - y END], lambda q: q IS NOT NULL)) AS y, x FROM v0),
+f AS (SELECT image_id, v, y, unnest(list_filter([x, CASE WHEN x BETWEEN 1 AND 2 THEN -x END, CASE WHEN x BETWEEN 61 AND 62 THEN 126 - x END], lambda q: q IS NOT NULL)) AS x FROM e)"""
+
+
+@query(f"""WITH {sc.RGB}, v0 AS (SELECT image_id, y, x, b AS v FROM px), {_MIRROR},
+n AS (SELECT p.image_id, p.y, p.x, sum(q.v)::BIGINT AS s, sum(q.v * q.v)::BIGINT AS s2 FROM v0 p JOIN f q ON q.image_id = p.image_id AND q.y BETWEEN p.y - 2 AND p.y + 2 AND q.x BETWEEN p.x - 2 AND p.x + 2 GROUP BY ALL)
+SELECT image_id, sum(round(sqrt(greatest(s2 / 25.0::DOUBLE - (s / 25.0::DOUBLE) * (s / 25.0::DOUBLE), 0.0::DOUBLE)) * 1000)::BIGINT)::BIGINT AS std_sum, sum(s)::BIGINT AS mean_sum FROM n GROUP BY image_id""")
+def local_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = sc.colour_pixels(spark, sf_dir).select("image_id", "y", "x", "w", "h", F.col("b").cast("long").alias("v"))
+    out = windows.local_std(windows.box_mean(px, "v", 5, "mean"), "v", 5, "std")
+    return out.groupBy("image_id").agg(F.sum(F.round(F.col("std") * 1000).cast("long")).alias("std_sum"), F.sum(F.round(F.col("mean") * 25).cast("long")).alias("mean_sum"))
+
+
+@query(f"""WITH {sc.RGB}, v0 AS (SELECT image_id, y, x, g AS v FROM px), {_MIRROR},
+k(d, wt) AS (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)),
+n AS (SELECT p.image_id, p.y, p.x, floor(sum(q.v * a.wt * c.wt) / 256.0::DOUBLE + 0.5::DOUBLE)::BIGINT AS v FROM v0 p CROSS JOIN k a CROSS JOIN k c JOIN f q ON q.image_id = p.image_id AND q.y = p.y + a.d AND q.x = p.x + c.d GROUP BY ALL)
+SELECT image_id, sum(v)::BIGINT AS total, sum(v * x)::BIGINT AS by_x, sum(v * y)::BIGINT AS by_y FROM n GROUP BY image_id""")
+def gaussian_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = windows.gaussian(sc.colour_pixels(spark, sf_dir).select("image_id", "y", "x", "w", "h", F.col("g").alias("v")), ["v"], 5)
+    return px.groupBy("image_id").agg(F.sum("v").alias("total"), F.sum(F.col("v") * F.col("x")).alias("by_x"), F.sum(F.col("v") * F.col("y")).alias("by_y"))
+
+
+@query(f"""WITH {sc.PX}, {sc.grown("d", "px", "canopy")}, {sc.grown("e", "px", "canopy", "bool_and")}, {sc.grown("o", "e", "canopy")}, {sc.grown("c", "d", "canopy", "bool_and")}
+SELECT px.image_id, count_if(d.canopy) AS dilated, count_if(e.canopy) AS eroded, count_if(o.canopy) AS opened, count_if(c.canopy) AS closed, count_if(d.canopy AND NOT px.canopy) AS ring
+FROM px JOIN d USING (image_id, y, x) JOIN e USING (image_id, y, x) JOIN o USING (image_id, y, x) JOIN c USING (image_id, y, x) GROUP BY px.image_id""")
+def morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = sc.scene_pixels(spark, sf_dir)
+    out = windows.erode(windows.dilate(px, "canopy", 3, "d"), "canopy", 3, "e")
+    out = windows.erode(windows.dilate(out, "e", 3, "o"), "d", 3, "c")
+    n = lambda c: F.count_if(c)
+    return out.groupBy("image_id").agg(n("d").alias("dilated"), n("e").alias("eroded"), n("o").alias("opened"), n("c").alias("closed"), F.count_if(F.col("d") & ~F.col("canopy")).alias("ring"))
+
+
+@query(f"""WITH RECURSIVE {sc.PX}, {sc.labels("l", "px", "NOT water")}, {sc.stats_of("s", "l")} SELECT image_id, label, area, "left", top, width, height, round(cx, 4) AS cx, round(cy, 4) AS cy FROM s""")
+def land_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cc.stats(cc.labelled_runs(sc.scene_pixels(spark, sf_dir).withColumn("land", ~F.col("water")), "land"))
+    return found.select("image_id", "label", "area", "left", "top", "width", "height", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"))
+
+
+@query(f"""WITH RECURSIVE {sc.PX}, {sc.labels("l", "px", "NOT canopy")}, {sc.stats_of("s", "l")}, {sc.labels("k", "px", "canopy")}, {sc.stats_of("t", "k")}
+SELECT image_id, (SELECT count_if(canopy) FROM px p WHERE p.image_id = i.image_id) + coalesce((SELECT sum(area) FROM s WHERE s.image_id = i.image_id AND area <= 6 AND "left" > 0 AND top > 0 AND "left" + width < 64 AND top + height < 48), 0)::BIGINT AS filled,
+       coalesce((SELECT sum(area) FROM t WHERE t.image_id = i.image_id AND area >= 8), 0)::BIGINT AS kept
+FROM (SELECT DISTINCT image_id FROM px) i""")
+def holes_and_specks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = sc.scene_pixels(spark, sf_dir)
+    filled = cc.fill_holes(px, "canopy", CFG.hole_max_area).groupBy("image_id").agg(F.count_if("canopy").alias("filled"))
+    kept = cc.keep_components(px, "canopy", f"area >= {CFG.canopy_min_area}").groupBy("image_id").agg(F.count_if("canopy").alias("kept"))
+    return filled.join(kept, "image_id")
+
+
+@query(f"""WITH RECURSIVE {sc.PX}, sup AS (SELECT *, (x * y + image_id) % 101 AS sp FROM px), {sc.labels("l", "px", "water")}, {sc.pixels_of("p", "l")},
+s AS (SELECT image_id, label, count(*) AS area, sum(sp)::BIGINT AS sp FROM p JOIN sup USING (image_id, y, x) GROUP BY ALL)
+SELECT image_id, sum(area)::BIGINT AS verified FROM s WHERE area >= 0.02 * 3072 OR sp >= 45 * area GROUP BY image_id""")
+def verified_water(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of 2 % of the image, or of a mean support of 45 hundredths (integers, so sums are exact)."""
+    px = sc.scene_pixels(spark, sf_dir).withColumn("sp", (F.col("x") * F.col("y") + F.col("image_id")) % 101)
+    found = cc.pixels(cc.labelled_runs(px, "water"))
+    s = found.join(px.select("image_id", "y", "x", "sp"), stages.PIXEL).groupBy("image_id", "label").agg(F.count("*").alias("area"), F.sum("sp").alias("sp"))
+    return s.where((F.col("area") >= 0.02 * sc.W * sc.H) | (F.col("sp") >= 45 * F.col("area"))).groupBy("image_id").agg(F.sum("area").alias("verified"))
+
+
+@query(f"""WITH {sc.PX}, {sc.WATER_DISTANCE} SELECT image_id, sum(d2)::BIGINT AS d2_sum, max(d2)::BIGINT AS d2_max, sum(d2 * x)::BIGINT AS by_x FROM wd GROUP BY image_id""")
+def water_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = sc.scene_pixels(spark, sf_dir).withColumn("dry", ~F.col("water"))
+    out = distance.squared_distance(px, "dry", "d2", padded=False)
+    return out.groupBy("image_id").agg(F.sum("d2").alias("d2_sum"), F.max("d2").alias("d2_max"), F.sum(F.col("d2") * F.col("x")).alias("by_x"))
+
+
+@query(f"WITH {sc.CANDIDATE} SELECT image_id, count_if(buffer) AS buffer_pixels, count_if(candidate) AS candidate_pixels, sum(CASE WHEN candidate THEN x * y ELSE 0 END)::BIGINT AS moment FROM cand GROUP BY image_id")
+def candidate_land(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _candidate(spark, sf_dir)
+    return out.groupBy("image_id").agg(F.count_if("buffer").alias("buffer_pixels"), F.count_if("candidate").alias("candidate_pixels"), F.sum(F.when(F.col("candidate"), F.col("x") * F.col("y")).otherwise(0)).cast("long").alias("moment"))
+
+
+_REGIONS = f"""{sc.CANDIDATE}, {sc.WATER_DISTANCE}, {sc.CLEARANCE}, {sc.labels("l", "cand", "candidate")}, {sc.pixels_of("p", "l")}, {sc.stats_of("s", "l")},
+best AS (
+  SELECT * FROM (SELECT p.image_id, p.label, p.x AS drop_x, p.y AS drop_y, c.d2, w.d2 AS w2, row_number() OVER (PARTITION BY p.image_id, p.label ORDER BY c.d2 DESC, p.y, p.x) AS n
+                 FROM p JOIN clr c USING (image_id, y, x) LEFT JOIN wd w USING (image_id, y, x)) WHERE n = 1
+),
+reg AS (
+  SELECT image_id, label, area, "left", top, width, height, round(cx, 4) AS cx, round(cy, 4) AS cy, drop_x, drop_y, round(sqrt(d2), 2) AS clearance,
+         round(least(sqrt(coalesce(w2, 1099511627776)::DOUBLE), sqrt(6400::DOUBLE)), 2) AS water_clearance FROM s JOIN best USING (image_id, label) WHERE area >= 20 AND d2 >= 4
+)"""
+
+
+@query(f"WITH RECURSIVE {_REGIONS} SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY label) AS region_id, 3072 AS image_area FROM reg")
+def candidate_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.regions(_candidate(spark, sf_dir), CFG, perimeter=False)
+
+
+@query(f"""WITH RECURSIVE {_REGIONS},
+sc AS (SELECT image_id, label, round(100.0::DOUBLE * least(1.0::DOUBLE, (area / 3072::DOUBLE) / 0.06::DOUBLE), 1) AS area_score, round(100.0::DOUBLE * least(1.0::DOUBLE, water_clearance / 12.0::DOUBLE), 1) AS water_score FROM reg)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area_score DESC, water_score DESC, label) AS n FROM sc) WHERE n <= 3""")
+def best_open_land(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top three regions of each scene by area score, then by water score."""
+    reg = stages.regions(_candidate(spark, sf_dir), CFG, perimeter=False)
+    out = reg.select("image_id", "label", F.round(scores.area_score(F.col("area"), F.col("image_area"), CFG.area_full_share), 1).alias("area_score"), F.round(scores.clearance_score(F.col("water_clearance"), CFG.clearance_full), 1).alias("water_score"))
+    return out.select("*", stages.rank([F.desc("area_score"), F.desc("water_score"), F.col("label")], "n")).where("n <= 3")
+
+
+@query()
+def top_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top three regions of each scene by the full score (perimeters are walked in Python)."""
+    return stages.top_zones(stages.scored(stages.regions(_candidate(spark, sf_dir), CFG), CFG), CFG)
+
+
+@query(f"""WITH RECURSIVE {sc.PX}, {sc.labels("l", "px", "NOT water")}, {sc.pixels_of("p", "l")}, {sc.stats_of("s", "l")},
+main AS (SELECT image_id, arg_max(label, (area, -label)) AS main, max(area) AS main_area FROM s GROUP BY image_id HAVING count(*) > 1),
+isl AS (SELECT s.*, main, main_area FROM s JOIN main USING (image_id) WHERE label <> main AND area >= 15),
+gap AS (SELECT i.image_id, i.label, min((p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x)) AS d2 FROM isl i JOIN p ON p.image_id = i.image_id AND p.label = i.label JOIN p q ON q.image_id = i.image_id AND q.label = i.main GROUP BY ALL),
+ring AS (SELECT DISTINCT p.image_id, p.label, p.y + dy AS y, p.x + dx AS x FROM p JOIN isl i USING (image_id, label) CROSS JOIN (VALUES {sc.CROSS}) o(dy, dx)),
+con AS (SELECT r.image_id, r.label, count(*) AS n, count_if(px.water) AS wet FROM ring r JOIN px USING (image_id, y, x) ANTI JOIN p ON p.image_id = r.image_id AND p.label = r.label AND p.y = r.y AND p.x = r.x GROUP BY ALL),
+sco AS (SELECT isl.*, wet / n::DOUBLE AS touch, sqrt(d2::DOUBLE) AS apart, area / greatest(1, main_area)::DOUBLE AS share FROM isl JOIN gap USING (image_id, label) JOIN con USING (image_id, label)),
+fin AS (SELECT *, least(greatest(100.0::DOUBLE * (0.45::DOUBLE * touch + 0.35::DOUBLE * least(1.0::DOUBLE, apart / 20.0::DOUBLE) + 0.20::DOUBLE * (1.0::DOUBLE - least(1.0::DOUBLE, share))), 0.0::DOUBLE), 100.0::DOUBLE) AS score FROM sco)
+SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY round(score, 1) DESC, label) AS region_id, label, area, "left", top, width, height, round(touch, 4) AS water_contact, round(apart, 2) AS separation,
+       round(1.0::DOUBLE - least(1.0::DOUBLE, share), 4) AS relative_size, round(score, 1) AS isolation_score, CASE WHEN score >= 80 THEN 'HIGH ISOLATION' WHEN score >= 50 THEN 'MODERATE ISOLATION' ELSE 'LOW ISOLATION' END AS classification FROM fin""")
+def isolated_land(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.isolated_regions(sc.scene_pixels(spark, sf_dir), CFG)
+
+
+_BAND = f"""{sc.PX}, {sc.WATER_DISTANCE}, b0 AS (SELECT px.*, coalesce(NOT water AND d2 > 4 AND d2 <= 36, false) AS shoreline, coalesce(NOT water AND NOT canopy AND d2 > 4 AND d2 <= 36, false) AS band FROM px LEFT JOIN wd USING (image_id, y, x)),
+{sc.grown("b1", "b0", "band", "bool_and")}, {sc.grown("b2", "b1", "band")}"""
+
+
+@query(f"WITH {_BAND} SELECT image_id, count_if(shoreline) AS shoreline_pixels, count_if(shoreline AND canopy) AS canopy_excluded, count_if(b2.band) AS band_pixels FROM b0 JOIN b2 USING (image_id, y, x) GROUP BY image_id")
+def supply_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    band = stages.supply_band(sc.scene_pixels(spark, sf_dir), CFG)
+    return band.groupBy("image_id").agg(F.count_if("shoreline").alias("shoreline_pixels"), F.count_if(F.col("shoreline") & F.col("canopy")).alias("canopy_excluded"), F.count_if("band").alias("band_pixels"))
+
+
+@query(f"""WITH RECURSIVE {_BAND}, {sc.labels("l", "b2", "band")}, {sc.stats_of("s", "l")}, {sc.pixels_of("p0", "l")},
+p AS (SELECT p0.* FROM p0 JOIN s USING (image_id, label) WHERE area >= 8),
+out AS (SELECT px.image_id, px.y, px.x FROM px ANTI JOIN p ON p.image_id = px.image_id AND p.y = px.y AND p.x = px.x),
+dep AS (SELECT p.image_id, p.label, p.y, p.x, least(min((p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x)), (p.x + 1) * (p.x + 1), (p.y + 1) * (p.y + 1), (64 - p.x) * (64 - p.x), (48 - p.y) * (48 - p.y)) AS d2 FROM p JOIN out q USING (image_id) GROUP BY ALL),
+anc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, label ORDER BY d2 DESC, y, x) AS n FROM dep) WHERE n = 1)
+SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, label) AS segment_id, label, area, "left", top, width, height, round(cx, 4) AS cx, round(cy, 4) AS cy, anc.x AS anchor_x, anc.y AS anchor_y FROM s JOIN anc USING (image_id, label)""")
+def supply_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.supply_segments(stages.supply_band(sc.scene_pixels(spark, sf_dir), CFG), CFG)
+
+
+def _zones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The three largest regions of each scene, and the pixels."""
+    px = _candidate(spark, sf_dir)
+    reg = stages.regions(px, CFG, perimeter=False)
+    return reg.select("*", stages.rank([F.desc("area"), F.col("label")], "zone_id")).where("zone_id <= 3"), px
+
+
+@query(f"""WITH RECURSIVE {_REGIONS},
+z AS (SELECT * FROM (SELECT image_id, label, drop_x AS cx, drop_y AS cy, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, label) AS zone_id FROM reg) WHERE zone_id <= 3),
+st AS (SELECT c.image_id, c.y, c.x, c.buffer, p.label AS own FROM cand c LEFT JOIN p USING (image_id, y, x)),
+bad AS (SELECT * FROM (SELECT z.image_id, z.zone_id, st.x, st.y, st.buffer, (st.x - cx) * (st.x - cx) + (st.y - cy) * (st.y - cy) AS d2, row_number() OVER (PARTITION BY z.image_id, zone_id ORDER BY (st.x - cx) * (st.x - cx) + (st.y - cy) * (st.y - cy), st.y, st.x) AS n
+        FROM z JOIN st ON st.image_id = z.image_id AND abs(st.x - cx) <= 14 AND abs(st.y - cy) <= 14 AND NOT coalesce(st.own = z.label AND NOT st.buffer, false)) WHERE n = 1),
+g AS (SELECT z.*, bad.d2, bad.x AS bx, bad.y AS byy, bad.buffer, least(cx, cy, 63 - cx, 47 - cy) + 1 AS border FROM z LEFT JOIN bad USING (image_id, zone_id)),
+k AS (SELECT *, coalesce(d2 > 0, true) AS ok, coalesce(border < sqrt(d2::DOUBLE), true) AS edge, CASE WHEN coalesce(border < sqrt(d2::DOUBLE), true) THEN border::DOUBLE ELSE sqrt(d2::DOUBLE) END AS gap,
+      CASE WHEN cx + 1 = border THEN 0 WHEN cy + 1 = border THEN cx WHEN 64 - cx = border THEN 63 ELSE cx END AS sx, CASE WHEN cx + 1 = border THEN cy WHEN cy + 1 = border THEN 0 WHEN 64 - cx = border THEN cy ELSE 47 END AS sy FROM g),
+m AS (SELECT *, ceil(gap)::INTEGER - 2 AS raw FROM k)
+SELECT image_id, zone_id, cx, cy, CASE WHEN ok THEN greatest(0, least(raw, 12)) ELSE 0 END AS radius,
+       CASE WHEN NOT ok THEN 'center_invalid' WHEN raw > 12 THEN 'max_radius' WHEN edge THEN 'image_boundary' WHEN buffer THEN 'water_buffer' ELSE 'candidate_boundary' END AS limiting_factor,
+       round(CASE WHEN ok THEN gap ELSE 0.0::DOUBLE END, 2) AS limiting_distance,
+       (CASE WHEN ok AND raw > 12 THEN NULL WHEN ok AND edge THEN sx ELSE bx END)::INTEGER AS limit_x, (CASE WHEN ok AND raw > 12 THEN NULL WHEN ok AND edge THEN sy ELSE byy END)::INTEGER AS limit_y,
+       CASE WHEN row_number() OVER (PARTITION BY image_id, cx, cy ORDER BY zone_id) > 1 THEN 'duplicate_center' WHEN NOT ok THEN 'center_in_excluded_area' WHEN greatest(0, least(raw, 12)) < 2 THEN 'radius_below_minimum' END AS not_viable FROM m""")
+def sensor_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones, px = _zones(spark, sf_dir)
+    return stages.sensor_zones(zones, px, CFG)
+
+
+@query()
+def drop_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedily spaced drop points on the rings of each circle (order-dependent: tested by invariants)."""
+    zones, px = _zones(spark, sf_dir)
+    px = px.persist()
+    zones = zones.persist()
+    circles = stages.sensor_zones(zones, px, CFG)
+    return stages.spaced(stages.drop_samples(stages.ring_samples(circles, CFG), zones, px, CFG), CFG)
+
+
+# --- detector output: each embedding is an image of 16 anchors (4 box values each) -------
+
+_ANCHORS = """
+img AS (SELECT vec_id AS image_id, 400 + vec_id % 300 AS w, 300 + vec_id % 200 AS h FROM embeddings),
+box AS (SELECT *, least(640.0::DOUBLE / h, 640.0::DOUBLE / w) AS ratio FROM img),
+lb AS (SELECT *, round_even(w * ratio, 0)::INTEGER AS new_w, round_even(h * ratio, 0)::INTEGER AS new_h FROM box),
+im AS (SELECT *, (640 - new_w) // 2 AS pad_x, (640 - new_h) // 2 AS pad_y FROM lb)"""
+
+
+def _detector(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    im = e.select(F.col("vec_id").alias("image_id"), (400 + F.col("vec_id") % 300).alias("w"), (300 + F.col("vec_id") % 200).alias("h"))
+    im = detect.letterbox(im, 640)
+    at = F.posexplode(F.sequence(F.lit(0), F.lit(15))).alias("anchor_id", "k")
+    v = lambda j: F.element_at("embedding", (4 * F.col("k") + j + 1).cast("int"))
+    a = e.select(F.col("vec_id").alias("image_id"), "embedding", at)
+    k = F.col("k") * 37 + F.col("image_id") % 101
+    # class scores in hundredths: whole numbers first, so that both engines agree
+    score = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.pmod(F.floor(v(0).cast("double") * 1000) + F.col("k") * 13 + c * 29, F.lit(100)) / 100.0)
+    a = a.select("image_id", "anchor_id", (120 + k % 400).cast("double").alias("cx"), (100 + (k * 7) % 420).cast("double").alias("cy"), (20 + (k * 3) % 160).cast("double").alias("bw"), (20 + (k * 5) % 160).cast("double").alias("bh"), score.alias("scores"))
+    return a, im
+
+
+_CANDIDATES = f"""{_ANCHORS},
+an AS (SELECT vec_id AS image_id, embedding, k, k * 37 + vec_id % 101 AS q FROM embeddings, range(16) t(k)),
+cls AS (SELECT image_id, k, q, c, ((((floor(embedding[4 * k + 1]::DOUBLE * 1000)::BIGINT + k * 13 + c * 29) % 100) + 100) % 100) / 100.0::DOUBLE AS s FROM an, range(10) u(c)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, k ORDER BY s DESC, c) AS n FROM cls) WHERE n = 1),
+nam(c, label) AS (VALUES (0, 'person'), (1, 'bicycle'), (2, 'car'), (3, 'motorcycle'), (5, 'bus'), (7, 'truck'), (8, 'boat')),
+geo AS (SELECT *, 120 + q % 400 AS cx, 100 + (q * 7) % 420 AS cy, 20 + (q * 3) % 160 AS bw, 20 + (q * 5) % 160 AS bh FROM best JOIN nam USING (c) JOIN im USING (image_id) WHERE s >= 0.25),
+cand AS (SELECT image_id, k AS anchor_id, c AS class_id, label, s AS confidence, least(greatest((cx - bw / 2.0::DOUBLE - pad_x) / ratio, 0.0::DOUBLE), w::DOUBLE) AS x1, least(greatest((cy - bh / 2.0::DOUBLE - pad_y) / ratio, 0.0::DOUBLE), h::DOUBLE) AS y1,
+         least(greatest((cx + bw / 2.0::DOUBLE - pad_x) / ratio, 0.0::DOUBLE), w::DOUBLE) AS x2, least(greatest((cy + bh / 2.0::DOUBLE - pad_y) / ratio, 0.0::DOUBLE), h::DOUBLE) AS y2 FROM geo)"""
+
+
+@query(f"WITH {_ANCHORS} SELECT image_id, w, h, round(ratio, 9) AS ratio, new_w, new_h, pad_x, pad_y FROM im")
+def letterbox_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    im = _detector(spark, sf_dir)[1]
+    return im.select("image_id", "w", "h", F.round("ratio", 9).alias("ratio"), "new_w", "new_h", "pad_x", "pad_y")
+
+
+@query(f"WITH {_CANDIDATES} SELECT image_id, anchor_id, class_id, label, round(confidence, 4) AS confidence, round(x1, 3) AS x1, round(y1, 3) AS y1, round(x2, 3) AS x2, round(y2, 3) AS y2 FROM cand")
+def detection_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = detect.candidates(*_detector(spark, sf_dir), cfg=CFG)
+    return boxes.select("image_id", "anchor_id", "class_id", "label", F.round("confidence", 4).alias("confidence"), *[F.round(c, 3).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query(f"WITH {_CANDIDATES} SELECT i.image_id, n.label, (SELECT count(*) FROM cand WHERE cand.image_id = i.image_id AND cand.label = n.label) AS n FROM im i, nam n")
+def detection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anchors, im = _detector(spark, sf_dir)
+    return detect.class_counts(detect.candidates(anchors, im, cfg=CFG), im)
+
+
+@query()
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes after greedy suppression (order-dependent: tested against brute force)."""
+    return detect.detections(detect.suppressed(detect.candidates(*_detector(spark, sf_dir), cfg=CFG), CFG), CFG)
+
+
+# --- uploads, joins, colours -------------------------------------------------------------
+
+_NAME = "concat('img', event_id, CASE event_id % 6 WHEN 0 THEN '.JPG' WHEN 1 THEN '.png' WHEN 2 THEN '.jpeg' WHEN 3 THEN '.gif' WHEN 4 THEN '' ELSE '.tar.png' END)"
+_MIME = "CASE event_id % 5 WHEN 0 THEN ' Image/JPEG; q=1' WHEN 1 THEN 'text/html' WHEN 2 THEN '' WHEN 3 THEN 'image/png' END"
+_SIZE = "CASE WHEN event_id % 11 = 0 THEN 0 ELSE (event_id * 104729) % 20000000 END"
+
+
+@query(f"""WITH u AS (SELECT event_id, {_NAME} AS name, {_MIME} AS mime, {_SIZE} AS bytes FROM events),
+v AS (SELECT *, lower(regexp_extract(name, '(\\.[^./]+)$', 1)) AS ext, lower(trim(split_part(coalesce(mime, ''), ';', 1))) AS kind FROM u)
+SELECT event_id, name, CASE WHEN ext NOT IN ('.jpg', '.jpeg', '.png') THEN 'UNSUPPORTED_FILE_TYPE' WHEN kind <> '' AND kind NOT IN ('image/jpeg', 'image/jpg', 'image/png') THEN 'UNSUPPORTED_MEDIA_TYPE'
+       WHEN bytes = 0 THEN 'EMPTY_FILE' WHEN bytes > 15728640 THEN 'FILE_TOO_LARGE' ELSE 'OK' END AS status FROM v""")
+def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(_NAME).alias("name"), F.expr(_MIME).alias("mime"), F.expr(_SIZE).alias("bytes"))
+    return u.select("event_id", "name", images.upload_status(F.col("name"), F.col("mime"), F.col("bytes")).alias("status"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS image_id, 200 + (s_suppkey * 97) % 6000 AS w, 100 + (s_suppkey * 61) % 4000 AS h FROM supplier),
+k AS (SELECT *, least(1.0::DOUBLE, 1024.0::DOUBLE / greatest(w, h)) AS scale FROM s)
+SELECT image_id, w, h, round(scale, 9) AS scale, greatest(1, round_even(w * scale, 0)::INTEGER) AS new_w, greatest(1, round_even(h * scale, 0)::INTEGER) AS new_h FROM k""")
+def resize_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("image_id"), (200 + (F.col("s_suppkey") * 97) % 6000).alias("w"), (100 + (F.col("s_suppkey") * 61) % 4000).alias("h"))
+    return images.processed_size(s).withColumn("scale", F.round("scale", 9))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding[1:3], lambda v: floor(v::DOUBLE * 100)::BIGINT) AS p FROM embeddings),
+c AS (SELECT vec_id AS c, p AS q FROM e WHERE vec_id < 6),
+d AS (SELECT e.vec_id, c.c, (p[1] - q[1]) * (p[1] - q[1]) + (p[2] - q[2]) * (p[2] - q[2]) + (p[3] - q[3]) * (p[3] - q[3]) AS d2 FROM e, c)
+SELECT vec_id, arg_min(c, (d2, c)) AS centre, min(d2) AS d2 FROM d GROUP BY vec_id""")
+def nearest_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's nearest of six centres (a stated set against all rows)."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", *[F.floor(F.element_at("embedding", j + 1).cast("double") * 100).alias(f"p{j}") for j in range(3)])
+    centres = e.where("vec_id < 6").agg(F.collect_list(F.struct(F.col("vec_id").alias("c"), "p0", "p1", "p2")).alias("centres"))  # six rows
+    gap = lambda c: sum((F.col(f"p{j}") - c[f"p{j}"]) * (F.col(f"p{j}") - c[f"p{j}"]) for j in range(3))
+    out = e.join(F.broadcast(centres)).withColumn("best", F.array_min(F.transform("centres", lambda c: F.struct(gap(c).alias("d2"), c["c"].alias("c")))))
+    return out.select("vec_id", F.col("best.c").alias("centre"), F.col("best.d2").alias("d2"))
+
+
+@query()
+def scene_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour clusters of each scene's water (k-means: tested by what it accepts)."""
+    px = sc.colour_pixels(spark, sf_dir)
+    light, a, b = colour.lab(F.col("b"), F.col("g"), F.col("r"))
+    seeds = px.where("support >= 0.5").select("image_id", "y", "x", (0.6 * light).alias("cl"), a.alias("ca"), b.alias("cb"))
+    return stages.scene_clusters(seeds)
+
+
+@query()
+def scene_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One nested report for each scene."""
+    px = _candidate(spark, sf_dir).persist()
+    zones = stages.top_zones(stages.scored(stages.regions(px, CFG), CFG), CFG).persist()
+    sensors = stages.sensor_zones(zones, px, CFG)
+    segments = stages.supply_segments(stages.supply_band(px, CFG), CFG)
+    isolated = stages.isolated_regions(px, CFG)
+    summary = report.summary(stages.coverage(px), zones, sensors, segments, isolated, CFG)
+    return report.report(summary, zones, sensors, segments, isolated, CFG)
