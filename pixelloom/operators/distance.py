@@ -7,11 +7,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 FAR = 1 << 40
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(ArrayType(LongType()))  # a type, not its name: without a session, names can't be read
 def _row_pass(rows: pd.Series) -> pd.Series:
     """min over x' of g(x') + (x - x')**2, for each x of each row."""
 
@@ -47,6 +48,6 @@ def squared_distance(df: DataFrame, col: str, name: str, padded: bool) -> DataFr
 
 def water_distance(df: DataFrame, water: str, name: str) -> DataFrame:
     """Distance to water, never more than the image's diagonal, which it is without water."""
-    out = squared_distance(df.withColumn("_dry", ~F.col(water)), "_dry", "_d2", padded=False)
+    out = squared_distance(df.withColumn("_dry", ~F.col(water)), "_dry", "_wd2", padded=False)
     diagonal = F.sqrt((F.col("h") * F.col("h") + F.col("w") * F.col("w")).cast("double"))
-    return out.withColumn(name, F.least(F.sqrt(F.coalesce("_d2", F.lit(FAR)).cast("double")), diagonal)).drop("_dry", "_d2")
+    return out.withColumn(name, F.least(F.sqrt(F.coalesce("_wd2", F.lit(FAR)).cast("double")), diagonal)).drop("_dry", "_wd2")
