@@ -33,6 +33,8 @@ from . import shared
 GOOD, BAD, NONE = "g", "b", "-"
 #: Bounds on how often a labeller calls a good text bad, and a bad one.
 FALSE_ALARM, DETECTION = 0.02, 0.05
+#: The same for the labellers below, whose limits lie far from ordinary prose.
+STRICT = 0.005
 ADDED = ("score", "kept")
 
 
@@ -104,15 +106,14 @@ def _bound(rates: dict[str, float], vote: str, least: float = 0.0, most: float =
 class LabelModel:
     """P(good), and for each labeller how often it gives each vote on good and on bad texts."""
 
-    def __init__(self, labellers: int):
+    def __init__(self, labellers: int, false_alarm: float = FALSE_ALARM):
+        self.false_alarm = false_alarm
         # the start only says that labellers are right more often than wrong
         self.prior = 0.8
         self.gives = [{GOOD: {GOOD: 0.6, BAD: 0.02, NONE: 0.38}, BAD: {GOOD: 0.4, BAD: 0.3, NONE: 0.3}} for _ in range(labellers)]
 
     def log_odds(self, j: int, vote: str) -> float:
-        """What a vote says; silence says nothing."""
-        if vote == NONE:
-            return 0.0
+        """What a vote says, silence included."""
         return math.log(self.gives[j][GOOD][vote] / self.gives[j][BAD][vote])
 
     def posterior(self, votes: str) -> float:
@@ -131,7 +132,7 @@ class LabelModel:
                     for vote in (GOOD, BAD, NONE):
                         gives[kind][vote] = (sum(m for v, m in mass.items() if v[j] == vote) + 0.5) / (whole + 1.5)
                 # what is known of every labeller: it seldom calls a good text bad, and not never a bad one
-                _bound(gives[GOOD], BAD, most=FALSE_ALARM)
+                _bound(gives[GOOD], BAD, most=self.false_alarm)
                 _bound(gives[BAD], BAD, least=DETECTION)
         return self
 
@@ -140,7 +141,7 @@ class LabelModel:
         x = F.lit(math.log(self.prior / (1 - self.prior)))
         for j in range(len(self.gives)):
             v = F.substring(votes, j + 1, 1)
-            x = x + F.when(v == GOOD, self.log_odds(j, GOOD)).when(v == BAD, self.log_odds(j, BAD)).otherwise(0.0)
+            x = x + F.when(v == GOOD, self.log_odds(j, GOOD)).when(v == BAD, self.log_odds(j, BAD)).otherwise(self.log_odds(j, NONE))
         return 1 / (1 + F.exp(-x))
 
 
@@ -166,7 +167,7 @@ def fit_scorer(drawn: DataFrame) -> LogisticRegressionModel | None:
     return LogisticRegression(weightCol="weight", maxIter=30, regParam=1e-3, aggregationDepth=2).fit(rows)
 
 
-def weak_label_quality(docs: DataFrame, text_col: str = "text", sample: int = 8000, bits: int = 14, threshold: float = 0.5) -> DataFrame:
+def weak_label_quality(docs: DataFrame, text_col: str = "text", sample: int = 8000, bits: int = 14, threshold: float = 0.5, false_alarm: float = STRICT) -> DataFrame:
     """``docs`` with score (of the linear scorer, 0 to 1) and kept."""
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED])
     rows = prepared(base, text_col)
@@ -174,7 +175,7 @@ def weak_label_quality(docs: DataFrame, text_col: str = "text", sample: int = 80
     votes = F.concat(*[f() for f in voters.values()])
     counted = measured(rows).where("_n > 0").select(votes.alias("votes")).groupBy("votes").count()
     patterns = {r.votes: r["count"] for r in counted.collect()}  # at most 3 ** labellers
-    model = LabelModel(len(voters)).fit(patterns)
+    model = LabelModel(len(voters), false_alarm).fit(patterns)
     total = sum(patterns.values())
     rate = F.lit(int(min(1.0, sample / max(1, total)) * (1 << 30)))
     # by text and row: of a text that a third of the rows repeat, no larger part is drawn than of others
