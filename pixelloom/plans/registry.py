@@ -243,7 +243,7 @@ def supply_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_BAND}, {sc.labels("l", "b2", "band")}, {sc.stats_of("s", "l")}, {sc.pixels_of("p0", "l")},
 p AS (SELECT p0.* FROM p0 JOIN s USING (image_id, label) WHERE area >= 8),
 out AS (SELECT px.image_id, px.y, px.x FROM px ANTI JOIN p ON p.image_id = px.image_id AND p.y = px.y AND p.x = px.x),
-dep AS (SELECT p.image_id, p.label, p.y, p.x, least(min((p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x)), (p.x + 1) * (p.x + 1), (p.y + 1) * (p.y + 1), (64 - p.x) * (64 - p.x), (48 - p.y) * (48 - p.y)) AS d2 FROM p JOIN out q USING (image_id) GROUP BY ALL),
+dep AS (SELECT p.image_id, p.label, p.y, p.x, least(min((p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x)), (p.x + 1) * (p.x + 1), (p.y + 1) * (p.y + 1), (64 - p.x) * (64 - p.x), (48 - p.y) * (48 - p.y)) AS d2 FROM p JOIN out q USING (image_id) GROUP BY p.image_id, p.label, p.y, p.x),
 anc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, label ORDER BY d2 DESC, y, x) AS n FROM dep) WHERE n = 1)
 SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, label) AS segment_id, label, area, "left", top, width, height, round(cx, 4) AS cx, round(cy, 4) AS cy, anc.x AS anchor_x, anc.y AS anchor_y FROM s JOIN anc USING (image_id, label)""")
 def supply_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,5 +106,5 @@ wd AS (
 CLEARANCE = f"""
 clr AS (
   SELECT p.image_id, p.y, p.x, least(min((p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x)), (p.x + 1) * (p.x + 1), (p.y + 1) * (p.y + 1), ({W} - p.x) * ({W} - p.x), ({H} - p.y) * ({H} - p.y)) AS d2
-  FROM cand p LEFT JOIN (SELECT image_id, y, x FROM cand WHERE NOT candidate) q USING (image_id) WHERE p.candidate GROUP BY ALL
+  FROM cand p LEFT JOIN (SELECT image_id, y, x FROM cand WHERE NOT candidate) q USING (image_id) WHERE p.candidate GROUP BY p.image_id, p.y, p.x
 )"""
