@@ -325,10 +325,10 @@ def letterbox_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return im.select("image_id", "w", "h", F.round("ratio", 9).alias("ratio"), "new_w", "new_h", "pad_x", "pad_y")
 
 
-@query(f"WITH {_CANDIDATES} SELECT image_id, anchor_id, class_id, label, round(confidence, 4) AS confidence, round(x1, 3) AS x1, round(y1, 3) AS y1, round(x2, 3) AS x2, round(y2, 3) AS y2 FROM cand")
+@query(f"WITH {_CANDIDATES} SELECT image_id, anchor_id, class_id, label, round(confidence, 4) AS confidence, {", ".join(f"floor({c} * 1000::DOUBLE + 0.5::DOUBLE) / 1000::DOUBLE AS {c}" for c in ("x1", "y1", "x2", "y2"))} FROM cand")
 def detection_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = detect.candidates(*_detector(spark, sf_dir), cfg=CFG)
-    return boxes.select("image_id", "anchor_id", "class_id", "label", F.round("confidence", 4).alias("confidence"), *[F.round(c, 3).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return boxes.select("image_id", "anchor_id", "class_id", "label", F.round("confidence", 4).alias("confidence"), *[(F.floor(F.col(c) * 1000.0 + 0.5) / F.lit(1000.0)).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 @query(f"WITH {_CANDIDATES} SELECT i.image_id, n.label, (SELECT count(*) FROM cand WHERE cand.image_id = i.image_id AND cand.label = n.label) AS n FROM im i, nam n")

@@ -38,7 +38,13 @@ def upload_status(name: Column, mime: Column, length: Column, cfg: Config = Conf
 
 def image_files(spark: SparkSession, path: str, cfg: Config = Config()) -> DataFrame:
     """(image_id, status, bytes) of the files under ``path``; file contents are not read."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("image_id"), F.col("length").alias("bytes"))
+    source = spark.read.format("binaryFile").load(path)
+    files = source.select(F.col("path").alias("image_id"), F.col("length").alias("bytes"))
+    # scans pass over empty files; the names that Spark has listed tell of them
+    listed = spark.createDataFrame([(f,) for f in source.inputFiles()], "name string").select(F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B"))).alias("image_id"))
+    plain = F.regexp_replace("image_id", "^file:/+", "file:/")
+    empty = listed.select(plain.alias("image_id"), F.lit(0).cast("long").alias("bytes")).join(files.select(plain.alias("image_id")), "image_id", "left_anti")
+    files = files.unionByName(empty)
     return files.withColumn("status", upload_status(F.col("image_id"), F.lit(""), F.col("bytes"), cfg))
 
 
