@@ -40,19 +40,25 @@ RADIUS = 3  # the code's covering radius
 MAX_BITS = 5  # three blocks, one differing bit each, and two more would need a second bit in each
 
 
-def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
-    """Majority of the shingles' XXH64 bits; words split at ASCII white space."""
+def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every ``words``-word shingle, or of the whole text if it has no more words; split at ASCII white space."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return 0
     joined, hash64 = b" ".join(parts), xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return hash64(joined, seed)
+        return np.array([hash64(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(parts) - words + 1
     spans = zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((hash64(joined[a:b], seed) for a, b in spans), np.uint64, n)
+    return np.fromiter((hash64(joined[a:b], seed) for a, b in spans), np.uint64, n)
+
+
+def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
+    """Majority of the shingles' bits, zero for a text without words."""
+    if not (text or "").encode("utf-8", "surrogatepass").strip():
+        return 0
+    hashes = shingles(text, words, seed)
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 15):
         bits = np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
