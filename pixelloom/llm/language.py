@@ -15,9 +15,9 @@ byte is looked up once, by a probe in a hash table, and only misses go on to a
 lower order.
 
 The model is fitted on a sample of the labelled texts, whole ones, of about
-``sample`` rows a language (drawn by a hash of the id), and keeps the ``nodes``
-most frequent entries of each order; both bounds are parameters, so its size
-does not grow with the corpus. Every text is scored whole.
+``sample`` rows a language (drawn by a hash of the id), and keeps all their counts;
+the bound is a parameter, so the model's size does not grow with the number of
+rows. Every text is scored whole.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter,
 and every text if nothing was learned; ties go to the first language by name.
@@ -193,7 +193,7 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, order: int = ORDER, sample: int = 2000, nodes: int = 100_000) -> Model:
+def fit(labelled: DataFrame, order: int = ORDER, sample: int = 2000) -> Model:
     """``labelled``: id, lang (not null), text. See the module for the bounds."""
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     spark = labelled.sparkSession
@@ -202,16 +202,16 @@ def fit(labelled: DataFrame, order: int = ORDER, sample: int = 2000, nodes: int
     drawn = labelled.where("text is not null").join(F.broadcast(rates), "lang").where(draw)
     counts = shared.cut(count_contexts(drawn.select("lang", "text"), order), "contexts")
     held: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-    for k in range(order + 1):  # at most `nodes` rows of each order
-        top = counts.where(F.col("k") == k).orderBy(F.desc("n"), "lang", "gram").limit(nodes).toPandas()
-        for lang, rows in top.groupby("lang"):
+    for k in range(order + 1):
+        seen = counts.where(F.col("k") == k).toPandas()
+        for lang, rows in seen.groupby("lang"):
             held[(lang, k)] = (rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy())
     return Model(sorted(sizes), order, held)
 
 
 def identify(texts: DataFrame, model: Model) -> DataFrame:
     """``texts`` (id, text and more) with lang_pred and score in place of text."""
-    shared_model = texts.sparkSession.sparkContext.broadcast(model)  # bounded by `nodes`, order and languages
+    shared_model = texts.sparkSession.sparkContext.broadcast(model)  # bounded by the sample, order and languages
     keep = [c for c in texts.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,6 +52,17 @@ def test_code_lengths_are_exact(monkeypatch):
     assert np.allclose(model.lengths(texts), want, atol=1e-3)
 
 
+def test_fit_keeps_all_counts(spark):
+    rng = random.Random(4)
+    letters = {"a": "abcdefghijklmnopqrstuvwxyz", "b": "zyxwvutsrqponmlkjihgfedcba '"}
+    rows = [(i, lang, "".join(rng.choices(letters[lang], k=1500))) for i in range(100) for lang in [rng.choice("ab")]]
+    model = language.fit(spark.createDataFrame(rows, "id long, lang string, text string"))
+    assert len(model.symbols[language.ORDER].keys) > 100_000
+    texts = [rows[0][2].encode()[:300], rows[1][2].encode()[700:900], b"never seen before"]
+    want = [[plain_costs([t.encode() for _, x, t in rows if x == lang], text, language.ORDER) for lang in "ab"] for text in texts]
+    assert np.allclose(model.lengths(texts), want, rtol=1e-5)
+
+
 def test_identify(spark):
     rng = random.Random(3)
     words = {"en": "the of and to in is that for it was on with as his they".split(), "de": "der die und das nicht ist von mit sich auf für ein straße".split(), "fr": "le la les des une est pas que dans pour été où garçon".split()}
