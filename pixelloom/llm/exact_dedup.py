@@ -9,8 +9,10 @@ than 2/(counters+1) of the rows.
 
 Defined results: null texts count as empty, and empty texts are equal to each
 other. A null id ranks after every other id. Of rows that repeat the smallest
-id of their group, the first one in the scan stays. Columns of the input keep
-their names; a clashing name (``keep_id``, ``kept`` ...) is replaced.
+id of their group, the first one in the scan stays. Very long texts are hashed
+whole. Columns of the input keep their names, whatever these are; only columns
+named like the added ones (``keep_id``, ``kept`` ...) are replaced. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -49,14 +51,17 @@ def misra_gries(digests: DataFrame, column: str, counters: int) -> DataFrame:
     return parts.groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(counters).select("digest")
 
 
+ADDED = ("keep_id", "group_size", "kept", "text_sha256")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 256, mark_only: bool = False) -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256; one row each.
 
-    mark_only leaves only the id column and these four. ``docs`` must be a scan
-    of files (see ``shared.with_row``)."""
-    digest = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
-    rows = shared.with_row(docs).withColumn("_digest", digest)
-    keys = shared.cut(rows.select("_row", F.col(id_col).alias("_id"), "_digest"), "digests")
+    mark_only leaves only the id column and these four, and reads the texts once.
+    ``docs`` must be a scan of files (see ``shared.with_row``)."""
+    digest = F.unhex(F.sha2(normalised(shared.field(text_col)), 256))
+    rows = shared.boxed(docs)
+    keys = shared.cut(rows.select("_row", shared.field(id_col).alias("_id"), digest.alias("_digest")), "digests")
     # the row that stays is the least of its group by this order
     winner = [F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("w"), F.count("*").alias("n")]
 
@@ -67,24 +72,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # written out, both join sides have exchanges of their own, and Spark can split what skew is left
     light = shared.cut(light, "light")
 
-    data = rows.select(F.col(id_col).alias("_id"), "_row", "_digest") if mark_only else rows.drop("keep_id", "group_size", "kept", "text_sha256")
     heavy = heavy.select("_digest", F.col("w").alias("_hw"), F.col("n").alias("_hn"))
     light = light.select(F.col("_digest").alias("_ld"), F.col("w").alias("_lw"), F.col("n").alias("_ln"))
-    joined = data.join(F.broadcast(heavy), "_digest", "left")
+    joined = keys.join(F.broadcast(heavy), "_digest", "left")
     # rows of heavy groups look for no partner in the shuffle: they are spread by row, not by digest
     joined = joined.withColumn("_key", F.when(F.col("_hn").isNull(), F.col("_digest")).otherwise(F.col("_row").cast("string").cast("binary")))
     joined = joined.join(light, F.col("_key") == F.col("_ld"), "left")
-    own = F.col(id_col) if not mark_only else F.col("_id")
     w, n = F.coalesce("_hw", "_lw"), F.coalesce("_hn", "_ln", F.lit(1).cast("long"))
     marks = [
-        F.when(w.isNull(), own).otherwise(w["id"]).alias("keep_id"),
+        F.when(w.isNull(), F.col("_id")).otherwise(w["id"]).alias("keep_id"),
         n.alias("group_size"),
         (w.isNull() | (w["row"] == F.col("_row"))).alias("kept"),
         F.lower(F.hex("_digest")).alias("text_sha256"),
     ]
     if mark_only:
         return joined.select(F.col("_id").alias(id_col), *marks)
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")], *marks)
+    marked = joined.select("_row", *marks)
+    return rows.join(marked, "_row").select(*shared.unboxed(docs.columns, ADDED), *ADDED)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,71 +1,20 @@
-"""Helpers that several corpus operators use: intermediate tables and row keys."""
+"""Helpers that several corpus operators use: row keys, boxed rows and skewed joins."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from functools import lru_cache
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import cut, delete, folder, fresh_path, scope
+
+__all__ = ["NOT_SPACE", "SPACE", "boxed", "cut", "delete", "documents", "field", "folder", "fresh_path", "join_side", "scope", "unboxed", "with_row"]
+
 #: Whitespace of every contract: the space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
-_written: list[str] = []
-
-
-@lru_cache
-def _own_folder() -> str:
-    path = tempfile.mkdtemp(prefix="pixelloom-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
-def folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    folder of our own where that is unset and Spark runs in this one process."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{_own_folder()}"
-
-
-def token() -> str:
-    return uuid.uuid4().hex
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, remembered for ``sweep``."""
-    _written.append(path := f"{folder(spark)}/{name}-{token()}")
-    return path
-
-
-def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, so
-    that a lost executor costs no more than one stage, and computes ``df`` once."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).delete(where, True)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Delete every table that ``cut`` has written so far. Only for callers that
-    have stored all results which read them."""
-    while _written:
-        delete(spark, _written.pop())
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -82,3 +31,28 @@ def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     if spark.conf.get(pin, None) is None:
         spark.conf.set(pin, str(spark.sparkContext.defaultParallelism))
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def boxed(df: DataFrame) -> DataFrame:
+    """(_row, _doc): the row key and all columns of ``df`` in one struct, so that no
+    helper column can clash with a column of the user's."""
+    return with_row(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc")))
+
+
+def field(name: str) -> Column:
+    """A column of the user's within ``boxed`` rows."""
+    return F.col("_doc").getField(name)
+
+
+def unboxed(columns: Sequence[str], without: Sequence[str] = ()) -> list[Column]:
+    """The user's columns again, in order, but for those that are replaced."""
+    return [field(c).alias(c) for c in columns if c not in without]
+
+
+def join_side(rows: DataFrame, side: DataFrame, keys: list[str], n: str, total: int, heavy: int = 1000) -> DataFrame:
+    """``rows`` joined to ``side``, which has one row for each key and in ``n`` how many of
+    ``rows`` (``total`` in all) have it. Keys with more than total / heavy rows, fewer than
+    ``heavy`` of them, are broadcast, so their rows stay where they are; the others shuffle."""
+    hot = F.broadcast(side.where(F.col(n) * heavy > total))
+    cool = side.where(F.col(n) * heavy <= total)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cool, keys))
