@@ -22,25 +22,30 @@ rows. Every text is scored whole.
 Defined results: ``und`` with score 0 for null texts, texts without a letter,
 and every text if nothing was learned; ties go to the first language by name.
 The score is the posterior probability of the language under equal priors.
-Rows with a null id or language are never learned from, but always scored.
-Repeated rows and further columns change nothing.
+Rows with a null id or language are never learned from, but always scored; very
+long texts are scored in pieces, each with the bytes before it as context.
+Repeated rows and further columns change nothing; columns named like the added
+ones are replaced. An empty table gives no rows. A letter is a character of a
+Unicode category L. The model grows with the number of languages, of which a
+corpus has hundreds at most, never with its rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import shared
 
 ORDER = 4
+#: The columns that ``identify`` adds; columns of the input that are named like them are replaced.
+ADDED = ("lang_pred", "score")
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 #: A-Z are counted as a-z.
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 #: Bytes handled together.
@@ -212,6 +217,7 @@ def fit(labelled: DataFrame, order: int = ORDER, sample: int = 2000) -> Model:
 def identify(texts: DataFrame, model: Model) -> DataFrame:
     """``texts`` (id, text and more) with lang_pred and score in place of text."""
     shared_model = texts.sparkSession.sparkContext.broadcast(model)  # bounded by the sample, order and languages
+    texts = texts.select(*[F.col(f"`{c}`") for c in texts.columns if c not in ADDED])
     keep = [c for c in texts.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +226,7 @@ def identify(texts: DataFrame, model: Model) -> DataFrame:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 texts_ = batch.column("text").to_pylist()
-                ask = [i for i, t in enumerate(texts_) if t and m.langs and _LETTER.search(t)]
+                ask = [i for i, t in enumerate(texts_) if t and m.langs and any(map(str.isalpha, t))]  # isalpha: the categories L*
                 pred, score = [UNDETERMINED] * len(texts_), [0.0] * len(texts_)
                 if ask:
                     bits = m.lengths([texts_[i].encode() for i in ask])
@@ -230,8 +236,8 @@ def identify(texts: DataFrame, model: Model) -> DataFrame:
                         pred[i], score[i] = m.langs[b], p
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
-    return texts.mapInArrow(run, f"{ddl}, lang_pred string, score double")
+    schema = StructType([*[f for f in texts.schema if f.name != "text"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return texts.mapInArrow(run, schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
