@@ -1,17 +1,22 @@
-"""SentencePiece encoding and decoding in batched numpy.
+"""SentencePiece encoding and decoding in batched numpy Viterbi.
 
 A text is cut into words (white space as U+2581 leads the word that follows),
 and each worker encodes a word form once. Unseen words are sorted by length, and
-equally long ones advance together through arrays: substrings are named by
-prefix polynomial hashes, whose values are probed among the sorted piece keys.
-
-* ``viterbi``, for unigram models: one step for each end position; the best score
-  over all pieces that end there is a vectorised maximum, which stores the
-  backpointer.
-* ``merge``, for BPE models: their scores are merge ranks, not probabilities, and
-  the best-scoring segmentation is not what the model means (see the README for
-  how often it differs). In each round every word makes its best merge, the
-  leftmost of equals, by a vectorised minimum over the ranks of its neighbours.
+equally long ones advance together, one end position a step: substrings are named
+by prefix polynomial hashes, whose values are probed among the sorted piece keys,
+each piece that ends here extends the best path to where it starts, and a
+vectorised maximum over the starts stores the backpointer.
+
+What a path is worth depends on the kind of the model:
+
+* Unigram models: the sum of the pieces' log-probabilities (``best_paths``).
+* BPE models: their scores are merge ranks, and the largest sum of them is not what
+  the model means. A row of pieces is the model's segmentation exactly if every two
+  neighbours are, that is if merging by rank would not join anything across their
+  border. So a path scores 0 while its neighbours fit and minus infinity otherwise
+  (``bpe_paths``); of the paths to a position exactly one fits, and it is the
+  library's. Whether two pieces fit is settled by undoing their merges, latest first,
+  and asking each time whether the two halves at the border would have joined sooner.
 
 Decoding is batched as well: byte strings of all ids are gathered at once.
 
@@ -20,8 +25,9 @@ normalisation is taken to be the identity with a space put in front, as in
 models that keep white space exactly; then decoding gives back every text
 without U+2581 itself (it reads as a space).
 
-Defined results: null and empty texts have no tokens. Repeated rows and further
-columns change nothing. An empty table gives no rows.
+Defined results: null and empty texts have no tokens. Very long texts are encoded
+whole, word by word, and a very long word in a batch of its own. Repeated rows and
+further columns, whatever their names, change nothing. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -71,6 +77,7 @@ class Pieces:
         self.start = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(text), np.uint8)
         self.unknown = 0
+        self._undo([pieces[i] for i in usable], usable)
         # pairs of neighbours inside some piece; between all others, words fall apart
         self.beside = np.zeros((LATIN, LATIN), bool)
         for i in usable:
@@ -79,6 +86,55 @@ class Pieces:
                 if a < LATIN and b < LATIN:
                     self.beside[a, b] = True
 
+    def _undo(self, names: list[str], ids: list[int]) -> None:
+        """For each piece the two that its last merge joins. A number beyond the last
+        stands for a character in no piece: nothing merges with it."""
+        n = len(self.size) + 1
+        self.outside = n - 1
+        self.key, self.power, self.length = np.zeros(n, np.uint64), np.ones(n, np.uint64), np.full(n, self.longest, np.int64)
+        self.left, self.right, self.last = np.arange(n), np.arange(n), np.full(n, -1, np.int64)
+        self.whole = np.zeros(n, bool)  # merging its characters gives the piece itself
+        for i, name in zip(ids, names, strict=True):
+            self.key[i], self.power[i], self.length[i] = self.hash_of(name), pow(int(_BASE), len(name), 1 << 64), len(name)
+        if self.kind != "bpe":
+            return
+        by_length: dict[int, list[int]] = {}
+        for i, name in zip(ids, names, strict=True):
+            by_length.setdefault(len(name), []).append(i)
+        name_of = dict(zip(ids, names, strict=True))
+        for length, same in by_length.items():
+            words, mine = [name_of[i] for i in same], np.array(same)
+            if length == 1:
+                self.whole[mine] = True
+                continue
+            spans, middle = merge(self, words)
+            done = np.array([len(x) == 1 for x in spans])
+            self.whole[mine] = done
+            for i, w, m in zip(mine[done].tolist(), [w for w, d in zip(words, done, strict=True) if d], middle[done].tolist(), strict=True):
+                self.left[i], self.right[i] = self.find(np.array([self.hash_of(w[:m]), self.hash_of(w[m:])], np.uint64))
+                self.last[i] = self.rank[i]
+
+    def fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merging by rank leaves the border between the pieces a and b alone."""
+        ok = np.ones(len(a), bool)
+        at = np.flatnonzero((a >= 0) & (a != self.outside) & (b != self.outside))
+        a, b = a[at], b[at]
+        used_a, used_b = np.full(len(a), _NEVER), np.full(len(a), _NEVER)  # when the half at the border is merged further
+        while len(at):
+            short = self.length[a] + self.length[b] <= self.longest
+            joined = np.full(len(a), _NEVER)
+            found = self.find(self.key[a[short]] * self.power[b[short]] + self.key[b[short]])
+            joined[short] = np.where(found >= 0, self.rank[found], _NEVER)
+            crossed = (joined < used_a) & (joined <= used_b)  # of equal ranks, the leftmost merge goes first
+            ok[at[crossed]] = False
+            la, lb = self.last[a], self.last[b]
+            undo_a = la > lb
+            go = ~crossed & ((la >= 0) | (lb >= 0))
+            used_a = np.where(undo_a, la, used_a)[go]
+            used_b = np.where(undo_a, used_b, lb)[go]
+            a, b, at = np.where(undo_a, self.right[a], a)[go], np.where(undo_a, b, self.left[b])[go], at[go]
+        return ok
+
     def parts(self, words: list[str]) -> list[list[str]]:
         """The words, cut between neighbours that no piece joins."""
         joined = "".join(words)
@@ -130,9 +186,26 @@ class _Batch:
         return self.prefix[row, end] - self.prefix[row, start] * self.power[end - start]
 
 
-def viterbi(p: Pieces, words: list[str]) -> list[list[tuple[int, int]]]:
-    """Best-scoring segmentation of equally long words, as (start, end) spans. A
-    character in no piece costs less than any segmentation without it."""
+def _backtracked(back: np.ndarray) -> list[list[tuple[int, int]]]:
+    out = []
+    for row in back.tolist():
+        spans, end = [], len(row) - 1
+        while end:
+            spans.append((row[end], end))
+            end = row[end]
+        out.append(spans[::-1])
+    return out
+
+
+def _ending(p: Pieces, b: _Batch, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts, and the piece from each of them to ``end`` in every word (-1: none)."""
+    starts = np.arange(max(0, end - max(1, p.longest)), end)
+    return starts, p.find(b.prefix[:, end, None] - b.prefix[:, starts] * b.power[end - starts])
+
+
+def best_paths(p: Pieces, words: list[str]) -> list[list[tuple[int, int]]]:
+    """Segmentation of equally long words with the largest sum of scores, as (start, end)
+    spans. A character in no piece costs less than any segmentation without it."""
     b = _Batch(words)
     best = np.full((b.n, b.length + 1), -np.inf)
     best[:, 0] = 0
@@ -140,24 +213,37 @@ def viterbi(p: Pieces, words: list[str]) -> list[list[tuple[int, int]]]:
     floor = p.score.min() - 10
     row = np.arange(b.n)
     for end in range(1, b.length + 1):
-        best[:, end], back[:, end] = best[:, end - 1] + floor, end - 1  # as an unknown character
-        for start in range(max(0, end - p.longest), end):
-            piece = p.find(b.key(row, np.full(b.n, start), np.full(b.n, end)))
-            score = np.where(piece >= 0, best[:, start] + p.score[piece], -np.inf)
-            better = score > best[:, end]
-            best[better, end], back[better, end] = score[better], start
-    out = []
-    for i in range(b.n):
-        spans, end = [], b.length
-        while end:
-            spans.append((int(back[i, end]), end))
-            end = int(back[i, end])
-        out.append(spans[::-1])
-    return out
+        starts, piece = _ending(p, b, end)
+        score = best[:, starts] + np.where(piece >= 0, p.score[piece], -np.inf)
+        score[:, -1] = np.maximum(score[:, -1], best[:, end - 1] + floor)
+        at = score.argmax(axis=1)
+        best[:, end], back[:, end] = score[row, at], starts[at]
+    return _backtracked(back)
 
 
-def merge(p: Pieces, words: list[str]) -> list[list[tuple[int, int]]]:
-    """BPE segmentation of equally long words, as (start, end) spans."""
+def bpe_paths(p: Pieces, words: list[str]) -> list[list[tuple[int, int]]]:
+    """Segmentation of equally long words whose neighbours all fit, as (start, end) spans."""
+    b = _Batch(words)
+    last = np.full((b.n, b.length + 1), -1)  # the piece before each position on the path to it
+    back = np.zeros((b.n, b.length + 1), np.int64)
+    row = np.arange(b.n)
+    for end in range(1, b.length + 1):
+        starts, piece = _ending(p, b, end)
+        piece[~p.whole[piece]] = -1
+        piece[:, -1] = np.where(piece[:, -1] < 0, p.outside, piece[:, -1])
+        r, s = np.nonzero((piece >= 0) & ((last[:, starts] >= 0) | (starts == 0)))
+        score = np.full(piece.shape, -np.inf)
+        score[r, s] = np.where(p.fit(last[r, starts[s]], piece[r, s]), 0, -np.inf)
+        at = score.argmax(axis=1)
+        back[:, end] = starts[at]
+        last[:, end] = np.where(score[row, at] == 0, piece[row, at], -1)
+    if (last[:, -1] < 0).any():
+        raise ValueError("no row of pieces fits: this is not a model of merges by rank")
+    return _backtracked(back)
+
+
+def merge(p: Pieces, words: list[str]) -> tuple[list[list[tuple[int, int]]], np.ndarray]:
+    """Equally long words merged by rank, best pair first: spans, and where the last merge joined."""
     b = _Batch(words)
     n, length = b.n, b.length
     upto = np.tile(np.arange(1, length + 1), (n, 1))  # end of the symbol that starts here
@@ -174,7 +260,7 @@ def merge(p: Pieces, words: list[str]) -> list[list[tuple[int, int]]]:
         value[inside] = np.where(piece >= 0, p.rank[piece], _NEVER)
         rank[row, start] = value
 
-    all_ = np.arange(n)
+    all_, final = np.arange(n), np.zeros(n, np.int64)
     for start in range(length - 1):
         join(all_, np.full(n, start))
     live = all_
@@ -184,7 +270,7 @@ def merge(p: Pieces, words: list[str]) -> list[list[tuple[int, int]]]:
         live, at = live[can], at[can]
         if not len(live):
             break
-        middle = upto[live, at]
+        final[live] = middle = upto[live, at]
         end = upto[live, middle]
         upto[live, at] = end
         before[live, end] = at
@@ -200,7 +286,7 @@ def merge(p: Pieces, words: list[str]) -> list[list[tuple[int, int]]]:
             spans.append((start, ends[start]))
             start = ends[start]
         out.append(spans)
-    return out
+    return out, final
 
 
 class Encoder(dict):
@@ -238,7 +324,7 @@ class Encoder(dict):
         by_length: dict[int, list[str]] = {}
         for x in parts:
             by_length.setdefault(len(x), []).append(x)
-        segment = viterbi if self.pieces.kind == "unigram" else merge
+        segment = best_paths if self.pieces.kind == "unigram" else bpe_paths
         for length, same in by_length.items():
             step = max(1, 2_000_000 // (length * (1 if length < LONG else 8)))
             for at in range(0, len(same), step):

@@ -37,11 +37,28 @@ def test_viterbi_finds_the_best_segmentation():
         return sum(score.get(word[a:b], p.score.min() - 10 if b - a == 1 else -1e9) for a, b in spans)
 
     words = ["".join(rng.choice("abcx") for _ in range(7)) for _ in range(60)]
-    for w, spans in zip(words, pieces.viterbi(p, words), strict=True):
+    for w, spans in zip(words, pieces.best_paths(p, words), strict=True):
         best = max(total(w, c) for k in range(7) for c in itertools.combinations(range(1, 7), k))
         assert abs(total(w, [s[0] for s in spans[1:]]) - best) < 1e-9
 
 
+def test_paths_are_the_merges():
+    """Viterbi over fitting neighbours against merging by rank, on a small model with equal ranks too."""
+    rng = random.Random(5)
+    for seed in range(30):
+        rng = random.Random(seed)
+        names, score = list("abc"), [0.0] * 3
+        for k in range(14):  # each piece joins two earlier ones, as in training
+            new = rng.choice(names) + rng.choice(names)
+            if new not in names and len(new) < 7:
+                names.append(new)
+                score.append(-float(k if seed % 2 else k // 2 + 1))
+        p = pieces.Pieces(names, score)
+        for length in (1, 2, 5, 9):
+            words = ["".join(rng.choice("abcx") for _ in range(length)) for _ in range(80)]
+            assert pieces.bpe_paths(p, words) == pieces.merge(p, words)[0]
+
+
 def test_frames(spark):
     rows = [(i, t, "x") for i, t in enumerate(texts())]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
