@@ -3,18 +3,22 @@
 Base rules look at one text: too few words, or too many words inside 5-word
 windows that the text repeats. The cross-document rule finds boilerplate: lines
 are normalised (lower case, digits as 0, white space as one space) and hashed,
-distinct documents are counted for each (host, line), and a line found in more
-than ``min_docs`` documents and more than ``max_share`` of its host's documents is
-removed. A document that loses more than ``max_removed`` of its words is depleted
-and rejected.
-
-Texts are read once; what later steps need (counts, line hashes, words of each
-line) is written to the shared folder. Counts are partial aggregates, so a line
-that a third of all documents share costs one row for each task.
-
-Defined results: null texts have no words and fail. A null host is a host of
-its own. Each row counts as a document, repeated rows too. Further columns are
-ignored, whatever their names. An empty table gives no rows.
+distinct documents are counted for each (host, line), and a line that more than
+``max_docs`` documents of its host hold is removed, however large the host: what a
+host's pages have in common is its furniture, whether it has a hundred pages or
+a billion. A document that loses more than ``max_removed`` of its words is depleted
+and rejected; the others are returned without those lines.
+
+Counts and line hashes of each text are written to the shared folder; the texts
+themselves are read once more where the cleaned text is asked for. Counts are
+partial aggregates, so a line that a third of all documents share costs one row
+for each task, and the lines above the limit meet the others in a join with one
+row for each (host, line) on its side, the hottest of them broadcast.
+
+Defined results: null texts have no words and fail; their cleaned text is empty.
+A null host is a host of its own. Each row counts as a document, repeated rows
+too. Very long texts are read whole. Further columns are ignored, whatever their
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -62,22 +66,24 @@ def repeated_words(words: Column) -> Column:
 
 
 def normal_lines(text: Column) -> Column:
-    """The normalised lines that have a word, as (hash, words)."""
+    """The normalised lines that have a word, as (hash, words, number of the line)."""
     flat = F.regexp_replace(F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " "), "[0-9]", "0")
-    lines = F.filter(F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.transform(F.split(flat, "\n"), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("at")))
     # one space between two words
     n = lambda x: (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int")
-    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), n(x).alias("n")))
+    return F.transform(F.filter(lines, lambda x: x["x"] != ""), lambda x: F.struct(F.xxhash64(x["x"]).alias("h"), n(x["x"]).alias("n"), x["at"].alias("at")))
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """Base metrics and normalised lines of every row."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = shared.with_row(docs).select("_row", F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text.alias("text"))
+    text = F.coalesce(shared.field(text_col).cast("string"), F.lit(""))
+    host = shared.field(host_col).cast("string")
+    rows = shared.boxed(docs).select("_row", shared.field(id_col).alias("id"), host.isNull().alias("no_host"), F.coalesce(host, F.lit("")).alias("host"), text.alias("text"))
     worded = F.filter(F.split("text", "\n"), lambda x: x.rlike(shared.NOT_SPACE))
     return rows.withColumn("words", words_of(F.col("text"))).select(
         "_row",
-        "doc_id",
+        "id",
+        "no_host",
         "host",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", f"{shared.SPACE}+", "")).cast("long").alias("word_chars"),
@@ -88,33 +94,49 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     )
 
 
-def frequent_lines(rows: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """(host, h) of the lines above the limits; ``rows`` has host and lines."""
-    hosts = shared.cut(rows.groupBy("host").agg(F.count("*").alias("host_docs")), "hosts")
-    once = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    counts = once.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
-    joined = counts.alias("c").join(hosts.alias("s"), F.col("c.host").eqNullSafe(F.col("s.host")))
-    return joined.where(F.col("docs") > max_share * F.col("host_docs")).select("c.host", "h")
+LINE = ["no_host", "host", "h"]
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, max_share: float = 0.1, max_removed: float = 0.8) -> DataFrame:
-    """Metrics and the verdict for every row of ``docs``, a scan of files."""
+def removed_lines(rows: DataFrame, max_docs: int) -> DataFrame:
+    """(_row, n_removed_words, gone): the words and the numbers, in order, of each row's
+    lines above the limit. ``rows`` has host and lines."""
+    once = rows.select("no_host", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    common = shared.cut(once.groupBy(*LINE).agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs), "frequent")
+    lines = rows.select("_row", "no_host", "host", F.explode("lines").alias("x")).select("_row", "no_host", "host", "x.h", "x.n", "x.at")
+    total = rows.agg(F.sum(F.size("lines"))).first()[0] or 0
+    hit = shared.join_side(lines, common, LINE, "docs", total)
+    return hit.groupBy("_row").agg(F.sum("n").alias("n_removed_words"), F.sort_array(F.collect_list("at")).alias("gone"))  # a text's own lines
+
+
+def without_lines(text: Column, gone: Column) -> Column:
+    """``text`` without the lines that ``gone`` numbers, in order: what lies between them, joined."""
+
+    def between(lines: Column) -> Column:
+        bounds = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
+        part = lambda b, i: F.slice(lines, b + 2, F.get(bounds, i + 1) - b - 1)
+        return F.array_join(F.flatten(F.transform(F.slice(bounds, 1, F.size(bounds) - 1), part)), "\n")
+
+    return F.when(F.size(gone) > 0, let(F.split(text, "\n"), between)).otherwise(text)
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 10, max_removed: float = 0.8) -> DataFrame:
+    """Metrics, verdict and cleaned text (``clean_text``) of every row of ``docs``, a scan of files."""
     rows = shared.cut(measured(docs, id_col, text_col, host_col), "measured")
-    common = shared.cut(frequent_lines(rows, min_docs, max_share), "frequent")
-    # a null host must find its lines too
-    key = lambda c: [F.col(c).isNull().alias("no_host"), F.coalesce(c, F.lit("")).alias("host_key")]
-    lines = rows.select("_row", *key("host"), F.explode("lines").alias("x")).select("_row", "no_host", "host_key", "x.h", "x.n")
-    gone = lines.join(common.select(*key("host"), "h"), ["no_host", "host_key", "h"]).groupBy("_row").agg(F.sum("n").alias("n_removed_words"))
+    gone = shared.cut(removed_lines(rows.select("_row", "no_host", "host", "lines"), max_docs), "gone")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = rows.drop("lines").join(gone, "_row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
-    return out.withColumn("base_failed", failed).select(
-        F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words",
-        (~F.col("base_failed") & (F.col("n_removed_words") <= max_removed * F.col("n_words"))).alias("kept"),
+    judged = rows.drop("lines").join(gone, "_row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long")).withColumn("base_failed", failed)
+    text = shared.boxed(docs).select("_row", F.coalesce(shared.field(text_col).cast("string"), F.lit("")).alias("text"))
+    clean = without_lines(F.col("text"), F.coalesce("gone", F.array().cast("array<int>")))
+    return judged.join(text, "_row").select(
+        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_lines"), "n_removed_words",
+        (~F.col("base_failed") & (F.col("n_removed_words") <= max_removed * F.col("n_words"))).alias("kept"), clean.alias("clean_text"),
     )
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(shared.documents(spark, sf_dir))
+    rows = quality_rules(shared.documents(spark, sf_dir))
+    return rows.withColumn("clean_sha256", F.sha2("clean_text", 256)).drop("clean_text")
 
 
 OP3_SQL = r"""
