@@ -152,25 +152,25 @@ WITH d AS (
   SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM grams) WHERE c > 1
 ), covered AS (
   SELECT r, count(DISTINCT i + k) AS n FROM twice, range(5) AS t(k) GROUP BY r
+), raw AS (
+  SELECT r, host, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d
 ), lines AS (
-  SELECT r, host, trim(x) AS line FROM (
-    SELECT r, host, unnest(string_split(regexp_replace(regexp_replace(lower(text), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'), chr(10))) AS x FROM d
-  ) WHERE trim(x) <> ''
+  SELECT r, host, x, pos, trim(regexp_replace(regexp_replace(lower(x), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')) AS line FROM raw
 ), common AS (
-  SELECT l.host, line FROM (SELECT host, line, count(DISTINCT r) AS docs FROM lines GROUP BY ALL) l
-  JOIN (SELECT host, count(*) AS n FROM d GROUP BY host) h ON l.host IS NOT DISTINCT FROM h.host
-  WHERE docs > 10 AND docs > 0.1 * n
+  SELECT host, line FROM lines WHERE line <> '' GROUP BY host, line HAVING count(DISTINCT r) > 10
+), marked AS (
+  SELECT l.r, x, pos, l.line, c.line IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.host IS NOT DISTINCT FROM c.host AND l.line = c.line
 ), gone AS (
-  SELECT r, sum(len(regexp_extract_all(l.line, '[^ ]+'))) AS n
-  FROM lines l JOIN common c ON l.host IS NOT DISTINCT FROM c.host AND l.line = c.line GROUP BY r
+  SELECT r, count_if(gone) AS lines, coalesce(sum(len(regexp_extract_all(line, '[^ ]+'))) FILTER (gone), 0) AS n,
+         sha256(coalesce(string_agg(x, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS clean_sha256 FROM marked GROUP BY r
 ), m AS (
   SELECT w.r, doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          len(worded) - len(list_distinct(worded)) AS n_dup_lines,
-         coalesce(c.n, 0) AS n_repeat_words, coalesce(g.n, 0)::BIGINT AS n_removed_words
+         coalesce(c.n, 0) AS n_repeat_words, g.lines AS n_removed_lines, g.n::BIGINT AS n_removed_words, clean_sha256
   FROM w LEFT JOIN covered c USING (r) LEFT JOIN gone g ON w.r = g.r
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_lines, n_removed_words, clean_sha256,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_removed_words <= 0.8 * n_words AS kept
 FROM m

@@ -30,10 +30,11 @@ def documents():
     return out
 
 
-def brute(rows, min_docs, max_share, max_removed):
+def brute(rows, max_docs, max_removed):
     space = r"[\x20\x09-\x0d]"
-    normal = lambda t: [x for x in (re.sub("[0-9]", "0", re.sub(r"[\x20\x09\x0b-\x0d]+", " ", y.lower())).strip(" ") for y in (t or "").split("\n")) if x]
-    hosts, seen = Counter(r[2] for r in rows), defaultdict(int)
+    form = lambda y: re.sub("[0-9]", "0", re.sub(r"[\x20\x09\x0b-\x0d]+", " ", y.lower())).strip(" ")
+    normal = lambda t: [x for x in map(form, (t or "").split("\n")) if x]
+    seen = defaultdict(int)
     for r in rows:
         for x in set(normal(r[1])):
             seen[r[2], x] += 1
@@ -43,17 +44,19 @@ def brute(rows, min_docs, max_share, max_removed):
         lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
         grams = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
         covered = {i + k for i in range(len(words) - 4) if grams[tuple(words[i : i + 5])] > 1 for k in range(5)}
-        removed = sum(len(x.split(" ")) for x in normal(t) if seen[host, x] > min_docs and seen[host, x] > max_share * hosts[host])
+        common = [x for x in normal(t) if seen[host, x] > max_docs]
+        removed = sum(len(x.split(" ")) for x in common)
+        clean = "\n".join(x for x in (t or "").split("\n") if seen.get((host, form(x)), 0) <= max_docs)
         failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
-        out.append((d, len(words), len(re.sub(space, "", t or "")), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered), failed, removed, not failed and removed <= max_removed * len(words)))
+        out.append((d, len(words), len(re.sub(space, "", t or "")), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered), failed, len(common), removed, not failed and removed <= max_removed * len(words), clean))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limits", [(10, 0.1, 0.8), (3, 0.3, 0.1)])
+@pytest.mark.parametrize("limits", [(10, 0.8), (3, 0.1)])
 def test_line_rules(spark, tmp_path, limits):
     rows = documents()
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "d"))
-    got = line_rules.quality_rules(spark.read.parquet(str(tmp_path / "d")), min_docs=limits[0], max_share=limits[1], max_removed=limits[2])
+    got = line_rules.quality_rules(spark.read.parquet(str(tmp_path / "d")), max_docs=limits[0], max_removed=limits[1])
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     want = brute(rows, *limits)
