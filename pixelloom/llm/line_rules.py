@@ -161,7 +161,7 @@ WITH d AS (
 ), marked AS (
   SELECT l.r, x, pos, l.line, c.line IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.host IS NOT DISTINCT FROM c.host AND l.line = c.line
 ), gone AS (
-  SELECT r, count_if(gone) AS lines, coalesce(sum(len(regexp_extract_all(line, '[^ ]+'))) FILTER (gone), 0) AS n,
+  SELECT r, count_if(gone)::BIGINT AS lines, coalesce(sum(len(regexp_extract_all(line, '[^ ]+'))) FILTER (gone), 0) AS n,
          sha256(coalesce(string_agg(x, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS clean_sha256 FROM marked GROUP BY r
 ), m AS (
   SELECT w.r, doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
