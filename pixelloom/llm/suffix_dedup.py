@@ -8,21 +8,27 @@ anchor) one row is shuffled: the k-gram's hash and the hash of its span, all
 bytes of the windows filed there.
 
 * A k-gram that occurs once: none of its windows is repeated.
-* Occurrences whose spans are equal: all their windows are repeated.
+* Occurrences whose spans are equal: all their windows are repeated. Spans count as
+  equal if two independent 64-bit polynomial hashes of them are.
 * The others, at the ends of repeated passages: one context for each distinct
   span goes to its k-gram's bucket, and there the suffixes that start at equal
   distances from the k-gram are put in order by a mergesort. Two suffixes are
   compared through prefix polynomial hashes: a binary search finds how far they
   agree, so a comparison takes log2(length) steps. Neighbours that agree on
   ``length`` bytes by hash are compared byte by byte before they count.
-* A bucket of more than ``bucket`` contexts (the edge of a passage that very many
-  texts share) is not sorted in one task: its windows are counted by their hash
-  and, for a second opinion, by an independent hash, in ordinary aggregates.
+* A bucket holds ``bucket`` contexts. Those of a k-gram with more (the edge of a
+  passage that very many texts share) are dealt over several; each is sorted, and
+  one window of each of its classes goes on to a second sort, filed there by its
+  hash, so that a class has no more rows than there were buckets.
+
+Joins to the many rows of a hot k-gram broadcast the few hottest keys (see
+``shared.join_side``), so that no task gathers one.
 
 Defined results: null texts count as empty; texts shorter than ``length`` lose
-nothing, and neither does an empty table. Rows are told apart by their place in
-the scan, so repeated rows are copies of each other. Extra columns are kept by
-``remove_repeats`` and may have any name.
+nothing, and neither does an empty table; very long texts are read whole, in
+overlapping pieces. Rows are told apart by their place in the scan, so repeated
+rows are copies of each other. Extra columns are kept by ``remove_repeats`` and may
+have any name.
 """
 
 from __future__ import annotations
@@ -42,27 +48,29 @@ LENGTH = 200
 KGRAM = 48
 #: Window starts that are hashed together; longer texts are cut into such pieces, with an overlap.
 PIECE = 1 << 17
-ODD = 0x9E3779B97F4A7C15
+#: Bases of the two polynomial hashes.
+ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-_held: list[np.ndarray] = []
+_held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """ODD ** i and its inverse modulo 2**64, for i < n; the longest asked for are held."""
-    if not _held or len(_held[0]) < n:
-        _held.clear()
-        for base in (ODD, pow(ODD, -1, 1 << 64)):
-            p = np.full(max(n, 1 << 20), np.uint64(base))
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, up to n; the longest asked for are held."""
+    if which not in _held or len(_held[which][0]) < n:
+        both = []
+        for base in (ODD[which], pow(ODD[which], -1, 1 << 64)):
+            p = np.full(max(n, 1 << 19), np.uint64(base))
             p[0] = 1
-            _held.append(np.multiply.accumulate(p))
-    return _held[0][:n], _held[1][:n]
+            both.append(np.multiply.accumulate(p))
+        _held[which] = (both[0], both[1])
+    return _held[which][0][:n], _held[which][1][:n]
 
 
 @lru_cache
-def _letters() -> np.ndarray:
+def _letters(which: int) -> np.ndarray:
     """A fixed random 64-bit value for each byte."""
-    return np.random.default_rng(20240229).integers(1, 1 << 63, 256).astype(np.uint64) | np.uint64(1)
+    return np.random.default_rng(20240229 + which).integers(1, 1 << 63, 256).astype(np.uint64) | np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,11 +83,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hashed:
     """A byte buffer with prefix polynomial hashes: the hash of any substring in O(1)."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, which: int = 0):
         self.data = data
-        power, self.inverse = _powers(len(data) + 1)
+        power, self.inverse = _powers(len(data) + 1, which)
         self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_letters()[data] * power[:-1], out=self.prefix[1:])
+        np.cumsum(_letters(which)[data] * power[:-1], out=self.prefix[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.prefix[end] - self.prefix[start]) * self.inverse[start]
@@ -111,7 +119,7 @@ def _least_in_window(keys: np.ndarray, w: int) -> np.ndarray:
 
 def anchors_of(data: np.ndarray, text_at: np.ndarray, length: int, kgram: int) -> tuple[np.ndarray, ...]:
     """Anchors of the texts that start at ``text_at`` in ``data`` (its last item is
-    the end): text number, anchor, first and last window start, k-gram and span hash."""
+    the end): text number, anchor, first and last window start, k-gram and two span hashes."""
     w = length - kgram + 1
     hashed = Hashed(data)
     at = np.arange(len(data) - kgram + 1)
@@ -127,8 +135,9 @@ def anchors_of(data: np.ndarray, text_at: np.ndarray, length: int, kgram: int) -
     keep = whole[first]
     first, last = first[keep], last[keep]
     anchor, number = anchor[first], text[first]
-    span = mix(hashed.of(first, last + length) ^ ((anchor - first).astype(np.uint64) << np.uint64(32)) ^ (last - first).astype(np.uint64))
-    return number, anchor, first, last, grams[anchor], span
+    shape = (anchor - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)
+    span, check = (mix(h.of(first, last + length) ^ shape) for h in (hashed, Hashed(data, 1)))
+    return number, anchor, first, last, grams[anchor], span, check
 
 
 def _pieces(texts: Iterator[tuple[int, bytes]], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -160,12 +169,12 @@ def find_anchors(rows: DataFrame, length: int, kgram: int) -> DataFrame:
             texts = zip(batch.column(0).to_pylist(), (x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1).cast(pa.binary())), strict=True)
             for keys, bases, parts in _pieces(texts, length):
                 starts = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-                number, a, first, last, gram, span = anchors_of(np.frombuffer(b"".join(parts), np.uint8), starts, length, kgram)
+                number, a, first, last, gram, span, check = anchors_of(np.frombuffer(b"".join(parts), np.uint8), starts, length, kgram)
                 shift = np.array(bases)[number] - starts[number]
-                cols = [np.array(keys)[number], a + shift, (a - last).astype(np.int16), (a - first).astype(np.int16), gram.view(np.int64), span.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_row", "a", "d0", "d1", "gram", "span"])
+                cols = [np.array(keys)[number], a + shift, (a - last).astype(np.int16), (a - first).astype(np.int16), gram.view(np.int64), span.view(np.int64), check.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_row", "a", "d0", "d1", "gram", "span", "check"])
 
-    return rows.mapInArrow(run, "_row long, a long, d0 short, d1 short, gram long, span long")
+    return rows.mapInArrow(run, "_row long, a long, d0 short, d1 short, gram long, span long, check long")
 
 
 def suffix_order(hashed: Hashed, starts: np.ndarray, bucket: np.ndarray, most: int) -> np.ndarray:
@@ -222,9 +231,10 @@ def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) ->
     return out
 
 
-def repeated_windows(contexts: list[bytes], gram: np.ndarray, d0: np.ndarray, d1: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context and distance of every window that another context of the same k-gram
-    has at the same distance. A context is the text from d1 before its anchor."""
+def window_classes(contexts: list[bytes], gram: np.ndarray, d0: np.ndarray, d1: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Every window of the contexts: context, distance, hash, whether an equal one is at the
+    same distance from the same k-gram, and whether it comes first of those equal to it.
+    A context is the text from d1 before its anchor."""
     sizes = np.array([len(c) for c in contexts])
     at = np.cumsum(sizes) - sizes
     hashed = Hashed(np.frombuffer(b"".join(contexts), np.uint8))
@@ -232,22 +242,23 @@ def repeated_windows(contexts: list[bytes], gram: np.ndarray, d0: np.ndarray, d1
     context = np.repeat(np.arange(len(contexts)), count)
     d = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + d0[context]
     start = at[context] + d1[context] - d
-    # a bucket holds the suffixes at one distance from one k-gram; those alone in theirs go
+    repeated, first = np.zeros(len(d), bool), np.ones(len(d), bool)
+    # a bucket holds the suffixes at one distance from one k-gram; those alone in theirs have no equal
     number = np.unique(gram, return_inverse=True)[1].astype(np.int64)
     bucket = number[context] * 4096 + d
     by = np.argsort(bucket, kind="stable")
     b = bucket[by]
     alone = np.concatenate(([True], b[1:] != b[:-1])) & np.concatenate((b[1:] != b[:-1], [True]))
     by, b = by[~alone], b[~alone]
-    if not len(by):
-        return by, by
-    by = by[suffix_order(hashed, start[by], b, length)]
-    x, y = start[by[:-1]], start[by[1:]]
-    near = np.flatnonzero(bucket[by[:-1]] == bucket[by[1:]])
-    near = near[hashed.of(x[near], x[near] + length) == hashed.of(y[near], y[near] + length)]
-    near = near[_same_bytes(hashed.data, x[near], y[near], length)]
-    hit = np.unique(np.concatenate((by[near], by[near + 1])))
-    return context[hit], d[hit]
+    if len(by):
+        by = by[suffix_order(hashed, start[by], b, length)]
+        x, y = start[by[:-1]], start[by[1:]]
+        near = np.flatnonzero(bucket[by[:-1]] == bucket[by[1:]])
+        near = near[hashed.of(x[near], x[near] + length) == hashed.of(y[near], y[near] + length)]
+        near = near[_same_bytes(hashed.data, x[near], y[near], length)]
+        repeated[by[near]] = repeated[by[near + 1]] = True
+        first[by[near + 1]] = False
+    return context, d, mix(hashed.of(start, start + length)), repeated, first
 
 
 def runs(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,7 +269,9 @@ def runs(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _in_buckets(length: int):
-    """Stream contexts that come sorted by k-gram through ``repeated_windows``."""
+    """Stream contexts that come sorted by bucket through ``window_classes``. A row is a range
+    of repeated windows, or, of k-grams with several buckets, a window that goes on: the
+    first of each class, ``known`` if it is settled already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -266,20 +279,30 @@ def _in_buckets(length: int):
         def settle(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held
             table = pa.Table.from_batches(held)
-            gram = table.column("gram").to_numpy()
-            end = len(gram) if last else int(np.searchsorted(gram, gram[-1])) if len(gram) else 0
+            key = table.column("key").to_numpy()
+            end = len(key) if last else int(np.searchsorted(key, key[-1])) if len(key) else 0
             part, held = table.slice(0, end), table.slice(end).combine_chunks().to_batches()
             if not end:
                 return
-            row, a, d0, d1 = (part.column(c).to_numpy().astype(np.int64) for c in ("_row", "a", "d0", "d1"))
-            context, d = repeated_windows([x.as_py() for x in part.column("bytes")], gram[:end], d0, d1, length)
-            alone = part.column("single").to_numpy()[context]  # the others are known to be repeated
-            context, d = context[alone], d[alone]
-            if len(context):
-                start = a[context] - d
-                by = np.lexsort((start, context))
-                c, first, last_ = runs(context[by], start[by])
-                yield pa.RecordBatch.from_arrays([pa.array(row[c]), pa.array(first), pa.array(last_)], ["_row", "first", "last"])
+            row, a, d0, d1, gram = (part.column(c).to_numpy().astype(np.int64) for c in ("_row", "a", "d0", "d1", "gram"))
+            single, several = part.column("single").to_numpy(), part.column("several").to_numpy()
+            texts = [x.as_py() for x in part.column("bytes")]
+            context, d, h, repeated, first = window_classes(texts, key[:end], d0, d1, length)
+            start = a[context] - d
+            out = np.flatnonzero(repeated & single[context])  # the others are known to be repeated
+            if len(out):
+                by = out[np.lexsort((start[out], context[out]))]
+                c, lo, hi = runs(context[by], start[by])
+                n = len(c)
+                nothing = [pa.nulls(n, t) for t in PLACED.types[3:]]
+                yield pa.RecordBatch.from_arrays([pa.array(row[c]), pa.array(lo), pa.array(hi), *nothing], PLACED.names)
+            on = np.flatnonzero(several[context] & first)
+            for at in range(0, len(on), 20_000):
+                o = on[at : at + 20_000]
+                c = context[o]
+                windows = [texts[i][x - y : x - y + length] for i, x, y in zip(c.tolist(), d1[c].tolist(), d[o].tolist(), strict=True)]
+                cols = [row[c], start[o], start[o], gram[c], d[o].astype(np.int16), h[o].view(np.int64), repeated[o] | ~single[c], windows]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, PLACED.types, strict=True)], PLACED.names)
 
         for batch in batches:
             if batch.num_rows:
@@ -292,6 +315,20 @@ def _in_buckets(length: int):
     return run
 
 
+PLACED = pa.schema([("_row", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("gram", pa.int64()), ("d", pa.int16()), ("h", pa.int64()), ("known", pa.bool_()), ("bytes", pa.binary())])
+PLACED_DDL = "_row long, first long, last long, gram long, d short, h long, known boolean, bytes binary"
+
+
+def across_buckets(placed: DataFrame, length: int) -> DataFrame:
+    """(_row, first, last) of the windows whose equals are in other buckets of their k-gram."""
+    key = F.xxhash64("gram", "d", "h").alias("key")
+    windows = placed.where("bytes is not null").withColumn("key", key)
+    # a key has at most one row for each bucket and class; those with one row have no equal
+    twice = shared.cut(windows.groupBy("key").count().where("count > 1").select("key"), "twice")
+    asked = windows.join(twice, "key").select("_row", F.col("first").alias("a"), F.lit(0).cast("short").alias("d0"), F.lit(0).cast("short").alias("d1"), "gram", (~F.col("known")).alias("single"), F.lit(False).alias("several"), "key", "bytes")
+    return asked.repartition("key").sortWithinPartitions("key").mapInArrow(_in_buckets(length), PLACED_DDL).select("_row", "first", "last")
+
+
 def _packed(rows: DataFrame) -> DataFrame:
     """(_row, blob): the texts as zstandard bytes, for the shuffles."""
 
@@ -322,62 +359,44 @@ def _contexts(length: int):
                 data = _bytes(blob)
                 for x in wanted:
                     a, d0, d1 = x["a"], x["d0"], x["d1"]
-                    out.append((row, a, d0, d1, x["gram"], x["single"], x["hot"], data[a - d1 : a - d0 + length]))
+                    out.append((row, a, d0, d1, x["gram"], x["single"], x["several"], x["key"], data[a - d1 : a - d0 + length]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), CONTEXT.types, strict=True)], CONTEXT.names)
 
     return run
 
 
-CONTEXT = pa.schema([("_row", pa.int64()), ("a", pa.int64()), ("d0", pa.int16()), ("d1", pa.int16()), ("gram", pa.int64()), ("single", pa.bool_()), ("hot", pa.bool_()), ("bytes", pa.binary())])
-CONTEXT_DDL = "_row long, a long, d0 short, d1 short, gram long, single boolean, hot boolean, bytes binary"
-
-
-def _windows(length: int):
-    """Two independent hashes of every window of a hot bucket's contexts."""
+CONTEXT = pa.schema([("_row", pa.int64()), ("a", pa.int64()), ("d0", pa.int16()), ("d1", pa.int16()), ("gram", pa.int64()), ("single", pa.bool_()), ("several", pa.bool_()), ("key", pa.int64()), ("bytes", pa.binary())])
+CONTEXT_DDL = "_row long, a long, d0 short, d1 short, gram long, single boolean, several boolean, key long, bytes binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, a, d0, d1, one = (batch.column(c).to_pylist() for c in ("_row", "a", "d0", "d1", "single"))
-            cols: list[list] = [[] for _ in range(5)]
-            for i, data in enumerate(batch.column("bytes").to_pylist()):
-                for s in range(d1[i] - d0[i] + 1):
-                    digest = hashlib.blake2b(data[s : s + length], digest_size=16).digest()
-                    for c, v in zip(cols, (row[i], a[i] - d1[i] + s, one[i], int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_row", "first", "single", "h", "g"])
-
-    return run
 
-
-def repeated_ranges(rows: DataFrame, length: int = LENGTH, kgram: int = KGRAM, bucket: int = 20_000) -> DataFrame:
+def repeated_ranges(rows: DataFrame, length: int = LENGTH, kgram: int = KGRAM, bucket: int = 5000) -> DataFrame:
     """(_row, first, last): ranges of window starts of ``rows`` (_row long, _text
     string; a stable scan) whose ``length`` bytes also start anywhere else."""
     found = shared.cut(find_anchors(rows, length, kgram), "anchors")
-    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi")).where("n > 1")
-    # written, so that both sides of the join have exchanges and Spark can split a hot k-gram
-    grams = shared.cut(grams.select("gram", (F.col("lo") != F.col("hi")).alias("mixed")), "grams")
-    shown = shared.cut(found.join(grams, "gram"), "repeated")
+    differ = lambda c: F.min(c) != F.max(c)
+    grams = found.groupBy("gram").agg(F.count("*").alias("n"), (differ("span") | differ("check")).alias("mixed")).where("n > 1")
+    # written, so that both sides of the join have exchanges of their own
+    grams = shared.cut(grams, "grams")
+    shown = shared.cut(shared.join_side(found, grams, ["gram"], "n", found.count()).drop("n"), "repeated")
     start = [(F.col("a") - F.col("d1")).alias("first"), (F.col("a") - F.col("d0")).alias("last")]
     ranges = shown.where("not mixed").select("_row", *start)
 
     mixed = shown.where("mixed")
-    spans = mixed.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("_row", "a", "d0", "d1")).alias("one"))
+    spans = mixed.groupBy("gram", "span", "check").agg(F.count("*").alias("n"), F.min(F.struct("_row", "a", "d0", "d1")).alias("one"))
     spans = shared.cut(spans, "spans")
-    again = spans.where("n > 1").select("gram", "span")
-    ranges = ranges.unionByName(mixed.join(again, ["gram", "span"]).select("_row", *start))
+    again = spans.where("n > 1").select("gram", "span", "check", "n")
+    ranges = ranges.unionByName(shared.join_side(mixed, again, ["gram", "span", "check"], "n", mixed.count()).select("_row", *start))
 
     sizes = shared.cut(spans.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1"), "sizes")
-    asked = spans.join(sizes, "gram").select("one.*", "gram", (F.col("n") == 1).alias("single"), (F.col("contexts") > bucket).alias("hot"))
-    wanted = asked.groupBy("_row").agg(F.collect_list(F.struct("a", "d0", "d1", "gram", "single", "hot")).alias("wanted"))  # a text's own anchors
+    dealt = F.pmod(F.xxhash64("one"), F.ceil(F.col("contexts") / bucket))
+    asked = shared.join_side(spans, sizes, ["gram"], "contexts", spans.count())
+    asked = asked.select("one.*", "gram", (F.col("n") == 1).alias("single"), (F.col("contexts") > bucket).alias("several"), F.xxhash64("gram", dealt).alias("key"))
+    wanted = asked.groupBy("_row").agg(F.collect_list(F.struct("a", "d0", "d1", "gram", "single", "several", "key")).alias("wanted"))  # a text's own anchors
     contexts = shared.cut(_packed(rows).join(wanted, "_row").select("_row", "blob", "wanted").mapInArrow(_contexts(length), CONTEXT_DDL), "contexts", "zstd")
-    cool = contexts.where("not hot").repartition("gram").sortWithinPartitions("gram")
-    ranges = ranges.unionByName(cool.mapInArrow(_in_buckets(length), "_row long, first long, last long"))
-    if not contexts.where("hot").isEmpty():
-        windows = shared.cut(contexts.where("hot").mapInArrow(_windows(length), "_row long, first long, single boolean, h long, g long"), "windows", "zstd")
-        twice = shared.cut(windows.groupBy("h", "g").count().where("count > 1").select("h", "g"), "twice")
-        ranges = ranges.unionByName(windows.where("single").join(twice, ["h", "g"]).select("_row", "first", F.col("first").alias("last")))
-    return ranges
+    placed = shared.cut(contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_in_buckets(length), PLACED_DDL), "placed", "zstd")
+    ranges = ranges.unionByName(placed.where("bytes is null").select("_row", "first", "last"))
+    return ranges.unionByName(across_buckets(placed, length))
 
 
 def removed_spans(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -410,7 +429,7 @@ STRIPPED = pa.schema([("_row", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 STRIPPED_DDL = "_row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def strip_repeats(rows: DataFrame, length: int = LENGTH, kgram: int = KGRAM, bucket: int = 20_000) -> DataFrame:
+def strip_repeats(rows: DataFrame, length: int = LENGTH, kgram: int = KGRAM, bucket: int = 5000) -> DataFrame:
     """For each of ``rows`` (_row, _text): byte counts, the hash of what is left,
     and, where anything went, the remaining bytes as ``kept``."""
     ranges = repeated_ranges(rows, length, kgram, bucket)
@@ -418,27 +437,23 @@ def strip_repeats(rows: DataFrame, length: int = LENGTH, kgram: int = KGRAM, buc
     return _packed(rows).join(lists, "_row", "left").select("_row", "blob", "first", "last").mapInArrow(_stripped(length), STRIPPED_DDL)
 
 
-def numbered(docs: DataFrame, text_col: str) -> DataFrame:
-    return shared.with_row(docs).withColumn("_text", F.col(text_col).cast("string"))
-
-
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes gone from ``text_col``; a character that is
     cut in two goes whole. Every row stays, with all its columns."""
-    rows = numbered(docs, text_col)
-    cuts = strip_repeats(rows.select("_row", "_text"), length).where("n_removed > 0").select("_row", "kept")
+    rows = shared.boxed(docs)
+    text = shared.field(text_col).cast("string")
+    cuts = strip_repeats(rows.select("_row", text.alias("_text")), length).where("n_removed > 0").select("_row", "kept")
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [bytes(x).decode("utf-8", "ignore") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], ["_row", "_kept"])
+            texts = [bytes(x).decode("utf-8", "ignore") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_row", "_kept"])
 
     joined = rows.join(cuts.mapInArrow(decoded, "_row long, _kept string"), "_row", "left")
-    return joined.select(*[F.coalesce("_kept", "_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return joined.select(*[F.coalesce("_kept", text).alias(c) if c == text_col else x for c, x in zip(docs.columns, shared.unboxed(docs.columns), strict=True)])
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shared.documents(spark, sf_dir)
-    rows = numbered(docs, "text")
+    rows = shared.with_row(shared.documents(spark, sf_dir).select("doc_id", F.col("text").cast("string").alias("_text")))
     out = strip_repeats(rows.select("_row", "_text")).drop("kept")
     return rows.select("_row", "doc_id").join(out, "_row").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pixelloom.llm import shared
 from pixelloom.llm import suffix_dedup as sd
 
 SCHEMA = "doc_id long, text string, kept string, first string"
@@ -40,13 +41,13 @@ def brute(all_texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "kgram", "bucket", "piece"), [(40, 12, 20_000, 1 << 19), (40, 12, 3, 700), (25, 20, 5, 1 << 19)])
+@pytest.mark.parametrize(("length", "kgram", "bucket", "piece"), [(40, 12, 20_000, 1 << 19), (40, 12, 3, 700), (25, 20, 5, 1 << 19), (40, 12, 1, 1 << 19)])
 def test_repeats(spark, tmp_path, monkeypatch, length, kgram, bucket, piece):
     monkeypatch.setattr(sd, "PIECE", piece)
     rows = [(k, t, "x", None) for k, t in enumerate(texts())]
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
-    keyed = sd.numbered(docs, "text")
+    keyed = shared.with_row(docs.withColumnRenamed("text", "_text"))
     got = sd.strip_repeats(keyed.select("_row", "_text"), length, kgram, bucket)
     got = keyed.select("_row", "doc_id").join(got, "_row").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     want = brute([r[1] for r in rows], length)
