@@ -10,12 +10,19 @@ for each block, to all anchors within 4 (one home and at most five visits), and
 the homes of an anchor are compared with all that came. No link is lost.
 
 An anchor that drew more than ``cell`` fingerprints is dealt out as a grid of
-cells, each a chunk of homes against a chunk of comers. A cell sends on a
-spanning forest of the links that it found, never all pairs of a dense group.
+cells, each a chunk of homes against a chunk of comers, which sends a fingerprint
+to as many cells as there are chunks. Where that would be more than a second step
+sends (``DEEP``), the anchor is split by the same covering over the two other blocks
+instead: one of them has at most half of the differing bits, 2, so the home of one
+fingerprint there is within 3 + 2 bits of the other. What is sent to a crowded
+anchor is thus a constant number of copies, however many fingerprints there are.
+A cell sends on a spanning forest of the links that it found, never all pairs of a
+dense group.
 
 Defined results: null, empty and blank texts have fingerprint zero and are
-linked like any other. Repeated rows share a component. A null id is never the
-component's id unless the component has no other. Extra columns are ignored.
+linked like any other. Very long texts are read whole. Repeated rows share a
+component. A null id is never the component's id unless the component has no
+other. Extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +45,8 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 GOLAY = 0b110001110101
 RADIUS = 3  # the code's covering radius
 MAX_BITS = 5  # three blocks, one differing bit each, and two more would need a second bit in each
+#: Copies of a fingerprint that a second covering step sends, on average: two blocks, 22 anchors each.
+DEEP = 44
 
 
 def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -78,9 +87,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 @lru_cache
-def _golay() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _golay(reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Syndromes of the low 12 and the high 11 bits, and for each syndrome the
-    error patterns of weight <= RADIUS + 1 (first the coset leader) and their count."""
+    error patterns of weight <= ``reach`` (first the coset leader) and their count."""
 
     def syndrome(x: int) -> int:
         for bit in range(22, 10, -1):
@@ -91,7 +100,7 @@ def _golay() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     low = np.array([syndrome(x) for x in range(1 << 12)], np.int64)
     high = np.array([syndrome(x << 12) for x in range(1 << 11)], np.int64)
     found: list[list[int]] = [[] for _ in range(1 << 11)]
-    for weight in range(RADIUS + 2):
+    for weight in range(reach + 1):
         for bits in combinations(range(23), weight):
             e = sum(1 << b for b in bits)
             found[low[e & 0xFFF] ^ high[e >> 12]].append(e)
@@ -100,9 +109,9 @@ def _golay() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return low, high, table, np.array([len(x) for x in found], np.int64)
 
 
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index into fps, anchor number, is home) of every visit."""
-    low, high, table, count = _golay()
+def anchors(fps: np.ndarray, reach: int = RADIUS + 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into fps, anchor number, is home) of every visit to an anchor within ``reach``."""
+    low, high, table, count = _golay(reach)
     index, number, home = [], [], []
     for k, (at, width) in enumerate(BLOCKS):
         x = ((fps >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
@@ -142,7 +151,7 @@ def _links(fps: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int) -> l
     return out
 
 
-def link_forest(distinct: DataFrame, bits: int = 4, cell: int = 20_000) -> DataFrame:
+def link_forest(distinct: DataFrame, bits: int = 4, cell: int = 20_000, deepest: int = DEEP) -> DataFrame:
     """Edges (a, b) that join all linked fingerprints of ``distinct`` (fp long)."""
     if not 0 <= bits <= MAX_BITS:
         raise ValueError(f"the covering holds for 0 to {MAX_BITS} bits")
@@ -154,11 +163,31 @@ def link_forest(distinct: DataFrame, bits: int = 4, cell: int = 20_000) -> DataF
             index, number, home = anchors(fps)
             yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), pa.array(home), pa.array(fps[index].view(np.int64))], ["anchor", "home", "fp"])
 
-    visits = distinct.select("fp").mapInArrow(visit, "anchor int, home boolean, fp long")
+    visits = shared.cut(distinct.select("fp").mapInArrow(visit, "anchor int, home boolean, fp long"), "visits")
     # 3 * 4096 anchors whatever the input: their counts fit anywhere
-    counts = visits.groupBy("anchor").count().where(F.col("count") > cell)
-    grid = spark.createDataFrame([(r.anchor, -(-r["count"] // cell)) for r in counts.collect()], "anchor int, k int")
-    dealt = visits.join(F.broadcast(grid), "anchor", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    counts = {r.anchor: r["count"] for r in visits.groupBy("anchor").count().where(F.col("count") > cell).collect()}
+    deep = spark.createDataFrame([(a,) for a, n in counts.items() if n > deepest * cell], "anchor int")
+
+    def visit_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                first, fps = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+                index, number, home = anchors(fps, RADIUS + MAX_BITS // 2)
+                other = first[index] >> 12 != number >> 12
+                index, number, home = index[other], number[other], home[other]
+                path = first[index].astype(np.int64) << 14 | number
+                yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(home & batch.column(1).to_numpy(zero_copy_only=False)[index]), pa.array(fps[index].view(np.int64))], ["anchor", "home", "fp"])
+
+    plain = visits.join(F.broadcast(deep), "anchor", "left_anti").select((F.col("anchor") - (1 << 14)).cast("long").alias("anchor"), "home", "fp")  # below all paths
+    if any(n > deepest * cell for n in counts.values()):
+        again = visits.join(F.broadcast(deep), "anchor", "left_semi").select("anchor", "home", "fp").mapInArrow(visit_again, "anchor long, home boolean, fp long")
+        plain = shared.cut(plain.unionByName(again), "visits-again")
+        # 12,288 anchors have 8,192 below them at most, and only those with more than a cell are asked for
+        grid = shared.cut(plain.groupBy("anchor").count().where(F.col("count") > cell).select("anchor", F.ceil(F.col("count") / cell).cast("int").alias("k")), "grid")
+    else:
+        grid = F.broadcast(spark.createDataFrame([(a - (1 << 14), -(-n // cell)) for a, n in counts.items()], "anchor long, k int"))
+    dealt = plain.join(grid, "anchor", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     chunk = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
     every = F.sequence(F.lit(0), F.col("k") - 1)
     # as comer to every row of the grid; as home also to every column; once where both meet
@@ -200,11 +229,11 @@ def link_forest(distinct: DataFrame, bits: int = 4, cell: int = 20_000) -> DataF
     return cells.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4, cell: int = 20_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4, cell: int = 20_000, deepest: int = DEEP) -> DataFrame:
     """(id, fingerprint, component_id), one row for each row of ``docs``."""
     fps = shared.cut(fingerprints(docs, id_col, text_col, words), "fingerprints")
     distinct = shared.cut(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
-    roots = components(link_forest(distinct, bits, cell), "links").select(F.col("node").alias("fp"), "root")
+    roots = components(link_forest(distinct, bits, cell, deepest), "links").select(F.col("node").alias("fp"), "root")
     placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("size")).where("size > 1")
     # only fingerprints of groups; written, so that Spark can split the documents of a hot one

@@ -91,12 +91,12 @@ def brute_components(ids, fps, bits):
     return [least.get(find(i)) for i in range(len(ids))]
 
 
-@pytest.mark.parametrize(("bits", "cell"), [(4, 20_000), (4, 20), (1, 7)])
-def test_simhash(spark, bits, cell):
+@pytest.mark.parametrize(("bits", "cell", "deepest"), [(4, 20_000, 44), (4, 20, 44), (1, 7, 44), (5, 3, 1)])
+def test_simhash(spark, bits, cell, deepest):
     rows = hard_rows()
     fps = [brute_fingerprint(r[1], 4) for r in rows]
     want = [(r[0], f"{f:016x}", c) for r, f, c in zip(rows, fps, brute_components([r[0] for r in rows], fps, bits), strict=True)]
-    got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), bits=bits, cell=cell).collect()
+    got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), bits=bits, cell=cell, deepest=deepest).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert len({w[2] for w in want}) < len(want) - 15
 
