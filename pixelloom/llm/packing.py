@@ -18,9 +18,13 @@ The last window may be short; it is split into sequences at powers of two, so
 that nothing is padded at all.
 
 Defined results: a null text is an empty document of one end token. A null
-source is a source of its own. Sources with too few tokens for one token in
-each window share a queue. Repeated rows are packed each by itself. Further
-columns are ignored. An empty table gives no pieces.
+source is a source of its own. By default every source with at least one token for
+each window has a queue, and the smaller ones, whose target rounds to nothing in a
+window, share one. With ``targets`` every source that is named has a queue, whatever
+its size, and is due at least a token in each window; the sources without a target
+share a queue that is served when the others are dry. Very long texts are cut at
+windows like any other. Repeated rows are packed each by itself. Further columns are
+ignored, whatever their names. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -195,6 +199,15 @@ def sum_before(phase: Phase, q: int, v0: int, v1: int) -> int:
     return v1 * phase.upto[q] // phase.total - v0 * phase.upto[q] // phase.total
 
 
+def at_least_one(weights: list[float], window: int) -> list[float]:
+    """Weights raised so that each queue has a token in every window; none has a target of
+    nothing or less."""
+    if len(weights) > window // 2:
+        raise ValueError("more targets than half the tokens of a window")
+    total = sum(max(0.0, w) for w in weights)
+    return [max(w, 2 * total / window) if total else 1.0 for w in weights]
+
+
 def schedule(totals: list[int], weights: list[float] | None, window: int) -> list[Phase]:
     """Phases that use up all queues. Each but the last covers whole windows."""
     left, phases, at = list(totals), [], 0
@@ -207,8 +220,8 @@ def schedule(totals: list[int], weights: list[float] | None, window: int) -> lis
         n = min(int(r / (s * window)) for r, s in zip(left, share, strict=True) if s)
         size = max(1, n) * window
         parts = [min(r, int(s * size)) for r, s in zip(left, share, strict=True)]
-        # rounding, and what dry queues can't give, falls to the queues with the most left
-        for q in sorted(range(len(left)), key=lambda q: parts[q] - left[q]):
+        # rounding, and what dry queues can't give, falls to the queues with the most left, those without a target last
+        for q in sorted(range(len(left)), key=lambda q: (not share[q], parts[q] - left[q])):
             parts[q] += min(left[q] - parts[q], size - sum(parts))
         phases.append(Phase(at, parts))
         at += sum(parts)
@@ -233,24 +246,29 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     ids_crc32, doc_tokens, sequence_id, offset."""
     tokens = shared.cut(tokenise(docs, id_col, text_col, source_col, tokenizer or default_tokenizer()), "tokens", "zstd")
     sums = shared.cut(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "sums")
-    totals = {r.source: r.n for r in sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(window // 4).collect()}
     count = sums.agg(F.sum("n").alias("n")).first().n or 0
     if count == 0:
         return tokens.sparkSession.createDataFrame([], PIECE_DDL)
-    # queues: at most window/4 sources with enough for a token in each window; the rest share one
-    least = 0 if targets is not None else -(-count // window)
-    own = sorted((s for s, n in totals.items() if n >= least), key=lambda s: (s is not None, s or ""))
-    rest = count - sum(totals[s] for s in own)
-    while own and 0 < rest < least:
-        own.remove(small := min(own, key=lambda s: totals[s]))
-        rest += totals[small]
+    by_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
+    if targets is None:
+        # a queue for each source with enough for a token in each window: at most ``window`` of them
+        least = -(-count // window)
+        totals = {r.source: r.n for r in by_source.where(F.col("n") >= least).collect()}
+        rest = count - sum(totals.values())
+        while totals and 0 < rest < least:
+            rest += totals.pop(min(totals, key=lambda s: totals[s]))
+    else:
+        named = F.col("source").isin([s for s in targets if s is not None])
+        totals = {r.source: r.n for r in by_source.where(named | F.col("source").isNull() if None in targets else named).collect()}
+        rest = count - sum(totals.values())
+    own = sorted(totals, key=lambda s: (s is not None, s or ""))
     queue = {s: q for q, s in enumerate(own)}
     sizes = [totals[s] for s in own] + [rest]
-    weights = None if targets is None else [float(targets.get(s, 0)) for s in own] + [0.0]
+    weights = None if targets is None else [*at_least_one([float(targets[s]) for s in own], window), 0.0]
     phases = schedule(sizes, weights, window)
 
     spark = tokens.sparkSession
-    known = spark.createDataFrame([(s, q) for s, q in queue.items()] or [(None, -1)], "source string, queue int")
+    known = spark.createDataFrame(list(queue.items()), "source string, queue int")
     # a tail queue holds many sources: its order is (partition, source), so all are summed by queue
     placed = sums.join(F.broadcast(known), sums.source.eqNullSafe(known.source), "left").select(sums.source, "part", "n", F.coalesce("queue", F.lit(len(own))).alias("queue"))
     by_part = placed.groupBy("queue", "part").agg(F.sum("n").alias("n"))  # one row for each queue and partition

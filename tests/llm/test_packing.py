@@ -64,6 +64,43 @@ def test_pack(spark, window, targets):
         assert all(abs(x - window * 0.75) <= 2 for x in part)
 
 
+def placed(spark, data, **options):
+    """Pieces by sequence, checked for gaps and for all tokens."""
+    got = packing.pack(spark.createDataFrame(data, SCHEMA).repartition(3), **options).collect()
+    assert sum(p.length for p in got) == sum(len(ids_of(r[1])) for r in data)
+    sequences = defaultdict(list)
+    for p in got:
+        sequences[p.sequence_id].append(p)
+    for pieces in sequences.values():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+    return sequences
+
+
+def test_many_sources(spark):
+    rng = random.Random(7)
+    data = [(i, " ".join(rng.choices(["red", "green", "blue"], k=rng.randint(0, 30))), f"s{rng.randint(0, 900)}" if i % 3 else "hot", 0) for i in range(2500)]
+    data += [(5000, "one two", None, 0)]
+    sequences = placed(spark, data, window=64)
+    sizes = defaultdict(int)
+    for r in data:
+        sizes[r[2]] += len(ids_of(r[1]))
+    total = sum(sizes.values())
+    large = [s for s, n in sizes.items() if n * 64 >= 2 * total]
+    assert "hot" in large
+    for s in range(total // 64):
+        for source in large:
+            assert abs(sum(p.length for p in sequences[s] if p.source == source) - 64 * sizes[source] / total) <= 2
+    # the smallest sources have their targets too, and the null one
+    small = sorted((s for s in sizes if s), key=lambda s: sizes[s])[:3]
+    sequences = placed(spark, data, window=64, targets={**{s: 1.0 for s in small}, None: 1.0, "hot": 12.0, "nobody": 3.0})
+    first = {p.source for p in sequences[0]}
+    assert first == {*small, None, "hot"}
+    assert sum(p.length for p in sequences[0] if p.source == "hot") >= 46
+
+
 def test_pack_empty(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
 
