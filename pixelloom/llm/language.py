@@ -217,8 +217,10 @@ def fit(labelled: DataFrame, order: int = ORDER, sample: int = 2000) -> Model:
 def identify(texts: DataFrame, model: Model) -> DataFrame:
     """``texts`` (id, text and more) with lang_pred and score in place of text."""
     shared_model = texts.sparkSession.sparkContext.broadcast(model)  # bounded by the sample, order and languages
-    texts = texts.select(*[F.col(f"`{c}`") for c in texts.columns if c not in ADDED])
-    keep = [c for c in texts.columns if c != "text"]
+    own = [c for c in texts.columns if c not in (*ADDED, "text")]
+    # by number, as names may be any
+    texts = texts.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], "text")
+    keep = texts.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared_model.value
@@ -236,8 +238,8 @@ def identify(texts: DataFrame, model: Model) -> DataFrame:
                         pred[i], score[i] = m.langs[b], p
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-    schema = StructType([*[f for f in texts.schema if f.name != "text"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return texts.mapInArrow(run, schema)
+    schema = StructType([*texts.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return texts.mapInArrow(run, schema).toDF(*own, *ADDED)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,14 +52,14 @@ def intervals(entries: DataFrame) -> DataFrame:
 def temporal_filter(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """``captures`` with host, blocked, rule (the domain) and rule_since. ``captures``
     must be a stable scan."""
-    keyed = shared.with_row(captures).withColumn("_host", host_of(F.col(url_col).cast("string")))
-    asked = keyed.where(F.col("_host").isNotNull() & F.col(time_col).isNotNull())
-    asked = asked.select("_row", F.col(time_col).alias("_at"), F.explode(domains_of(F.col("_host"))).alias("domain"))
+    keyed = shared.boxed(captures).withColumn("_host", host_of(shared.field(url_col).cast("string")))
+    asked = keyed.where(F.col("_host").isNotNull() & shared.field(time_col).isNotNull())
+    asked = asked.select("_row", shared.field(time_col).alias("_at"), F.explode(domains_of(F.col("_host"))).alias("domain"))
     active = shared.cut(intervals(entries), "intervals")
     hits = asked.join(active, "domain").where("since <= _at and (until is null or _at < until)")
     best = hits.groupBy("_row").agg(F.max(F.struct(F.length("domain").alias("n"), F.col("domain"), F.col("since"))).alias("_best"))
     return keyed.join(best, "_row", "left").select(
-        *[F.col(f"`{c}`") for c in captures.columns if c not in ADDED],
+        *shared.unboxed(captures.columns, ADDED),
         F.col("_host").alias("host"),
         F.col("_best").isNotNull().alias("blocked"),
         F.col("_best.domain").alias("rule"),
@@ -77,10 +77,10 @@ def sample_entries(captures: DataFrame) -> DataFrame:
     domains = captures.select(F.explode(domains_of(host_of(F.col("url")))).alias("domain")).distinct()
     keyed = domains.withColumn("k", F.conv(F.substring(F.md5("domain"), 1, 6), 16, 10).cast("long")).where("k % 3 = 0")
     day = lambda n: F.timestamp_seconds(1704067200 + 86400 * n)
-    added = keyed.select("domain", F.lit("add").alias("action"), day(F.col("k") % 200).alias("since"))
-    removed = keyed.where("k % 2 = 0").select("domain", F.lit("remove"), day(F.col("k") % 200 + 30 + F.col("k") % 61))
-    again = keyed.where("k % 4 = 0").select("domain", F.lit("add"), day(F.col("k") % 200 + 120))
-    return added.union(removed).union(again)
+    entry = lambda action, since: F.struct(F.lit(action).alias("action"), day(since).alias("since"))
+    k = F.col("k")
+    dated = F.array(entry("add", k % 200), F.when(k % 2 == 0, entry("remove", k % 200 + 30 + k % 61)), F.when(k % 4 == 0, entry("add", k % 200 + 120)))
+    return keyed.select("domain", F.explode(F.filter(dated, lambda e: e.isNotNull())).alias("e")).select("domain", "e.action", "e.since")
 
 
 def op8_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

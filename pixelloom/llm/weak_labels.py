@@ -9,12 +9,15 @@ judges every text, whether the labellers spoke or not.
 
 The vote patterns are counted over all rows (at most 3 ** labellers patterns reach
 the driver). The scorer is fitted by Spark's logistic regression on about ``sample``
-rows, drawn by a hash of text and row; the bound is a parameter. All rows are scored.
+texts, drawn by a hash of the text alone and each taken once, however often it is
+repeated, so the draw is the same on every cluster; the bound is a parameter. All
+rows are scored.
 
 Defined results: a text without words (null, empty, blank) is rejected with
-score 0. Repeated texts get equal scores. If there is nothing to learn from, or
-only one kind of text, the posterior alone decides. Columns named like the added
-ones (``score``, ``kept``) are replaced; others stay.
+score 0. Very long texts are read whole. Repeated texts get equal scores. If there is
+nothing to learn from, or only one kind of text, the posterior alone decides. Columns
+named like the added ones (``score``, ``kept``) are replaced; others stay, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -90,8 +93,8 @@ def measured(rows: DataFrame) -> DataFrame:
     )
 
 
-def prepared(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def prepared(docs: DataFrame, text: Column) -> DataFrame:
+    text = F.coalesce(text.cast("string"), F.lit(""))
     return docs.withColumn("_text", text).withColumn("_words", F.filter(F.split("_text", f"{shared.SPACE}+"), lambda w: w != "")).withColumn("_n", F.size("_words"))
 
 
@@ -169,8 +172,8 @@ def fit_scorer(drawn: DataFrame) -> LogisticRegressionModel | None:
 
 def weak_label_quality(docs: DataFrame, text_col: str = "text", sample: int = 8000, bits: int = 14, threshold: float = 0.5, false_alarm: float = STRICT) -> DataFrame:
     """``docs`` with score (of the linear scorer, 0 to 1) and kept."""
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED])
-    rows = prepared(base, text_col)
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    rows = prepared(boxed, shared.field(text_col))
     voters = labellers()
     votes = F.concat(*[f() for f in voters.values()])
     counted = measured(rows).where("_n > 0").select(votes.alias("votes")).groupBy("votes").count()
@@ -178,9 +181,9 @@ def weak_label_quality(docs: DataFrame, text_col: str = "text", sample: int = 80
     model = LabelModel(len(voters), false_alarm).fit(patterns)
     total = sum(patterns.values())
     rate = F.lit(int(min(1.0, sample / max(1, total)) * (1 << 30)))
-    # by text and row: of a text that a third of the rows repeat, no larger part is drawn than of others
-    keyed = prepared(shared.with_row(base), text_col).withColumn("_draw", F.pmod(F.xxhash64("_text", "_row"), F.lit(1 << 30)))
-    drawn = measured(keyed.where((F.col("_draw") < rate) & (F.col("_n") > 0)))
+    texts = boxed.select(F.coalesce(shared.field(text_col).cast("string"), F.lit("")).alias("text"))
+    once = shared.cut(texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < rate).distinct(), "drawn")
+    drawn = measured(prepared(once, F.col("text")).where("_n > 0"))
     drawn = shared.cut(features(drawn.withColumn("_p", model.column(votes)), bits).select("_x", "_p"), "training")
     scorer = fit_scorer(drawn)
     if scorer is None:
@@ -188,7 +191,7 @@ def weak_label_quality(docs: DataFrame, text_col: str = "text", sample: int = 80
     else:
         scorer = scorer.setFeaturesCol("_x").setProbabilityCol("_prob").setPredictionCol("_pred").setRawPredictionCol("_raw")
         judged = scorer.transform(features(rows, bits)).withColumn("score", F.when(F.col("_n") > 0, vector_to_array("_prob")[1]).otherwise(0.0))
-    return judged.select(*[F.col(f"`{c}`") for c in base.columns], "score", (F.col("score") >= threshold).alias("kept"))
+    return judged.select(*shared.unboxed(docs.columns, ADDED), "score", (F.col("score") >= threshold).alias("kept"))
 
 
 def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
