@@ -16,8 +16,9 @@ Defined results: a null payload is empty. Payloads under ``least`` bytes are
 always responses. A page id that occurs twice with the winning payload is
 written as a response both times. Records without a page id rank below all
 others; where no record of a group has one, all are responses. URLs are
-percent-encoded where they could break a header; a null URL has no header.
-Further columns are ignored.
+percent-encoded where they could break a header; a null URL has no header. Very
+long payloads are written whole, one to a file. Further columns are ignored,
+whatever their names. An empty table gives archives without records.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ from . import shared
 LEAST = 1000
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records in one archive file, so that readers hold a bounded part.
-RECORDS = 2000
+#: Payload bytes up to which so many records go to one archive file: none but a single
+#: record has more than 128 MiB of payloads, so readers hold a bounded part.
+SIZES = ((1 << 16, 2048), (1 << 20, 128), (1 << 24, 8), (1 << 62, 1))
 
 
 def headers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -71,9 +73,18 @@ def _record_id(page_id: Column, digest: Column) -> Column:
 
 
 def write_archives(records: DataFrame, path: str, least: int = LEAST, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write every record, deduplicated, under fresh headers."""
+    """Write every record, deduplicated, under fresh headers; large records in files of their own."""
+    largest, low = records.agg(F.max("payload_bytes")).first()[0] or 0, -1
+    for k, (high, most) in enumerate(SIZES):
+        if low < largest:
+            part = records.where((F.col("payload_bytes") > low) & (F.col("payload_bytes") <= high))  # equal payloads are of one size
+            _write(part, revisits(part, least), f"{path}/size-{k}", most, date)
+        low = high
+
+
+def _write(records: DataFrame, again_: DataFrame, path: str, most: int, date: str) -> None:
     decided = records.alias("r").join(
-        revisits(records, least).alias("v"),
+        again_.alias("v"),
         (F.col("r.page_id") == F.col("v.page_id")) & (F.col("r.payload_digest") == F.col("v.payload_digest")),
         "left",
     )
@@ -96,7 +107,7 @@ def write_archives(records: DataFrame, path: str, least: int = LEAST, date: str
         block,
         F.lit(CRLF),
     )
-    decided.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", CRLF).option("maxRecordsPerFile", RECORDS).text(path)
+    decided.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", CRLF).option("maxRecordsPerFile", most).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -137,7 +148,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(run, READ)
 
 

@@ -30,7 +30,7 @@ def brute(data):
 
 
 def test_revisits(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "RECORDS", 4)
+    monkeypatch.setattr(warc, "SIZES", ((1 << 10, 4), (1 << 16, 2), (1 << 62, 1)))
     data = rows()
     path = str(tmp_path / "w")
     warc.write_archives(warc.headers(spark.createDataFrame(data, SCHEMA).repartition(3)), path)
@@ -40,7 +40,7 @@ def test_revisits(spark, tmp_path, monkeypatch):
     assert records.where("record_type = 'revisit' and payload is not null").count() == 0
     got = warc.resolve(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
     assert sorted(map(tuple, got), key=repr) == brute(data)
-    files = list(Path(path).glob("part-*.gz"))
+    files = list(Path(path).rglob("part-*.gz"))
     assert len(files) > 3
     assert sum(len(list(warc.parse(gzip.decompress(f.read_bytes())))) for f in files) == len(data)
 
