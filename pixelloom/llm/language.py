@@ -85,7 +85,7 @@ def count_contexts(texts: DataFrame, order: int) -> DataFrame:
                         gram, n = np.unique(_grams(data, own, k), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(np.full(len(gram), k, np.int32)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "k", "gram", "n"])
 
-    parts = texts.mapInArrow(run, "lang string, k int, gram long, n long")
+    parts = texts.mapInArrow(shared.lean(run), "lang string, k int, gram long, n long")
     return parts.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -239,7 +239,7 @@ def identify(texts: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
     schema = StructType([*texts.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return texts.mapInArrow(run, schema).toDF(*own, *ADDED)
+    return texts.mapInArrow(shared.lean(run), schema).toDF(*own, *ADDED)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

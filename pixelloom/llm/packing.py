@@ -161,7 +161,7 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str, source_col: str, token
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
-    return rows.mapInArrow(run, "doc_id long, source string, part int, before long, n long, ids binary")
+    return rows.mapInArrow(shared.lean(run), "doc_id long, source string, part int, before long, n long, ids binary")
 
 
 class Phase:
@@ -302,7 +302,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, PIECES.types, strict=True)], PIECES.names)
 
     joined = tokens.join(bases, tokens.source.eqNullSafe(bases.s) & (tokens.part == bases.p))
-    return joined.select("doc_id", "source", "queue", (F.col("base") + F.col("before")).alias("x"), "ids").mapInArrow(run, PIECE_DDL)
+    return joined.select("doc_id", "source", "queue", (F.col("base") + F.col("before")).alias("x"), "ids").mapInArrow(shared.lean(run), PIECE_DDL)
 
 
 PIECE_DDL = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -418,7 +418,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(shared.lean(run), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decoded(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str | None = None) -> DataFrame:
@@ -430,7 +430,7 @@ def decoded(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model
             ids = [np.asarray(x or [], "<u4").tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decode(load(path), ids), pa.string())], ["id", "text"])
 
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>")).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>")).mapInArrow(shared.lean(run), "id long, text string").withColumnRenamed("id", id_col)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,4 +451,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                 )
 
     docs = shared.documents(spark, sf_dir).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return docs.mapInArrow(shared.lean(run), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")

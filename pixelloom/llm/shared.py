@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..store import cut, delete, folder, fresh_path, scope
 
-__all__ = ["NOT_SPACE", "SPACE", "boxed", "cut", "delete", "documents", "field", "folder", "fresh_path", "join_side", "scope", "unboxed", "with_row"]
+__all__ = ["NOT_SPACE", "SPACE", "boxed", "cut", "delete", "documents", "field", "folder", "fresh_path", "join_side", "lean", "scope", "unboxed", "with_row"]
 
 #: Whitespace of every contract: the space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]"
@@ -56,3 +58,18 @@ def join_side(rows: DataFrame, side: DataFrame, keys: list[str], n: str, total:
     hot = F.broadcast(side.where(F.col(n) * heavy > total))
     cool = side.where(F.col(n) * heavy <= total)
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cool, keys))
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for ``mapInArrow``, after which the worker gives back the memory it has freed:
+    workers wait for their next task beside those that run, and would hold on to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run

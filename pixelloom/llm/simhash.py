@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(shared.lean(run), "id long, fp long")
 
 
 @lru_cache
@@ -163,7 +163,7 @@ def link_forest(distinct: DataFrame, bits: int = 4, cell: int = 20_000, deepest:
             index, number, home = anchors(fps)
             yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), pa.array(home), pa.array(fps[index].view(np.int64))], ["anchor", "home", "fp"])
 
-    visits = shared.cut(distinct.select("fp").mapInArrow(visit, "anchor int, home boolean, fp long"), "visits")
+    visits = shared.cut(distinct.select("fp").mapInArrow(shared.lean(visit), "anchor int, home boolean, fp long"), "visits")
     # 3 * 4096 anchors whatever the input: their counts fit anywhere
     counts = {r.anchor: r["count"] for r in visits.groupBy("anchor").count().where(F.col("count") > cell).collect()}
     deep = spark.createDataFrame([(a,) for a, n in counts.items() if n > deepest * cell], "anchor int")
@@ -181,7 +181,7 @@ def link_forest(distinct: DataFrame, bits: int = 4, cell: int = 20_000, deepest:
 
     plain = visits.join(F.broadcast(deep), "anchor", "left_anti").select((F.col("anchor") - (1 << 14)).cast("long").alias("anchor"), "home", "fp")  # below all paths
     if any(n > deepest * cell for n in counts.values()):
-        again = visits.join(F.broadcast(deep), "anchor", "left_semi").select("anchor", "home", "fp").mapInArrow(visit_again, "anchor long, home boolean, fp long")
+        again = visits.join(F.broadcast(deep), "anchor", "left_semi").select("anchor", "home", "fp").mapInArrow(shared.lean(visit_again), "anchor long, home boolean, fp long")
         plain = shared.cut(plain.unionByName(again), "visits-again")
         # 12,288 anchors have 8,192 below them at most, and only those with more than a cell are asked for
         grid = shared.cut(plain.groupBy("anchor").count().where(F.col("count") > cell).select("anchor", F.ceil(F.col("count") / cell).cast("int").alias("k")), "grid")
@@ -226,7 +226,7 @@ def link_forest(distinct: DataFrame, bits: int = 4, cell: int = 20_000, deepest:
                 yield from settle(False)
         yield from settle(True)
 
-    return cells.mapInArrow(compare, "a long, b long")
+    return cells.mapInArrow(shared.lean(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4, cell: int = 20_000, deepest: int = DEEP) -> DataFrame:

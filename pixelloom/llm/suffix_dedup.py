@@ -174,7 +174,7 @@ def find_anchors(rows: DataFrame, length: int, kgram: int) -> DataFrame:
                 cols = [np.array(keys)[number], a + shift, (a - last).astype(np.int16), (a - first).astype(np.int16), gram.view(np.int64), span.view(np.int64), check.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_row", "a", "d0", "d1", "gram", "span", "check"])
 
-    return rows.mapInArrow(run, "_row long, a long, d0 short, d1 short, gram long, span long, check long")
+    return rows.mapInArrow(shared.lean(run), "_row long, a long, d0 short, d1 short, gram long, span long, check long")
 
 
 def suffix_order(hashed: Hashed, starts: np.ndarray, bucket: np.ndarray, most: int) -> np.ndarray:
@@ -326,7 +326,7 @@ def across_buckets(placed: DataFrame, length: int) -> DataFrame:
     # a key has at most one row for each bucket and class; those with one row have no equal
     twice = shared.cut(windows.groupBy("key").count().where("count > 1").select("key"), "twice")
     asked = windows.join(twice, "key").select("_row", F.col("first").alias("a"), F.lit(0).cast("short").alias("d0"), F.lit(0).cast("short").alias("d1"), "gram", (~F.col("known")).alias("single"), F.lit(False).alias("several"), "key", "bytes")
-    return asked.repartition("key").sortWithinPartitions("key").mapInArrow(_in_buckets(length), PLACED_DDL).select("_row", "first", "last")
+    return asked.repartition("key").sortWithinPartitions("key").mapInArrow(shared.lean(_in_buckets(length)), PLACED_DDL).select("_row", "first", "last")
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -340,7 +340,7 @@ def _packed(rows: DataFrame) -> DataFrame:
             blobs = [pack(x.as_buffer()) if x.is_valid else None for x in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["_row", "blob"])
 
-    return rows.mapInArrow(run, "_row long, blob binary")
+    return rows.mapInArrow(shared.lean(run), "_row long, blob binary")
 
 
 def _bytes(blob) -> bytes:
@@ -393,8 +393,8 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, kgram: int = KGRAM, b
     asked = shared.join_side(spans, sizes, ["gram"], "contexts", spans.count())
     asked = asked.select("one.*", "gram", (F.col("n") == 1).alias("single"), (F.col("contexts") > bucket).alias("several"), F.xxhash64("gram", dealt).alias("key"))
     wanted = asked.groupBy("_row").agg(F.collect_list(F.struct("a", "d0", "d1", "gram", "single", "several", "key")).alias("wanted"))  # a text's own anchors
-    contexts = shared.cut(_packed(rows).join(wanted, "_row").select("_row", "blob", "wanted").mapInArrow(_contexts(length), CONTEXT_DDL), "contexts", "zstd")
-    placed = shared.cut(contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_in_buckets(length), PLACED_DDL), "placed", "zstd")
+    contexts = shared.cut(_packed(rows).join(wanted, "_row").select("_row", "blob", "wanted").mapInArrow(shared.lean(_contexts(length)), CONTEXT_DDL), "contexts", "zstd")
+    placed = shared.cut(contexts.repartition("key").sortWithinPartitions("key").mapInArrow(shared.lean(_in_buckets(length)), PLACED_DDL), "placed", "zstd")
     ranges = ranges.unionByName(placed.where("bytes is null").select("_row", "first", "last"))
     return ranges.unionByName(across_buckets(placed, length))
 
@@ -434,7 +434,7 @@ def strip_repeats(rows: DataFrame, length: int = LENGTH, kgram: int = KGRAM, buc
     and, where anything went, the remaining bytes as ``kept``."""
     ranges = repeated_ranges(rows, length, kgram, bucket)
     lists = ranges.groupBy("_row").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))  # a text's own ranges
-    return _packed(rows).join(lists, "_row", "left").select("_row", "blob", "first", "last").mapInArrow(_stripped(length), STRIPPED_DDL)
+    return _packed(rows).join(lists, "_row", "left").select("_row", "blob", "first", "last").mapInArrow(shared.lean(_stripped(length)), STRIPPED_DDL)
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -449,7 +449,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
             texts = [bytes(x).decode("utf-8", "ignore") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_row", "_kept"])
 
-    joined = rows.join(cuts.mapInArrow(decoded, "_row long, _kept string"), "_row", "left")
+    joined = rows.join(cuts.mapInArrow(shared.lean(decoded), "_row long, _kept string"), "_row", "left")
     return joined.select(*[F.coalesce("_kept", text).alias(c) if c == text_col else x for c, x in zip(docs.columns, shared.unboxed(docs.columns), strict=True)])
 
 
