@@ -49,7 +49,7 @@ WINDOW = 4096
 END = 2
 #: Parts of words whose ids a worker remembers before it starts anew; it still knows
 #: those of the time before, so frequent ones are never learned again.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 @lru_cache
