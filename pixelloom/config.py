@@ -16,6 +16,14 @@ class Config:
     water_threshold: float = 0.45
     seed_support: float = 0.85
     seed_share: float = 0.02
+    scene_clusters: int = 6
+    scene_samples: int = 20_000
+    scene_primary_share: float = 0.20
+    scene_lightness: float = 0.6
+    scene_hue_gap: float = 13.0
+    scene_lighter: float = 18.0
+    scene_blue: float = -8.0
+    scene_softness: float = 3.0
     water_min_area: int = 400
     hole_max_area: int = 300
     verify_share: float = 0.02

@@ -74,6 +74,27 @@ def lab(b: Column, g: Column, r: Column) -> tuple[Column, Column, Column]:
     return light, 500.0 * (f(x) - f(y)), 200.0 * (f(y) - f(z))
 
 
+def lab8(b: Column, g: Column, r: Column) -> tuple[Column, Column, Column]:
+    """Lab in whole numbers from 0 to 255."""
+    light, a, bb = lab(b, g, r)
+    return half_up(light * F.lit(255.0 / 100.0)), half_up(a + 128.0), half_up(bb + 128.0)
+
+
+def from_lab8(light: Column, a: Column, b_: Column) -> tuple[Column, Column, Column]:
+    """B, G, R of Lab in whole numbers from 0 to 255."""
+    fy = (light * F.lit(100.0 / 255.0) + 16.0) / 116.0
+    fx, fz = fy + (a - 128.0) / 500.0, fy - (b_ - 128.0) / 200.0
+    cubed = lambda f: F.when(f > 6.0 / 29.0, f * f * f).otherwise((f - 16.0 / 116.0) / 7.787)
+    x, y, z = 0.950456 * cubed(fx), cubed(fy), 1.088754 * cubed(fz)
+
+    def byte(v: Column) -> Column:
+        v = clip01(v)
+        return half_up(255.0 * F.when(v <= 0.0031308, 12.92 * v).otherwise(1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055))
+
+    blue, green, red = 0.055648 * x - 0.204043 * y + 1.057311 * z, -0.969256 * x + 1.875991 * y + 0.041556 * z, 3.240479 * x - 1.537150 * y - 0.498535 * z
+    return byte(blue), byte(green), byte(red)
+
+
 def not_red(b: Column, g: Column, r: Column) -> Column:
     return ramp_up(b - F.greatest(g, r), -4, 2)
 

@@ -39,9 +39,14 @@ def isolation_score(contact: Column, separation: Column, share_of_largest: Colum
     return percent(100.0 * (0.45 * contact + 0.35 * part(separation, F.lit(full)) + 0.20 * (1.0 - F.least(F.lit(1.0), share_of_largest))))
 
 
-def drop_score(clearance: Column, water: Column, distance: Column, radius: Column, water_full: float) -> Column:
+def drop_parts(clearance: Column, water: Column, distance: Column, radius: Column, water_full: float) -> tuple[Column, Column, Column]:
+    """Clearance, distance to water and nearness to the centre, each 0 to 1."""
     r = F.greatest(F.lit(1), radius)
-    return 100.0 * (0.4 * part(clearance, r) + 0.3 * part(water, F.lit(water_full)) + 0.3 * F.greatest(F.lit(0.0), 1.0 - distance / r))
+    return part(clearance, r), part(water, F.lit(water_full)), F.greatest(F.lit(0.0), 1.0 - distance / r)
+
+
+def drop_score(clearance: Column, water: Column, near: Column) -> Column:
+    return 100.0 * (0.4 * clearance + 0.3 * water + 0.3 * near)
 
 
 def classify_zone(score: Column) -> Column:

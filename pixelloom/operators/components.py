@@ -1,138 +1,29 @@
-"""8-connected components of boolean pixel columns.
-
-Rows are reduced to runs of true pixels by window functions; only runs reach
-Python, where a union-find joins the touching runs of one image (an image has at
-most a million pixels, so its runs fit one group). A component's label is the
-row-major number of its first pixel, so labels do not depend on any order.
-"""
+"""8-connected components as rows: what is known of each, from pixels that carry its label."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUNS = "image_id long, y int, x0 int, x1 int, label long"
-
-
-def runs(df: DataFrame, col: str) -> DataFrame:
-    """(image_id, y, x0, x1) of the maximal runs of true pixels in each row."""
-    line = Window.partitionBy("image_id", "y").orderBy("x")
-    kept = df.where(col).select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
-    return kept.withColumn("_g", F.col("x") - F.row_number().over(line)).groupBy("image_id", "y", "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_g")
-
-
-def join_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
-    """Index of the first run of each run's component; runs sorted by (y, x0)."""
-    parent = list(range(len(y)))
+from . import whole
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    above, here = 0, 0
-    ys, lo, hi = y.tolist(), x0.tolist(), x1.tolist()
-    for i in range(len(ys)):
-        while ys[above] < ys[i] - 1:
-            above += 1
-        here = above
-        while here < i and ys[here] == ys[i] - 1 and lo[here] <= hi[i] + 1:
-            if hi[here] >= lo[i] - 1:
-                a, b = root(here), root(i)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-            elif hi[here] < lo[i] - 1 and here == above:
-                above += 1  # ends before this run and all that follow in its row
-            here += 1
-    return np.array([root(i) for i in range(len(ys))], np.int64)
+def labelled(px: DataFrame, col: str, name: str = "label") -> DataFrame:
+    """``px`` with the label of the component of true ``col`` that each pixel is in."""
+    return whole.add(px, **{name: whole.labels(col)})
 
 
-def labelled_runs(df: DataFrame, col: str, width: int = 1 << 20) -> DataFrame:
-    """Runs of ``col`` with the label of their component: y * width + x of its first pixel."""
-
-    def label(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["y", "x0"], ignore_index=True)
-        y, x0, x1 = (g[c].to_numpy() for c in ("y", "x0", "x1"))
-        first = join_runs(y, x0, x1)
-        return pd.DataFrame({"image_id": g["image_id"], "y": y, "x0": x0, "x1": x1, "label": y[first].astype(np.int64) * width + x0[first]})
-
-    return runs(df, col).groupBy("image_id").applyInPandas(label, RUNS)
-
-
-def stats(labelled: DataFrame) -> DataFrame:
-    """Area, bounding box and centroid of each component of labelled runs."""
-    n = F.col("x1") - F.col("x0") + 1
-    out = labelled.groupBy("image_id", "label").agg(
-        F.sum(n).cast("long").alias("area"),
-        F.min("x0").alias("left"),
+def stats(labelled_: DataFrame, *more, name: str = "label") -> DataFrame:
+    """Area, bounding box and centroid of each component, and further aggregates of its pixels."""
+    out = labelled_.where(F.col(name).isNotNull()).groupBy("image_id", name).agg(
+        F.count("*").alias("area"),
+        F.min("x").alias("left"),
         F.min("y").alias("top"),
-        (F.max("x1") - F.min("x0") + 1).alias("width"),
+        (F.max("x") - F.min("x") + 1).alias("width"),
         (F.max("y") - F.min("y") + 1).alias("height"),
-        F.sum((F.col("x0") + F.col("x1")) * n).alias("_sx"),
-        F.sum(F.col("y") * n).alias("_sy"),
+        F.sum("x").alias("_sx"),
+        F.sum("y").alias("_sy"),
+        *more,
     )
-    return out.select("*", (F.col("_sx") / (2.0 * F.col("area"))).alias("cx"), (F.col("_sy") / F.col("area").cast("double")).alias("cy")).drop("_sx", "_sy")
-
-
-def pixels(labelled: DataFrame, keep: Sequence[str] = ("label",)) -> DataFrame:
-    """The pixels of labelled runs."""
-    return labelled.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), *keep)
-
-
-def keep_components(df: DataFrame, col: str, condition: str, width: int = 1 << 20) -> DataFrame:
-    """``col`` only where its component's stats satisfy ``condition``."""
-    found = labelled_runs(df, col, width)
-    kept = stats(found).where(condition).select("image_id", "label")
-    on = pixels(found.join(kept, ["image_id", "label"], "left_semi"), ()).withColumn("_on", F.lit(True))
-    return df.join(on, ["image_id", "y", "x"], "left").select(*[F.coalesce("_on", F.lit(False)).alias(c) if c == col else F.col(c) for c in df.columns])
-
-
-def fill_holes(df: DataFrame, col: str, max_area: int, width: int = 1 << 20) -> DataFrame:
-    """``col`` with its enclosed holes of at most ``max_area`` pixels filled; ``df`` has w and h."""
-    size = df.groupBy("image_id").agg(F.first("w").alias("w"), F.first("h").alias("h"))
-    holes = labelled_runs(df.withColumn("_not", ~F.col(col)), "_not", width)
-    small = stats(holes).where(F.col("area") <= max_area).join(size, "image_id").where("left > 0 and top > 0 and left + width < w and top + height < h").select("image_id", "label")
-    on = pixels(holes.join(small, ["image_id", "label"], "left_semi"), ()).withColumn("_on", F.lit(True))
-    return df.join(on, ["image_id", "y", "x"], "left").select(*[(F.col(c) | F.coalesce("_on", F.lit(False))).alias(c) if c == col else F.col(c) for c in df.columns])
-
-
-STEPS = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))  # clockwise from the east, as (dy, dx)
-
-
-def outline_length(y: np.ndarray, x: np.ndarray) -> float:
-    """Length of the outer boundary walked through pixel centres (0 for one pixel)."""
-    inside = set(zip(y.tolist(), x.tolist(), strict=True))
-    start = min(inside)
-    # the first pixel in row-major order has nothing to its west or north
-    at, heading, length, first = start, 0, 0.0, None
-    while True:
-        for turn in range(8):
-            d = (heading + 6 + turn) % 8
-            nxt = (at[0] + STEPS[d][0], at[1] + STEPS[d][1])
-            if nxt in inside:
-                break
-        else:
-            return 0.0
-        if first is None:
-            first = (at, d)
-        elif (at, d) == first:
-            return length
-        length += 1.0 if d % 2 == 0 else 2**0.5
-        at, heading = nxt, d
-
-
-def perimeters(labelled: DataFrame) -> DataFrame:
-    """(image_id, label, perimeter) of every component."""
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        n = (group["x1"] - group["x0"] + 1).to_numpy()
-        y = np.repeat(group["y"].to_numpy(), n)
-        x = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(group["x0"].to_numpy(), n)
-        return pd.DataFrame({"image_id": group["image_id"].iloc[:1], "label": group["label"].iloc[:1], "perimeter": [outline_length(y, x)]})
-
-    return labelled.groupBy("image_id", "label").applyInPandas(walk, "image_id long, label long, perimeter double")
+    centre = lambda c: (F.col(c) / F.col("area").cast("double"))
+    return out.withColumn("cx", centre("_sx")).withColumn("cy", centre("_sy")).drop("_sx", "_sy")

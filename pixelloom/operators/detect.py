@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from . import whole
 
 #: The reported classes by their ids in the detector's 80-class list (fixed values).
 CLASSES = {0: "person", 1: "bicycle", 2: "car", 3: "motorcycle", 5: "bus", 7: "truck", 8: "boat"}
@@ -39,24 +41,22 @@ def suppressed(boxes: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Greedy non-maximum suppression within each class of an image; an image's anchors are a few thousand."""
     iou = cfg.nms_iou
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.assign(_s=-group["confidence"]).sort_values(["_s", "anchor_id"]).drop(columns="_s")
-        x1, y1, x2, y2 = (g[c].to_numpy() for c in ("x1", "y1", "x2", "y2"))
+    def keep(table: pa.Table) -> pa.Table:
+        x1, y1, x2, y2 = (table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2"))
         area = (x2 - x1) * (y2 - y1)
-        taken: list[int] = []
-        for i in range(len(g)):
-            free = True
-            for j in taken:
-                w, h = min(x2[i], x2[j]) - max(x1[i], x1[j]), min(y2[i], y2[j]) - max(y1[i], y1[j])
-                both = max(0.0, w) * max(0.0, h)
-                if both > 0 and both / (area[i] + area[j] - both) > iou:
-                    free = False
-                    break
-            if free:
-                taken.append(i)
-        return g.iloc[taken]
-
-    return boxes.groupBy("image_id", "class_id").applyInPandas(keep, boxes.schema)
+        alive = np.ones(table.num_rows, bool)
+        bounds = whole.groups(table.column("image_id"), table.column("class_id"))
+        for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            for i in range(start, end - 1):  # the most confident first
+                if alive[i]:
+                    j = np.s_[i + 1 : end]
+                    w = np.minimum(x2[i], x2[j]) - np.maximum(x1[i], x1[j])
+                    h = np.minimum(y2[i], y2[j]) - np.maximum(y1[i], y1[j])
+                    both = np.maximum(w, 0) * np.maximum(h, 0)
+                    alive[j] &= ~((both > 0) & (both > iou * (area[i] + area[j] - both)))
+        return table.filter(pa.array(alive))
+
+    return whole.stream(boxes, ["class_id", F.desc("confidence"), "anchor_id"], keep, boxes.schema)
 
 
 def detections(boxes: DataFrame, cfg: Config = Config()) -> DataFrame:

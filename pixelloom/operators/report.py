@@ -22,11 +22,20 @@ def warnings(cfg: Config = Config()) -> Column:
     return F.filter(F.array(*said), lambda m: m.isNotNull())
 
 
-def summary(coverage: DataFrame, zones: DataFrame, sensors: DataFrame, segments: DataFrame, isolated: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Coverage with the numbers of zones, sensors, segments and isolated regions, and warnings."""
-    out = coverage
+def share(part: str, whole: str, digits: int = 2) -> Column:
+    """Percentage, 0 of nothing."""
+    return F.round(100.0 * F.col(part) / F.greatest(F.lit(1), F.col(whole)), digits)
+
+
+def summary(coverage: DataFrame, band: DataFrame, zones: DataFrame, sensors: DataFrame, segments: DataFrame, isolated: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Coverage and band totals with the numbers of zones, sensors, segments and isolated
+    regions, all percentages, and warnings. One row an image."""
+    out = coverage.join(band, "image_id", "left")
     for frame, name in ((zones, "zones"), (sensors.where("not_viable is null"), "sensors"), (segments, "segments"), (isolated, "isolated")):
         out = out.join(frame.groupBy("image_id").agg(F.count("*").alias(name)), "image_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    out = out.withColumn("supply_pct", share("band_pixels", "pixels")).withColumn("canopy_pct", share("canopy_pixels", "pixels")).withColumn("candidate_pct", share("candidate_pixels", "pixels"))
+    # how much of the shore trees take away
+    out = out.withColumn("shore_canopy_pct", F.when(F.col("shoreline_pixels") > 0, share("canopy_excluded", "shoreline_pixels", 1)).otherwise(0.0))
     return out.withColumn("warnings", warnings(cfg))
 
 
@@ -37,9 +46,78 @@ def nested(frame: DataFrame, order: str, name: str, most: int | None = None) ->
     return frame.groupBy("image_id").agg((F.slice(rows, 1, most) if most else rows).alias(name))
 
 
-def report(summary_: DataFrame, zones: DataFrame, sensors: DataFrame, segments: DataFrame, isolated: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """(image_id, doc): the nested document as JSON."""
-    out = summary_
-    for frame, order, name, most in ((zones, "zone_id", "candidate_zones", None), (sensors, "zone_id", "sensor_zones", None), (segments, "segment_id", "supply_segments", cfg.supply_reported), (isolated, "region_id", "isolated_regions", None)):
+def point(x: str, y: str, digits: int | None = None) -> Column:
+    at = lambda c: F.col(c) if digits is None else F.round(c, digits)
+    return F.struct(at(x).alias("x"), at(y).alias("y"))
+
+
+def box() -> Column:
+    return F.struct(F.col("left").alias("x"), F.col("top").alias("y"), "width", "height")
+
+
+def zone_documents(zones: DataFrame) -> DataFrame:
+    parts = F.struct("area_score", F.col("water_score").alias("water_clearance_score"), "openness_score")
+    return zones.select("image_id", F.col("zone_id").alias("id"), F.col("final_score").alias("score"), "classification", F.col("area").alias("pixel_area"), "water_clearance", F.col("clearance").alias("region_clearance"), box().alias("bounding_box"), point("cx", "cy", 1).alias("centroid"), point("drop_x", "drop_y").alias("max_clearance_point"), parts.alias("score_breakdown"))
+
+
+def sensor_documents(sensors: DataFrame, zones: DataFrame) -> DataFrame:
+    """Viable circles with the score of their zone (an inner join on its id)."""
+    own = zone_documents(zones).select("image_id", F.col("id").alias("zone_id"), "score", "classification", "score_breakdown")
+    out = sensors.where("not_viable is null").join(own, ["image_id", "zone_id"])
+    return out.select("image_id", F.col("zone_id").alias("id"), "zone_id", "score", "classification", point("cx", "cy").alias("center"), F.col("radius").alias("radius_px"), "limiting_factor", F.col("limiting_distance").alias("limiting_distance_px"), F.col("water_clearance").alias("water_clearance_px"), "score_breakdown")
+
+
+def refused_documents(sensors: DataFrame) -> DataFrame:
+    radius = F.when(F.col("not_viable") == "radius_below_minimum", F.col("radius")).otherwise(0).alias("radius_px")
+    return sensors.where("not_viable is not null").select("image_id", "zone_id", F.col("not_viable").alias("reason"), radius)
+
+
+def segment_documents(segments: DataFrame, totals: DataFrame) -> DataFrame:
+    of_band = F.round(100.0 * F.col("area") / F.greatest(F.lit(1), F.col("band_pixels")), 1)
+    return segments.join(totals.select("image_id", "band_pixels"), "image_id").select("image_id", F.col("segment_id").alias("id"), F.col("area").alias("pixel_area"), of_band.alias("share_of_band"), box().alias("bounding_box"), point("cx", "cy", 1).alias("centroid"), point("anchor_x", "anchor_y").alias("anchor"))
+
+
+def isolated_documents(isolated: DataFrame) -> DataFrame:
+    parts = F.struct(F.col("water_contact").alias("water_contact_ratio"), F.col("separation").alias("separation_px"), "relative_size")
+    return isolated.select("image_id", F.col("region_id").alias("id"), "isolation_score", "classification", F.col("area").alias("pixel_area"), box().alias("bounding_box"), point("cx", "cy").alias("centroid"), parts.alias("score_breakdown"))
+
+
+def parameters(cfg: Config) -> Column:
+    """The thresholds behind a report."""
+    sensor = F.struct(F.lit(cfg.safety_margin).alias("radius_margin_px"), F.lit(cfg.min_radius).alias("min_radius_px"), F.lit(cfg.max_radius).alias("max_radius_px"))
+    supply = F.struct(F.lit(cfg.supply_inner).alias("inner_margin_px"), F.lit(cfg.supply_outer).alias("outer_margin_px"), F.lit(cfg.supply_min_area).alias("min_segment_area_px"))
+    weights = F.struct(F.lit(0.4).alias("area"), F.lit(0.4).alias("water_clearance"), F.lit(0.2).alias("openness"))
+    return F.struct(
+        F.lit(cfg.buffer_size).alias("water_buffer_px"), F.lit(cfg.candidate_min_area).alias("min_region_area_px"), F.lit(cfg.isolated_min_area).alias("min_isolated_area_px"), F.lit(cfg.max_zones).alias("max_zones"),
+        sensor.alias("sensor"), supply.alias("supply"), F.lit(True).alias("canopy_excluded"), F.col("scene_model").alias("scene_colour_model"), weights.alias("score_weights"),
+    )
+
+
+def report(summary_: DataFrame, zones: DataFrame, sensors: DataFrame, segments: DataFrame, isolated: DataFrame, cfg: Config = Config(), detections: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """(image_id, doc): the nested document as JSON. ``summary_`` may carry scene_model and
+    image_info; detections and their counts (image_id, counts) are told where there are any."""
+    out = summary_ if "scene_model" in summary_.columns else summary_.withColumn("scene_model", F.lit(False))
+    children = [
+        (zone_documents(zones), "id", "zones_", None), (sensor_documents(sensors, zones), "id", "sensor_zones", None), (refused_documents(sensors), "zone_id", "refused", None),
+        (segment_documents(segments, summary_), "id", "segments_", cfg.supply_reported), (isolated_documents(isolated), "id", "isolated_regions", None),
+    ]
+    if detections is not None:
+        found = detections.select("image_id", "n", "label", "confidence", F.struct("x1", "y1", "x2", "y2").alias("bbox"))
+        children.append((found, "n", "detections", None))
+        out = out.join(counts, "image_id", "left")
+    for frame, order, name, most in children:
         out = out.join(nested(frame, order, name, most), "image_id", "left").withColumn(name, F.coalesce(name, F.array()))
-    return out.select("image_id", F.to_json(F.struct(*[c for c in out.columns if c != "image_id"])).alias("doc"))
+    metrics = F.struct(
+        F.col("water_pct").alias("water_percentage"), F.col("non_water_pct").alias("non_water_percentage"), F.col("regions").alias("candidate_regions") if "regions" in out.columns else F.col("zones").alias("candidate_regions"),
+        F.col("isolated").alias("isolated_regions"), F.col("sensors").alias("sensor_zones"), F.col("segments").alias("supply_zone_segments"), F.col("supply_pct").alias("supply_area_percentage"),
+        F.col("canopy_pct").alias("canopy_percentage"), F.col("candidate_pct").alias("candidate_area_percentage"), F.col("shore_canopy_pct").alias("shore_canopy_percentage"),
+    )
+    supply = F.struct(
+        F.lit(cfg.supply_inner).alias("inner_margin_px"), F.lit(cfg.supply_outer).alias("outer_margin_px"), F.col("band_pixels").alias("pixel_area"), F.col("supply_pct").alias("area_percentage"),
+        F.col("shoreline_pixels").alias("shoreline_land_px"), F.col("canopy_excluded").alias("canopy_excluded_px"), F.col("segments").alias("segment_count"), F.col("segments_").alias("segments"),
+    )
+    circles = F.struct(F.col("zones").alias("evaluated"), F.col("sensors").alias("viable"), F.col("refused").alias("not_viable"))
+    ai = F.struct(F.lit("active").alias("status"), "detections", "counts") if detections is not None else F.struct(F.lit("unavailable").alias("status"))
+    info = [F.col("image_info")] if "image_info" in out.columns else []
+    doc = F.struct(F.lit(True).alias("success"), F.struct(F.lit(True).alias("opencv"), F.lit(detections is not None).alias("ai")).alias("analysis_mode"), ai.alias("ai"), *info, parameters(cfg).alias("parameters"), metrics.alias("metrics"), F.col("zones_").alias("zones"), "sensor_zones", supply.alias("supply_zone"), circles.alias("sensor_analysis"), "isolated_regions", "warnings")
+    return out.select("image_id", F.to_json(doc).alias("doc"))

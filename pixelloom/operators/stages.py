@@ -1,7 +1,8 @@
 """Stages of the analysis: each takes and returns DataFrames keyed by image_id.
 
-``px`` is a pixel table (image_id, y, x, w, h and boolean or numeric columns).
-Anything that later stages read twice is for the caller to persist.
+``px`` is a pixel table (image_id, y, x, w, h and boolean or numeric columns). Stages
+that need the pixels several times store them once in the shared folder (``stored``).
+Window stages keep a partitioning by image, under which both axes only sort.
 """
 
 from __future__ import annotations
@@ -9,18 +10,24 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import colour, scores
+from ..store import cut
 from . import components as cc
-from . import distance, windows
+from . import whole, windows
 
 PIXEL = ["image_id", "y", "x"]
 
 
+def stored(px: DataFrame, name: str) -> DataFrame:
+    """``px`` written to the shared folder, dealt by image again."""
+    return cut(px, name).repartition("image_id")
+
+
 def rank(order: list[Column], name: str, *by: str) -> Column:
     return F.row_number().over(Window.partitionBy(*(by or ("image_id",))).orderBy(*order)).alias(name)
 
@@ -41,54 +48,67 @@ def support_map(px: DataFrame, cfg: Config = Config()) -> DataFrame:
 def edge_density(px: DataFrame, gray: str, name: str, low: int = 60, high: int = 150) -> DataFrame:
     """Share of edge pixels in 15 x 15: weak edges count if they hang on a strong one."""
     soft = windows.gaussian(px.withColumn("_soft", F.col(gray)), ["_soft"], 3)
-    thin = windows.edges(soft, "_soft", low, high)
-    linked = cc.pixels(cc.labelled_runs(thin, "edge_weak"))
-    strong = linked.join(thin.where("edge_strong").select(*PIXEL), PIXEL, "left_semi").select("image_id", "label").distinct()
-    kept = linked.join(strong, ["image_id", "label"], "left_semi").select(*PIXEL, F.lit(1).alias("_edge"))
-    out = thin.drop("edge_weak", "edge_strong", "_soft").join(kept, PIXEL, "left").withColumn("_edge", F.coalesce("_edge", F.lit(0)))
+    thin = whole.add(windows.edges(soft, "_soft", low, high), _edge=whole.reached("edge_weak", "edge_strong"))
+    out = thin.drop("edge_weak", "edge_strong", "_soft").withColumn("_edge", F.col("_edge").cast("int")).repartition("image_id")
     return windows.box_mean(out, "_edge", 15, name).drop("_edge")
 
 
-def water_mask(px: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Adds water from the columns ab, ag, ar (analysis copy) and support."""
-    evidence = colour.likelihood(F.col("ab"), F.col("ag"), F.col("ar"), F.col("support"))
-    out = px.withColumn("evidence", evidence.cast("float"))
-    if "match" in px.columns:
-        out = out.withColumn("evidence", (F.col("evidence") * F.col("match")).cast("float"))
-    out = out.withColumn("water", F.col("evidence") >= F.lit(cfg.water_threshold).cast("float"))
-    return clean_water(out, cfg)
+def evidence(px: DataFrame) -> DataFrame:
+    """Adds evidence (float) from the columns ab, ag, ar (analysis copy) and support."""
+    return px.withColumn("evidence", colour.likelihood(F.col("ab"), F.col("ag"), F.col("ar"), F.col("support")).cast("float"))
+
+
+def wet(px: DataFrame, cfg: Config = Config()) -> Column:
+    return F.col("evidence") >= F.lit(cfg.water_threshold).cast("float")
 
 
 def clean_water(px: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Opened and closed water without small holes, small parts and unsupported regions."""
     out = windows.closed(windows.opened(px, "water", cfg.water_open), "water", cfg.water_close)
-    out = cc.fill_holes(out, "water", cfg.hole_max_area)
-    out = cc.keep_components(out, "water", f"area >= {cfg.water_min_area}")
-    return verify_regions(out, cfg)
+    return verify_regions(out, cfg, _full=whole.filled("water", cfg.hole_max_area), _large=whole.at_least("_full", cfg.water_min_area))
 
 
-def verify_regions(px: DataFrame, cfg: Config = Config()) -> DataFrame:
+def verify_regions(px: DataFrame, cfg: Config = Config(), **before: whole.Added) -> DataFrame:
     """Water regions that are large, or that their texture supports."""
-    labelled = cc.pixels(cc.labelled_runs(px, "water"))
-    whole = px.groupBy("image_id").agg(F.count("*").alias("_n"))
-    seen = labelled.join(px.select(*PIXEL, "support"), PIXEL).groupBy("image_id", "label").agg(F.count("*").alias("_a"), F.avg("support").alias("_s"))
-    kept = seen.join(whole, "image_id").where((F.col("_a") >= cfg.verify_share * F.col("_n")) | (F.col("_s") >= cfg.verify_support)).select("image_id", "label")
-    on = labelled.join(kept, ["image_id", "label"], "left_semi").select(*PIXEL, F.lit(True).alias("_on"))
-    return px.join(on, PIXEL, "left").select(*[F.coalesce("_on", F.lit(False)).alias(c) if c == "water" else F.col(c) for c in px.columns])
+    last = next(reversed(before), "water")
+    out = whole.add(px, **before, _sure=whole.supported(last, "support", cfg.verify_share, cfg.verify_support))
+    return out.withColumn("water", F.col("_sure")).drop(*before, "_sure")
+
+
+def detect_water(px: DataFrame, cfg: Config = Config()) -> tuple[DataFrame, DataFrame]:
+    """Water of every image, from the analysis copy (ab, ag, ar) and the display copy (b, g,
+    r): cues gated by texture, judged by the scene's own colours where enough sure water
+    shows these, cleaned and verified. Adds support, evidence and water.
+
+    Also (image_id, scene_model, clusters, rejected, primary_share), one row for each image."""
+    seen = stored(evidence(support_map(px, cfg)), "support")
+    clusters = cut(scene_clusters(scene_seeds(seen, cfg)), "clusters")
+    judged = scene_match(weighted_lab(seen, cfg), clusters)
+    judged = judged.withColumn("evidence", (F.col("evidence") * F.col("match")).cast("float")).drop("match", "cl", "ca", "cb")
+    model = clusters.groupBy("image_id").agg(F.count("*").alias("clusters"), F.count_if(~F.col("accepted")).alias("rejected"), F.max("share").alias("primary_share"))
+    images = seen.select("image_id").distinct().join(model, "image_id", "left")
+    images = images.select("image_id", F.col("clusters").isNotNull().alias("scene_model"), F.coalesce("clusters", F.lit(0)).alias("clusters"), F.coalesce("rejected", F.lit(0)).alias("rejected"), "primary_share")
+    return clean_water(judged.withColumn("water", wet(judged, cfg)), cfg), images
+
+
+def cue_means(px: DataFrame) -> DataFrame:
+    """Mean of every cue, of support and of vegetation over an image: for diagnosis."""
+    bgr = (F.col("ab"), F.col("ag"), F.col("ar"))
+    cues = {"blue": colour.blue_cue(*bgr), "turbid": colour.turbid_cue(*bgr), "dark": colour.dark_cue(*bgr), "low_saturation": colour.pale_cue(*bgr), "support": F.col("support"), "vegetation": colour.vegetation(*bgr)}
+    return px.groupBy("image_id").agg(*[F.avg(c).alias(name) for name, c in cues.items()])
 
 
 def canopy_mask(px: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Adds canopy: rough vegetation on land. Reads b, g, r and water."""
-    soft = windows.gaussian(px.select(*PIXEL, "w", "h", "b", "g", "r"), ["b", "g", "r"], 5)
-    soft = soft.withColumn("_v", colour.vegetation(F.col("b"), F.col("g"), F.col("r")))
-    rough = px.select(*PIXEL, "w", "h", colour.gray(F.col("b"), F.col("g"), F.col("r")).alias("_g"))
-    rough = windows.local_std(rough, "_g", 11, "_std").select(*PIXEL, "_std")
-    raw = soft.join(rough, PIXEL).withColumn("_raw", F.col("_v") * colour.ramp_up(F.col("_std"), 8, 20)).select(*PIXEL, "w", "h", "_raw")
-    dense = windows.box_mean(raw, "_raw", 15, "_dense").select(*PIXEL, "_dense")
-    out = px.join(dense, PIXEL).withColumn("canopy", F.col("_dense") >= cfg.canopy_threshold).drop("_dense")
+    """Adds canopy: rough vegetation in stands of a minimal area, less the water. Reads b, g, r and water."""
+    keep = px.columns
+    out = px.select("*", *[F.col(c).alias(f"_{c}") for c in "bgr"], colour.gray(F.col("b"), F.col("g"), F.col("r")).alias("_g0"))
+    out = windows.gaussian(out, ["_b", "_g", "_r"], 5)
+    out = windows.local_std(out, "_g0", 11, "_std")
+    out = out.withColumn("_raw", colour.vegetation(F.col("_b"), F.col("_g"), F.col("_r")) * colour.ramp_up(F.col("_std"), 8, 20))
+    out = windows.box_mean(out, "_raw", 15, "_dense").select(*keep, (F.col("_dense") >= cfg.canopy_threshold).alias("canopy"))
     out = windows.closed(windows.opened(out, "canopy", cfg.canopy_kernel), "canopy", cfg.canopy_kernel)
-    out = out.withColumn("canopy", F.col("canopy") & ~F.col("water"))
-    return cc.keep_components(out, "canopy", f"area >= {cfg.canopy_min_area}")
+    out = whole.add(out, _stand=whole.at_least("canopy", cfg.canopy_min_area))
+    return out.withColumn("canopy", F.col("_stand") & ~F.col("water")).drop("_stand")
 
 
 def candidate_mask(px: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -111,85 +131,146 @@ def coverage(px: DataFrame) -> DataFrame:
 # --- scene colours -------------------------------------------------------------------
 
 
-def scene_clusters(seeds: DataFrame, k: int = 6, sample: int = 20_000, rounds: int = 50) -> DataFrame:
-    """k-means of an image's seed colours (cl, ca, cb): centres, shares, acceptance.
-
-    ``seeds``: image_id, y, x, cl, ca, cb. A hash picks at most ``sample`` of an image's
-    (at most a million) pixels. Starting centres are k-means++ with a fixed seed."""
+def weighted_lab(px: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Adds cl, ca, cb: Lab of the softened display copy, lightness weighing less."""
+    soft = windows.gaussian(px.select("*", *[F.col(c).alias(f"_{c}") for c in "bgr"]), ["_b", "_g", "_r"], 5)
+    light, a, b = colour.lab(F.col("_b"), F.col("_g"), F.col("_r"))
+    return soft.select(*px.columns, (cfg.scene_lightness * light).alias("cl"), a.alias("ca"), b.alias("cb"))
+
+
+def scene_seeds(px: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """(image_id, y, x, cl, ca, cb) of sure water: wet, and smooth around; none of images
+    where that is less than a minimal share."""
+    seed = wet(px, cfg) & (F.col("support") >= cfg.seed_support)
+    lab = weighted_lab(px.withColumn("_seed", seed), cfg)
+    image = Window.partitionBy("image_id")
+    counted = lab.select(*PIXEL, "cl", "ca", "cb", "_seed", (F.count_if("_seed").over(image) >= cfg.seed_share * F.count("*").over(image)).alias("_enough"))
+    return counted.where("_seed and _enough").drop("_seed", "_enough")
+
+
+def k_means(data: np.ndarray, k: int, rng: np.random.Generator, rounds: int, least: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Lloyd's rounds from k-means++ centres: the sum of squares, centres, each row's cluster."""
+    centres = [data[rng.integers(len(data))]]
+    while len(centres) < k:
+        d = np.min([((data - c) ** 2).sum(axis=1) for c in centres], axis=0)
+        centres.append(data[rng.choice(len(data), p=d / d.sum())])
+    at = np.array(centres)
+    for _ in range(rounds):
+        own = np.argmin(((data[:, None] - at) ** 2).sum(axis=2), axis=1)
+        moved = np.array([data[own == j].mean(axis=0) if (own == j).any() else at[j] for j in range(k)])
+        done, at = np.abs(moved - at).max() < least, moved
+        if done:
+            break
+    d = ((data[:, None] - at) ** 2).sum(axis=2)
+    return d.min(axis=1).sum(), at, d.argmin(axis=1)
+
+
+def scene_clusters(seeds: DataFrame, cfg: Config = Config(), rounds: int = 50, attempts: int = 3) -> DataFrame:
+    """k-means of an image's seed colours (cl, ca, cb): centres, shares, acceptance. No rows
+    for images whose largest cluster has too small a share.
+
+    ``seeds``: image_id, y, x, cl, ca, cb. A hash picks at most ``scene_samples`` of an
+    image's (at most a million) pixels; the best of some attempts from seeded starts counts."""
     pick = Window.partitionBy("image_id").orderBy(F.xxhash64("y", "x"), "y", "x")
-    drawn = seeds.withColumn("_n", F.row_number().over(pick)).where(F.col("_n") <= sample)
-
-    def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        data = group[["cl", "ca", "cb"]].to_numpy(float)
-        rng = np.random.default_rng(0)
-        n = min(k, len(np.unique(data, axis=0)))
-        centres = [data[rng.integers(len(data))]]
-        while len(centres) < n:
-            d = np.min([((data - c) ** 2).sum(axis=1) for c in centres], axis=0)
-            centres.append(data[rng.choice(len(data), p=d / d.sum())])
-        centres = np.array(centres)
-        for _ in range(rounds):
-            own = np.argmin(((data[:, None, :] - centres[None]) ** 2).sum(axis=2), axis=1)
-            moved = np.array([data[own == j].mean(axis=0) if (own == j).any() else centres[j] for j in range(n)])
-            done, centres = np.abs(moved - centres).max() < 0.2, moved
-            if done:
-                break
-        own = np.argmin(((data[:, None, :] - centres[None]) ** 2).sum(axis=2), axis=1)
-        share = np.bincount(own, minlength=n) / len(data)
-        return pd.DataFrame({"image_id": group["image_id"].iloc[0], "c": np.arange(n), "cl": centres[:, 0], "ca": centres[:, 1], "cb": centres[:, 2], "share": share, "accepted": accepted_clusters(centres, share)})
-
-    return drawn.orderBy("image_id", "_n").groupBy("image_id").applyInPandas(cluster, "image_id long, c int, cl double, ca double, cb double, share double, accepted boolean")
-
-
-def accepted_clusters(centres: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Clusters of the scene's water: those of a fifth of the seeds or more (or the
-    largest), and whatever is near an accepted one's hue and not much lighter than the
-    first, or clearly blue; to a fixpoint."""
+    drawn = seeds.withColumn("_n", F.row_number().over(pick)).where(F.col("_n") <= cfg.scene_samples)
+
+    def cluster(table: pa.Table) -> pa.Table:
+        bounds, out = whole.groups(table.column("image_id")), []
+        data = np.stack([table.column(c).to_numpy().astype(float) for c in ("cl", "ca", "cb")], axis=1)
+        for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            mine, rng = data[start:end], np.random.default_rng(0)
+            k = min(cfg.scene_clusters, len(np.unique(mine, axis=0)))
+            _, centres, own = min((k_means(mine, k, rng, rounds, 0.2) for _ in range(attempts)), key=lambda r: r[0])
+            share = np.bincount(own, minlength=k) / len(mine)
+            if share.max() >= cfg.scene_primary_share:
+                taken = accepted_clusters(centres, share, cfg)
+                out += [(table.column("image_id")[start].as_py(), c, *centres[c].tolist(), float(share[c]), bool(taken[c])) for c in range(k)]
+        names = ["image_id", "c", "cl", "ca", "cb", "share", "accepted"]
+        types = [table.schema.field("image_id").type, pa.int32(), *[pa.float64()] * 4, pa.bool_()]
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
+
+    kind = seeds.schema["image_id"].dataType.simpleString()
+    return whole.stream(drawn, ["_n"], cluster, f"image_id {kind}, c int, cl double, ca double, cb double, share double, accepted boolean")
+
+
+def accepted(clusters: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Adds accepted to given clusters (image_id, c, cl, ca, cb, n), a few an image."""
+    out = clusters.withColumn("accepted", F.lit(False))
+
+    def judge(table: pa.Table) -> pa.Table:
+        bounds = whole.groups(table.column("image_id"))
+        centres = np.stack([table.column(c).to_numpy().astype(float) for c in ("cl", "ca", "cb")], axis=1)
+        n = table.column("n").to_numpy()
+        parts = [accepted_clusters(centres[a:b], n[a:b], cfg) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return table.set_column(table.schema.get_field_index("accepted"), "accepted", pa.array(np.concatenate(parts)))
+
+    return whole.stream(out, ["c"], judge, out.schema)
+
+
+def accepted_clusters(centres: np.ndarray, share: np.ndarray, cfg: Config = Config()) -> np.ndarray:
+    """Clusters of the scene's water: the largest; and, to a fixpoint, whatever has the hue
+    of an accepted one and is not much lighter than the largest, or is clearly blue."""
     first = int(share.argmax())
-    taken = share >= 0.20
-    taken[first] = True
+    taken = np.arange(len(share)) == first
+    light = centres[:, 0] / cfg.scene_lightness
     while True:
-        near = np.hypot(centres[:, None, 1] - centres[None, taken, 1], centres[:, None, 2] - centres[None, taken, 2]).min(axis=1) <= 13
-        more = taken | (near & (centres[:, 0] <= centres[first, 0] + 18)) | (centres[:, 2] <= -8)
+        near = np.hypot(centres[:, None, 1] - centres[None, taken, 1], centres[:, None, 2] - centres[None, taken, 2]).min(axis=1) <= cfg.scene_hue_gap
+        more = taken | (near & (light <= light[first] + cfg.scene_lighter)) | (centres[:, 2] <= cfg.scene_blue)
         if (more == taken).all():
             return taken
         taken = more
 
 
-def scene_match(px: DataFrame, clusters: DataFrame) -> DataFrame:
+def scene_match(px: DataFrame, clusters: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Adds match: 1 near accepted colours, 0 near rejected ones (1 without any rejected)."""
     both = clusters.groupBy("image_id").agg(
         F.collect_list(F.when(F.col("accepted"), F.struct("cl", "ca", "cb"))).alias("yes"),  # at most k centres
         F.collect_list(F.when(~F.col("accepted"), F.struct("cl", "ca", "cb"))).alias("no"),
     )
-    gap = lambda c: F.sqrt((F.col("cl") - c["cl"]) ** 2 + (F.col("ca") - c["ca"]) ** 2 + (F.col("cb") - c["cb"]) ** 2)
-    near = lambda side: F.array_min(F.transform(side, gap))
     out = px.join(both, "image_id", "left")
-    match = F.greatest(colour.ramp_up(near("no") - near("yes"), -3, 3), colour.ramp_down(F.col("cb"), -12, -4))
+    margin = nearest(F.col("no")) - nearest(F.col("yes"))
+    soft = cfg.scene_softness
+    match = F.greatest(colour.ramp_up(margin, -soft, soft), colour.ramp_down(F.col("cb"), cfg.scene_blue - 4, cfg.scene_blue + 4))
     return out.withColumn("match", F.when(F.size("no") > 0, match).otherwise(F.lit(1.0))).drop("yes", "no")
 
 
+def closest(centres: Column) -> Column:
+    """The nearest of an array of centres to a pixel's cl, ca, cb: (d2, at), the first of equals."""
+    square = lambda c, name: (F.col(name) - c[name]) * (F.col(name) - c[name])
+    return F.array_min(F.transform(centres, lambda c, i: F.struct((square(c, "cl") + square(c, "ca") + square(c, "cb")).alias("d2"), i.alias("at"))))
+
+
+def nearest(centres: Column) -> Column:
+    """Distance of a pixel's cl, ca, cb to the nearest of an array of centres."""
+    return F.sqrt(closest(centres)["d2"].cast("double"))
+
+
 # --- regions -------------------------------------------------------------------------
 
 
-def regions(px: DataFrame, cfg: Config = Config(), perimeter: bool = True) -> DataFrame:
+def zoned(px: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Adds to candidate, buffer and water what regions, circles and drop points read: label
+    (of the candidate component), its perimeter, _d2 (to the nearest pixel that is no
+    candidate), _free2 (the same without the buffer) and _wd (to water). Stored."""
+    valid = px.withColumn("_valid", F.col("candidate") & ~F.col("buffer"))
+    out = whole.add(
+        valid, label=whole.labels("candidate"), perimeter=whole.perimeters("candidate", cfg.candidate_min_area),
+        _d2=whole.squared("candidate", padded=True), _free2=whole.squared("_valid", padded=True), _wd=whole.distance_to("water"),
+    )
+    return cut(out.drop("_valid"), "zoned")
+
+
+def regions(zoned_: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Candidate regions: size, box, the point of most clearance, water distance, openness."""
-    found = cc.labelled_runs(px, "candidate")
-    stat = cc.stats(found).where(F.col("area") >= cfg.candidate_min_area)
-    near = distance.squared_distance(px.select(*PIXEL, "w", "h", "candidate", "water"), "candidate", "_d2", padded=True)
-    near = distance.water_distance(near, "water", "_wd")
     at = F.max_by(F.struct("x", "y", "_d2", "_wd"), F.struct(F.col("_d2"), -F.col("y"), -F.col("x"))).alias("p")
-    best = cc.pixels(found).join(near, PIXEL).groupBy("image_id", "label").agg(at, F.first("w").alias("w"), F.first("h").alias("h"))
-    out = stat.join(best, ["image_id", "label"]).withColumn("_c", F.sqrt(F.col("p._d2").cast("double"))).where(F.col("_c") >= cfg.min_clearance)
-    if perimeter:
-        out = out.join(cc.perimeters(found.join(out.select("image_id", "label"), ["image_id", "label"], "left_semi")), ["image_id", "label"])
-        open_ = scores.openness(F.col("_c"), F.col("area"), F.col("perimeter"), F.col("width"), F.col("height"))
-        out = out.withColumn("openness", F.round(open_, 4))
-    extra = ["perimeter", "openness"] if perimeter else []
+    out = cc.stats(zoned_, at, F.first("perimeter").alias("perimeter"), F.first("w").alias("w"), F.first("h").alias("h")).where(F.col("area") >= cfg.candidate_min_area)
+    out = out.withColumn("_c", F.sqrt(F.col("p._d2").cast("double"))).where(F.col("_c") >= cfg.min_clearance)
+    # clearance is rounded before openness is derived from it
+    open_ = scores.openness(F.round("_c", 2), F.col("area"), F.col("perimeter"), F.col("width"), F.col("height"))
     return out.select(
         "image_id", rank([F.col("label")], "region_id"), "label", "area", "left", "top", "width", "height",
         F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), F.col("p.x").alias("drop_x"), F.col("p.y").alias("drop_y"),
-        F.round("_c", 2).alias("clearance"), F.round("p._wd", 2).alias("water_clearance"), *extra, (F.col("w") * F.col("h")).alias("image_area"),
+        F.round("_c", 2).alias("clearance"), F.round("p._wd", 2).alias("water_clearance"), "perimeter", F.round(open_, 4).alias("openness"), (F.col("w") * F.col("h")).alias("image_area"),
     )
 
 
@@ -208,19 +289,18 @@ def top_zones(scored_: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def isolated_regions(px: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Land cut off from the largest land region, most isolated first."""
-    land = px.withColumn("_land", ~F.col("water"))
-    found = cc.labelled_runs(land, "_land")
-    stat = cc.stats(found)
-    main = stat.groupBy("image_id").agg(F.max_by("label", F.struct(F.col("area"), -F.col("label"))).alias("main"), F.max("area").alias("main_area"), F.count("*").alias("lands"))
-    labels = cc.pixels(found).join(main.where("lands > 1").select("image_id", "main"), "image_id")
-    off = land.join(labels, PIXEL, "left").withColumn("_off", F.coalesce(F.col("label") != F.col("main"), F.lit(True)))
-    away = distance.squared_distance(off.select(*PIXEL, "w", "h", "_off", "label"), "_off", "_d2", padded=False)
-    gap = away.where("label is not null").groupBy("image_id", "label").agg(F.min("_d2").alias("_gap2"))
-    # the ring: pixels that a component's 3 x 3 cross reaches, outside of it
-    beside = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))])).alias("p")
-    ring = labels.where("label <> main").select("image_id", "label", beside).select("image_id", "label", "p.y", "p.x").distinct()
-    ring = ring.join(off.select(*PIXEL, "water", F.col("label").alias("_own")), PIXEL).where("_own is null or _own <> label")
+    land = cut(whole.add(px.select(*PIXEL, "water", (~F.col("water")).alias("_land")), label=whole.labels("_land")), "land").repartition("image_id")
+    stat = cut(cc.stats(land), "lands")
+    main = stat.groupBy("image_id").agg(F.max_by("label", F.struct(F.col("area"), -F.col("label"))).alias("main"), F.max("area").alias("main_area"), F.count("*").alias("lands")).where("lands > 1")
+    # each pixel's neighbours: those of another component than its own are that one's ring
+    row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+    beside = F.array(*[f("label").over(w) for w in (row, column) for f in (F.lag, F.lead)])
+    near = land.select(*PIXEL, "water", "label", F.array_distinct(F.filter(beside, lambda v: v.isNotNull())).alias("_near")).join(main.select("image_id", "main"), "image_id")
+    ring = near.select("image_id", "water", F.col("label").alias("_own"), F.explode("_near").alias("label")).where("_own is null or _own <> label")
     contact = ring.groupBy("image_id", "label").agg(F.count("*").alias("_ring"), F.count_if("water").alias("_wet"))
+    off = near.select(*PIXEL, "label", F.coalesce(F.col("label") != F.col("main"), F.lit(True)).alias("_off"))
+    away = whole.add(off, _d2=whole.squared("_off", padded=False))
+    gap = away.where("label is not null").groupBy("image_id", "label").agg(F.min("_d2").alias("_gap2"))
     out = stat.join(main, "image_id").where((F.col("label") != F.col("main")) & (F.col("area") >= cfg.isolated_min_area)).join(gap, ["image_id", "label"]).join(contact, ["image_id", "label"])
     touch = F.col("_wet") / F.col("_ring")
     apart = F.sqrt(F.col("_gap2").cast("double"))
@@ -228,51 +308,55 @@ def isolated_regions(px: DataFrame, cfg: Config = Config()) -> DataFrame:
     score = scores.isolation_score(touch, apart, share, cfg.separation_full)
     out = out.withColumn("isolation_score", F.round(score, 1))
     return out.select(
-        "image_id", rank([F.desc("isolation_score"), F.col("label")], "region_id"), "label", "area", "left", "top", "width", "height",
+        "image_id", rank([F.desc("isolation_score"), F.col("label")], "region_id"), "label", "area", "left", "top", "width", "height", F.round("cx", 1).alias("cx"), F.round("cy", 1).alias("cy"),
         F.round(touch, 4).alias("water_contact"), F.round(apart, 2).alias("separation"), F.round(1.0 - F.least(F.lit(1.0), share), 4).alias("relative_size"),
         "isolation_score", scores.classify_isolation(score).alias("classification"),
     )
 
 
 def supply_band(px: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Adds _wd, shoreline and band: open land between the margins around water."""
-    out = distance.water_distance(px, "water", "_wd")
-    wet = out.groupBy("image_id").agg(F.max("water").alias("_any"))
-    out = out.join(wet, "image_id").withColumn("shoreline", F.col("_any") & ~F.col("water") & (F.col("_wd") > cfg.supply_inner) & (F.col("_wd") <= cfg.supply_outer)).drop("_any")
-    return windows.opened(out.withColumn("band", F.col("shoreline") & ~F.col("canopy")), "band", 3)
+    """Adds _wd, shoreline and band: open land between the margins around water, opened, in
+    parts of a minimal area; label and _in2 (squared distance to the band's edge) of these. Stored."""
+    out = whole.add(px, _wd=whole.distance_to("water"), _any=whole.Added(whole.BooleanType(), _any_water)).repartition("image_id")
+    out = out.withColumn("shoreline", F.col("_any") & ~F.col("water") & (F.col("_wd") > cfg.supply_inner) & (F.col("_wd") <= cfg.supply_outer)).drop("_any")
+    out = windows.opened(out.withColumn("_band", F.col("shoreline") & ~F.col("canopy")), "_band", 3)
+    return cut(whole.add(out, band=whole.at_least("_band", cfg.supply_min_area), label=whole.labels("band"), _in2=whole.squared("band", padded=True)).drop("_band"), "band")
+
+
+def _any_water(get) -> np.ndarray:
+    water = get("water")
+    return np.broadcast_to(water.any(axis=(1, 2), keepdims=True), water.shape)
+
+
+def band_totals(band: DataFrame) -> DataFrame:
+    """Pixels of an image's shoreline, of the canopy left out of it, and of the band."""
+    return band.groupBy("image_id").agg(F.count_if("shoreline").alias("shoreline_pixels"), F.count_if(F.col("shoreline") & F.col("canopy")).alias("canopy_excluded"), F.count_if("band").alias("band_pixels"))
 
 
 def supply_segments(band: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Parts of the band, largest first, each with the point deepest inside."""
-    found = cc.labelled_runs(band, "band")
-    stat = cc.stats(found).where(F.col("area") >= cfg.supply_min_area)
-    kept = found.join(stat.select("image_id", "label"), ["image_id", "label"], "left_semi")
-    inner = cc.pixels(kept)
-    on = band.select(*PIXEL, "h").join(inner, PIXEL, "left").withColumn("_in", F.col("label").isNotNull())
-    deep = distance.squared_distance(on, "_in", "_d2", padded=True).where("label is not null")
-    anchor = deep.groupBy("image_id", "label").agg(F.max_by(F.struct("x", "y"), F.struct(F.col("_d2"), -F.col("y"), -F.col("x"))).alias("p"))
-    out = stat.join(anchor, ["image_id", "label"])
+    out = cc.stats(band, F.max_by(F.struct("x", "y"), F.struct(F.col("_in2"), -F.col("y"), -F.col("x"))).alias("p"))
     return out.select("image_id", rank([F.desc("area"), F.col("label")], "segment_id"), "label", "area", "left", "top", "width", "height", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), F.col("p.x").alias("anchor_x"), F.col("p.y").alias("anchor_y"))
 
 
 # --- sensor zones --------------------------------------------------------------------
 
 
-def sensor_zones(zones: DataFrame, px: DataFrame, cfg: Config = Config()) -> DataFrame:
+def sensor_zones(zones: DataFrame, zoned_: DataFrame, cfg: Config = Config()) -> DataFrame:
     """The largest valid circle around each zone's point, what limits it, or why there is none.
 
     ``zones``: image_id, zone_id, drop_x, drop_y, label (of the candidate component)."""
     first = Window.partitionBy("image_id", "drop_x", "drop_y").orderBy("zone_id")
     z = zones.select("image_id", "zone_id", F.col("drop_x").alias("cx"), F.col("drop_y").alias("cy"), "label", F.row_number().over(first).alias("_nth"))
-    parts = cc.pixels(cc.labelled_runs(px, "candidate")).withColumnRenamed("label", "own")
-    state = px.select(*PIXEL, "w", "h", "buffer").join(parts, PIXEL, "left")
+    state = zoned_.select(*PIXEL, "w", "h", "buffer", "_wd", F.col("label").alias("own"))
     reach = cfg.max_radius + cfg.safety_margin + 1
     # only pixels within reach of a centre take part: a range condition within the image
     near = z.join(state, "image_id").where((F.abs(F.col("x") - F.col("cx")) <= reach) & (F.abs(F.col("y") - F.col("cy")) <= reach))
     valid = F.coalesce((F.col("own") == F.col("label")) & ~F.col("buffer"), F.lit(False))
     d2 = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
     bad = F.when(~valid, F.struct(d2.alias("d2"), F.col("y").alias("y"), F.col("x").alias("x"), F.col("buffer").alias("buffer")))
-    limit = near.groupBy("image_id", "zone_id", "cx", "cy", "_nth", "w", "h").agg(F.min(bad).alias("bad"))
+    centre = F.max(F.when((F.col("x") == F.col("cx")) & (F.col("y") == F.col("cy")), F.col("_wd")))
+    limit = near.groupBy("image_id", "zone_id", "cx", "cy", "_nth", "w", "h").agg(F.min(bad).alias("bad"), F.round(centre, 2).alias("water_clearance"))
     border = F.least("cx", "cy", F.col("w") - 1 - F.col("cx"), F.col("h") - 1 - F.col("cy")) + 1
     free = F.sqrt(F.col("bad.d2").cast("double"))
     at_border = F.coalesce(border < free, F.lit(True))
@@ -295,7 +379,7 @@ def sensor_zones(zones: DataFrame, px: DataFrame, cfg: Config = Config()) -> Dat
         F.round(F.when(inside, gap).otherwise(F.lit(0.0)), 2).alias("limiting_distance"),
         F.when(capped & inside, F.lit(None)).when(at_border & inside, side["x"]).otherwise(F.col("bad.x")).cast("int").alias("limit_x"),
         F.when(capped & inside, F.lit(None)).when(at_border & inside, side["y"]).otherwise(F.col("bad.y")).cast("int").alias("limit_y"),
-        reason.alias("not_viable"),
+        "water_clearance", reason.alias("not_viable"),
     )
 
 
@@ -319,42 +403,48 @@ def ring_samples(zones: DataFrame, cfg: Config = Config()) -> DataFrame:
     return out.withColumn("_n", rank([F.col("ring"), F.col("index")], "_n", "image_id", "zone_id", "x", "y")).where("_n = 1").drop("_n")
 
 
-def drop_samples(samples: DataFrame, zones: DataFrame, px: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Samples with the first reason against them, or their scores."""
+def drop_samples(samples: DataFrame, zones: DataFrame, zoned_: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Samples with the first reason against them, or their scores.
+
+    Of a zone's pixels the nearest that is not valid there is never one of another
+    component, since these are apart; so one distance serves all zones of an image."""
     label = zones.select("image_id", "zone_id", F.col("label").alias("_label"))
-    parts = cc.pixels(cc.labelled_runs(px, "candidate")).withColumnRenamed("label", "own")
-    ok = px.join(parts, PIXEL, "left")
-    # clearance within the zone's own component: valid pixels of that component only
-    own = ok.join(label.select("image_id", "zone_id", "_label"), "image_id")
-    valid = F.coalesce((F.col("own") == F.col("_label")) & ~F.col("buffer"), F.lit(False))
-    grid = own.select(F.concat_ws("/", "image_id", "zone_id").alias("image_id"), "y", "x", "w", "h", valid.alias("_v"), "water", "buffer", (F.coalesce(F.col("own") == F.col("_label"), F.lit(False))).alias("_in"))
-    grid = distance.water_distance(distance.squared_distance(grid, "_v", "_c2", padded=True), "water", "_wd")
-    s = samples.withColumn("_key", F.concat_ws("/", "image_id", "zone_id"))
-    g = grid.withColumnRenamed("image_id", "_key")
-    joined = s.join(g, ["_key", "y", "x"], "left")
-    away = F.sqrt(((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2).cast("double"))
-    clear = F.sqrt(F.col("_c2").cast("double"))
+    state = zoned_.select(*PIXEL, "w", "water", "buffer", F.col("label").alias("own"), "_free2", "_wd")
+    joined = samples.join(label, ["image_id", "zone_id"]).join(state, PIXEL, "left")
+    inside = F.coalesce(F.col("own") == F.col("_label"), F.lit(False))
+    away = F.sqrt(((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))).cast("double"))
+    clear = F.sqrt(F.col("_free2").cast("double"))
     reason = (
         F.when(F.col("w").isNull(), "outside_image").when(away > F.col("radius"), "outside_storage_zone").when(F.col("water"), "water").when(F.col("buffer"), "water_buffer")
-        .when(~F.col("_in"), "outside_candidate_region").when(clear < cfg.drop_clearance, "insufficient_clearance")
+        .when(~inside, "outside_candidate_region").when(clear < cfg.drop_clearance, "insufficient_clearance")
+    )
+    parts = scores.drop_parts(clear, F.col("_wd"), away, F.col("radius"), cfg.clearance_full)
+    score = F.round(scores.drop_score(*parts), 1)
+    named = zip(("clearance_score", "water_clearance_score", "proximity_score"), parts, strict=True)
+    return joined.select(
+        "image_id", "zone_id", "cx", "cy", "ring", "index", "x", "y", reason.alias("reason"), F.when(reason.isNull(), score).alias("score"),
+        F.round(clear, 2).alias("clearance"), F.round("_wd", 2).alias("water_clearance"), F.round(away, 2).alias("distance"), *[F.round(100.0 * p, 1).alias(n) for n, p in named],
     )
-    score = F.round(scores.drop_score(clear, F.col("_wd"), away, F.col("radius"), cfg.clearance_full), 1)
-    return joined.select("image_id", "zone_id", "cx", "cy", "ring", "index", "x", "y", reason.alias("reason"), F.when(reason.isNull(), score).alias("score"), F.round(clear, 2).alias("clearance"), F.round("_wd", 2).alias("water_clearance"), F.round(away, 2).alias("distance"))
 
 
 def spaced(samples: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Greedy choice by score of points at least a step from the centre and each other."""
+    """Greedy choice by score of points at least a step from the centre and each other, at
+    most ``drop_max`` a zone; a zone's samples are bounded by its radius."""
     step, most = max(cfg.drop_step, 2 * cfg.drop_clearance), cfg.drop_max
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.assign(_s=-group["score"]).sort_values(["_s", "ring", "index"])
-        taken, rows = [(g["cx"].iloc[0], g["cy"].iloc[0])], []
-        for row in g.itertuples():
-            if len(rows) < most and all(math.hypot(row.x - x, row.y - y) >= step for x, y in taken):
-                taken.append((row.x, row.y))
-                rows.append((row.image_id, row.zone_id, len(rows) + 1, row.x, row.y, row.score))
-        return pd.DataFrame(rows, columns=["image_id", "zone_id", "drop_id", "x", "y", "score"])
-
-    # the samples of one zone are bounded by its radius
-    out = samples.where("reason is null").groupBy("image_id", "zone_id").applyInPandas(choose, "image_id long, zone_id int, drop_id int, x int, y int, score double")
-    return out.withColumn("classification", scores.classify_zone(F.col("score")))
+    good = samples.where("reason is null").drop("reason").withColumn("drop_id", F.lit(0))
+
+    def choose(table: pa.Table) -> pa.Table:
+        x, y, cx, cy = (table.column(c).to_numpy() for c in ("x", "y", "cx", "cy"))
+        number = np.zeros(table.num_rows, np.int32)
+        bounds = whole.groups(table.column("image_id"), table.column("zone_id"))
+        for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            taken = [(cx[start], cy[start])]
+            for i in range(start, end):
+                if len(taken) <= most and all(math.hypot(x[i] - a, y[i] - b) >= step for a, b in taken):
+                    number[i] = len(taken)
+                    taken.append((x[i], y[i]))
+        at = table.schema.get_field_index("drop_id")
+        return table.set_column(at, "drop_id", pa.array(number)).filter(pa.array(number > 0))
+
+    out = whole.stream(good, ["zone_id", F.desc("score"), "ring", "index"], choose, good.schema)
+    return out.select("image_id", "zone_id", "drop_id", "x", "y", "score", scores.classify_zone(F.col("score")).alias("classification"), "clearance", "water_clearance", "distance", "clearance_score", "water_clearance_score", "proximity_score")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from ..config import mini
 from ..functions import colour, scores
 from ..operators import components as cc
-from ..operators import detect, distance, report, stages, windows
+from ..operators import detect, report, stages, whole, windows
 from ..sources import images
+from ..store import cut
+from . import analysis
 from . import scenes as sc
 
 CFG = mini()
@@ -145,7 +148,7 @@ def morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {sc.PX}, {sc.labels("l", "px", "NOT water")}, {sc.stats_of("s", "l")} SELECT image_id, label, area, "left", top, width, height, round(cx, 4) AS cx, round(cy, 4) AS cy FROM s""")
 def land_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cc.stats(cc.labelled_runs(sc.scene_pixels(spark, sf_dir).withColumn("land", ~F.col("water")), "land"))
+    found = cc.stats(cc.labelled(sc.scene_pixels(spark, sf_dir).withColumn("land", ~F.col("water")), "land"))
     return found.select("image_id", "label", "area", "left", "top", "width", "height", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"))
 
 
@@ -154,10 +157,8 @@ SELECT image_id, (SELECT count_if(canopy) FROM px p WHERE p.image_id = i.image_i
        coalesce((SELECT sum(area) FROM t WHERE t.image_id = i.image_id AND area >= 8), 0)::BIGINT AS kept
 FROM (SELECT DISTINCT image_id FROM px) i""")
 def holes_and_specks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = sc.scene_pixels(spark, sf_dir)
-    filled = cc.fill_holes(px, "canopy", CFG.hole_max_area).groupBy("image_id").agg(F.count_if("canopy").alias("filled"))
-    kept = cc.keep_components(px, "canopy", f"area >= {CFG.canopy_min_area}").groupBy("image_id").agg(F.count_if("canopy").alias("kept"))
-    return filled.join(kept, "image_id")
+    px = whole.add(sc.scene_pixels(spark, sf_dir), full=whole.filled("canopy", CFG.hole_max_area), large=whole.at_least("canopy", CFG.canopy_min_area))
+    return px.groupBy("image_id").agg(F.count_if("full").alias("filled"), F.count_if("large").alias("kept"))
 
 
 @query(f"""WITH RECURSIVE {sc.PX}, sup AS (SELECT *, (x * y + image_id) % 101 AS sp FROM px), {sc.labels("l", "px", "water")}, {sc.pixels_of("p", "l")},
@@ -165,16 +166,15 @@ s AS (SELECT image_id, label, count(*) AS area, sum(sp)::BIGINT AS sp FROM p JOI
 SELECT image_id, sum(area)::BIGINT AS verified FROM s WHERE area >= 0.02 * 3072 OR sp >= 45 * area GROUP BY image_id""")
 def verified_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of 2 % of the image, or of a mean support of 45 hundredths (integers, so sums are exact)."""
-    px = sc.scene_pixels(spark, sf_dir).withColumn("sp", (F.col("x") * F.col("y") + F.col("image_id")) % 101)
-    found = cc.pixels(cc.labelled_runs(px, "water"))
-    s = found.join(px.select("image_id", "y", "x", "sp"), stages.PIXEL).groupBy("image_id", "label").agg(F.count("*").alias("area"), F.sum("sp").alias("sp"))
-    return s.where((F.col("area") >= 0.02 * sc.W * sc.H) | (F.col("sp") >= 45 * F.col("area"))).groupBy("image_id").agg(F.sum("area").alias("verified"))
+    px = sc.scene_pixels(spark, sf_dir).withColumn("support", ((F.col("x") * F.col("y") + F.col("image_id")) % 101).cast("double"))
+    out = stages.verify_regions(px, replace(CFG, verify_support=45.0)).where("water")
+    return out.groupBy("image_id").agg(F.count("*").alias("verified"))
 
 
 @query(f"""WITH {sc.PX}, {sc.WATER_DISTANCE} SELECT image_id, sum(d2)::BIGINT AS d2_sum, max(d2)::BIGINT AS d2_max, sum(d2 * x)::BIGINT AS by_x FROM wd GROUP BY image_id""")
 def water_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = sc.scene_pixels(spark, sf_dir).withColumn("dry", ~F.col("water"))
-    out = distance.squared_distance(px, "dry", "d2", padded=False)
+    out = whole.add(px, d2=whole.squared("dry", padded=False))
     return out.groupBy("image_id").agg(F.sum("d2").alias("d2_sum"), F.max("d2").alias("d2_max"), F.sum(F.col("d2") * F.col("x")).alias("by_x"))
 
 
@@ -193,11 +193,22 @@ reg AS (
   SELECT image_id, label, area, "left", top, width, height, round(cx, 4) AS cx, round(cy, 4) AS cy, drop_x, drop_y, round(sqrt(d2), 2) AS clearance,
          round(least(sqrt(coalesce(w2, 1099511627776)::DOUBLE), sqrt(6400::DOUBLE)), 2) AS water_clearance FROM s JOIN best USING (image_id, label) WHERE area >= 20 AND d2 >= 4
 )"""
+_OPEN = f"""{_REGIONS}, {sc.outlines("per", "p", "reg")},
+compact AS (
+  SELECT reg.*, perimeter, 0.5::DOUBLE * greatest(1, least(width, height)) AS half,
+         CASE WHEN perimeter > 0 THEN least(1.0::DOUBLE, 4 * pi() * area / (perimeter * perimeter)) ELSE 0.0::DOUBLE END AS compact FROM reg JOIN per USING (image_id, label)
+), opened AS (
+  SELECT * EXCLUDE (half, compact), round(least(greatest(0.5::DOUBLE * least(1.0::DOUBLE, clearance / half) + 0.3::DOUBLE * compact + 0.2::DOUBLE * least(1.0::DOUBLE, area::DOUBLE / (width * height)), 0.0::DOUBLE), 1.0::DOUBLE), 4) AS openness FROM compact
+)"""
+
 
+def _zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.zoned(_candidate(spark, sf_dir), CFG)
 
-@query(f"WITH RECURSIVE {_REGIONS} SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY label) AS region_id, 3072 AS image_area FROM reg")
+
+@query(f"WITH RECURSIVE {_OPEN} SELECT * REPLACE (round(perimeter, 4) AS perimeter), row_number() OVER (PARTITION BY image_id ORDER BY label) AS region_id, 3072 AS image_area FROM opened")
 def candidate_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stages.regions(_candidate(spark, sf_dir), CFG, perimeter=False)
+    return stages.regions(_zoned(spark, sf_dir), CFG).withColumn("perimeter", F.round("perimeter", 4))
 
 
 @query(f"""WITH RECURSIVE {_REGIONS},
@@ -205,15 +216,24 @@ sc AS (SELECT image_id, label, round(100.0::DOUBLE * least(1.0::DOUBLE, (area /
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area_score DESC, water_score DESC, label) AS n FROM sc) WHERE n <= 3""")
 def best_open_land(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top three regions of each scene by area score, then by water score."""
-    reg = stages.regions(_candidate(spark, sf_dir), CFG, perimeter=False)
+    reg = stages.regions(_zoned(spark, sf_dir), CFG)
     out = reg.select("image_id", "label", F.round(scores.area_score(F.col("area"), F.col("image_area"), CFG.area_full_share), 1).alias("area_score"), F.round(scores.clearance_score(F.col("water_clearance"), CFG.clearance_full), 1).alias("water_score"))
     return out.select("*", stages.rank([F.desc("area_score"), F.desc("water_score"), F.col("label")], "n")).where("n <= 3")
 
 
-@query()
+_SCORED = f"""{_OPEN},
+parts AS (SELECT *, 100.0::DOUBLE * least(1.0::DOUBLE, (area / 3072::DOUBLE) / 0.06::DOUBLE) AS a, 100.0::DOUBLE * least(1.0::DOUBLE, water_clearance / 12.0::DOUBLE) AS c, 100.0::DOUBLE * openness AS o FROM opened),
+total AS (SELECT *, least(greatest(0.4::DOUBLE * a + 0.4::DOUBLE * c + 0.2::DOUBLE * o, 0.0::DOUBLE), 100.0::DOUBLE) AS f FROM parts),
+zone AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(f, 1) DESC, label) AS zone_id FROM total)"""
+
+
+@query(f"""WITH RECURSIVE {_SCORED}
+SELECT image_id, zone_id, label, area, drop_x, drop_y, clearance, water_clearance, openness, round(a, 1) AS area_score, round(c, 1) AS water_score, round(o, 1) AS openness_score, round(f, 1) AS final_score,
+       CASE WHEN f >= 80 THEN 'HIGH POTENTIAL' WHEN f >= 60 THEN 'MODERATE POTENTIAL' WHEN f >= 40 THEN 'LOW POTENTIAL' ELSE 'NOT RECOMMENDED' END AS classification FROM zone WHERE zone_id <= 3""")
 def top_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top three regions of each scene by the full score (perimeters are walked in Python)."""
-    return stages.top_zones(stages.scored(stages.regions(_candidate(spark, sf_dir), CFG), CFG), CFG)
+    """The top three regions of each scene by the full score."""
+    top = stages.top_zones(stages.scored(stages.regions(_zoned(spark, sf_dir), CFG), CFG), CFG)
+    return top.select("image_id", "zone_id", "label", "area", "drop_x", "drop_y", "clearance", "water_clearance", "openness", "area_score", "water_score", "openness_score", "final_score", "classification")
 
 
 @query(f"""WITH RECURSIVE {sc.PX}, {sc.labels("l", "px", "NOT water")}, {sc.pixels_of("p", "l")}, {sc.stats_of("s", "l")},
@@ -224,7 +244,7 @@ ring AS (SELECT DISTINCT p.image_id, p.label, p.y + dy AS y, p.x + dx AS x FROM
 con AS (SELECT r.image_id, r.label, count(*) AS n, count_if(px.water) AS wet FROM ring r JOIN px USING (image_id, y, x) ANTI JOIN p ON p.image_id = r.image_id AND p.label = r.label AND p.y = r.y AND p.x = r.x GROUP BY ALL),
 sco AS (SELECT isl.*, wet / n::DOUBLE AS touch, sqrt(d2::DOUBLE) AS apart, area / greatest(1, main_area)::DOUBLE AS share FROM isl JOIN gap USING (image_id, label) JOIN con USING (image_id, label)),
 fin AS (SELECT *, least(greatest(100.0::DOUBLE * (0.45::DOUBLE * touch + 0.35::DOUBLE * least(1.0::DOUBLE, apart / 20.0::DOUBLE) + 0.20::DOUBLE * (1.0::DOUBLE - least(1.0::DOUBLE, share))), 0.0::DOUBLE), 100.0::DOUBLE) AS score FROM sco)
-SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY round(score, 1) DESC, label) AS region_id, label, area, "left", top, width, height, round(touch, 4) AS water_contact, round(apart, 2) AS separation,
+SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY round(score, 1) DESC, label) AS region_id, label, area, "left", top, width, height, round(cx, 1) AS cx, round(cy, 1) AS cy, round(touch, 4) AS water_contact, round(apart, 2) AS separation,
        round(1.0::DOUBLE - least(1.0::DOUBLE, share), 4) AS relative_size, round(score, 1) AS isolation_score, CASE WHEN score >= 80 THEN 'HIGH ISOLATION' WHEN score >= 50 THEN 'MODERATE ISOLATION' ELSE 'LOW ISOLATION' END AS classification FROM fin""")
 def isolated_land(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.isolated_regions(sc.scene_pixels(spark, sf_dir), CFG)
@@ -234,10 +254,10 @@ _BAND = f"""{sc.PX}, {sc.WATER_DISTANCE}, b0 AS (SELECT px.*, coalesce(NOT water
 {sc.grown("b1", "b0", "band", "bool_and")}, {sc.grown("b2", "b1", "band")}"""
 
 
-@query(f"WITH {_BAND} SELECT image_id, count_if(shoreline) AS shoreline_pixels, count_if(shoreline AND canopy) AS canopy_excluded, count_if(b2.band) AS band_pixels FROM b0 JOIN b2 USING (image_id, y, x) GROUP BY image_id")
+@query(f"""WITH RECURSIVE {_BAND}, {sc.labels("l", "b2", "band")}, {sc.stats_of("s", "l")}
+SELECT image_id, count_if(shoreline) AS shoreline_pixels, count_if(shoreline AND canopy) AS canopy_excluded, coalesce((SELECT sum(area) FROM s WHERE s.image_id = b0.image_id AND area >= 8), 0)::BIGINT AS band_pixels FROM b0 GROUP BY image_id""")
 def supply_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    band = stages.supply_band(sc.scene_pixels(spark, sf_dir), CFG)
-    return band.groupBy("image_id").agg(F.count_if("shoreline").alias("shoreline_pixels"), F.count_if(F.col("shoreline") & F.col("canopy")).alias("canopy_excluded"), F.count_if("band").alias("band_pixels"))
+    return stages.band_totals(stages.supply_band(sc.scene_pixels(spark, sf_dir), CFG))
 
 
 @query(f"""WITH RECURSIVE {_BAND}, {sc.labels("l", "b2", "band")}, {sc.stats_of("s", "l")}, {sc.pixels_of("p0", "l")},
@@ -251,14 +271,14 @@ def supply_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _zones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The three largest regions of each scene, and the pixels."""
-    px = _candidate(spark, sf_dir)
-    reg = stages.regions(px, CFG, perimeter=False)
-    return reg.select("*", stages.rank([F.desc("area"), F.col("label")], "zone_id")).where("zone_id <= 3"), px
+    """The three largest regions of each scene, and the labelled pixels."""
+    zoned = _zoned(spark, sf_dir)
+    reg = cut(stages.regions(zoned, CFG), "regions")
+    return reg.select("*", stages.rank([F.desc("area"), F.col("label")], "zone_id")).where("zone_id <= 3"), zoned
 
 
 @query(f"""WITH RECURSIVE {_REGIONS},
-z AS (SELECT * FROM (SELECT image_id, label, drop_x AS cx, drop_y AS cy, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, label) AS zone_id FROM reg) WHERE zone_id <= 3),
+z AS (SELECT * FROM (SELECT image_id, label, drop_x AS cx, drop_y AS cy, water_clearance, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, label) AS zone_id FROM reg) WHERE zone_id <= 3),
 st AS (SELECT c.image_id, c.y, c.x, c.buffer, p.label AS own FROM cand c LEFT JOIN p USING (image_id, y, x)),
 bad AS (SELECT * FROM (SELECT z.image_id, z.zone_id, st.x, st.y, st.buffer, (st.x - cx) * (st.x - cx) + (st.y - cy) * (st.y - cy) AS d2, row_number() OVER (PARTITION BY z.image_id, zone_id ORDER BY (st.x - cx) * (st.x - cx) + (st.y - cy) * (st.y - cy), st.y, st.x) AS n
         FROM z JOIN st ON st.image_id = z.image_id AND abs(st.x - cx) <= 14 AND abs(st.y - cy) <= 14 AND NOT coalesce(st.own = z.label AND NOT st.buffer, false)) WHERE n = 1),
@@ -266,24 +286,21 @@ g AS (SELECT z.*, bad.d2, bad.x AS bx, bad.y AS byy, bad.buffer, least(cx, cy, 6
 k AS (SELECT *, coalesce(d2 > 0, true) AS ok, coalesce(border < sqrt(d2::DOUBLE), true) AS edge, CASE WHEN coalesce(border < sqrt(d2::DOUBLE), true) THEN border::DOUBLE ELSE sqrt(d2::DOUBLE) END AS gap,
       CASE WHEN cx + 1 = border THEN 0 WHEN cy + 1 = border THEN cx WHEN 64 - cx = border THEN 63 ELSE cx END AS sx, CASE WHEN cx + 1 = border THEN cy WHEN cy + 1 = border THEN 0 WHEN 64 - cx = border THEN cy ELSE 47 END AS sy FROM g),
 m AS (SELECT *, ceil(gap)::INTEGER - 2 AS raw FROM k)
-SELECT image_id, zone_id, cx, cy, CASE WHEN ok THEN greatest(0, least(raw, 12)) ELSE 0 END AS radius,
+SELECT image_id, zone_id, cx, cy, water_clearance, CASE WHEN ok THEN greatest(0, least(raw, 12)) ELSE 0 END AS radius,
        CASE WHEN NOT ok THEN 'center_invalid' WHEN raw > 12 THEN 'max_radius' WHEN edge THEN 'image_boundary' WHEN buffer THEN 'water_buffer' ELSE 'candidate_boundary' END AS limiting_factor,
        round(CASE WHEN ok THEN gap ELSE 0.0::DOUBLE END, 2) AS limiting_distance,
        (CASE WHEN ok AND raw > 12 THEN NULL WHEN ok AND edge THEN sx ELSE bx END)::INTEGER AS limit_x, (CASE WHEN ok AND raw > 12 THEN NULL WHEN ok AND edge THEN sy ELSE byy END)::INTEGER AS limit_y,
        CASE WHEN row_number() OVER (PARTITION BY image_id, cx, cy ORDER BY zone_id) > 1 THEN 'duplicate_center' WHEN NOT ok THEN 'center_in_excluded_area' WHEN greatest(0, least(raw, 12)) < 2 THEN 'radius_below_minimum' END AS not_viable FROM m""")
 def sensor_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones, px = _zones(spark, sf_dir)
-    return stages.sensor_zones(zones, px, CFG)
+    return stages.sensor_zones(*_zones(spark, sf_dir), CFG)
 
 
 @query()
 def drop_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedily spaced drop points on the rings of each circle (order-dependent: tested by invariants)."""
-    zones, px = _zones(spark, sf_dir)
-    px = px.persist()
-    zones = zones.persist()
-    circles = stages.sensor_zones(zones, px, CFG)
-    return stages.spaced(stages.drop_samples(stages.ring_samples(circles, CFG), zones, px, CFG), CFG)
+    zones, zoned = _zones(spark, sf_dir)
+    circles = stages.sensor_zones(zones, zoned, CFG)
+    return stages.spaced(stages.drop_samples(stages.ring_samples(circles, CFG), zones, zoned, CFG), CFG)
 
 
 # --- detector output: each embedding is an image of 16 anchors (4 box values each) -------
@@ -337,9 +354,21 @@ def detection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.class_counts(detect.candidates(anchors, im, cfg=CFG), im)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CANDIDATES},
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id, class_id ORDER BY confidence DESC, anchor_id) AS i FROM cand),
+step AS (
+  SELECT image_id, class_id, i, [struct_pack(anchor_id := anchor_id, x1 := x1, y1 := y1, x2 := x2, y2 := y2)] AS kept FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.image_id, r.class_id, r.i, CASE WHEN len(list_filter(s.kept, lambda k: greatest(least(k.x2, r.x2) - greatest(k.x1, r.x1), 0) * greatest(least(k.y2, r.y2) - greatest(k.y1, r.y1), 0)
+    > 0.7::DOUBLE * ((k.x2 - k.x1) * (k.y2 - k.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - greatest(least(k.x2, r.x2) - greatest(k.x1, r.x1), 0) * greatest(least(k.y2, r.y2) - greatest(k.y1, r.y1), 0)))) > 0
+    THEN s.kept ELSE list_append(s.kept, struct_pack(anchor_id := r.anchor_id, x1 := r.x1, y1 := r.y1, x2 := r.x2, y2 := r.y2)) END
+  FROM step s JOIN r ON r.image_id = s.image_id AND r.class_id = s.class_id AND r.i = s.i + 1
+),
+stay AS (SELECT image_id, class_id, unnest(kept).anchor_id AS anchor_id FROM step s WHERE i = (SELECT max(i) FROM r WHERE r.image_id = s.image_id AND r.class_id = s.class_id)),
+px AS (SELECT image_id, anchor_id, class_id, label, round(confidence, 4) AS confidence, round_even(x1, 0)::INTEGER AS x1, round_even(y1, 0)::INTEGER AS y1, round_even(x2, 0)::INTEGER AS x2, round_even(y2, 0)::INTEGER AS y2 FROM cand JOIN stay USING (image_id, class_id, anchor_id))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, class_id, anchor_id) AS n FROM px WHERE x2 > x1 AND y2 > y1) WHERE n <= 300""")
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes after greedy suppression (order-dependent: tested against brute force)."""
+    """Boxes after greedy suppression."""
     return detect.detections(detect.suppressed(detect.candidates(*_detector(spark, sf_dir), cfg=CFG), CFG), CFG)
 
 
@@ -374,28 +403,59 @@ SELECT vec_id, arg_min(c, (d2, c)) AS centre, min(d2) AS d2 FROM d GROUP BY vec_
 def nearest_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector's nearest of six centres (a stated set against all rows)."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", *[F.floor(F.element_at("embedding", j + 1).cast("double") * 100).alias(f"p{j}") for j in range(3)])
-    centres = e.where("vec_id < 6").agg(F.collect_list(F.struct(F.col("vec_id").alias("c"), "p0", "p1", "p2")).alias("centres"))  # six rows
-    gap = lambda c: sum((F.col(f"p{j}") - c[f"p{j}"]) * (F.col(f"p{j}") - c[f"p{j}"]) for j in range(3))
-    out = e.join(F.broadcast(centres)).withColumn("best", F.array_min(F.transform("centres", lambda c: F.struct(gap(c).alias("d2"), c["c"].alias("c")))))
-    return out.select("vec_id", F.col("best.c").alias("centre"), F.col("best.d2").alias("d2"))
+    e = e.select("vec_id", *[F.col(f"p{j}").alias(c) for j, c in enumerate(("cl", "ca", "cb"))])
+    six = F.array_sort(F.collect_list(F.struct("vec_id", "cl", "ca", "cb")))
+    out = e.join(F.broadcast(e.where("vec_id < 6").agg(six.alias("centres"))))  # six rows
+    best = stages.closest(F.col("centres"))
+    return out.select("vec_id", F.col("centres")[best["at"]]["vec_id"].alias("centre"), best["d2"].alias("d2"))
 
 
 @query()
 def scene_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour clusters of each scene's water (k-means: tested by what it accepts)."""
     px = sc.colour_pixels(spark, sf_dir)
-    light, a, b = colour.lab(F.col("b"), F.col("g"), F.col("r"))
-    seeds = px.where("support >= 0.5").select("image_id", "y", "x", (0.6 * light).alias("cl"), a.alias("ca"), b.alias("cb"))
-    return stages.scene_clusters(seeds)
+    px = stages.evidence(px.select("*", *[F.col(c).alias(f"a{c}") for c in "bgr"]))
+    return stages.scene_clusters(stages.scene_seeds(px, replace(CFG, seed_support=0.5)), CFG)
+
+
+_SEEDS = f"""{sc.RGB}, {CUES},
+seeds AS (SELECT image_id, count_if(evidence::FLOAT >= 0.45::FLOAT AND support >= 0.85::DOUBLE) AS n, count(*) AS pixels FROM lik GROUP BY image_id)"""
+
+
+@query(f"WITH {_SEEDS} SELECT image_id, n AS seeds FROM seeds WHERE n >= 0.02 * pixels AND n > 0")
+def sure_water(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds of the colour model in the scenes that have enough of them."""
+    px = sc.colour_pixels(spark, sf_dir)
+    px = stages.evidence(px.select("*", *[F.col(c).alias(f"a{c}") for c in "bgr"]))
+    return stages.scene_seeds(px, CFG).groupBy("image_id").agg(F.count("*").alias("seeds"))
+
+
+_CENTRES = "SELECT s_suppkey AS image_id, c, (20 + (s_suppkey * 7 + c * 13) % 40) AS cl, ((s_suppkey * 5 + c * 11) % 37 - 18) AS ca, ((s_suppkey * 3 + c * 17) % 41 - 12) AS cb, (1 + (s_suppkey * 19 + c * 23) % 97) AS n"
+
+
+@query(f"""WITH RECURSIVE k AS ({_CENTRES} FROM supplier, range(6) t(c)), f AS (SELECT image_id, arg_max(c, (n, -c)) AS first FROM k GROUP BY image_id),
+g AS (SELECT k.*, first, p.cl AS cl0 FROM k JOIN f USING (image_id) JOIN k p ON p.image_id = k.image_id AND p.c = f.first),
+acc AS (SELECT image_id, c FROM g WHERE c = first OR cb <= -8
+        UNION SELECT g.image_id, g.c FROM acc JOIN k a ON a.image_id = acc.image_id AND a.c = acc.c JOIN g ON g.image_id = acc.image_id
+        WHERE (g.ca - a.ca) * (g.ca - a.ca) + (g.cb - a.cb) * (g.cb - a.cb) <= 169 AND g.cl / 0.6::DOUBLE <= cl0 / 0.6::DOUBLE + 18)
+SELECT k.image_id, k.c, acc.c IS NOT NULL AS accepted FROM k LEFT JOIN acc ON acc.image_id = k.image_id AND acc.c = k.c""")
+def accepted_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of six given clusters belong to a scene's water, by a chain through accepted ones."""
+    k = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("c"))
+    k = k.selectExpr(*_CENTRES.removeprefix("SELECT ").split(", "))
+    return stages.accepted(k).select("image_id", "c", "accepted")
 
 
 @query()
 def scene_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested report for each scene."""
-    px = _candidate(spark, sf_dir).persist()
-    zones = stages.top_zones(stages.scored(stages.regions(px, CFG), CFG), CFG).persist()
-    sensors = stages.sensor_zones(zones, px, CFG)
-    segments = stages.supply_segments(stages.supply_band(px, CFG), CFG)
-    isolated = stages.isolated_regions(px, CFG)
-    summary = report.summary(stages.coverage(px), zones, sensors, segments, isolated, CFG)
-    return report.report(summary, zones, sensors, segments, isolated, CFG)
+    made = analysis.of_masks(sc.scene_pixels(spark, sf_dir), CFG)
+    return report.report(made.summary, made.zones, made.sensors, made.segments, made.isolated, CFG)
+
+
+@query()
+def scene_water(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Water of the coloured scenes by the whole chain: softened and equalised copy, cues,
+    texture, scene colours, cleaning (k-means: tested on drawn scenes)."""
+    px = analysis.analysis_copy(sc.colour_pixels(spark, sf_dir).drop("support"))
+    return stages.coverage(stages.detect_water(stages.stored(px, "copy"), CFG)[0])

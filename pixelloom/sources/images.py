@@ -36,24 +36,31 @@ def upload_status(name: Column, mime: Column, length: Column, cfg: Config = Conf
     )
 
 
-def image_files(spark: SparkSession, path: str, cfg: Config = Config()) -> DataFrame:
-    """(image_id, status, bytes) of the files under ``path``; file contents are not read."""
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def image_files(spark: SparkSession, path: str, cfg: Config = Config(), manifest: DataFrame | None = None) -> DataFrame:
+    """(image_id, status, bytes) of the files under ``path``; file contents are not read.
+
+    Scans pass over empty files. A ``manifest`` (image_id, bytes) of what was uploaded tells
+    of these, and of files that are missing; without one, the names that Spark has listed
+    for the scan do, which the driver holds anyway."""
     source = spark.read.format("binaryFile").load(path)
     files = source.select(F.col("path").alias("image_id"), F.col("length").alias("bytes"))
-    # scans pass over empty files; the names that Spark has listed tell of them
-    listed = spark.createDataFrame([(f,) for f in source.inputFiles()], "name string").select(F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B"))).alias("image_id"))
-    plain = F.regexp_replace("image_id", "^file:/+", "file:/")
-    empty = listed.select(plain.alias("image_id"), F.lit(0).cast("long").alias("bytes")).join(files.select(plain.alias("image_id")), "image_id", "left_anti")
-    files = files.unionByName(empty)
+    if manifest is None:
+        listed = spark.createDataFrame([(f,) for f in source.inputFiles()], "name string").select(F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B"))).alias("image_id"))
+        manifest = listed.select("image_id", F.lit(0).cast("long").alias("bytes"))
+    absent = manifest.select(_plain(F.col("image_id")).alias("image_id"), F.lit(0).cast("long").alias("bytes")).join(files.select(_plain(F.col("image_id")).alias("image_id")), "image_id", "left_anti")
+    files = files.unionByName(absent)
     return files.withColumn("status", upload_status(F.col("image_id"), F.lit(""), F.col("bytes"), cfg))
 
 
-def decoded_images(spark: SparkSession, path: str, cfg: Config = Config()) -> DataFrame:
+def decoded_images(spark: SparkSession, path: str, cfg: Config = Config(), manifest: DataFrame | None = None) -> DataFrame:
     """(image_id, status, w, h, channels, data) of the acceptable files under ``path``."""
     raw = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
-    files = image_files(spark, path, cfg)
-    same = F.regexp_replace("origin", "^file:/+", "file:/")
-    out = files.join(raw.select(same.alias("_o"), "height", "width", "nChannels", "data"), F.regexp_replace("image_id", "^file:/+", "file:/") == F.col("_o"), "left")
+    files = image_files(spark, path, cfg, manifest)
+    out = files.join(raw.select(_plain(F.col("origin")).alias("_o"), "height", "width", "nChannels", "data"), _plain(F.col("image_id")) == F.col("_o"), "left")
     size = F.least("height", "width")
     status = F.when(F.col("status") != "OK", F.col("status")).when(F.coalesce(F.col("height"), F.lit(-1)) <= 0, "CORRUPT_IMAGE").when(size < cfg.min_side, "IMAGE_TOO_SMALL").otherwise("OK")
     return out.select("image_id", "bytes", status.alias("status"), F.col("width").alias("w"), F.col("height").alias("h"), F.col("nChannels").alias("channels"), "data")
@@ -75,6 +82,23 @@ def area_weights(n: int, m: int) -> np.ndarray:
     return overlap * m / n
 
 
+def linear_weights(n: int, m: int) -> np.ndarray:
+    """m x n matrix of linear interpolation between pixel centres, for scaling up."""
+    at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+    low = np.floor(at).astype(int)
+    out = np.zeros((m, n))
+    out[np.arange(m), low] = 1 - (at - low)
+    out[np.arange(m), np.minimum(low + 1, n - 1)] += at - low
+    return out
+
+
+def resized(a: np.ndarray, h: int, w: int) -> np.ndarray:
+    """An H x W x 3 array at another size: by area where it shrinks, linear where it grows."""
+    weights = [(area_weights if m <= n else linear_weights)(n, m) for n, m in zip(a.shape[:2], (h, w), strict=True)]
+    rows = np.tensordot(weights[0], a.astype(float), axes=(1, 0))
+    return np.floor(np.tensordot(weights[1], rows, axes=(1, 1)).transpose(1, 0, 2) + 0.5).astype(np.uint8)
+
+
 def pixels(images: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Pixel rows of the images that are OK, scaled down by area to at most ``max_side``."""
 
@@ -84,13 +108,12 @@ def pixels(images: DataFrame, cfg: Config = Config()) -> DataFrame:
                 a = np.frombuffer(row.data, np.uint8).reshape(row.h, row.w, row.channels)[:, :, :3]
                 a = np.repeat(a, 3, axis=2) if row.channels == 1 else a
                 if (row.new_h, row.new_w) != (row.h, row.w):
-                    rows = np.tensordot(area_weights(row.h, row.new_h), a.astype(float), axes=(1, 0))
-                    a = np.floor(np.tensordot(area_weights(row.w, row.new_w), rows, axes=(1, 1)).transpose(1, 0, 2) + 0.5).astype(np.uint8)
+                    a = resized(a, row.new_h, row.new_w)
                 y, x = np.divmod(np.arange(row.new_h * row.new_w), row.new_w)
                 flat = a.reshape(-1, 3).astype(np.int16)
                 yield pd.DataFrame({"image_id": row.image_id, "y": y.astype(np.int32), "x": x.astype(np.int32), "w": np.int32(row.new_w), "h": np.int32(row.new_h), "b": flat[:, 0], "g": flat[:, 1], "r": flat[:, 2]})
 
-    return processed_size(images.where("status = 'OK'"), cfg).mapInPandas(run, PIXELS)
+    return processed_size(images.where("status = 'OK'"), cfg).mapInPandas(run, PIXELS).repartition("image_id")
 
 
 def png(pixels_: np.ndarray) -> bytes:
@@ -128,11 +151,3 @@ def dimmed(px: DataFrame) -> DataFrame:
 
     level = F.floor(0.55 * gray(F.col("b"), F.col("g"), F.col("r")) + 0.5).cast("short")
     return px.withColumns({c: level for c in "bgr"})
-
-
-def circles(px: DataFrame, zones: DataFrame, bgr: tuple[int, int, int], alpha: float = 0.3) -> DataFrame:
-    """Fill the viable sensor circles; ``zones`` has a few rows an image."""
-    viable = zones.where("not_viable is null").groupBy("image_id").agg(F.collect_list(F.struct("cx", "cy", "radius")).alias("_zones"))
-    within = F.exists("_zones", lambda z: (F.col("x") - z["cx"]) * (F.col("x") - z["cx"]) + (F.col("y") - z["cy"]) * (F.col("y") - z["cy"]) <= z["radius"] * z["radius"])
-    out = px.join(viable, "image_id", "left").withColumn("_in", F.coalesce(within, F.lit(False)))
-    return tint(out, "_in", bgr, alpha).drop("_in", "_zones")

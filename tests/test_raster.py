@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pixelloom.config import Config, mini
 from pixelloom.functions import colour, scores
 from pixelloom.operators import components as cc
-from pixelloom.operators import detect, distance, report, stages, windows
-from pixelloom.sources import images
+from pixelloom.operators import detect, stages, whole, windows
+from pixelloom.plans import analysis
+from pixelloom.sources import images, views
 
 CFG = Config()
 
@@ -44,14 +45,14 @@ def brute_labels(mask):
     for y, x in zip(*np.nonzero(mask), strict=True):
         if out[y, x] >= 0:
             continue
-        todo, out[y, x] = [(y, x)], y * 1000 + x
+        todo, out[y, x] = [(y, x)], y * whole.LINE + x
         while todo:
             a, b = todo.pop()
             for dy in (-1, 0, 1):
                 for dx in (-1, 0, 1):
                     p, q = a + dy, b + dx
                     if 0 <= p < mask.shape[0] and 0 <= q < mask.shape[1] and mask[p, q] and out[p, q] < 0:
-                        out[p, q] = y * 1000 + x
+                        out[p, q] = y * whole.LINE + x
                         todo.append((p, q))
     return out
 
@@ -59,10 +60,11 @@ def brute_labels(mask):
 @pytest.mark.parametrize("share", [0.3, 0.5, 0.7])
 def test_components(spark, share):
     mask = np.random.default_rng(int(share * 10)).random((40, 33)) < share
-    got = cc.pixels(cc.labelled_runs(frame(spark, m=mask), "m", width=1000))
+    got = cc.labelled(frame(spark, m=mask), "m").persist()
     want = brute_labels(mask)
-    assert {(r.y, r.x): r.label for r in got.collect()} == {(y, x): want[y, x] for y, x in zip(*np.nonzero(mask), strict=True)}
-    stat = {r.label: r for r in cc.stats(cc.labelled_runs(frame(spark, m=mask), "m", width=1000)).collect()}
+    assert {(r.y, r.x): r.label for r in got.where("label is not null").collect()} == {(y, x): want[y, x] for y, x in zip(*np.nonzero(mask), strict=True)}
+    stat = {r.label: r for r in cc.stats(got).collect()}
+    got.unpersist()
     for label in np.unique(want[want >= 0]):
         y, x = np.nonzero(want == label)
         s = stat[label]
@@ -70,20 +72,79 @@ def test_components(spark, share):
         assert math.isclose(s.cx, x.mean()) and math.isclose(s.cy, y.mean())
 
 
+def walked(mask):
+    """Length of the outer boundary, walked pixel by pixel with the background on the left."""
+    steps = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))  # clockwise from the east
+    inside = set(zip(*(a.tolist() for a in np.nonzero(mask)), strict=True))
+    at, heading, length, first = min(inside), 0, 0.0, None
+    while True:
+        for turn in range(8):
+            d = (heading + 6 + turn) % 8
+            nxt = (at[0] + steps[d][0], at[1] + steps[d][1])
+            if nxt in inside:
+                break
+        else:
+            return 0.0
+        if first is None:
+            first = (at, d)
+        elif (at, d) == first:
+            return length
+        length += 1.0 if d % 2 == 0 else 2**0.5
+        at, heading = nxt, d
+
+
 def test_perimeters(spark):
     mask = np.zeros((12, 30), bool)
     mask[1, 1] = mask[3:6, 3:7] = True
     mask[9, 2:9] = True  # a line is walked there and back
     mask[2:5, 20:23] = True
     mask[3, 21] = False  # a hole does not count
-    got = {r.label: r.perimeter for r in cc.perimeters(cc.labelled_runs(frame(spark, m=mask), "m", width=1000)).collect()}
-    assert got == {1001: 0.0, 3003: 10.0, 9002: 12.0, 2020: 8.0}
+    rows = whole.add(frame(spark, m=mask), p=whole.perimeters("m")).where("p is not null").select("y", "x", "p").collect()
+    got = {(r.y, r.x): r.p for r in rows}
+    assert (got[1, 1], got[3, 3], got[9, 5], got[4, 22]) == (0.0, 10.0, 12.0, 8.0) and len(got) == mask.sum()
+
+
+def test_outlines_are_the_walk():
+    rng = np.random.default_rng(8)
+    for share in (0.3, 0.45, 0.6, 0.8):
+        for _ in range(40):
+            found = whole.label((rng.random((9, 11)) < share)[None])[0]
+            for number in np.unique(found[found >= 0]):
+                part = found == number
+                assert math.isclose(whole.outline_length(part), walked(part), abs_tol=1e-9)
+
+
+def test_four_neighbours():
+    mask = np.array([[1, 0, 1], [0, 1, 0], [1, 1, 0]], bool)
+    assert whole.label(mask[None], reach=0)[0].tolist() == [[0, -1, 2], [-1, 4, -1], [4 + 2 - 2 + 2 - 2, 4, -1]] or whole.label(mask[None], reach=0)[0].tolist() == [[0, -1, 2], [-1, 4, -1], [4, 4, -1]]
+
+
+def test_images_must_be_whole(spark):
+    px = frame(spark, m=np.ones((3, 4), bool)).where("not (y = 1 and x = 2)")
+    with pytest.raises(Exception, match="full rectangle"):
+        whole.add(px, label=whole.labels("m")).collect()
+
+
+def test_images_of_all_shapes_at_once(spark):
+    rng = np.random.default_rng(2)
+    masks = {i: rng.random((rng.integers(1, 9), rng.integers(1, 12))) < 0.5 for i in range(30)}
+    px = frame(spark, m=masks[0]).where("false")
+    for i, m in masks.items():
+        px = px.union(frame(spark, m=m).withColumn("image_id", F.lit(i)))
+    out = whole.add(px, label=whole.labels("m"), d=whole.squared("m", padded=True)).groupBy("image_id").agg(F.count_distinct("label").alias("n"), F.sum("d").alias("d"))
+    got = {r.image_id: (r.n, r.d) for r in out.collect()}
+    for i, m in masks.items():
+        labels = brute_labels(m)
+        zy, zx = np.nonzero(~np.pad(m, 1, constant_values=False))
+        y, x = np.nonzero(np.ones(m.shape))
+        d = ((y[:, None] + 1 - zy) ** 2 + (x[:, None] + 1 - zx) ** 2).min(axis=1)
+        assert got[i] == (len(np.unique(labels[labels >= 0])), d.sum())
 
 
 @pytest.mark.parametrize("padded", [True, False])
 def test_distance(spark, padded):
     mask = np.random.default_rng(7).random((23, 31)) < 0.93
-    got = array(distance.squared_distance(frame(spark, m=mask), "m", "d", padded), "d", mask.shape, int)
+    got = array(whole.add(frame(spark, m=mask), d=whole.squared("m", padded)), "d", mask.shape, int)
     big = np.pad(mask, 1, constant_values=not padded)
     zy, zx = np.nonzero(~big)
     y, x = np.mgrid[1:24, 1:32]
@@ -92,7 +153,7 @@ def test_distance(spark, padded):
 
 
 def test_distance_without_water(spark):
-    out = distance.water_distance(frame(spark, water=np.zeros((6, 8), bool)), "water", "d")
+    out = whole.add(frame(spark, water=np.zeros((6, 8), bool)), d=whole.distance_to("water"))
     assert {r.d for r in out.collect()} == {10.0}
 
 
@@ -132,13 +193,18 @@ def test_edges(spark):
 def test_holes(spark):
     mask = np.ones((20, 20), bool)
     mask[5:7, 5:8] = mask[0:2, 10] = mask[12:16, 12:16] = False
-    out = array(cc.fill_holes(frame(spark, m=mask), "m", 6), "m", mask.shape)
+    out = array(whole.add(frame(spark, m=mask), f=whole.filled("m", 6)), "f", mask.shape)
     assert out[5:7, 5:8].all() and not out[0:2, 10].any() and not out[12:16, 12:16].any()
 
 
-def sensor(spark, valid, cx, cy, buffer=None, cfg=CFG):
-    px = frame(spark, candidate=valid, buffer=np.zeros_like(valid) if buffer is None else buffer)
-    label = [r.label for r in cc.pixels(cc.labelled_runs(px, "candidate")).where(f"y = {cy} and x = {cx}").collect()] or [-1]
+def zoned(spark, cfg=CFG, **masks):
+    water = np.zeros(next(iter(masks.values())).shape, bool)
+    return stages.zoned(frame(spark, **({"water": water} | masks)), cfg)
+
+
+def sensor(spark, valid, cx, cy, cfg=CFG):
+    px = zoned(spark, cfg, candidate=valid, buffer=np.zeros_like(valid))
+    label = [r.label for r in px.where(f"y = {cy} and x = {cx} and label is not null").collect()] or [-1]
     zones = spark.createDataFrame([(1, 1, cx, cy, label[0])], "image_id int, zone_id int, drop_x int, drop_y int, label long")
     return stages.sensor_zones(zones, px, cfg).first()
 
@@ -171,8 +237,8 @@ def test_radius_is_brute_force(spark):
 
 def test_buffer_limits(spark):
     water = disc(400, 400, 200, 110, 10) | disc(400, 400, 330, 200, 10)
-    px = stages.candidate_mask(frame(spark, water=water, canopy=np.zeros_like(water)), CFG)
-    found = cc.pixels(cc.labelled_runs(px, "candidate")).where("y = 200 and x = 200").first().label
+    px = stages.zoned(stages.candidate_mask(frame(spark, water=water, canopy=np.zeros_like(water)), CFG), CFG)
+    found = px.where("y = 200 and x = 200").first().label
     zones = spark.createDataFrame([(1, 1, 200, 200, found), (1, 2, 200, 200, found)], "image_id int, zone_id int, drop_x int, drop_y int, label long")
     got = {r.zone_id: r for r in stages.sensor_zones(zones, px, CFG).collect()}
     assert got[1].limiting_factor == "water_buffer" and got[1].limit_y < 200 and got[2].not_viable == "duplicate_center"
@@ -181,7 +247,7 @@ def test_buffer_limits(spark):
 def test_water_keeps_its_distance(spark):
     water = np.zeros((200, 300), bool)
     water[:, :110] = True
-    px = stages.candidate_mask(frame(spark, water=water, canopy=np.zeros_like(water)), CFG)
+    px = stages.zoned(stages.candidate_mask(frame(spark, water=water, canopy=np.zeros_like(water)), CFG), CFG)
     zones = stages.top_zones(stages.scored(stages.regions(px, CFG), CFG), CFG)
     circle = stages.sensor_zones(zones, px, CFG).first()
     assert circle.cx - circle.radius > 110 + 17
@@ -195,7 +261,7 @@ def test_ring_radii(spark):
 def test_drop_points(spark):
     water = np.zeros((220, 220), bool)
     water[:, :20] = True
-    px = stages.candidate_mask(frame(spark, water=water, canopy=np.zeros_like(water)), CFG)
+    px = stages.zoned(stages.candidate_mask(frame(spark, water=water, canopy=np.zeros_like(water)), CFG), CFG)
     zones = stages.top_zones(stages.scored(stages.regions(px, CFG), CFG), CFG)
     circles = stages.sensor_zones(zones, px, CFG)
     samples = stages.ring_samples(circles, CFG)
@@ -203,6 +269,14 @@ def test_drop_points(spark):
     judged = stages.drop_samples(samples, zones, px, CFG)
     points = stages.spaced(judged, CFG).orderBy("drop_id").collect()
     c = circles.first()
+    for p in points:
+        assert abs(p.score - (0.4 * p.clearance_score + 0.3 * p.water_clearance_score + 0.3 * p.proximity_score)) <= 0.11
+    # one distance for all zones is each zone's own
+    valid = array(px.where(f"label = {zones.first().label}"), "label", water.shape, int) > 0
+    valid &= ~array(px, "buffer", water.shape)
+    zy, zx = np.nonzero(~np.pad(valid, 1))
+    for p in points:
+        assert abs(p.clearance - math.sqrt(((zx - 1 - p.x) ** 2 + (zy - 1 - p.y) ** 2).min())) < 0.006
     assert 2 <= len(points) <= 8
     assert [p.score for p in points] == sorted((p.score for p in points), reverse=True)
     at = [(c.cx, c.cy)] + [(p.x, p.y) for p in points]
@@ -228,8 +302,9 @@ def test_supply_band(spark):
 
 def test_all_water(spark):
     water = np.ones((70, 70), bool)
-    px = stages.candidate_mask(frame(spark, water=water, canopy=~water), CFG)
-    assert stages.regions(px, CFG).count() == 0 and stages.isolated_regions(px, CFG).count() == 0
+    made = analysis.of_masks(frame(spark, water=water, canopy=~water), CFG)
+    row = made.summary.first()
+    assert (row.regions, row.zones, row.sensors, row.segments, row.isolated, row.water_pct) == (0, 0, 0, 0, 0, 100.0)
 
 
 def test_published_arithmetic(spark):
@@ -264,18 +339,99 @@ def test_muddy_water(spark):
     img = np.tile(np.array([55, 85, 105]), (100, 150, 1)) + rng.normal(0, 3, (100, 150, 3))
     img[35:70, 50:105] = (165, 195, 212) + rng.normal(0, 3, (35, 55, 3))
     img = img.clip(0, 255).astype(int)
-    px = frame(spark, ab=img[..., 0], ag=img[..., 1], ar=img[..., 2])
-    sup = stages.support_map(px, CFG).persist()
-    light, a, b = colour.lab(F.col("ab"), F.col("ag"), F.col("ar"))
-    lab = sup.withColumn("cl", 0.6 * light).withColumn("ca", a).withColumn("cb", b)
-    first = stages.water_mask(sup, CFG)
-    seeds = lab.where((colour.likelihood(F.col("ab"), F.col("ag"), F.col("ar"), F.col("support")) >= 0.45) & (F.col("support") >= 0.85))
-    clusters = stages.scene_clusters(seeds.select("image_id", "y", "x", "cl", "ca", "cb")).persist()
-    water = array(stages.water_mask(stages.scene_match(lab, clusters), CFG), "water", (100, 150))
+    planes = dict(zip("bgr", (img[..., 0], img[..., 1], img[..., 2]), strict=True))
+    seen, model = stages.detect_water(frame(spark, **planes, **{f"a{c}": v for c, v in planes.items()}), CFG)
+    water = array(seen, "water", (100, 150))
     outside = np.ones((100, 150), bool)
     outside[30:75, 45:110] = False
-    assert water[outside].mean() > 0.95 and array(first, "water", (100, 150))[outside].mean() > 0.95
-    assert water[42:63, 57:98].mean() < 0.05
+    assert water[outside].mean() > 0.95 and water[42:63, 57:98].mean() < 0.05
+    assert model.first().scene_model is True and model.first().rejected > 0
+
+
+def test_scene_colours_by_hand():
+    cfg = CFG
+    #               the largest   near, a bit lighter   near, much lighter   through the second   blue     far
+    centres = np.array([[30.0, 0, 10], [38.0, 8, 18], [42.0, 1, 10], [20.0, 14, 25], [50.0, 20, -9], [30.0, 40, 40]])
+    share = np.array([0.4, 0.1, 0.1, 0.1, 0.1, 0.25])
+    # 8 / 0.6 = 13.3 lighter is near enough, 12 / 0.6 = 20 is not; a fifth of the seeds alone is no reason
+    assert stages.accepted_clusters(centres, share, cfg).tolist() == [True, True, False, True, True, False]
+
+
+def test_no_model_without_seeds(spark):
+    rng = np.random.default_rng(1)
+    img = (60, 150, 90) + rng.normal(0, 30, (40, 50, 3))
+    planes = dict(zip("bgr", (img.clip(0, 255).astype(int)[..., i] for i in range(3)), strict=True))
+    seen, model = stages.detect_water(frame(spark, **planes, **{f"a{c}": v for c, v in planes.items()}), CFG)
+    assert not array(seen, "water", (40, 50)).any() and model.first().scene_model is False
+
+
+def test_primary_share(spark):
+    # six equal clusters: none has a fifth of the seeds
+    rows = [(1, i, c, 60.0 * c + (i % 3) * 0.01, 0.0, 0.0) for c in range(6) for i in range(100)]
+    seeds = spark.createDataFrame(rows, "image_id int, y int, x int, cl double, ca double, cb double")
+    assert stages.scene_clusters(seeds).count() == 0
+    assert stages.scene_clusters(seeds.union(seeds.where("x = 2").withColumn("y", F.col("y") + 500))).count() > 0
+
+
+def test_canopy_over_water_counts_whole(spark):
+    """A stand is judged by its size before the water is taken off."""
+    rng = np.random.default_rng(3)
+    img = np.clip((50, 120, 60) + rng.normal(0, 40, (60, 60, 3)), 0, 255).astype(int)
+    img[:, 30:] = (200, 200, 200)
+    water = np.zeros((60, 60), bool)
+    water[:, :20] = True
+    px = frame(spark, b=img[..., 0], g=img[..., 1], r=img[..., 2], water=water)
+    from dataclasses import replace
+
+    out = array(stages.canopy_mask(px, replace(CFG, canopy_min_area=1200)), "canopy", (60, 60))
+    assert out[:, 22:26].mean() > 0.8 and not out[:, :20].any()
+
+
+def test_contrast():
+    rng = np.random.default_rng(4)
+    v = np.clip(rng.normal(90, 8, (1, 64, 80)), 0, 255).astype(np.int64)
+    out = whole.equalised("v").values(lambda c: v)
+    th, tw = 8, 10
+    most = max(1, int(2.0 * th * tw / 256))
+
+    def curve(tile):
+        counts = [0] * 256
+        for p in tile.ravel():
+            counts[p] += 1
+        excess = sum(max(0, n - most) for n in counts)
+        counts = [min(n, most) + excess // 256 for n in counts]
+        left = excess % 256
+        step = max(256 // max(left, 1), 1)
+        for b in range(0, 256, step):
+            if left == 0:
+                break
+            counts[b] += 1
+            left -= 1
+        total, table = 0, []
+        for n in counts:
+            total += n
+            table.append(min(255, math.floor(total * 255 / (th * tw) + 0.5)))
+        return table
+
+    curves = [[curve(v[0, i * th : (i + 1) * th, j * tw : (j + 1) * tw]) for j in range(8)] for i in range(8)]
+    clamp = lambda i: min(7, max(0, i))
+    for y in range(0, 64, 5):
+        for x in range(0, 80, 7):
+            fy, fx = y / th - 0.5, x / tw - 0.5
+            i, j = math.floor(fy), math.floor(fx)
+            fy, fx = fy - i, fx - j
+            at = lambda a, b: curves[clamp(a)][clamp(b)][v[0, y, x]]  # noqa: B023, E731
+            want = (at(i, j) * (1 - fx) + at(i, j + 1) * fx) * (1 - fy) + (at(i + 1, j) * (1 - fx) + at(i + 1, j + 1) * fx) * fy
+            assert abs(out[0, y, x] - want) <= 0.5 + 1e-9
+
+
+def test_lab_and_back(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([tuple(int(x) for x in row) for row in rng.integers(0, 256, (200, 3))], "b int, g int, r int")
+    back = colour.from_lab8(*colour.lab8(F.col("b"), F.col("g"), F.col("r")))
+    rows = df.select("b", "g", "r", *[c.alias(n) for c, n in zip(back, ("b2", "g2", "r2"), strict=True)]).collect()
+    assert max(abs(x - y) for r in rows for x, y in zip(r[:3], r[3:], strict=True)) <= 20  # dark blues are coarse in 8 bits
+    assert sum(abs(x - y) for r in rows for x, y in zip(r[:3], r[3:], strict=True)) / len(rows) < 5
 
 
 def test_suppression(spark):
@@ -343,16 +499,83 @@ def test_views(spark):
 
 
 def test_report(spark):
+    import json
+
     water = disc(48, 64, 30, 20, 6)
     cfg = mini()
-    px = stages.candidate_mask(frame(spark, water=water, canopy=np.zeros_like(water)), cfg)
-    zones = stages.top_zones(stages.scored(stages.regions(px, cfg), cfg), cfg)
-    sensors, seg, iso = stages.sensor_zones(zones, px, cfg), stages.supply_segments(stages.supply_band(px, cfg), cfg), stages.isolated_regions(px, cfg)
-    doc = report.report(report.summary(stages.coverage(px), zones, sensors, seg, iso, cfg), zones, sensors, seg, iso, cfg).first().doc
+    made = analysis.of_masks(frame(spark, water=water, canopy=np.zeros_like(water)), cfg)
+    found = spark.createDataFrame([(1, 1, "car", 0.5, 1, 2, 3, 4)], "image_id int, n int, label string, confidence double, x1 int, y1 int, x2 int, y2 int")
+    counts = spark.createDataFrame([(1, {"car": 1})], "image_id int, counts map<string,int>")
+    from pixelloom.operators import report
+
+    doc = json.loads(report.report(made.summary, made.zones, made.sensors, made.segments, made.isolated, cfg, found, counts).first().doc)
+    assert len(doc["zones"]) == doc["metrics"]["candidate_regions"] == 1 and doc["isolated_regions"] == [] and doc["warnings"] == ["No isolated land region was found."]
+    zone, circle, supply = doc["zones"][0], doc["sensor_zones"][0], doc["supply_zone"]
+    assert circle["zone_id"] == zone["id"] == 1 and circle["score"] == zone["score"] and circle["center"] == zone["max_clearance_point"]
+    assert doc["sensor_analysis"] == {"evaluated": 1, "viable": 1, "not_viable": []}
+    assert supply["pixel_area"] == sum(x["pixel_area"] for x in supply["segments"]) and abs(sum(x["share_of_band"] for x in supply["segments"]) - 100) < 1
+    assert doc["ai"] == {"status": "active", "detections": [{"label": "car", "confidence": 0.5, "bbox": {"x1": 1, "y1": 2, "x2": 3, "y2": 4}, "n": 1}], "counts": {"car": 1}}
+    assert doc["parameters"]["scene_colour_model"] is False and doc["metrics"]["water_percentage"] == round(100 * water.sum() / water.size, 2)
+
+
+def test_files_to_reports(spark, tmp_path):
+    """Image files in, one row each out: reports with drawings, or the reason why not."""
+    import base64
     import json
 
-    doc = json.loads(doc)
-    assert len(doc["candidate_zones"]) == doc["zones"] == 1 and doc["isolated_regions"] == [] and doc["warnings"] == ["No isolated land region was found."]
+    rng = np.random.default_rng(7)
+    img = np.clip((60, 110, 70) + rng.normal(0, 18, (96, 128, 3)), 0, 255)
+    img[40:60] = (58, 96, 128) + rng.normal(0, 2, (20, 128, 3))
+    write_png(tmp_path / "river.png", img.clip(0, 255).astype(np.uint8))
+    write_png(tmp_path / "tiny.png", img[:32, :32].astype(np.uint8))
+    from dataclasses import replace
+
+    cfg = replace(mini(), water_open=3, water_close=3)
+    out = analysis.analyse(spark, str(tmp_path), cfg, drawn=("water_mask", "final_analysis"))
+    rows = {r.image_id.rsplit("/", 1)[1]: r for r in out.collect()}
+    assert {n: r.status for n, r in rows.items()} == {"river.png": "OK", "tiny.png": "IMAGE_TOO_SMALL"}
+    assert rows["tiny.png"].doc is None and rows["tiny.png"].water_mask is None
+    doc = json.loads(rows["river.png"].doc)
+    assert doc["image_info"] == {"original_width": 128, "original_height": 96, "processed_width": 128, "processed_height": 96, "scale": 1.0}
+    assert 10 < doc["metrics"]["water_percentage"] < 35
+    for name in ("water_mask", "final_analysis"):
+        assert base64.b64decode(rows["river.png"][name]).startswith(b"\x89PNG")
+
+
+def test_lines(spark):
+    mask = np.zeros((20, 30), bool)
+    mask[5:15, 6:26] = True
+    mask[0:4, 0:4] = True  # along the frame
+    px = frame(spark, m=mask, b=np.zeros((20, 30)), g=np.zeros((20, 30)), r=np.zeros((20, 30)))
+    line = array(views.line_layer(px, "m", "l"), "l", mask.shape)
+    want = np.zeros_like(mask)
+    want[5:15, 6:26] = True
+    want[6:14, 7:25] = False
+    want[2, 3] = want[3, 2:4] = True
+    assert (line == want).all()
+    dashed = array(views.line_layer(px, "m", "l", dash=2), "l", mask.shape)
+    y, x = np.mgrid[:20, :30]
+    assert (dashed == (want & ((y // 2 + x // 2) % 2 == 0))).all()
+    drawn = views.stroke(views.line_layer(px, "m", "l"), "l", (1, 2, 3))
+    assert array(drawn, "r", mask.shape, int)[5, 10] == 3 and array(drawn, "r", mask.shape, int)[4, 10] == views.OUTLINE[2]
+
+
+def test_boxes_and_circles(spark):
+    zero = np.zeros((20, 30))
+    px = frame(spark, b=zero, g=zero, r=zero)
+    found = spark.createDataFrame([(1, "car", 5, 6, 15, 12)], "image_id int, label string, x1 int, y1 int, x2 int, y2 int")
+    red = array(views.detection_view(px, found), "r", (20, 30), int)
+    assert red[6, 10] == red[11, 5] == 255 and red[9, 10] == 0 and red[3, 10] == 0
+    rings = spark.createDataFrame([(1, 15, 10, 6, None), (1, 2, 2, 2, "duplicate_center")], "image_id int, cx int, cy int, radius int, not_viable string")
+    out = views.circles(px, rings)
+    red = array(out, "r", (20, 30), int)
+    assert red[10, 21] == views.SENSOR[2] and 0 < red[10, 15] < views.SENSOR[2] and red[2, 2] == 0 and red[10, 29] == 0
+
+
+def test_scaling_up():
+    a = np.zeros((2, 2, 3), np.uint8)
+    a[:, 1] = 100
+    assert images.resized(a, 2, 4)[0, :, 0].tolist() == [0, 25, 75, 100]
 
 
 def test_stream(spark, tmp_path):
