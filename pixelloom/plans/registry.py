@@ -277,7 +277,7 @@ def _zones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return reg.select("*", stages.rank([F.desc("area"), F.col("label")], "zone_id")).where("zone_id <= 3"), zoned
 
 
-@query(f"""WITH RECURSIVE {_REGIONS},
+_SENSOR = f"""{_REGIONS},
 z AS (SELECT * FROM (SELECT image_id, label, drop_x AS cx, drop_y AS cy, water_clearance, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, label) AS zone_id FROM reg) WHERE zone_id <= 3),
 st AS (SELECT c.image_id, c.y, c.x, c.buffer, p.label AS own FROM cand c LEFT JOIN p USING (image_id, y, x)),
 bad AS (SELECT * FROM (SELECT z.image_id, z.zone_id, st.x, st.y, st.buffer, (st.x - cx) * (st.x - cx) + (st.y - cy) * (st.y - cy) AS d2, row_number() OVER (PARTITION BY z.image_id, zone_id ORDER BY (st.x - cx) * (st.x - cx) + (st.y - cy) * (st.y - cy), st.y, st.x) AS n
@@ -285,19 +285,49 @@ bad AS (SELECT * FROM (SELECT z.image_id, z.zone_id, st.x, st.y, st.buffer, (st.
 g AS (SELECT z.*, bad.d2, bad.x AS bx, bad.y AS byy, bad.buffer, least(cx, cy, 63 - cx, 47 - cy) + 1 AS border FROM z LEFT JOIN bad USING (image_id, zone_id)),
 k AS (SELECT *, coalesce(d2 > 0, true) AS ok, coalesce(border < sqrt(d2::DOUBLE), true) AS edge, CASE WHEN coalesce(border < sqrt(d2::DOUBLE), true) THEN border::DOUBLE ELSE sqrt(d2::DOUBLE) END AS gap,
       CASE WHEN cx + 1 = border THEN 0 WHEN cy + 1 = border THEN cx WHEN 64 - cx = border THEN 63 ELSE cx END AS sx, CASE WHEN cx + 1 = border THEN cy WHEN cy + 1 = border THEN 0 WHEN 64 - cx = border THEN cy ELSE 47 END AS sy FROM g),
-m AS (SELECT *, ceil(gap)::INTEGER - 2 AS raw FROM k)
-SELECT image_id, zone_id, cx, cy, water_clearance, CASE WHEN ok THEN greatest(0, least(raw, 12)) ELSE 0 END AS radius,
+m AS (SELECT *, ceil(gap)::INTEGER - 2 AS raw FROM k),
+sensor AS (SELECT image_id, zone_id, cx, cy, water_clearance, CASE WHEN ok THEN greatest(0, least(raw, 12)) ELSE 0 END AS radius,
        CASE WHEN NOT ok THEN 'center_invalid' WHEN raw > 12 THEN 'max_radius' WHEN edge THEN 'image_boundary' WHEN buffer THEN 'water_buffer' ELSE 'candidate_boundary' END AS limiting_factor,
        round(CASE WHEN ok THEN gap ELSE 0.0::DOUBLE END, 2) AS limiting_distance,
        (CASE WHEN ok AND raw > 12 THEN NULL WHEN ok AND edge THEN sx ELSE bx END)::INTEGER AS limit_x, (CASE WHEN ok AND raw > 12 THEN NULL WHEN ok AND edge THEN sy ELSE byy END)::INTEGER AS limit_y,
-       CASE WHEN row_number() OVER (PARTITION BY image_id, cx, cy ORDER BY zone_id) > 1 THEN 'duplicate_center' WHEN NOT ok THEN 'center_in_excluded_area' WHEN greatest(0, least(raw, 12)) < 2 THEN 'radius_below_minimum' END AS not_viable FROM m""")
+       CASE WHEN row_number() OVER (PARTITION BY image_id, cx, cy ORDER BY zone_id) > 1 THEN 'duplicate_center' WHEN NOT ok THEN 'center_in_excluded_area' WHEN greatest(0, least(raw, 12)) < 2 THEN 'radius_below_minimum' END AS not_viable, label FROM m)"""
+
+
+@query(f"WITH RECURSIVE {_SENSOR} SELECT * EXCLUDE (label) FROM sensor")
 def sensor_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.sensor_zones(*_zones(spark, sf_dir), CFG)
 
 
-@query()
+_SAMPLES = f"""{_SENSOR},
+rings AS (SELECT *, unnest(range(radius - 1, 3, -4)) AS r, unnest(range(len(range(radius - 1, 3, -4)))) AS ring FROM sensor WHERE not_viable IS NULL),
+spots AS (SELECT *, unnest(range(n)) AS i FROM (SELECT *, greatest(6, floor(2 * pi() * r / 4)::INTEGER) AS n FROM rings)),
+put AS (SELECT image_id, zone_id, label, cx, cy, radius, ring, i, round_even(cx + r * cos(2 * pi() * i / n + CASE WHEN ring % 2 = 1 THEN pi() / n ELSE 0 END), 0)::INTEGER AS x,
+        round_even(cy + r * sin(2 * pi() * i / n + CASE WHEN ring % 2 = 1 THEN pi() / n ELSE 0 END), 0)::INTEGER AS y FROM spots),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, zone_id, x, y ORDER BY ring, i) AS n FROM put) WHERE n = 1),
+usable AS (SELECT * FROM st WHERE own IS NOT NULL AND NOT buffer),
+free AS (SELECT o.image_id, o.x, o.y, least(min((o.y - q.y) * (o.y - q.y) + (o.x - q.x) * (o.x - q.x)), (o.x + 1) * (o.x + 1), (o.y + 1) * (o.y + 1), (64 - o.x) * (64 - o.x), (48 - o.y) * (48 - o.y)) AS d2
+         FROM (SELECT DISTINCT image_id, x, y FROM once) o JOIN (SELECT st.image_id, st.y, st.x FROM st ANTI JOIN usable u ON u.image_id = st.image_id AND u.y = st.y AND u.x = st.x) q USING (image_id) GROUP BY o.image_id, o.x, o.y),
+seen AS (SELECT once.*, sqrt(((once.x - cx) * (once.x - cx) + (once.y - cy) * (once.y - cy))::DOUBLE) AS away, st.own, st.buffer, sqrt(free.d2::DOUBLE) AS clear, least(sqrt(coalesce(wd.d2, 1099511627776)::DOUBLE), sqrt(6400::DOUBLE)) AS dry
+         FROM once JOIN st USING (image_id, y, x) JOIN px USING (image_id, y, x) JOIN free USING (image_id, y, x) LEFT JOIN wd USING (image_id, y, x)
+         WHERE NOT px.water AND NOT st.buffer AND st.own = once.label),
+good AS (SELECT *, 100.0::DOUBLE * (0.4::DOUBLE * c + 0.3::DOUBLE * w + 0.3::DOUBLE * p) AS s FROM (
+         SELECT *, least(1.0::DOUBLE, clear / greatest(1, radius)) AS c, least(1.0::DOUBLE, dry / 12.0::DOUBLE) AS w, greatest(0.0::DOUBLE, 1.0::DOUBLE - away / greatest(1, radius)) AS p FROM seen WHERE away <= radius AND clear >= 2)),
+line AS (SELECT *, round(s, 1) AS score, row_number() OVER (PARTITION BY image_id, zone_id ORDER BY round(s, 1) DESC, ring, i) AS k FROM good),
+pick AS (
+  SELECT image_id, zone_id, 0::BIGINT AS k, [struct_pack(k := 0::BIGINT, x := cx, y := cy)] AS taken FROM line WHERE k = 1
+  UNION ALL
+  SELECT l.image_id, l.zone_id, l.k, CASE WHEN len(t.taken) <= 8 AND len(list_filter(t.taken, lambda v: sqrt(((v.x - l.x) * (v.x - l.x) + (v.y - l.y) * (v.y - l.y))::DOUBLE) < 4)) = 0
+    THEN list_append(t.taken, struct_pack(k := l.k, x := l.x, y := l.y)) ELSE t.taken END FROM pick t JOIN line l ON l.image_id = t.image_id AND l.zone_id = t.zone_id AND l.k = t.k + 1
+),
+done AS (SELECT image_id, zone_id, unnest(taken[2:]).k AS k, unnest(range(1, len(taken))) AS drop_id FROM pick t WHERE k = (SELECT max(k) FROM line l WHERE l.image_id = t.image_id AND l.zone_id = t.zone_id))"""
+
+
+@query(f"""WITH RECURSIVE {_SAMPLES}
+SELECT image_id, zone_id, drop_id, x, y, score, CASE WHEN score >= 80 THEN 'HIGH POTENTIAL' WHEN score >= 60 THEN 'MODERATE POTENTIAL' WHEN score >= 40 THEN 'LOW POTENTIAL' ELSE 'NOT RECOMMENDED' END AS classification,
+       round(clear, 2) AS clearance, round(dry, 2) AS water_clearance, round(away, 2) AS distance, round(100.0::DOUBLE * c, 1) AS clearance_score, round(100.0::DOUBLE * w, 1) AS water_clearance_score, round(100.0::DOUBLE * p, 1) AS proximity_score
+FROM line JOIN done USING (image_id, zone_id, k)""")
 def drop_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedily spaced drop points on the rings of each circle (order-dependent: tested by invariants)."""
+    """Greedily spaced drop points on the rings of each circle."""
     zones, zoned = _zones(spark, sf_dir)
     circles = stages.sensor_zones(zones, zoned, CFG)
     return stages.spaced(stages.drop_samples(stages.ring_samples(circles, CFG), zones, zoned, CFG), CFG)
