@@ -29,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_revisit_resolution": warc.OP1_SQL,
         "op2_exact_dedup": exact_dedup.OP2_SQL,
         "op3_line_frequency": line_rules.OP3_SQL,
+        "op7_suffix_array_dedup": suffix_dedup.OP7_SQL,
         "op8_temporal_url_filter": url_filter.OP8_SQL,
     }

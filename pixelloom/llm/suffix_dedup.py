@@ -457,3 +457,27 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shared.with_row(shared.documents(spark, sf_dir).select("doc_id", F.col("text").cast("string").alias("_text")))
     out = strip_repeats(rows.select("_row", "_text")).drop("kept")
     return rows.select("_row", "doc_id").join(out, "_row").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP7_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), n AS (
+  SELECT *, length(h) // 2 AS n FROM d
+), w AS (
+  SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS g FROM (SELECT r, h, unnest(range(n - 199)) AS i FROM n WHERE n >= 200)
+), again AS (
+  SELECT g FROM w GROUP BY g HAVING count(*) > 1
+), s AS (
+  SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM w JOIN again USING (g)
+), k AS (
+  SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS k FROM s
+), span AS (
+  SELECT r, min(i) AS a, max(i) + 200 AS b FROM k GROUP BY r, k
+), parts AS (
+  SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS since FROM span
+), kept AS (
+  SELECT r, count(*) AS spans, sum(b - a) AS removed, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest FROM parts JOIN n USING (r) GROUP BY r
+)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM n LEFT JOIN kept USING (r)
+"""
