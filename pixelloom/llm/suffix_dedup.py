@@ -231,10 +231,10 @@ def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) ->
     return out
 
 
-def window_classes(contexts: list[bytes], gram: np.ndarray, d0: np.ndarray, d1: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Every window of the contexts: context, distance, hash, whether an equal one is at the
-    same distance from the same k-gram, and whether it comes first of those equal to it.
-    A context is the text from d1 before its anchor."""
+def window_classes(contexts: list[bytes], gram: np.ndarray, d0: np.ndarray, d1: np.ndarray, length: int) -> tuple:
+    """Every window of the contexts: context, distance, whether an equal one is at the same
+    distance from the same k-gram, whether it comes first of those equal to it; and hashes
+    of the windows with given numbers. A context is the text from d1 before its anchor."""
     sizes = np.array([len(c) for c in contexts])
     at = np.cumsum(sizes) - sizes
     hashed = Hashed(np.frombuffer(b"".join(contexts), np.uint8))
@@ -258,7 +258,7 @@ def window_classes(contexts: list[bytes], gram: np.ndarray, d0: np.ndarray, d1:
         near = near[_same_bytes(hashed.data, x[near], y[near], length)]
         repeated[by[near]] = repeated[by[near + 1]] = True
         first[by[near + 1]] = False
-    return context, d, mix(hashed.of(start, start + length)), repeated, first
+    return context, d, repeated, first, lambda i: mix(hashed.of(start[i], start[i] + length))
 
 
 def runs(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,7 +287,7 @@ def _in_buckets(length: int):
             row, a, d0, d1, gram = (part.column(c).to_numpy().astype(np.int64) for c in ("_row", "a", "d0", "d1", "gram"))
             single, several = part.column("single").to_numpy(), part.column("several").to_numpy()
             texts = [x.as_py() for x in part.column("bytes")]
-            context, d, h, repeated, first = window_classes(texts, key[:end], d0, d1, length)
+            context, d, repeated, first, hashes = window_classes(texts, key[:end], d0, d1, length)
             start = a[context] - d
             out = np.flatnonzero(repeated & single[context])  # the others are known to be repeated
             if len(out):
@@ -301,7 +301,7 @@ def _in_buckets(length: int):
                 o = on[at : at + 20_000]
                 c = context[o]
                 windows = [texts[i][x - y : x - y + length] for i, x, y in zip(c.tolist(), d1[c].tolist(), d[o].tolist(), strict=True)]
-                cols = [row[c], start[o], start[o], gram[c], d[o].astype(np.int16), h[o].view(np.int64), repeated[o] | ~single[c], windows]
+                cols = [row[c], start[o], start[o], gram[c], d[o].astype(np.int16), hashes(o).view(np.int64), repeated[o] | ~single[c], windows]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, PLACED.types, strict=True)], PLACED.names)
 
         for batch in batches:
