@@ -370,7 +370,7 @@ CONTEXT = pa.schema([("_row", pa.int64()), ("a", pa.int64()), ("d0", pa.int16())
 CONTEXT_DDL = "_row long, a long, d0 short, d1 short, gram long, single boolean, several boolean, key long, bytes binary"
 
 
-def repeated_ranges(rows: DataFrame, length: int = LENGTH, kgram: int = KGRAM, bucket: int = 5000) -> DataFrame:
+def repeated_ranges(rows: DataFrame, length: int = LENGTH, kgram: int = KGRAM, bucket: int = 1000) -> DataFrame:
     """(_row, first, last): ranges of window starts of ``rows`` (_row long, _text
     string; a stable scan) whose ``length`` bytes also start anywhere else."""
     found = shared.cut(find_anchors(rows, length, kgram), "anchors")
@@ -429,7 +429,7 @@ STRIPPED = pa.schema([("_row", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 STRIPPED_DDL = "_row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def strip_repeats(rows: DataFrame, length: int = LENGTH, kgram: int = KGRAM, bucket: int = 5000) -> DataFrame:
+def strip_repeats(rows: DataFrame, length: int = LENGTH, kgram: int = KGRAM, bucket: int = 1000) -> DataFrame:
     """For each of ``rows`` (_row, _text): byte counts, the hash of what is left,
     and, where anything went, the remaining bytes as ``kept``."""
     ranges = repeated_ranges(rows, length, kgram, bucket)
