@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
 
@@ -58,6 +59,16 @@ class Config:
     detector_input: int = 640
 
 
+def from_env(env: Mapping[str, str], base: Config = Config()) -> Config:
+    """``base`` with the detector's input size from DETECTOR_INPUT: between 320 and 1280, a
+    multiple of 32 (rounded down); what is no number changes nothing."""
+    try:
+        size = int(env.get("DETECTOR_INPUT", "").strip())
+    except ValueError:
+        size = base.detector_input
+    return replace(base, detector_input=max(320, min(1280, size)) // 32 * 32)
+
+
 def mini() -> Config:
     """The same analysis for rasters of about 64 x 48 pixels."""
     return replace(

@@ -17,7 +17,8 @@ CLASSES = {0: "person", 1: "bicycle", 2: "car", 3: "motorcycle", 5: "bus", 7: "t
 def letterbox(images: DataFrame, size: int) -> DataFrame:
     """Adds ratio, new_w, new_h, pad_x, pad_y for images (w, h) fitted into size x size."""
     ratio = F.least(F.lit(float(size)) / F.col("h"), F.lit(float(size)) / F.col("w"))
-    out = images.withColumn("ratio", ratio).withColumn("new_w", F.bround(F.col("w") * F.col("ratio")).cast("int")).withColumn("new_h", F.bround(F.col("h") * F.col("ratio")).cast("int"))
+    side = lambda c: F.greatest(F.lit(1), F.bround(F.col(c) * F.col("ratio")).cast("int"))
+    out = images.withColumn("ratio", ratio).withColumn("new_w", side("w")).withColumn("new_h", side("h"))
     return out.withColumn("pad_x", F.expr(f"({size} - new_w) div 2").cast("int")).withColumn("pad_y", F.expr(f"({size} - new_h) div 2").cast("int"))
 
 
@@ -78,6 +79,14 @@ def counts_map(counts: DataFrame) -> DataFrame:
     return counts.groupBy("image_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("counts"))
 
 
+def context(anchors: DataFrame, images: DataFrame, cfg: Config = Config()) -> tuple[DataFrame, DataFrame]:
+    """What a detector saw: (whole-pixel boxes after suppression, counts by class in a map for
+    every image), from raw anchors and images (image_id, w, h)."""
+    sized = letterbox(images.select("image_id", "w", "h"), cfg.detector_input)
+    found = detections(suppressed(candidates(anchors, sized, cfg=cfg), cfg), cfg)
+    return found, counts_map(class_counts(found, sized))
+
+
 def class_names(metadata: Column) -> Column:
     """The id -> name map of a model's metadata string, or the known classes where it can't be read."""
     # the string is a literal of a dictionary: {0: 'person', 1: "bicycle"}

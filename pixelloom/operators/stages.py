@@ -383,6 +383,22 @@ def sensor_zones(zones: DataFrame, zoned_: DataFrame, cfg: Config = Config()) ->
     )
 
 
+def disks_valid(circles: DataFrame, zoned_: DataFrame) -> DataFrame:
+    """(image_id, zone_id, disk_pixels, valid_pixels, all_valid): whether every pixel of each
+    viable circle is in the image, in the zone's component and outside the buffer.
+
+    ``circles``: image_id, zone_id, cx, cy, radius, label; a few an image."""
+    r = F.col("radius")
+    line = lambda dy: (2 * F.floor(F.sqrt((r * r - dy * dy).cast("double"))) + 1).cast("long")
+    size = F.aggregate(F.sequence(-r, r), F.lit(0).cast("long"), lambda total, dy: total + line(dy))
+    state = zoned_.select(*PIXEL, "buffer", F.col("label").alias("own"))
+    away = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
+    inside = circles.join(state, "image_id").where((F.abs(F.col("x") - F.col("cx")) <= r) & (F.abs(F.col("y") - F.col("cy")) <= r) & (away <= r * r))
+    good = F.count_if(F.coalesce((F.col("own") == F.col("label")) & ~F.col("buffer"), F.lit(False)))
+    out = inside.groupBy("image_id", "zone_id", "radius").agg(good.alias("valid_pixels")).withColumn("disk_pixels", size)
+    return out.select("image_id", "zone_id", "disk_pixels", "valid_pixels", (F.col("disk_pixels") == F.col("valid_pixels")).alias("all_valid"))
+
+
 def ring_radii(radius: Column, step: int, clearance: int, margin: int) -> Column:
     """Radii of the sampling rings, widest first, without repeats."""
     top = F.least(radius - 1, radius + margin - clearance)

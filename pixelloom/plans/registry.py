@@ -298,6 +298,16 @@ def sensor_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.sensor_zones(*_zones(spark, sf_dir), CFG)
 
 
+@query(f"""WITH RECURSIVE {_SENSOR}, grid AS (SELECT s.image_id, zone_id, label, cx + dx AS x, cy + dy AS y FROM sensor s CROSS JOIN range(-12, 13) a(dx) CROSS JOIN range(-12, 13) b(dy) WHERE not_viable IS NULL AND dx * dx + dy * dy <= radius * radius)
+SELECT grid.image_id, zone_id, count(*) AS disk_pixels, count_if(coalesce(own = grid.label AND NOT buffer, false))::BIGINT AS valid_pixels, count(*) = count_if(coalesce(own = grid.label AND NOT buffer, false)) AS all_valid
+FROM grid LEFT JOIN st USING (image_id, y, x) GROUP BY grid.image_id, zone_id""")
+def circle_disks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That every pixel of each viable circle is valid."""
+    zones, zoned = _zones(spark, sf_dir)
+    circles = stages.sensor_zones(zones, zoned, CFG).where("not_viable is null")
+    return stages.disks_valid(circles.join(zones.select("image_id", "zone_id", "label"), ["image_id", "zone_id"]), zoned)
+
+
 _SAMPLES = f"""{_SENSOR},
 rings AS (SELECT *, unnest(range(radius - 1, 3, -4)) AS r, unnest(range(len(range(radius - 1, 3, -4)))) AS ring FROM sensor WHERE not_viable IS NULL),
 spots AS (SELECT *, unnest(range(n)) AS i FROM (SELECT *, greatest(6, floor(2 * pi() * r / 4)::INTEGER) AS n FROM rings)),
@@ -476,6 +486,15 @@ def accepted_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.accepted(k).select("image_id", "c", "accepted")
 
 
+@query(f"""WITH {_CANDIDATES}, nn AS (SELECT i.image_id, n.label, (SELECT count(*) FROM cand WHERE cand.image_id = i.image_id AND cand.label = n.label) AS n FROM im i, nam n)
+SELECT image_id, string_agg(label || '=' || n, ',' ORDER BY label) AS counts FROM nn GROUP BY image_id""")
+def detection_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by class as one map for each image, written out in order."""
+    anchors, im = _detector(spark, sf_dir)
+    maps = detect.counts_map(detect.class_counts(detect.candidates(anchors, im, cfg=CFG), im))
+    return maps.select("image_id", F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counts"))
+
+
 @query()
 def scene_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested report for each scene."""

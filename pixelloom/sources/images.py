@@ -116,6 +116,26 @@ def pixels(images: DataFrame, cfg: Config = Config()) -> DataFrame:
     return processed_size(images.where("status = 'OK'"), cfg).mapInPandas(run, PIXELS).repartition("image_id")
 
 
+def letterboxed(images: DataFrame, size: int) -> DataFrame:
+    """Pixel rows of the images that are OK, each fitted into size x size between grey borders
+    (114), with ratio and pads: the detector's input."""
+    from ..operators.detect import letterbox
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        y, x = np.divmod(np.arange(size * size, dtype=np.int32), size)
+        for frame in frames:
+            for row in frame.itertuples():
+                a = np.frombuffer(row.data, np.uint8).reshape(row.h, row.w, row.channels)[:, :, :3]
+                a = np.repeat(a, 3, axis=2) if row.channels == 1 else a
+                canvas = np.full((size, size, 3), 114, np.uint8)
+                canvas[row.pad_y : row.pad_y + row.new_h, row.pad_x : row.pad_x + row.new_w] = resized(a, row.new_h, row.new_w)
+                flat = canvas.reshape(-1, 3).astype(np.int16)
+                yield pd.DataFrame({"image_id": row.image_id, "y": y, "x": x, "b": flat[:, 0], "g": flat[:, 1], "r": flat[:, 2], "ratio": row.ratio, "pad_x": row.pad_x, "pad_y": row.pad_y})
+
+    fitted = letterbox(images.where("status = 'OK'"), size)
+    return fitted.mapInPandas(run, "image_id string, y int, x int, b short, g short, r short, ratio double, pad_x int, pad_y int")
+
+
 def png(pixels_: np.ndarray) -> bytes:
     """A PNG file of an H x W x 3 array of B, G, R."""
     h, w, _ = pixels_.shape

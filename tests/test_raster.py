@@ -572,6 +572,27 @@ def test_boxes_and_circles(spark):
     assert red[10, 21] == views.SENSOR[2] and 0 < red[10, 15] < views.SENSOR[2] and red[2, 2] == 0 and red[10, 29] == 0
 
 
+def test_detector_input(spark):
+    from pixelloom.config import from_env
+
+    assert [from_env({"DETECTOR_INPUT": v}).detector_input for v in (" 500 ", "9", "5000", "x", "")] == [480, 320, 1280, 640, 640]
+    img = np.full((32, 64, 3), 7, np.uint8)
+    rows = spark.createDataFrame([("a", "OK", 64, 32, 3, bytearray(img.tobytes()))], "image_id string, status string, w int, h int, channels int, data binary")
+    out = images.letterboxed(rows, 32).persist()
+    assert (array(out, "g", (32, 32), int) == np.repeat([[114], [7], [114]], [8, 16, 8], axis=0)).all()
+    assert out.first().pad_y == 8 and out.first().ratio == 0.5
+
+
+def test_object_context(spark):
+    score = [0.0] * 10
+    anchors = [(1, 0, 320.0, 320.0, 64.0, 64.0, [*score[:2], 0.9, *score[3:]]), (1, 1, 322.0, 320.0, 64.0, 64.0, [*score[:2], 0.8, *score[3:]]), (1, 2, 100.0, 300.0, 20.0, 20.0, [0.5, *score[1:]])]
+    df = spark.createDataFrame(anchors, "image_id int, anchor_id int, cx double, cy double, bw double, bh double, scores array<double>")
+    found, counts = detect.context(df, spark.createDataFrame([(1, 640, 640), (2, 64, 64)], "image_id int, w int, h int"))
+    assert [(r.label, r.x1, r.y1, r.x2, r.y2) for r in found.orderBy("n").collect()] == [("car", 288, 288, 352, 352), ("person", 90, 290, 110, 310)]
+    maps = {r.image_id: r.counts for r in counts.collect()}
+    assert maps[1]["car"] == maps[1]["person"] == 1 and sum(maps[2].values()) == 0 and len(maps[2]) == 7
+
+
 def test_scaling_up():
     a = np.zeros((2, 2, 3), np.uint8)
     a[:, 1] = 100
