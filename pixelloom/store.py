@@ -100,11 +100,9 @@ class Successive:
 @atexit.register
 def _at_exit() -> None:
     """Tables of lazy results go with the application, if its session still runs."""
-    session = SparkSession.getActiveSession() if _unscoped else None
-    if session is None or session.sparkContext._jsc is None:
-        return
-    for path in _unscoped:
-        try:
+    try:
+        session = SparkSession.getActiveSession() if _unscoped else None
+        for path in _unscoped if session else ():
             delete(session, path)
-        except Exception:  # noqa: BLE001  the session ended meanwhile: what is left goes with the folder
-            return
+    except Exception:  # noqa: BLE001  the session has ended: what is left goes with the folder
+        return

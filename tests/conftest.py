@@ -25,3 +25,11 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def no_job_left(request):
+    """A test that was stopped must not leave its jobs to the next one."""
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").sparkContext.cancelAllJobs()
