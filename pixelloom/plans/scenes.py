@@ -21,16 +21,23 @@ COLOURS = {
 SUPPORT = "((x * y + s_suppkey) % 101) / 100.0D"
 
 
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers, dealt by scene before they have pixels. The number is given, since by the
+    size of these few rows Spark would put them all into one task."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey").repartition(n, "s_suppkey")
+
+
 def scene_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, y, x, w, h, water, canopy of every scene, dealt by scene before it has pixels."""
-    grid = spark.read.parquet(f"{sf_dir}/supplier.parquet").repartition("s_suppkey").select("s_suppkey", "s_nationkey", F.explode(F.sequence(F.lit(0), F.lit(W * H - 1))).alias("i"))
+    """image_id, y, x, w, h, water, canopy of every scene."""
+    grid = scenes(spark, sf_dir).select("s_suppkey", "s_nationkey", F.explode(F.sequence(F.lit(0), F.lit(W * H - 1))).alias("i"))
     at = grid.select("s_suppkey", "s_nationkey", F.expr(f"cast(i div {W} as int)").alias("y"), (F.col("i") % W).alias("x"))
     return at.select(F.col("s_suppkey").alias("image_id"), "y", "x", F.lit(W).alias("w"), F.lit(H).alias("h"), F.expr(WATER).alias("water"), F.expr(f"({WOODS}) AND NOT ({WATER})").alias("canopy"))
 
 
 def colour_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, y, x, w, h, b, g, r, support of every scene, dealt by scene before it has pixels."""
-    grid = spark.read.parquet(f"{sf_dir}/supplier.parquet").repartition("s_suppkey").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(W * H - 1))).alias("i"))
+    """image_id, y, x, w, h, b, g, r, support of every scene."""
+    grid = scenes(spark, sf_dir).select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(W * H - 1))).alias("i"))
     at = grid.select("s_suppkey", F.expr(f"cast(i div {W} as int)").alias("y"), (F.col("i") % W).alias("x"))
     return at.select(F.col("s_suppkey").alias("image_id"), "y", "x", F.lit(W).alias("w"), F.lit(H).alias("h"), *[F.expr(f"cast({e} as int)").alias(c) for c, e in COLOURS.items()], F.expr(SUPPORT).alias("support"))
 
