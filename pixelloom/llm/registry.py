@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, line_rules, packing, pieces, simhash, suffix_dedup, url_filter, warc, weak_labels
+from . import exact_dedup, filter_audit, language, line_rules, packing, pieces, simhash, suffix_dedup, url_filter, warc, weak_labels
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_temporal_url_filter": url_filter.op8_temporal_url_filter,
         "op9_weak_label_quality": weak_labels.op9_weak_label_quality,
         "op10_sentencepiece": pieces.op10_sentencepiece,
+        "op13_filter_interaction_audit": filter_audit.op13_filter_interaction_audit,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_frequency": line_rules.OP3_SQL,
         "op7_suffix_array_dedup": suffix_dedup.OP7_SQL,
         "op8_temporal_url_filter": url_filter.OP8_SQL,
+        "op13_filter_interaction_audit": filter_audit.OP13_SQL,
     }
