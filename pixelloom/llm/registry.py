@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, filter_audit, language, line_rules, packing, pieces, simhash, suffix_dedup, turns, url_filter, warc, weak_labels
+from . import exact_dedup, filter_audit, language, language_model, line_rules, packing, pieces, simhash, suffix_dedup, turns, url_filter, warc, weak_labels
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_temporal_url_filter": url_filter.op8_temporal_url_filter,
         "op9_weak_label_quality": weak_labels.op9_weak_label_quality,
         "op10_sentencepiece": pieces.op10_sentencepiece,
+        "op11_language_model": language_model.op11_language_model,
         "op12_conversation_repair": turns.op12_conversation_repair,
         "op13_filter_interaction_audit": filter_audit.op13_filter_interaction_audit,
     }
