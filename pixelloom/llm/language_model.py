@@ -28,8 +28,8 @@ tokens.
 
 Defined results: a null text is empty, and has the end as its only token. Rows with a null id
 are scored but never learned from, and are not held out. Rows that repeat each other count
-each. Very long texts are read whole, in parts. If nothing was learned, every count is 0 and the
-score is log10(1) = 0. Only the named columns are read. An empty table gives no rows.
+each. Very long texts are read whole, in parts. If nothing was learned, every count is 0, the
+base score is log10(1) = 0 and the score that of the untrained start. Only the named columns are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
