@@ -21,10 +21,10 @@ so that the copies of the second round agree on the directions of their vectors.
 
 Scores are normalised exactly: exp(q.(c1 r_v)) and exp(q.(c2 r_u) + b) are two square tables,
 and their matrix product is Z of every pair of symbols at once, so a token costs three
-look-ups. All tables are bounded by ``vocabulary``; they are the only thing of the model that is
-broadcast, beside the ``frequent`` most frequent words. Counts cover all words of all texts: those
-of less frequent words are joined by word, no one of which has more than 1/frequent of all
-tokens.
+look-ups. The tables are bounded by ``vocabulary`` and made by each worker from the parameters, which
+are broadcast, as are at most ``frequent`` frequent words (all with more than a count that leaves so
+many). Counts cover all words of all texts: those of less frequent words are joined by word, none of
+which has a large share of all tokens.
 
 Defined results: a null text is empty, and has the end as its only token. Rows with a null id
 are scored but never learned from, and are not held out. Rows that repeat each other count
@@ -37,6 +37,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +129,15 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, learned: int, size: int = VOCABULARY, frequent: int = FREQUENT) -> Vocabulary:
     """``counts`` of ``count_words``; learned: texts to learn from (each has one end)."""
     sums = counts.agg(F.sum("train").alias("tokens"), F.count_if(F.col("train") > 0).alias("distinct")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).toPandas()  # bounded by `frequent`
+    # a threshold on counts, from a histogram of a few hundred rows, in place of a sort
+    octave = F.floor(8 * F.log2("n"))
+    least, held = math.inf, 0
+    for row in sorted(counts.groupBy(octave.alias("octave")).count().collect(), key=lambda r: -r["octave"]):
+        held += row["count"]
+        if held > frequent:
+            break
+        least = row["octave"]
+    top = counts.where(octave >= least).toArrow().to_pandas()  # at most `frequent` rows
     top = top.sort_values(["train", "word"], ascending=[False, True], ignore_index=True)
     inside = int(min(size, (top["train"] > 0).sum()))
     train = top["train"].to_numpy(np.int64)
@@ -302,17 +311,28 @@ class Scorer:
     """Normalised log10 probabilities of tokens, by table."""
 
     def __init__(self, table: np.ndarray):
-        net = Network(table)
+        net = Network(table.astype(np.float32))
         by_v, by_u = (net.r * net.c[0]) @ net.q.T, (net.r * net.c[1]) @ net.q.T + net.b
         shift_v, shift_u = by_v.max(1), by_u.max(1)
-        z = np.exp(by_v - shift_v[:, None]).astype(np.float32) @ np.exp(by_u - shift_u[:, None]).astype(np.float32).T
-        self.log_z = (np.log(z) + shift_v[:, None] + shift_u[None, :]).astype(np.float32)
-        self.by_v, self.by_u = by_v.astype(np.float32), by_u.astype(np.float32)
+        z = np.exp(by_v - shift_v[:, None]) @ np.exp(by_u - shift_u[:, None]).T
+        self.log_z = np.log(z) + shift_v[:, None] + shift_u[None, :]
+        self.by_v, self.by_u = by_v, by_u
 
     def scores(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return (self.by_v[v, w].astype(np.float64) + self.by_u[u, w] - self.log_z[v, u]) / math.log(10)
 
 
+class Model:
+    """Parameters; a worker makes the tables of its scorer once."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+
+    @cached_property
+    def scorer(self) -> Scorer:
+        return Scorer(self.table)
+
+
 def score(docs: DataFrame, size: int = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
     """``docs``: row (unique), text, learn (not null) and more. All but the text with n_tokens, n_known,
     train_tokens, base_score and score; what is read several times is written out."""
@@ -321,12 +341,12 @@ def score(docs: DataFrame, size: int = VOCABULARY, frequent: int = FREQUENT) ->
     vocab = vocabulary(counts, learned, size, frequent)
     texts = shared.cut(coded(docs, vocab), "coded")
     table = train(texts.where("learn").select("row", "symbols"), vocab)
-    scorer = docs.sparkSession.sparkContext.broadcast(Scorer(table))  # three square tables over the vocabulary
+    model = docs.sparkSession.sparkContext.broadcast(Model(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, "symbols"):
             symbols = [np.frombuffer(x, np.uint16) for x in batch.column("symbols").to_pylist()]
-            each = scorer.value.scores(*contexts(symbols))
+            each = model.value.scorer.scores(*contexts(symbols))
             sums = np.add.reduceat(each, np.cumsum([0, *map(len, symbols[:-1])]))
             at = batch.schema.get_field_index("symbols")
             yield batch.set_column(at, "neural", pa.array(sums))
