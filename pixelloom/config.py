@@ -47,6 +47,9 @@ class Config:
     supply_outer: float = 60.0
     supply_min_area: int = 250
     supply_reported: int = 8
+    #: Of clearances, water distances, separations and anchors: "exact" (Euclidean) or "chamfer5"
+    #: (steps of a 5 x 5 mask); circles and drop points are exact always.
+    metric: str = "exact"
     min_radius: int = 12
     max_radius: int = 180
     safety_margin: int = 4

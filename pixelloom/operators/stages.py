@@ -18,7 +18,7 @@ from ..config import Config
 from ..functions import colour, scores
 from ..store import cut
 from . import components as cc
-from . import whole, windows
+from . import runs, whole, windows
 
 PIXEL = ["image_id", "y", "x"]
 
@@ -28,6 +28,11 @@ def stored(px: DataFrame, name: str) -> DataFrame:
     return cut(px, name).repartition("image_id")
 
 
+def in_runs(px: DataFrame, name: str, each: list[str]) -> DataFrame:
+    """``px`` stored as runs: a row for each stretch of a line on which all but ``each`` is equal."""
+    return runs.unpacked(cut(runs.packed(px, each), name), each)
+
+
 def rank(order: list[Column], name: str, *by: str) -> Column:
     return F.row_number().over(Window.partitionBy(*(by or ("image_id",))).orderBy(*order)).alias(name)
 
@@ -250,21 +255,21 @@ def nearest(centres: Column) -> Column:
 
 def zoned(px: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Adds to candidate, buffer and water what regions, circles and drop points read: label
-    (of the candidate component), its perimeter, _d2 (to the nearest pixel that is no
-    candidate), _free2 (the same without the buffer) and _wd (to water). Stored."""
+    (of the candidate component), its perimeter, _clear (distance to the nearest pixel that is
+    no candidate), _free2 (squared, the buffer counting as none) and _wd (to water). Stored."""
     valid = px.withColumn("_valid", F.col("candidate") & ~F.col("buffer"))
     out = whole.add(
         valid, label=whole.labels("candidate"), perimeter=whole.perimeters("candidate", cfg.candidate_min_area),
-        _d2=whole.squared("candidate", padded=True), _free2=whole.squared("_valid", padded=True), _wd=whole.distance_to("water"),
+        _clear=whole.clearance("candidate", padded=True, metric=cfg.metric), _free2=whole.squared("_valid", padded=True), _wd=whole.distance_to("water", cfg.metric),
     )
-    return cut(out.drop("_valid"), "zoned")
+    return in_runs(out.drop("_valid"), "zoned", ["_clear", "_free2", "_wd"])
 
 
 def regions(zoned_: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Candidate regions: size, box, the point of most clearance, water distance, openness."""
-    at = F.max_by(F.struct("x", "y", "_d2", "_wd"), F.struct(F.col("_d2"), -F.col("y"), -F.col("x"))).alias("p")
+    at = F.max_by(F.struct("x", "y", "_clear", "_wd"), F.struct(F.col("_clear"), -F.col("y"), -F.col("x"))).alias("p")
     out = cc.stats(zoned_, at, F.first("perimeter").alias("perimeter"), F.first("w").alias("w"), F.first("h").alias("h")).where(F.col("area") >= cfg.candidate_min_area)
-    out = out.withColumn("_c", F.sqrt(F.col("p._d2").cast("double"))).where(F.col("_c") >= cfg.min_clearance)
+    out = out.withColumn("_c", F.col("p._clear")).where(F.col("_c") >= cfg.min_clearance)
     # clearance is rounded before openness is derived from it
     open_ = scores.openness(F.round("_c", 2), F.col("area"), F.col("perimeter"), F.col("width"), F.col("height"))
     return out.select(
@@ -283,6 +288,13 @@ def scored(regions_: DataFrame, cfg: Config = Config()) -> DataFrame:
     return regions_.select("*", F.round(a, 1).alias("area_score"), F.round(c, 1).alias("water_score"), F.round(o, 1).alias("openness_score"), F.round(final, 1).alias("final_score"), scores.classify_zone(final).alias("classification"))
 
 
+def zone_contours(zones: DataFrame, zoned_: DataFrame) -> DataFrame:
+    """(image_id, zone_id, points): the outer border of each zone's component, in order."""
+    ranked = zones.select("image_id", "zone_id", "label")
+    found = whole.borders(zoned_.join(ranked.select("image_id", "label"), ["image_id", "label"], "left_semi"))
+    return ranked.join(found, ["image_id", "label"]).select("image_id", "zone_id", "points")
+
+
 def top_zones(scored_: DataFrame, cfg: Config = Config()) -> DataFrame:
     return scored_.select("*", rank([F.desc("final_score"), F.col("label")], "zone_id")).where(F.col("zone_id") <= cfg.max_zones)
 
@@ -299,11 +311,11 @@ def isolated_regions(px: DataFrame, cfg: Config = Config()) -> DataFrame:
     ring = near.select("image_id", "water", F.col("label").alias("_own"), F.explode("_near").alias("label")).where("_own is null or _own <> label")
     contact = ring.groupBy("image_id", "label").agg(F.count("*").alias("_ring"), F.count_if("water").alias("_wet"))
     off = near.select(*PIXEL, "label", F.coalesce(F.col("label") != F.col("main"), F.lit(True)).alias("_off"))
-    away = whole.add(off, _d2=whole.squared("_off", padded=False))
-    gap = away.where("label is not null").groupBy("image_id", "label").agg(F.min("_d2").alias("_gap2"))
+    away = whole.add(off, _far=whole.clearance("_off", padded=False, metric=cfg.metric))
+    gap = away.where("label is not null").groupBy("image_id", "label").agg(F.min("_far").alias("_gap"))
     out = stat.join(main, "image_id").where((F.col("label") != F.col("main")) & (F.col("area") >= cfg.isolated_min_area)).join(gap, ["image_id", "label"]).join(contact, ["image_id", "label"])
     touch = F.col("_wet") / F.col("_ring")
-    apart = F.sqrt(F.col("_gap2").cast("double"))
+    apart = F.col("_gap")
     share = F.col("area") / F.greatest(F.lit(1), F.col("main_area"))
     score = scores.isolation_score(touch, apart, share, cfg.separation_full)
     out = out.withColumn("isolation_score", F.round(score, 1))
@@ -316,11 +328,12 @@ def isolated_regions(px: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def supply_band(px: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Adds _wd, shoreline and band: open land between the margins around water, opened, in
-    parts of a minimal area; label and _in2 (squared distance to the band's edge) of these. Stored."""
-    out = whole.add(px, _wd=whole.distance_to("water"), _any=whole.Added(whole.BooleanType(), _any_water)).repartition("image_id")
+    parts of a minimal area; label and _in (distance to the band's edge) of these. Stored."""
+    out = whole.add(px, _wd=whole.distance_to("water", cfg.metric), _any=whole.Added(whole.BooleanType(), _any_water)).repartition("image_id")
     out = out.withColumn("shoreline", F.col("_any") & ~F.col("water") & (F.col("_wd") > cfg.supply_inner) & (F.col("_wd") <= cfg.supply_outer)).drop("_any")
     out = windows.opened(out.withColumn("_band", F.col("shoreline") & ~F.col("canopy")), "_band", 3)
-    return cut(whole.add(out, band=whole.at_least("_band", cfg.supply_min_area), label=whole.labels("band"), _in2=whole.squared("band", padded=True)).drop("_band"), "band")
+    out = whole.add(out, band=whole.at_least("_band", cfg.supply_min_area), label=whole.labels("band"), _in=whole.clearance("band", padded=True, metric=cfg.metric))
+    return in_runs(out.drop("_band"), "band", ["_wd", "_in"])
 
 
 def _any_water(get) -> np.ndarray:
@@ -335,7 +348,7 @@ def band_totals(band: DataFrame) -> DataFrame:
 
 def supply_segments(band: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Parts of the band, largest first, each with the point deepest inside."""
-    out = cc.stats(band, F.max_by(F.struct("x", "y"), F.struct(F.col("_in2"), -F.col("y"), -F.col("x"))).alias("p"))
+    out = cc.stats(band, F.max_by(F.struct("x", "y"), F.struct(F.col("_in"), -F.col("y"), -F.col("x"))).alias("p"))
     return out.select("image_id", rank([F.desc("area"), F.col("label")], "segment_id"), "label", "area", "left", "top", "width", "height", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), F.col("p.x").alias("anchor_x"), F.col("p.y").alias("anchor_y"))
 
 

@@ -508,3 +508,6 @@ def scene_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     texture, scene colours, cleaning (k-means: tested on drawn scenes)."""
     px = analysis.analysis_copy(sc.colour_pixels(spark, sf_dir).drop("support"))
     return stages.coverage(stages.detect_water(stages.stored(px, "copy"), CFG)[0])
+
+
+from . import mask_queries  # noqa: E402, F401  registers its queries
