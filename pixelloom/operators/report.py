@@ -93,9 +93,32 @@ def parameters(cfg: Config) -> Column:
     )
 
 
+#: What a reader of reports needs; further fields are ignored.
+DOCUMENT = (
+    "success boolean, metrics struct<water_percentage:double,candidate_regions:long,sensor_zones:long,supply_zone_segments:long>, "
+    "sensor_zones array<struct<id:long,score:double,radius_px:long,center:struct<x:long,y:long>>>, "
+    "supply_zone struct<pixel_area:long,segment_count:long>, parameters struct<sensor:struct<min_radius_px:long>,supply:struct<inner_margin_px:double>>"
+)
+
+
+def read_back(docs: DataFrame, column: str = "doc") -> DataFrame:
+    """``docs`` with their JSON as a typed column ``report`` and a ``report_status``: OK; MALFORMED_RESPONSE
+    where the text is no document of these types (cut off, or a field of another type);
+    EMPTY_RESULT without success or metrics; INCOMPATIBLE_BACKEND where sensor zones, the supply
+    zone or their parameters are missing, as in reports of older versions."""
+    parsed = F.from_json(F.col(column), f"{DOCUMENT}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    out = docs.withColumn("report", parsed)
+    r = F.col("report")
+    broken = r.isNull() | r["_broken"].isNotNull()
+    empty = ~F.coalesce(r["success"], F.lit(False)) | r["metrics"].isNull()
+    old = r["sensor_zones"].isNull() | r["supply_zone"].isNull() | r["parameters"]["sensor"].isNull() | r["parameters"]["supply"].isNull()
+    return out.withColumn("report_status", F.when(broken, "MALFORMED_RESPONSE").when(empty, "EMPTY_RESULT").when(old, "INCOMPATIBLE_BACKEND").otherwise("OK")).withColumn("report", r.dropFields("_broken"))
+
+
 def report(summary_: DataFrame, zones: DataFrame, sensors: DataFrame, segments: DataFrame, isolated: DataFrame, cfg: Config = Config(), detections: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """(image_id, doc): the nested document as JSON. ``summary_`` may carry scene_model and
-    image_info; detections and their counts (image_id, counts) are told where there are any."""
+    image_info; detections and their counts (image_id, counts, and ai_status and ai_message where
+    a detector may have failed) are told where there are any."""
     out = summary_ if "scene_model" in summary_.columns else summary_.withColumn("scene_model", F.lit(False))
     children = [
         (zone_documents(zones), "id", "zones_", None), (sensor_documents(sensors, zones), "id", "sensor_zones", None), (refused_documents(sensors), "zone_id", "refused", None),
@@ -104,7 +127,9 @@ def report(summary_: DataFrame, zones: DataFrame, sensors: DataFrame, segments:
     if detections is not None:
         found = detections.select("image_id", "n", "label", "confidence", F.struct("x1", "y1", "x2", "y2").alias("bbox"))
         children.append((found, "n", "detections", None))
-        out = out.join(counts, "image_id", "left")
+        if "ai_status" not in counts.columns:
+            counts = counts.withColumns({"ai_status": F.lit("active"), "ai_message": F.lit(None).cast("string")})
+        out = out.join(counts, "image_id", "left").withColumn("ai_status", F.coalesce("ai_status", F.lit("unavailable")))
     for frame, order, name, most in children:
         out = out.join(nested(frame, order, name, most), "image_id", "left").withColumn(name, F.coalesce(name, F.array()))
     metrics = F.struct(
@@ -117,7 +142,12 @@ def report(summary_: DataFrame, zones: DataFrame, sensors: DataFrame, segments:
         F.col("shoreline_pixels").alias("shoreline_land_px"), F.col("canopy_excluded").alias("canopy_excluded_px"), F.col("segments").alias("segment_count"), F.col("segments_").alias("segments"),
     )
     circles = F.struct(F.col("zones").alias("evaluated"), F.col("sensors").alias("viable"), F.col("refused").alias("not_viable"))
-    ai = F.struct(F.lit("active").alias("status"), "detections", "counts") if detections is not None else F.struct(F.lit("unavailable").alias("status"))
+    if detections is not None:
+        active = F.col("ai_status") == "active"
+        # fields that are null are not written
+        ai = F.struct(F.when(active, "active").otherwise("unavailable").alias("status"), F.col("ai_message").alias("message"), F.when(active, F.col("detections")).alias("detections"), F.when(active, F.col("counts")).alias("counts"))
+    else:
+        active, ai = F.lit(False), F.struct(F.lit("unavailable").alias("status"))
     info = [F.col("image_info")] if "image_info" in out.columns else []
-    doc = F.struct(F.lit(True).alias("success"), F.struct(F.lit(True).alias("opencv"), F.lit(detections is not None).alias("ai")).alias("analysis_mode"), ai.alias("ai"), *info, parameters(cfg).alias("parameters"), metrics.alias("metrics"), F.col("zones_").alias("zones"), "sensor_zones", supply.alias("supply_zone"), circles.alias("sensor_analysis"), "isolated_regions", "warnings")
+    doc = F.struct(F.lit(True).alias("success"), F.struct(F.lit(True).alias("opencv"), active.alias("ai")).alias("analysis_mode"), ai.alias("ai"), *info, parameters(cfg).alias("parameters"), metrics.alias("metrics"), F.col("zones_").alias("zones"), "sensor_zones", supply.alias("supply_zone"), circles.alias("sensor_analysis"), "isolated_regions", "warnings")
     return out.select("image_id", F.to_json(doc).alias("doc"))

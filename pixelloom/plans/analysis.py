@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import colour
 from ..operators import report as reports
-from ..operators import stages, whole, windows
+from ..operators import inference, stages, whole, windows
 from ..sources import images, views
 from ..store import cut
 
@@ -63,16 +64,23 @@ def of_pixels(px: DataFrame, cfg: Config = Config()) -> tuple[Analysis, DataFram
     return of_masks(stages.stored(stages.canopy_mask(seen, cfg), "canopy"), cfg), model
 
 
-def analyse(spark: SparkSession, path: str, cfg: Config = Config(), drawn: tuple[str, ...] = (), manifest: DataFrame | None = None) -> DataFrame:
+def analyse(spark: SparkSession, path: str, cfg: Config = Config(), drawn: tuple[str, ...] = (), manifest: DataFrame | None = None, detector: Callable[[], inference.Predict] | None = None) -> DataFrame:
     """(image_id, status, doc, and a base64 PNG column for each view that is asked for) of the
     image files under ``path``: the report of those that can be analysed, the error code of
-    the others. Views that are not asked for are not drawn."""
+    the others. Views that are not asked for are not drawn.
+
+    detector: loads a model (see ``operators.inference``) whose objects the reports tell; where it
+    fails they say so, and all else is as without."""
     files = cut(images.decoded_images(spark, path, cfg, manifest), "decoded")
     sized = images.processed_size(files.where("status = 'OK'"), cfg)
     made, model = of_pixels(images.pixels(files, cfg), cfg)
     info = sized.select("image_id", F.struct(F.col("w").alias("original_width"), F.col("h").alias("original_height"), F.col("new_w").alias("processed_width"), F.col("new_h").alias("processed_height"), F.round("scale", 4).alias("scale")).alias("image_info"))
     summary = made.summary.join(model.select("image_id", "scene_model"), "image_id").join(info, "image_id")
-    docs = reports.report(summary, made.zones, made.sensors, made.segments, made.isolated, cfg)
+    objects = (None, None)
+    if detector is not None:
+        pictures = images.from_pixels(made.pixels.select(*stages.PIXEL, "w", "h", *"bgr"))
+        objects = inference.object_context(cut(inference.predicted(pictures, detector, cfg), "predicted"), cfg)
+    docs = reports.report(summary, made.zones, made.sensors, made.segments, made.isolated, cfg, *objects)
     out = files.select("image_id", "status").join(docs, "image_id", "left")
     for name in drawn:
         picture = images.pngs(views.DRAWN[name](made))

@@ -12,10 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..operators import whole
 
 PIXELS = "image_id string, y int, x int, w int, h int, b short, g short, r short"
 
@@ -56,14 +58,22 @@ def image_files(spark: SparkSession, path: str, cfg: Config = Config(), manifest
     return files.withColumn("status", upload_status(F.col("image_id"), F.lit(""), F.col("bytes"), cfg))
 
 
+def decoded(raw: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """(image_id, bytes, status, w, h, channels, data) of a scan of Spark's image source that keeps
+    what is invalid: name, size and picture come from one reading. Refused pictures have no data."""
+    seen = raw.select(_plain(F.col("image.origin")).alias("image_id"), F.col("_metadata.file_size").alias("bytes"), "image.height", "image.width", "image.nChannels", "image.data")
+    first = upload_status(F.col("image_id"), F.lit(""), F.col("bytes"), cfg)
+    status = F.when(first != "OK", first).when(F.coalesce(F.col("height"), F.lit(-1)) <= 0, "CORRUPT_IMAGE").when(F.least("height", "width") < cfg.min_side, "IMAGE_TOO_SMALL").otherwise("OK")
+    out = seen.withColumn("status", status)
+    known = lambda c: F.when(F.col(c) > 0, F.col(c))
+    return out.select("image_id", "bytes", "status", known("width").alias("w"), known("height").alias("h"), known("nChannels").alias("channels"), F.when(F.col("status") == "OK", F.col("data")).alias("data"))
+
+
 def decoded_images(spark: SparkSession, path: str, cfg: Config = Config(), manifest: DataFrame | None = None) -> DataFrame:
-    """(image_id, status, w, h, channels, data) of the acceptable files under ``path``."""
-    raw = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
-    files = image_files(spark, path, cfg, manifest)
-    out = files.join(raw.select(_plain(F.col("origin")).alias("_o"), "height", "width", "nChannels", "data"), _plain(F.col("image_id")) == F.col("_o"), "left")
-    size = F.least("height", "width")
-    status = F.when(F.col("status") != "OK", F.col("status")).when(F.coalesce(F.col("height"), F.lit(-1)) <= 0, "CORRUPT_IMAGE").when(size < cfg.min_side, "IMAGE_TOO_SMALL").otherwise("OK")
-    return out.select("image_id", "bytes", status.alias("status"), F.col("width").alias("w"), F.col("height").alias("h"), F.col("nChannels").alias("channels"), "data")
+    """``decoded`` of all files under ``path``, and rows for those that scans pass over."""
+    found = decoded(spark.read.format("image").option("dropInvalid", False).load(path), cfg)
+    absent = image_files(spark, path, cfg, manifest).where("bytes = 0").select(_plain(F.col("image_id")).alias("image_id"), "bytes", "status")
+    return found.unionByName(absent, allowMissingColumns=True)
 
 
 def processed_size(images: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -116,6 +126,31 @@ def pixels(images: DataFrame, cfg: Config = Config()) -> DataFrame:
     return processed_size(images.where("status = 'OK'"), cfg).mapInPandas(run, PIXELS).repartition("image_id")
 
 
+def from_pixels(px: DataFrame) -> DataFrame:
+    """Images (image_id, status, w, h, channels, data) from pixel rows b, g, r again."""
+    kind = px.schema["image_id"].dataType.simpleString()
+
+    def work(table: pa.Table) -> pa.Table:
+        bounds = whole.groups(table.column("image_id"))
+        flat = np.stack([table.column(c).to_numpy() for c in "bgr"], axis=1).astype(np.uint8)
+        first = table.take(pa.array(bounds[:-1]))
+        n = len(bounds) - 1
+        data = [flat[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        size = [pa.array(first.column(c).to_numpy().astype(np.int32)) for c in ("w", "h")]
+        return pa.table([first.column("image_id"), pa.array(["OK"] * n), *size, pa.array([3] * n, pa.int32()), pa.array(data, pa.binary())], ["image_id", "status", "w", "h", "channels", "data"])
+
+    return whole.stream(px.select("image_id", "y", "x", "w", "h", *"bgr"), ["y", "x"], work, f"image_id {kind}, status string, w int, h int, channels int, data binary")
+
+
+def fitted(row, size: int) -> np.ndarray:
+    """The picture of a row of ``letterbox``, within a square of grey (114): B, G, R by line and pixel."""
+    a = np.frombuffer(row.data, np.uint8).reshape(row.h, row.w, row.channels)[:, :, :3]
+    a = np.repeat(a, 3, axis=2) if row.channels == 1 else a
+    canvas = np.full((size, size, 3), 114, np.uint8)
+    canvas[row.pad_y : row.pad_y + row.new_h, row.pad_x : row.pad_x + row.new_w] = a if (row.new_h, row.new_w) == a.shape[:2] else resized(a, row.new_h, row.new_w)
+    return canvas
+
+
 def letterboxed(images: DataFrame, size: int) -> DataFrame:
     """Pixel rows of the images that are OK, each fitted into size x size between grey borders
     (114), with ratio and pads: the detector's input."""
@@ -125,11 +160,7 @@ def letterboxed(images: DataFrame, size: int) -> DataFrame:
         y, x = np.divmod(np.arange(size * size, dtype=np.int32), size)
         for frame in frames:
             for row in frame.itertuples():
-                a = np.frombuffer(row.data, np.uint8).reshape(row.h, row.w, row.channels)[:, :, :3]
-                a = np.repeat(a, 3, axis=2) if row.channels == 1 else a
-                canvas = np.full((size, size, 3), 114, np.uint8)
-                canvas[row.pad_y : row.pad_y + row.new_h, row.pad_x : row.pad_x + row.new_w] = resized(a, row.new_h, row.new_w)
-                flat = canvas.reshape(-1, 3).astype(np.int16)
+                flat = fitted(row, size).reshape(-1, 3).astype(np.int16)
                 yield pd.DataFrame({"image_id": row.image_id, "y": y, "x": x, "b": flat[:, 0], "g": flat[:, 1], "r": flat[:, 2], "ratio": row.ratio, "pad_x": row.pad_x, "pad_y": row.pad_y})
 
     fitted = letterbox(images.where("status = 'OK'"), size)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import whole, windows
+from ..operators import placement, whole, windows
 from .images import dimmed, tint
 
 # fixed values: colours as B, G, R
@@ -27,8 +27,8 @@ def paint(px: DataFrame, where: Column, bgr: tuple[int, int, int]) -> DataFrame:
 
 
 def line_layer(px: DataFrame, col: str, name: str, dash: int = 0) -> DataFrame:
-    """Adds ``name``: the boundary pixels of ``col``, not along the image's frame, in dashes of
-    about that length by a checkerboard, which serves lines of every direction."""
+    """Adds ``name``: pixels of ``col`` that a 3 x 3 erosion removes, less those within two of the
+    image's frame. With ``dash``, only those on the even squares of a grid of that width."""
     inner = windows.erode(px, col, 3, "_inner")
     edge = F.col(col) & ~F.col("_inner") & F.col("x").between(2, F.col("w") - 3) & F.col("y").between(2, F.col("h") - 3)
     if dash:
@@ -131,12 +131,27 @@ DRAWN = {"original": lambda made: made.pixels, "water_mask": water_view, "candid
 
 
 def annotations(made) -> DataFrame:
-    """(image_id, view, text, x, y): what the views would say in words."""
+    """(image_id, view, text, x, y, text_x, text_y, x1, y1, x2, y2): what the views would say in
+    words beside x, y, and where each text and its ground stand."""
     zones = made.zones.select("image_id", "zone_id", "final_score", "classification")
     sensors = made.sensors.where("not_viable is null").join(zones, ["image_id", "zone_id"])
-    said = [
-        sensors.select("image_id", F.lit("sensor_zones").alias("view"), F.format_string("Sensor %d: %.0f %s", "zone_id", "final_score", F.initcap("classification")).alias("text"), F.col("cx").alias("x"), F.col("cy").alias("y")),
-        made.segments.where("segment_id <= 3").select("image_id", F.lit("supply_zones"), F.format_string("Supply %d", "segment_id"), "anchor_x", "anchor_y"),
-        made.isolated.select("image_id", F.lit("isolated_regions"), F.format_string("Isolated #%d %.0f %s", "region_id", "isolation_score", F.split_part("classification", F.lit(" "), F.lit(1))), "left", "top"),
-    ]
-    return said[0].union(said[1]).union(said[2])
+    frames = made.pixels.where("x = 0 and y = 0").select("image_id", "w", "h")
+    circles_ = sensors.select(
+        "image_id", F.col("zone_id").alias("n"), F.format_string("Sensor %d: %.0f %s", "zone_id", "final_score", F.initcap("classification")).alias("text"),
+        F.col("cx").alias("x"), F.col("cy").alias("y"), (F.col("cy") - F.col("radius")).alias("top"), (F.col("cy") + F.col("radius")).alias("bottom"),
+    )
+    bands = made.segments.where("segment_id <= 3").select(
+        "image_id", (F.col("segment_id") + made.cfg.max_zones).alias("n"), F.format_string("Supply %d", "segment_id").alias("text"),
+        F.col("anchor_x").alias("x"), F.col("anchor_y").alias("y"), (F.col("anchor_y") - 4).alias("top"), (F.col("anchor_y") + 4).alias("bottom"),
+    )
+    seen = lambda df, *views: df.withColumn("view", F.explode(F.array(*map(F.lit, views))))
+    said = seen(circles_, "sensor_zones", "final_analysis").unionByName(seen(bands, "supply_zones", "final_analysis"))
+    round_ = sensors.select("image_id", *[(F.col(c) + sign * F.col("radius")).alias(n) for n, c, sign in (("x1", "cx", -1), ("y1", "cy", -1), ("x2", "cx", 1), ("y2", "cy", 1))])
+    out = placement.placed(said, frames, seen(round_, "sensor_zones", "final_analysis"), by=("image_id", "view"))
+    columns = ["image_id", "view", "text", "x", "y", "text_x", "text_y", "x1", "y1", "x2", "y2"]
+    # regions' names stand at their boxes' upper left corners
+    font = placement.Font()
+    alone = made.isolated.join(frames, "image_id").select("image_id", F.lit("isolated_regions").alias("view"), F.format_string("Isolated #%d %.0f %s", "region_id", "isolation_score", F.split_part("classification", F.lit(" "), F.lit(1))).alias("text"), F.col("left").alias("x"), F.col("top").alias("y"), "w", "h")
+    tx, ty, ground = placement.text_box(F.col("x"), F.greatest(F.lit(14), F.col("y") - 6), F.length("text") * font.advance, F.col("w"), F.col("h"), font)
+    alone = alone.withColumns({"text_x": tx, "text_y": ty} | dict(zip(("x1", "y1", "x2", "y2"), ground, strict=True)))
+    return out.select(*columns).unionByName(alone.select(*columns))
