@@ -510,4 +510,4 @@ def scene_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.coverage(stages.detect_water(stages.stored(px, "copy"), CFG)[0])
 
 
-from . import detail_queries, mask_queries  # noqa: E402, F401  they register their queries
+from . import detail_queries, mask_queries, texture_queries  # noqa: E402, F401  they register their queries
