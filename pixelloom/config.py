@@ -60,16 +60,33 @@ class Config:
     nms_iou: float = 0.7
     max_detections: int = 300
     detector_input: int = 640
+    detector_enabled: bool = True
+    #: Of the classes that are reported, those to look for; all of them if empty.
+    detector_classes: tuple[str, ...] = ()
+
+
+def flag(text: str | None, default: bool) -> bool:
+    """A switch as people write it: unset is the default; 0, false, no, off and nothing are off."""
+    return default if text is None else text.strip().lower() not in ("0", "false", "no", "off", "")
+
+
+def listed(text: str | None) -> tuple[str, ...]:
+    """The entries between commas, without the space around them and without empty ones."""
+    return tuple(x for part in (text or "").split(",") if (x := part.strip()))
 
 
 def from_env(env: Mapping[str, str], base: Config = Config()) -> Config:
-    """``base`` with the detector's input size from DETECTOR_INPUT: between 320 and 1280, a
-    multiple of 32 (rounded down); what is no number changes nothing."""
+    """``base`` as the environment has it: DETECTOR_INPUT (between 320 and 1280, a multiple of 32,
+    rounded down; what is no number changes nothing), DETECTOR_ENABLED (a switch),
+    DETECTOR_CLASSES (a list, all classes without it) and DISTANCE_METRIC."""
     try:
         size = int(env.get("DETECTOR_INPUT", "").strip())
     except ValueError:
         size = base.detector_input
-    return replace(base, detector_input=max(320, min(1280, size)) // 32 * 32)
+    return replace(
+        base, detector_input=max(320, min(1280, size)) // 32 * 32, detector_enabled=flag(env.get("DETECTOR_ENABLED"), base.detector_enabled),
+        detector_classes=listed(env.get("DETECTOR_CLASSES")) or base.detector_classes, metric=env.get("DISTANCE_METRIC", "").strip().lower() or base.metric,
+    )
 
 
 def mini() -> Config:

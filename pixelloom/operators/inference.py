@@ -99,7 +99,8 @@ def object_context(predicted_: DataFrame, cfg: Config = Config()) -> tuple[DataF
     """What the report tells: (boxes after suppression, (image_id, ai_status, ai_message, counts) of every
     image). ``predicted_`` should be stored."""
     sized = predicted_.drop("anchors", "ai_status")
-    found = detect.detections(detect.suppressed(detect.candidates(anchors(predicted_), sized, cfg=cfg), cfg), cfg)
-    counts = detect.counts_map(detect.class_counts(found, sized))
+    classes = {k: v for k, v in detect.CLASSES.items() if not cfg.detector_classes or v in cfg.detector_classes}
+    found = detect.detections(detect.suppressed(detect.candidates(anchors(predicted_), sized, classes, cfg), cfg), cfg)
+    counts = detect.counts_map(detect.class_counts(found, sized, classes))
     said = F.create_map(*[F.lit(v) for kv in MESSAGES.items() for v in kv])
     return found, predicted_.select("image_id", "ai_status", said[F.col("ai_status")].alias("ai_message")).join(counts, "image_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions.rounding import exact_round
 
 
 def warnings(cfg: Config = Config()) -> Column:
@@ -24,7 +25,7 @@ def warnings(cfg: Config = Config()) -> Column:
 
 def share(part: str, whole: str, digits: int = 2) -> Column:
     """Percentage, 0 of nothing."""
-    return F.round(100.0 * F.col(part) / F.greatest(F.lit(1), F.col(whole)), digits)
+    return exact_round(100.0 * F.col(part) / F.greatest(F.lit(1), F.col(whole)), digits)
 
 
 def summary(coverage: DataFrame, band: DataFrame, zones: DataFrame, sensors: DataFrame, segments: DataFrame, isolated: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -47,7 +48,7 @@ def nested(frame: DataFrame, order: str, name: str, most: int | None = None) ->
 
 
 def point(x: str, y: str, digits: int | None = None) -> Column:
-    at = lambda c: F.col(c) if digits is None else F.round(c, digits)
+    at = lambda c: F.col(c) if digits is None else exact_round(F.col(c), digits)
     return F.struct(at(x).alias("x"), at(y).alias("y"))
 
 
@@ -73,7 +74,7 @@ def refused_documents(sensors: DataFrame) -> DataFrame:
 
 
 def segment_documents(segments: DataFrame, totals: DataFrame) -> DataFrame:
-    of_band = F.round(100.0 * F.col("area") / F.greatest(F.lit(1), F.col("band_pixels")), 1)
+    of_band = exact_round(100.0 * F.col("area") / F.greatest(F.lit(1), F.col("band_pixels")), 1)
     return segments.join(totals.select("image_id", "band_pixels"), "image_id").select("image_id", F.col("segment_id").alias("id"), F.col("area").alias("pixel_area"), of_band.alias("share_of_band"), box().alias("bounding_box"), point("cx", "cy", 1).alias("centroid"), point("anchor_x", "anchor_y").alias("anchor"))
 
 

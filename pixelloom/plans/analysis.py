@@ -70,14 +70,14 @@ def analyse(spark: SparkSession, path: str, cfg: Config = Config(), drawn: tuple
     the others. Views that are not asked for are not drawn.
 
     detector: loads a model (see ``operators.inference``) whose objects the reports tell; where it
-    fails they say so, and all else is as without."""
+    fails they say so, and all else is as without. ``config.from_env`` reads switches and lists."""
     files = cut(images.decoded_images(spark, path, cfg, manifest), "decoded")
     sized = images.processed_size(files.where("status = 'OK'"), cfg)
     made, model = of_pixels(images.pixels(files, cfg), cfg)
     info = sized.select("image_id", F.struct(F.col("w").alias("original_width"), F.col("h").alias("original_height"), F.col("new_w").alias("processed_width"), F.col("new_h").alias("processed_height"), F.round("scale", 4).alias("scale")).alias("image_info"))
     summary = made.summary.join(model.select("image_id", "scene_model"), "image_id").join(info, "image_id")
     objects = (None, None)
-    if detector is not None:
+    if detector is not None and cfg.detector_enabled:
         pictures = images.from_pixels(made.pixels.select(*stages.PIXEL, "w", "h", *"bgr"))
         objects = inference.object_context(cut(inference.predicted(pictures, detector, cfg), "predicted"), cfg)
     docs = reports.report(summary, made.zones, made.sensors, made.segments, made.isolated, cfg, *objects)

@@ -163,8 +163,8 @@ def letterboxed(images: DataFrame, size: int) -> DataFrame:
                 flat = fitted(row, size).reshape(-1, 3).astype(np.int16)
                 yield pd.DataFrame({"image_id": row.image_id, "y": y, "x": x, "b": flat[:, 0], "g": flat[:, 1], "r": flat[:, 2], "ratio": row.ratio, "pad_x": row.pad_x, "pad_y": row.pad_y})
 
-    fitted = letterbox(images.where("status = 'OK'"), size)
-    return fitted.mapInPandas(run, "image_id string, y int, x int, b short, g short, r short, ratio double, pad_x int, pad_y int")
+    sized = letterbox(images.where("status = 'OK'"), size)
+    return sized.mapInPandas(run, "image_id string, y int, x int, b short, g short, r short, ratio double, pad_x int, pad_y int")
 
 
 def png(pixels_: np.ndarray) -> bytes:

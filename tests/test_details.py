@@ -214,3 +214,51 @@ def test_reports_are_read_back(spark):
     assert [r.report_status for r in got] == [k for k, _ in rows]
     first = got[0].report
     assert first.metrics.sensor_zones == whole["metrics"]["sensor_zones"] == len(first.sensor_zones) and first.sensor_zones[0].center.x == whole["sensor_zones"][0]["center"]["x"]
+
+
+# --- rounding, environment, table function, edges ----------------------------------------
+
+
+def test_rounding_is_pythons(spark):
+    from pixelloom.functions.rounding import exact_round
+
+    rng = random.Random(5)
+    values = [rng.choice([rng.uniform(-1000, 1000), rng.randrange(-99999, 99999) / 1000, rng.randrange(-9999, 9999) / 8, rng.uniform(0, 1) * 10 ** rng.randint(-9, 15)]) for _ in range(10_000)]
+    values += [2.675, 0.125, -0.125, 1.005, 0.0, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", *[exact_round(F.col("v"), d).alias(f"d{d}") for d in (0, 1, 2, 4)])
+    for r in df.collect():
+        v = values[r.i]
+        assert [r.d0, r.d1, r.d2, r.d4] == [None if v is None else round(v, d) for d in (0, 1, 2, 4)]
+
+
+def test_environment():
+    from pixelloom.config import from_env
+
+    c = from_env({"DETECTOR_ENABLED": " Off ", "DETECTOR_CLASSES": " car, ,boat,", "DISTANCE_METRIC": "Chamfer5", "DETECTOR_INPUT": "500"})
+    assert (c.detector_enabled, c.detector_classes, c.metric, c.detector_input) == (False, ("car", "boat"), "chamfer5", 480)
+    assert from_env({}) == Config()
+    assert [from_env({"DETECTOR_ENABLED": v}).detector_enabled for v in ("1", "true", "yes", "0", "FALSE", "no", "")] == [True, True, True, False, False, False, False]
+
+
+def test_classes_and_switch_are_used(spark, tmp_path):
+    cfg = replace(mini(), detector_input=64)
+    seen = inference.predicted(pictures(spark, 3), detail_queries.cell_model, cfg)
+    every, some = (inference.object_context(seen, c) for c in (cfg, replace(cfg, detector_classes=("car", "boat"))))
+    labels = {r.label for r in every[0].collect()}
+    assert {r.label for r in some[0].collect()} == labels & {"car", "boat"} and set(some[1].first().counts) == {"car", "boat"}
+    (tmp_path / "a.png").write_bytes(images.png(np.full((64, 96, 3), (60, 110, 70), np.uint8)))
+    d = json.loads(analysis.analyse(spark, str(tmp_path), replace(cfg, detector_enabled=False), detector=detail_queries.cell_model).first().doc)
+    assert d["ai"] == {"status": "unavailable"}
+
+
+def test_table_function(spark):
+    from pixelloom.operators import tables, whole
+
+    rng = np.random.default_rng(2)
+    rows = [(f"i{i}", y, x, bool(rng.random() < 0.6)) for i, (h, w) in enumerate([(5, 9), (1, 4), (12, 3)]) for y in range(h) for x in range(w)]
+    px = spark.createDataFrame(rows, "image_id string, y int, x int, mask boolean")
+    px.createOrReplaceTempView("some_pixels")
+    tables.register(spark, "parts_of_images", kind="string", padded=True)
+    got = spark.sql("SELECT * FROM parts_of_images(TABLE(SELECT image_id, y, x, mask FROM some_pixels) PARTITION BY image_id ORDER BY (y, x))")
+    want = whole.add(px, label=whole.labels("mask"), d2=whole.squared("mask", padded=True)).drop("mask")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select("image_id", "y", "x", "label", "d2").collect()))
