@@ -51,13 +51,13 @@ def failures(docs: DataFrame, labels: DataFrame, filters: Mapping = FILTERS, rep
     by letter. ``labels``: id, quality, toxic."""
     letters = sorted([*filters, *([repeats] if repeats else [])])
     bit = {x: 1 << i for i, x in enumerate(letters)}
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit("")).alias("part"), text.alias("text"))
+    text = F.coalesce(shared.named(text_col).cast("string"), F.lit(""))
+    rows = docs.select(shared.named(id_col).alias("id"), F.coalesce(shared.named(part_col).cast("string"), F.lit("")).alias("part"), text.alias("text"))
     rows = rows.withColumn("words", words(F.col("text")))
     fails = sum((F.when(f(F.col("text"), F.col("words")), bit[x]).otherwise(0) for x, f in filters.items()), F.lit(0))
     rows = shared.cut(rows.select("id", "part", fails.alias("fails"), F.unhex(F.sha2("text", 256)).alias("digest")), "flags")
 
-    marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("good"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic"))
+    marks = labels.select(shared.named(id_col).alias("id"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("good"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic"))
     marks = marks.where("id is not null").groupBy("id").agg(F.max("good").alias("good"), F.max("toxic").alias("toxic"))
     named, nameless = rows.where("id is not null"), rows.where("id is null")  # null ids look for no partner
     out = named.join(marks, "id", "left")

@@ -217,9 +217,9 @@ def fit(labelled: DataFrame, order: int = ORDER, sample: int = 2000) -> Model:
 def identify(texts: DataFrame, model: Model) -> DataFrame:
     """``texts`` (id, text and more) with lang_pred and score in place of text."""
     shared_model = texts.sparkSession.sparkContext.broadcast(model)  # bounded by the sample, order and languages
-    own = [c for c in texts.columns if c not in (*ADDED, "text")]
+    own = shared.others(texts.columns, (*ADDED, "text"))
     # by number, as names may be any
-    texts = texts.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], "text")
+    texts = texts.select(*[shared.named(c).alias(f"c{i}") for i, c in enumerate(own)], "text")
     keep = texts.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

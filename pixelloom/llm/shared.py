@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..store import cut, delete, folder, fresh_path, scope
 
-__all__ = ["NOT_SPACE", "SPACE", "boxed", "cut", "delete", "documents", "field", "folder", "fresh_path", "join_side", "lean", "scope", "unboxed", "with_row"]
+__all__ = ["NOT_SPACE", "SPACE", "boxed", "cut", "delete", "documents", "field", "folder", "fresh_path", "join_side", "lean", "named", "others", "scope", "unboxed", "with_row"]
 
 #: Whitespace of every contract: the space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]"
@@ -35,10 +35,21 @@ def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def named(column: str) -> Column:
+    """A column of the user's, whose name may hold anything."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def others(columns: Sequence[str], without: Sequence[str]) -> list[str]:
+    """``columns`` but for those named like ``without``; Spark takes no note of case."""
+    gone = {c.casefold() for c in without}
+    return [c for c in columns if c.casefold() not in gone]
+
+
 def boxed(df: DataFrame) -> DataFrame:
     """(_row, _doc): the row key and all columns of ``df`` in one struct, so that no
     helper column can clash with a column of the user's."""
-    return with_row(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc")))
+    return with_row(df.select(F.struct(*[named(c) for c in df.columns]).alias("_doc")))
 
 
 def field(name: str) -> Column:
@@ -48,7 +59,7 @@ def field(name: str) -> Column:
 
 def unboxed(columns: Sequence[str], without: Sequence[str] = ()) -> list[Column]:
     """The user's columns again, in order, but for those that are replaced."""
-    return [field(c).alias(c) for c in columns if c not in without]
+    return [field(c).alias(c) for c in others(columns, without)]
 
 
 def join_side(rows: DataFrame, side: DataFrame, keys: list[str], n: str, total: int, heavy: int = 1000) -> DataFrame:

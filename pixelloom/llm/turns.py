@@ -288,8 +288,8 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     space = F.lit(" ")
     rows = shared.with_row(
         turns.select(
-            F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.coalesce(F.col(f"`{role_col}`").cast("string"), space).alias("role"),
-            F.coalesce(F.col(f"`{text_col}`").cast("string"), space).alias("text"), (F.col(f"`{copies_col}`") if copies_col else F.lit(1)).cast("int").alias("n"),
+            shared.named(conv_col).alias("conv"), shared.named(turn_col).cast("long").alias("turn"), F.coalesce(shared.named(role_col).cast("string"), space).alias("role"),
+            F.coalesce(shared.named(text_col).cast("string"), space).alias("text"), (shared.named(copies_col) if copies_col else F.lit(1)).cast("int").alias("n"),
         )
     )
     # the row itself comes last, so that equal rows need not lie in one partition

@@ -172,7 +172,7 @@ def fit_scorer(drawn: DataFrame) -> LogisticRegressionModel | None:
 
 def weak_label_quality(docs: DataFrame, text_col: str = "text", sample: int = 8000, bits: int = 14, threshold: float = 0.5, false_alarm: float = STRICT) -> DataFrame:
     """``docs`` with score (of the linear scorer, 0 to 1) and kept."""
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    boxed = docs.select(F.struct(*[shared.named(c) for c in docs.columns]).alias("_doc"))
     rows = prepared(boxed, shared.field(text_col))
     voters = labellers()
     votes = F.concat(*[f() for f in voters.values()])
