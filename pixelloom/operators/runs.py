@@ -149,24 +149,35 @@ def stats(labelled_: DataFrame) -> DataFrame:
 # --- pixel tables, stored as runs ----------------------------------------------------
 
 
-def packed(px: DataFrame, each: Sequence[str]) -> DataFrame:
-    """A pixel table of full rectangles with a row for each stretch of a line on which all
-    columns but ``each`` are equal; those are arrays."""
-    same = [c for c in px.columns if c not in (*each, "y", "x", "image_id")]
+class Packing:
+    """Sorted pixels of full rectangles -> a row for each stretch of a line on which all columns but
+    ``each`` are equal; those become arrays. ``without``: columns that are not kept."""
+
+    def __init__(self, each: Sequence[str], without: Sequence[str] = ()):
+        self.each, self.without = list(each), ("image_id", "y", "x", *each, *without)
+
+    def table(self, table: pa.Table) -> pa.Table:
+        same = [c for c in table.column_names if c not in self.without]
 
-    def work(table: pa.Table) -> pa.Table:
         def key(c: str) -> pa.ChunkedArray:
             a = table.column(c)
             return a if a.null_count == 0 else pa.chunked_array([pc.fill_null(a, -1).combine_chunks()])
 
         bounds = whole.groups(*(key(c) for c in ("image_id", "y", *same)))
         first = table.take(pa.array(bounds[:-1]))
-        lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), table.column(c).combine_chunks()) for c in each]
+        lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), table.column(c).combine_chunks()) for c in self.each]
         x = table.column("x").to_numpy()
-        return pa.table([first.column("image_id"), first.column("y"), pa.array(x[bounds[:-1]]), pa.array(x[bounds[1:] - 1]), *[first.column(c) for c in same], *lists], ["image_id", "y", "x0", "x1", *same, *each])
+        return pa.table([first.column("image_id"), first.column("y"), pa.array(x[bounds[:-1]]), pa.array(x[bounds[1:] - 1]), *[first.column(c) for c in same], *lists], ["image_id", "y", "x0", "x1", *same, *self.each])
 
-    fields = [px.schema["image_id"], px.schema["y"], StructField("x0", IntegerType()), StructField("x1", IntegerType()), *[px.schema[c] for c in same], *[StructField(c, ArrayType(px.schema[c].dataType)) for c in each]]
-    return whole.stream(px, ["y", "x"], work, StructType(fields))
+    def schema(self, px: StructType) -> StructType:
+        same = [f for f in px.fields if f.name not in self.without]
+        return StructType([px["image_id"], px["y"], StructField("x0", IntegerType()), StructField("x1", IntegerType()), *same, *[StructField(c, ArrayType(px[c].dataType)) for c in self.each]])
+
+
+def packed(px: DataFrame, each: Sequence[str]) -> DataFrame:
+    """A pixel table of full rectangles, packed."""
+    p = Packing(each)
+    return whole.stream(px, ["y", "x"], p.table, p.schema(px.schema))
 
 
 def unpacked(rows: DataFrame, each: Sequence[str]) -> DataFrame:

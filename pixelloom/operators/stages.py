@@ -28,9 +28,10 @@ def stored(px: DataFrame, name: str) -> DataFrame:
     return cut(px, name).repartition("image_id")
 
 
-def in_runs(px: DataFrame, name: str, each: list[str]) -> DataFrame:
-    """``px`` stored as runs: a row for each stretch of a line on which all but ``each`` is equal."""
-    return runs.unpacked(cut(runs.packed(px, each), name), each)
+def in_runs(px: DataFrame, name: str, each: list[str], without: str, **added: whole.Added) -> DataFrame:
+    """``px`` with added columns, stored as runs: a row for each stretch of a line on which all but
+    ``each`` is equal. Columns are added and packed in one pass."""
+    return runs.unpacked(cut(whole.add(px, runs.Packing(each, [without]), **added), name), each)
 
 
 def rank(order: list[Column], name: str, *by: str) -> Column:
@@ -258,11 +259,10 @@ def zoned(px: DataFrame, cfg: Config = Config()) -> DataFrame:
     (of the candidate component), its perimeter, _clear (distance to the nearest pixel that is
     no candidate), _free2 (squared, the buffer counting as none) and _wd (to water). Stored."""
     valid = px.withColumn("_valid", F.col("candidate") & ~F.col("buffer"))
-    out = whole.add(
-        valid, label=whole.labels("candidate"), perimeter=whole.perimeters("candidate", cfg.candidate_min_area),
+    return in_runs(
+        valid, "zoned", ["_clear", "_free2", "_wd"], "_valid", label=whole.labels("candidate"), perimeter=whole.perimeters("candidate", cfg.candidate_min_area),
         _clear=whole.clearance("candidate", padded=True, metric=cfg.metric), _free2=whole.squared("_valid", padded=True), _wd=whole.distance_to("water", cfg.metric),
     )
-    return in_runs(out.drop("_valid"), "zoned", ["_clear", "_free2", "_wd"])
 
 
 def regions(zoned_: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -332,8 +332,8 @@ def supply_band(px: DataFrame, cfg: Config = Config()) -> DataFrame:
     out = whole.add(px, _wd=whole.distance_to("water", cfg.metric), _any=whole.Added(whole.BooleanType(), _any_water)).repartition("image_id")
     out = out.withColumn("shoreline", F.col("_any") & ~F.col("water") & (F.col("_wd") > cfg.supply_inner) & (F.col("_wd") <= cfg.supply_outer)).drop("_any")
     out = windows.opened(out.withColumn("_band", F.col("shoreline") & ~F.col("canopy")), "_band", 3)
-    out = whole.add(out, band=whole.at_least("_band", cfg.supply_min_area), label=whole.labels("band"), _in=whole.clearance("band", padded=True, metric=cfg.metric))
-    return in_runs(out.drop("_band"), "band", ["_wd", "_in"])
+    last = {"band": whole.at_least("_band", cfg.supply_min_area), "label": whole.labels("band"), "_in": whole.clearance("band", padded=True, metric=cfg.metric)}
+    return in_runs(out, "band", ["_wd", "_in"], "_band", **last)
 
 
 def _any_water(get) -> np.ndarray:

@@ -76,8 +76,9 @@ class Added:
 ARROW = {LongType(): pa.int64(), BooleanType(): pa.bool_(), DoubleType(): pa.float64()}
 
 
-def add(px: DataFrame, **added: Added) -> DataFrame:
-    """``px`` (image_id, y, x and more; every image a full rectangle) with further columns."""
+def add(px: DataFrame, packing=None, **added: Added) -> DataFrame:
+    """``px`` (image_id, y, x and more; every image a full rectangle) with further columns; packed as
+    ``runs.Packing`` does in the same pass, if one is given."""
 
     def work(table: pa.Table) -> pa.Table:
         bounds = groups(table.column("image_id"))
@@ -103,10 +104,11 @@ def add(px: DataFrame, **added: Added) -> DataFrame:
                     nulls.setdefault(name, np.zeros(len(y), bool))[rows] = null.reshape(len(rows), -1)
         for name, a in added.items():
             table = table.append_column(name, pa.array(new[name], ARROW[a.type], mask=nulls.get(name)))
-        return table
+        return packing.table(table) if packing else table
 
     px = px.drop(*added)
-    return stream(px, ["y", "x"], work, StructType([*px.schema.fields, *[StructField(n, a.type) for n, a in added.items()]]))
+    schema = StructType([*px.schema.fields, *[StructField(n, a.type) for n, a in added.items()]])
+    return stream(px, ["y", "x"], work, packing.schema(schema) if packing else schema)
 
 
 # --- components ----------------------------------------------------------------------
