@@ -87,9 +87,9 @@ def detect_water(px: DataFrame, cfg: Config = Config()) -> tuple[DataFrame, Data
     shows these, cleaned and verified. Adds support, evidence and water.
 
     Also (image_id, scene_model, clusters, rejected, primary_share), one row for each image."""
-    seen = stored(evidence(support_map(px, cfg)), "support")
+    seen = stored(weighted_lab(evidence(support_map(px, cfg)), cfg), "support")
     clusters = cut(scene_clusters(scene_seeds(seen, cfg)), "clusters")
-    judged = scene_match(weighted_lab(seen, cfg), clusters)
+    judged = scene_match(seen, clusters)
     judged = judged.withColumn("evidence", (F.col("evidence") * F.col("match")).cast("float")).drop("match", "cl", "ca", "cb")
     model = clusters.groupBy("image_id").agg(F.count("*").alias("clusters"), F.count_if(~F.col("accepted")).alias("rejected"), F.max("share").alias("primary_share"))
     images = seen.select("image_id").distinct().join(model, "image_id", "left")
@@ -146,12 +146,13 @@ def weighted_lab(px: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def scene_seeds(px: DataFrame, cfg: Config = Config()) -> DataFrame:
     """(image_id, y, x, cl, ca, cb) of sure water: wet, and smooth around; none of images
-    where that is less than a minimal share."""
+    where that is less than a minimal share. Uses the colours of ``weighted_lab`` if ``px`` has them."""
     seed = wet(px, cfg) & (F.col("support") >= cfg.seed_support)
-    lab = weighted_lab(px.withColumn("_seed", seed), cfg)
-    image = Window.partitionBy("image_id")
-    counted = lab.select(*PIXEL, "cl", "ca", "cb", "_seed", (F.count_if("_seed").over(image) >= cfg.seed_share * F.count("*").over(image)).alias("_enough"))
-    return counted.where("_seed and _enough").drop("_seed", "_enough")
+    flagged = px.withColumn("_seed", seed)
+    counts = flagged.groupBy("image_id").agg(F.count_if("_seed").alias("_n"), F.count("*").alias("_all"))
+    enough = flagged.join(counts.where((F.col("_n") > 0) & (F.col("_n") >= cfg.seed_share * F.col("_all"))), "image_id", "left_semi")
+    lab = enough if "cl" in px.columns else weighted_lab(enough, cfg)
+    return lab.where("_seed").select(*PIXEL, "cl", "ca", "cb")
 
 
 def k_means(data: np.ndarray, k: int, rng: np.random.Generator, rounds: int, least: float) -> tuple[float, np.ndarray, np.ndarray]:

@@ -177,14 +177,17 @@ def png(pixels_: np.ndarray) -> bytes:
 
 
 def pngs(px: DataFrame) -> DataFrame:
-    """(image_id, png) from pixel rows b, g, r; one image (at most a million pixels) is one group."""
+    """(image_id, png) from pixel rows b, g, r; several images (of at most a million pixels) to a batch."""
 
-    def draw(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["y", "x"])
-        h, w = int(g["y"].max()) + 1, int(g["x"].max()) + 1
-        return pd.DataFrame({"image_id": g["image_id"].iloc[:1].astype(str), "png": [png(g[["b", "g", "r"]].to_numpy().reshape(h, w, 3))]})
+    def draw(table: pa.Table) -> pa.Table:
+        bounds = whole.groups(table.column("image_id"))
+        flat = np.stack([table.column(c).to_numpy() for c in "bgr"], axis=1)
+        y, x = (table.column(c).to_numpy() for c in ("y", "x"))
+        files = [png(flat[a:b].reshape(y[b - 1] + 1, x[b - 1] + 1, 3)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return pa.table([table.column("image_id").take(pa.array(bounds[:-1])), pa.array(files, pa.binary())], ["image_id", "png"])
 
-    return px.select("image_id", "y", "x", "b", "g", "r").groupBy("image_id").applyInPandas(draw, "image_id string, png binary")
+    rows = px.select(F.col("image_id").cast("string").alias("image_id"), "y", "x", "b", "g", "r")
+    return whole.stream(rows, ["y", "x"], draw, "image_id string, png binary")
 
 
 # --- views: per-pixel drawing --------------------------------------------------------
