@@ -4,18 +4,20 @@ Sorting all suffixes of a corpus would shuffle many times its size. Here each
 window of ``length`` bytes is filed under its minimiser, the least-hashed k-gram
 inside it; equal windows have equal minimisers at equal offsets, so a repeated
 window is found among the occurrences of one k-gram. For each occurrence (an
-anchor) one row is shuffled: the k-gram's hash and the hash of its span, all
+anchor) one row is shuffled: the k-gram's hash and the digest of its span, all
 bytes of the windows filed there.
 
 * A k-gram that occurs once: none of its windows is repeated.
-* Occurrences whose spans are equal: all their windows are repeated. Spans count as
-  equal if two independent 64-bit polynomial hashes of them are.
+* Occurrences whose spans are equal: all their windows are repeated. Spans are equal
+  if their 128-bit BLAKE2b digests are; a polynomial hash would not do, as there are
+  texts on which all polynomials modulo a power of two collide together.
 * The others, at the ends of repeated passages: one context for each distinct
   span goes to its k-gram's bucket, and there the suffixes that start at equal
   distances from the k-gram are put in order by a mergesort. Two suffixes are
   compared through prefix polynomial hashes: a binary search finds how far they
   agree, so a comparison takes log2(length) steps. Neighbours that agree on
-  ``length`` bytes by hash are compared byte by byte before they count.
+  ``length`` bytes by hash are compared byte by byte before they count; where that
+  finds a collision, the windows of that hash are put in order by their bytes.
 * A bucket holds ``bucket`` contexts. Those of a k-gram with more (the edge of a
   passage that very many texts share) are dealt over several; each is sorted, and
   one window of each of its classes goes on to a second sort, filed there by its
@@ -48,29 +50,30 @@ LENGTH = 200
 KGRAM = 48
 #: Window starts that are hashed together; longer texts are cut into such pieces, with an overlap.
 PIECE = 1 << 17
-#: Bases of the two polynomial hashes.
-ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Base of the polynomial hash.
+ODD = 0x9E3779B97F4A7C15
 
 
-_held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_held: list[np.ndarray] = []
 
 
-def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, up to n; the longest asked for are held."""
-    if which not in _held or len(_held[which][0]) < n:
+    global _held
+    if not _held or len(_held[0]) < n:
         both = []
-        for base in (ODD[which], pow(ODD[which], -1, 1 << 64)):
+        for base in (ODD, pow(ODD, -1, 1 << 64)):
             p = np.full(max(n, 1 << 19), np.uint64(base))
             p[0] = 1
             both.append(np.multiply.accumulate(p))
-        _held[which] = (both[0], both[1])
-    return _held[which][0][:n], _held[which][1][:n]
+        _held = both
+    return _held[0][:n], _held[1][:n]
 
 
 @lru_cache
-def _letters(which: int) -> np.ndarray:
+def _letters() -> np.ndarray:
     """A fixed random 64-bit value for each byte."""
-    return np.random.default_rng(20240229 + which).integers(1, 1 << 63, 256).astype(np.uint64) | np.uint64(1)
+    return np.random.default_rng(20240229).integers(1, 1 << 63, 256).astype(np.uint64) | np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,11 +86,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hashed:
     """A byte buffer with prefix polynomial hashes: the hash of any substring in O(1)."""
 
-    def __init__(self, data: np.ndarray, which: int = 0):
+    def __init__(self, data: np.ndarray):
         self.data = data
-        power, self.inverse = _powers(len(data) + 1, which)
+        power, self.inverse = _powers(len(data) + 1)
         self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_letters(which)[data] * power[:-1], out=self.prefix[1:])
+        np.cumsum(_letters()[data] * power[:-1], out=self.prefix[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.prefix[end] - self.prefix[start]) * self.inverse[start]
@@ -119,7 +122,8 @@ def _least_in_window(keys: np.ndarray, w: int) -> np.ndarray:
 
 def anchors_of(data: np.ndarray, text_at: np.ndarray, length: int, kgram: int) -> tuple[np.ndarray, ...]:
     """Anchors of the texts that start at ``text_at`` in ``data`` (its last item is
-    the end): text number, anchor, first and last window start, k-gram and two span hashes."""
+    the end): text number, anchor, first and last window start, k-gram, and both halves of
+    the span's digest. Equal spans have their anchors at equal places."""
     w = length - kgram + 1
     hashed = Hashed(data)
     at = np.arange(len(data) - kgram + 1)
@@ -135,8 +139,9 @@ def anchors_of(data: np.ndarray, text_at: np.ndarray, length: int, kgram: int) -
     keep = whole[first]
     first, last = first[keep], last[keep]
     anchor, number = anchor[first], text[first]
-    shape = (anchor - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)
-    span, check = (mix(h.of(first, last + length) ^ shape) for h in (hashed, Hashed(data, 1)))
+    view, digest = memoryview(data), hashlib.blake2b
+    digests = b"".join([digest(view[i:j], digest_size=16).digest() for i, j in zip(first.tolist(), (last + length).tolist(), strict=True)])
+    span, check = np.frombuffer(digests, np.int64).reshape(-1, 2).T
     return number, anchor, first, last, grams[anchor], span, check
 
 
@@ -171,7 +176,7 @@ def find_anchors(rows: DataFrame, length: int, kgram: int) -> DataFrame:
                 starts = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
                 number, a, first, last, gram, span, check = anchors_of(np.frombuffer(b"".join(parts), np.uint8), starts, length, kgram)
                 shift = np.array(bases)[number] - starts[number]
-                cols = [np.array(keys)[number], a + shift, (a - last).astype(np.int16), (a - first).astype(np.int16), gram.view(np.int64), span.view(np.int64), check.view(np.int64)]
+                cols = [np.array(keys)[number], a + shift, (a - last).astype(np.int16), (a - first).astype(np.int16), gram.view(np.int64), span, check]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_row", "a", "d0", "d1", "gram", "span", "check"])
 
     return rows.mapInArrow(shared.lean(run), "_row long, a long, d0 short, d1 short, gram long, span long, check long")
@@ -231,6 +236,17 @@ def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) ->
     return out
 
 
+def _by_bytes(data: np.ndarray, start: np.ndarray, by: np.ndarray, near: np.ndarray, same: np.ndarray, length: int) -> np.ndarray:
+    """``by`` with each stretch of windows of one hash in order of their bytes, if these
+    are not all the same. ``near``: places whose hash is the next one's; ``same``: their bytes too."""
+    by = by.copy()
+    _, first, last = runs(np.zeros(len(near), int), near)
+    clash = np.add.reduceat(~same, np.searchsorted(near, first)) > 0
+    for lo, hi in zip(first[clash].tolist(), (last[clash] + 2).tolist(), strict=True):
+        by[lo:hi] = sorted(by[lo:hi].tolist(), key=lambda i: data[start[i] : start[i] + length].tobytes())
+    return by
+
+
 def window_classes(contexts: list[bytes], gram: np.ndarray, d0: np.ndarray, d1: np.ndarray, length: int) -> tuple:
     """Every window of the contexts: context, distance, whether an equal one is at the same
     distance from the same k-gram, whether it comes first of those equal to it; and hashes
@@ -255,7 +271,11 @@ def window_classes(contexts: list[bytes], gram: np.ndarray, d0: np.ndarray, d1:
         x, y = start[by[:-1]], start[by[1:]]
         near = np.flatnonzero(bucket[by[:-1]] == bucket[by[1:]])
         near = near[hashed.of(x[near], x[near] + length) == hashed.of(y[near], y[near] + length)]
-        near = near[_same_bytes(hashed.data, x[near], y[near], length)]
+        same = _same_bytes(hashed.data, x[near], y[near], length)
+        if not same.all():
+            by = _by_bytes(hashed.data, start, by, near, same, length)
+            same = _same_bytes(hashed.data, start[by[near]], start[by[near + 1]], length)
+        near = near[same]
         repeated[by[near]] = repeated[by[near + 1]] = True
         first[by[near + 1]] = False
     return context, d, repeated, first, lambda i: mix(hashed.of(start[i], start[i] + length))

@@ -55,6 +55,34 @@ def test_repeats(spark, tmp_path, monkeypatch, length, kgram, bucket, piece):
     assert sum(w[2] for w in want) > 3000
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("length", [200, 600, 1100, 1400])
+def test_texts_on_which_polynomials_collide(spark, tmp_path, length):
+    one, edge = thue_morse(1024), "0123456789" * 60
+    other = one.translate(str.maketrans("ab", "ba"))
+    data = [edge + one + edge[::-1], edge + other + edge[::-1], edge + one + edge[::-1] + "end", edge[5:] + other]
+    spark.createDataFrame([(k, t, "x", None) for k, t in enumerate(data)], SCHEMA).repartition(2).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for keep in ([0, 1], [0, 1, 2, 3]):
+        got = {r.doc_id: r.text for r in sd.remove_repeats(docs.where(docs.doc_id.isin(keep)), length=length).collect()}
+        want = brute([data[k] for k in keep], length)
+        assert got == {k: w[5] for k, w in zip(keep, want, strict=True)}
+
+
+def test_windows_of_one_hash_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(sd.Hashed, "of", lambda self, a, b: np.zeros(len(a), np.uint64))  # every hash collides
+    rng = random.Random(3)
+    kinds = [bytes(rng.choice(b"xyz") for _ in range(30)) for _ in range(4)]
+    contexts = [rng.choice(kinds) for _ in range(20)] + [bytes(range(30))]
+    n = np.array([1] * len(contexts))
+    _, _, repeated, first, _ = sd.window_classes(contexts, n, 0 * n, 0 * n, 30)
+    assert repeated.tolist() == [contexts.count(c) > 1 for c in contexts]
+    assert sum(f for f, c in zip(first, contexts, strict=True) if contexts.count(c) > 1) == len({c for c in contexts if contexts.count(c) > 1})
+
+
 def test_remove_repeats(spark, tmp_path):
     rows = [(k, t, "x", None) for k, t in enumerate(texts())]
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "d"))
