@@ -19,9 +19,12 @@ bytes of the windows filed there.
   ``length`` bytes by hash are compared byte by byte before they count; where that
   finds a collision, the windows of that hash are put in order by their bytes.
 * A bucket holds ``bucket`` contexts. Those of a k-gram with more (the edge of a
-  passage that very many texts share) are dealt over several; each is sorted, and
-  one window of each of its classes goes on to a second sort, filed there by its
-  hash, so that a class has no more rows than there were buckets.
+  passage that very many texts share) are cut into parts of PART neighbouring
+  windows, and filed under the bytes that all windows of the part hold; equal
+  windows have these in common, and parts alone with theirs have no equal and go.
+  Where ``bucket`` is still exceeded, parts are dealt over several buckets; each is
+  sorted, and one window of each of its classes goes on to a second sort, filed
+  there by its hash, so that a class has no more rows than there were buckets.
 
 Joins to the many rows of a hot k-gram broadcast the few hottest keys (see
 ``shared.join_side``), so that no task gathers one.
@@ -50,6 +53,11 @@ LENGTH = 200
 KGRAM = 48
 #: Window starts that are hashed together; longer texts are cut into such pieces, with an overlap.
 PIECE = 1 << 17
+#: Neighbouring windows that stay together when a k-gram has more contexts than a bucket takes;
+#: about the square root of the windows of a context, so both its parts and their windows are few.
+PART = 12
+#: Rows of an Arrow batch of contexts.
+ROWS = 10_000
 #: Base of the polynomial hash.
 ODD = 0x9E3779B97F4A7C15
 
@@ -369,8 +377,20 @@ def _bytes(blob) -> bytes:
     return zstandard.decompress(blob.as_buffer()) if blob.is_valid else b""
 
 
+def parts_of(data: bytes, a: int, d0: int, d1: int, gram: int, length: int) -> Iterator[tuple[int, int, int]]:
+    """A context in parts of PART distances: first, last, and a hash of the k-gram, the place
+    and the bytes that lie in every window of the part."""
+    for lo in range(d0 // PART * PART, d1 + 1, PART):
+        shared_by_all = data[a - lo : a - lo + max(0, length - PART + 1)]
+        digest = hashlib.blake2b(b"%d %d " % (gram, lo) + shared_by_all, digest_size=8).digest()
+        yield max(d0, lo), min(d1, lo + PART - 1), int.from_bytes(digest, "little", signed=True)
+
+
 def _contexts(length: int):
-    """The bytes around the anchors that a row's list asks for."""
+    """The bytes around the anchors that a row's list asks for, those of crowded k-grams in parts."""
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), CONTEXT.types, strict=True)], CONTEXT.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,10 +398,14 @@ def _contexts(length: int):
             for row, blob, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = _bytes(blob)
                 for x in wanted:
-                    a, d0, d1 = x["a"], x["d0"], x["d1"]
-                    out.append((row, a, d0, d1, x["gram"], x["single"], x["several"], x["key"], data[a - d1 : a - d0 + length]))
+                    a, gram = x["a"], x["gram"]
+                    parts = parts_of(data, a, x["d0"], x["d1"], gram, length) if x["several"] else [(x["d0"], x["d1"], x["key"])]
+                    out += [(row, a, d0, d1, gram, x["single"], x["several"], key, data[a - d1 : a - d0 + length]) for d0, d1, key in parts]
+                    if len(out) >= ROWS:
+                        yield table(out)
+                        out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), CONTEXT.types, strict=True)], CONTEXT.names)
+                yield table(out)
 
     return run
 
@@ -409,12 +433,16 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, kgram: int = KGRAM, b
     ranges = ranges.unionByName(shared.join_side(mixed, again, ["gram", "span", "check"], "n", mixed.count()).select("_row", *start))
 
     sizes = shared.cut(spans.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1"), "sizes")
-    dealt = F.pmod(F.xxhash64("one"), F.ceil(F.col("contexts") / bucket))
     asked = shared.join_side(spans, sizes, ["gram"], "contexts", spans.count())
-    asked = asked.select("one.*", "gram", (F.col("n") == 1).alias("single"), (F.col("contexts") > bucket).alias("several"), F.xxhash64("gram", dealt).alias("key"))
+    asked = asked.select("one.*", "gram", (F.col("n") == 1).alias("single"), (F.col("contexts") > bucket).alias("several"), F.xxhash64("gram").alias("key"))
     wanted = asked.groupBy("_row").agg(F.collect_list(F.struct("a", "d0", "d1", "gram", "single", "several", "key")).alias("wanted"))  # a text's own anchors
     contexts = shared.cut(_packed(rows).join(wanted, "_row").select("_row", "blob", "wanted").mapInArrow(shared.lean(_contexts(length)), CONTEXT_DDL), "contexts", "zstd")
-    placed = shared.cut(contexts.repartition("key").sortWithinPartitions("key").mapInArrow(shared.lean(_in_buckets(length)), PLACED_DDL), "placed", "zstd")
+    parts = contexts.where("several")
+    met = shared.cut(parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "met")
+    dealt = F.pmod(F.xxhash64("_row", "a"), F.ceil(F.col("n") / bucket))
+    parts = shared.join_side(parts, met, ["key"], "n", parts.count()).withColumns({"several": F.col("n") > bucket, "key": F.xxhash64("key", dealt)})
+    filed = contexts.where("not several").unionByName(parts.select(*contexts.columns))
+    placed = shared.cut(filed.repartition("key").sortWithinPartitions("key").mapInArrow(shared.lean(_in_buckets(length)), PLACED_DDL), "placed", "zstd")
     ranges = ranges.unionByName(placed.where("bytes is null").select("_row", "first", "last"))
     return ranges.unionByName(across_buckets(placed, length))
 
