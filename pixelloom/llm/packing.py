@@ -2,27 +2,28 @@
 
 Every source has a queue of its documents' tokens. A window of ``window`` tokens
 is filled by one round over the queues: each gives its share of the window, and
-what rounding leaves over or short is carried to the next window, so a queue is
-never more than a token away from its target, over all windows so far. Shares
+what rounding leaves over or short is carried to the next window, so a queue stays
+within two tokens of its target, over all windows so far. Shares
 follow ``targets`` (or, by default, the sources' own parts of all tokens); a
 queue that runs dry leaves its share to the others.
 
-The round-robin needs no pass in order. With integer targets the carried
-deficits have a closed form: after v tokens, the first j queues have given
-floor(v * cum_j / total) together. A queue's place in the global order is a
-prefix sum over partitions, so each document finds its windows by itself, from
-the prefix of its (source, partition) and a small schedule, and deficits carry
-over from partition to partition. No source is gathered anywhere.
+The round-robin needs no pass in order: the carried deficits have a closed form
+(``shares``), in which a queue's token finds its window by itself. A document's place
+in its queue is a prefix sum over partitions, so deficits carry over from partition to
+partition, and no source is gathered anywhere.
+
+Sources with a token or more for each window (at most ``window`` of them), or those
+that ``targets`` names, are a list that every task holds. All others are a table: the
+splits of the tree that lead to each are joined to its documents.
 
 The last window may be short; it is split into sequences at powers of two, so
 that nothing is padded at all.
 
 Defined results: a null text is an empty document of one end token. A null
-source is a source of its own. By default every source with at least one token for
-each window has a queue, and the smaller ones, whose target rounds to nothing in a
-window, share one. With ``targets`` every source that is named has a queue, whatever
-its size, and is due at least a token in each window; the sources without a target
-share a queue that is served when the others are dry. Very long texts are cut at
+source is a source of its own. Every source has its target, however many there are and
+however small: one that is due less than a token a window gives one every few windows.
+With ``targets`` a source that is not named, or whose target is no finite number over
+nought, is served when the others are dry, in proportion to its tokens. Very long texts are cut at
 windows like any other. Repeated rows are packed each by itself. Further columns are
 ignored, whatever their names. An empty table gives no pieces.
 """
@@ -43,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, shares
 
 WINDOW = 4096
 END = 2
@@ -164,71 +165,6 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str, source_col: str, token
     return rows.mapInArrow(shared.lean(run), "doc_id long, source string, part int, before long, n long, ids binary")
 
 
-class Phase:
-    """A stretch of windows with fixed shares: queue q gives parts[q] of total tokens."""
-
-    def __init__(self, start: int, parts: list[int]):
-        self.start, self.parts, self.total = start, parts, sum(parts)
-        self.upto = [0]
-        for p in parts:
-            self.upto.append(self.upto[-1] + p)
-
-    def given(self, q: int, v: int) -> int:
-        """Tokens of queue q among the phase's first v."""
-        return v * self.upto[q + 1] // self.total - v * self.upto[q] // self.total
-
-    def pieces(self, q: int, x: int, n: int, window: int) -> Iterator[tuple[int, int]]:
-        """(global position, length) of the tokens x .. x+n of queue q's part, cut at windows."""
-        part = self.parts[q]
-        w = min(x * self.total // (part * window), (self.total - 1) // window)
-        while w and self.given(q, w * window) > x:
-            w -= 1
-        while n:
-            v0, v1 = w * window, min((w + 1) * window, self.total)
-            g0, g1 = self.given(q, v0), self.given(q, v1)
-            if x < g1:
-                take = min(n, g1 - x)
-                before = sum_before(self, q, v0, v1)
-                yield self.start + v0 + before + x - g0, take
-                x, n = x + take, n - take
-            w += 1
-
-
-def sum_before(phase: Phase, q: int, v0: int, v1: int) -> int:
-    """Tokens that the queues before q give to the window v0..v1."""
-    return v1 * phase.upto[q] // phase.total - v0 * phase.upto[q] // phase.total
-
-
-def at_least_one(weights: list[float], window: int) -> list[float]:
-    """Weights raised so that each queue has a token in every window; none has a target of
-    nothing or less."""
-    if len(weights) > window // 2:
-        raise ValueError("more targets than half the tokens of a window")
-    total = sum(max(0.0, w) for w in weights)
-    return [max(w, 2 * total / window) if total else 1.0 for w in weights]
-
-
-def schedule(totals: list[int], weights: list[float] | None, window: int) -> list[Phase]:
-    """Phases that use up all queues. Each but the last covers whole windows."""
-    left, phases, at = list(totals), [], 0
-    if weights is None:
-        return [Phase(0, left)] if sum(left) else []
-    while sum(left):
-        w = [x if r else 0 for x, r in zip(weights, left, strict=True)]
-        w = w if sum(w) else [float(r) for r in left]
-        share = [x / sum(w) for x in w]
-        n = min(int(r / (s * window)) for r, s in zip(left, share, strict=True) if s)
-        size = max(1, n) * window
-        parts = [min(r, int(s * size)) for r, s in zip(left, share, strict=True)]
-        # rounding, and what dry queues can't give, falls to the queues with the most left, those without a target last
-        for q in sorted(range(len(left)), key=lambda q: (not share[q], parts[q] - left[q])):
-            parts[q] += min(left[q] - parts[q], size - sum(parts))
-        phases.append(Phase(at, parts))
-        at += sum(parts)
-        left = [r - p for r, p in zip(left, parts, strict=True)]
-    return phases
-
-
 def sequence_of(total: int, window: int) -> Callable[[int], tuple[int, int, int]]:
     """position -> (sequence, its first position, its length); the short last window
     is split at powers of two."""
@@ -241,6 +177,24 @@ def sequence_of(total: int, window: int) -> Callable[[int], tuple[int, int, int]
     return lambda v: (v // window, v // window * window, window) if v < full * window else tail[bisect_right(starts, v) - 1]
 
 
+def tail_paths(tail: DataFrame, spread: int = 10_000) -> DataFrame:
+    """(source, path) of the sources of ``tail`` (source, n), which share one queue: the splits on
+    the way to each in a tree over the bits of its number, the lowest first, that have tokens on
+    both sides. Sources are numbered by size in buckets of about ``spread``, so that both sides
+    of a split hold about as much."""
+    n = tail.count()
+    buckets = 1 << (max(1, -(-n // spread)) - 1).bit_length()
+    bucket = F.pmod(F.xxhash64("source", F.col("source").isNull()), F.lit(buckets))
+    within = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("n"), "source")) - 1
+    numbered = shared.cut(tail.withColumn("bucket", bucket).select("source", "n", (within * F.lit(buckets) + F.col("bucket")).alias("number")), "numbered")
+    levels = max(1, numbered.agg(F.max("number")).first()[0].bit_length())
+    steps = numbered.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).selectExpr("source", "n", "level", "number & (shiftleft(1L, level) - 1) node", "cast(shiftright(number, level) & 1 as int) side")
+    held = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0))
+    nodes = shared.cut(steps.groupBy("level", "node").agg(held(0).alias("left"), held(1).alias("right"), F.count("*").alias("rows")), "nodes")
+    met = shared.join_side(steps.drop("n"), nodes, ["level", "node"], "rows", n * levels).where("left > 0 and right > 0")
+    return met.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("level", "side", "left", "right"))).alias("path"))
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = WINDOW, targets: dict[str, float] | None = None, tokenizer: str | None = None) -> DataFrame:
     """One row for each piece of a document: doc_id, source, start, length,
     ids_crc32, doc_tokens, sequence_id, offset."""
@@ -249,62 +203,56 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     count = sums.agg(F.sum("n").alias("n")).first().n or 0
     if count == 0:
         return tokens.sparkSession.createDataFrame([], PIECE_DDL)
-    by_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
+    spark = tokens.sparkSession
+    by_source = shared.cut(sums.groupBy("source").agg(F.sum("n").alias("n")), "by-source")
     if targets is None:
-        # a queue for each source with enough for a token in each window: at most ``window`` of them
-        least = -(-count // window)
-        totals = {r.source: r.n for r in by_source.where(F.col("n") >= least).collect()}
-        rest = count - sum(totals.values())
-        while totals and 0 < rest < least:
-            rest += totals.pop(min(totals, key=lambda s: totals[s]))
+        apart = by_source.where(F.col("n") >= -(-count // window))  # at most ``window`` of them
     else:
-        named = F.col("source").isin([s for s in targets if s is not None])
-        totals = {r.source: r.n for r in by_source.where(named | F.col("source").isNull() if None in targets else named).collect()}
-        rest = count - sum(totals.values())
+        wanted = spark.createDataFrame([(s,) for s in targets], "wanted string")
+        apart = by_source.join(F.broadcast(wanted), by_source.source.eqNullSafe(F.col("wanted")), "left_semi")
+    totals = {r.source: r.n for r in apart.collect()}
     own = sorted(totals, key=lambda s: (s is not None, s or ""))
-    queue = {s: q for q, s in enumerate(own)}
+    rest = count - sum(totals.values())
     sizes = [totals[s] for s in own] + [rest]
-    weights = None if targets is None else [*at_least_one([float(targets[s]) for s in own], window), 0.0]
-    phases = schedule(sizes, weights, window)
-
-    spark = tokens.sparkSession
-    known = spark.createDataFrame(list(queue.items()), "source string, queue int")
-    # a tail queue holds many sources: its order is (partition, source), so all are summed by queue
-    placed = sums.join(F.broadcast(known), sums.source.eqNullSafe(known.source), "left").select(sums.source, "part", "n", F.coalesce("queue", F.lit(len(own))).alias("queue"))
-    by_part = placed.groupBy("queue", "part").agg(F.sum("n").alias("n"))  # one row for each queue and partition
-    parts = by_part.select("queue", "part", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("base"))
-    inner = Window.partitionBy("queue", "part").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
-    bases = placed.withColumn("within", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(parts, ["queue", "part"])
-    bases = shared.cut(bases.select(F.col("source").alias("s"), F.col("part").alias("p"), "queue", (F.col("base") + F.col("within")).alias("base")), "bases")
-    starts = [[0] for _ in sizes]  # where each phase begins in each queue
-    for ph in phases:
-        for q, p in enumerate(ph.parts):
-            starts[q].append(starts[q][-1] + p)
+    paths = shares.own_shares(sizes) if targets is None else shares.schedule(sizes, [*(float(targets[s]) for s in own), 0.0])
+
+    known = F.broadcast(spark.createDataFrame([(s, q) for q, s in enumerate(own)], "known string, queue int"))
+    order = Window.partitionBy("source").orderBy("part")
+    bases = sums.join(known, sums.source.eqNullSafe(F.col("known")), "left").select("source", "part", F.coalesce("queue", F.lit(len(own))).alias("queue"), (F.sum("n").over(order) - F.col("n")).alias("base"))
+    if rest:
+        inner = tail_paths(by_source.join(known, by_source.source.eqNullSafe(F.col("known")), "left_anti")).withColumnRenamed("source", "of")
+        bases = bases.join(inner, bases.source.eqNullSafe(inner.of), "left").drop("of")
+    else:
+        bases = bases.withColumn("path", F.lit(None).cast(TAIL_PATH))
+    bases = shared.cut(bases.withColumnsRenamed({"source": "s", "part": "p"}), "bases")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = sequence_of(count, window)
+        where, queues = sequence_of(count, window), {}
         for batch in batches:
             cols: list[list] = [[] for _ in PIECES]
-            for doc, source, q, x, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "queue", "x", "ids")), strict=True):
+            for doc, source, q, x, path, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "queue", "x", "path", "ids")), strict=True):
                 wide = memoryview(np.frombuffer(ids, np.uint16).astype("<u4").tobytes())
                 n, done = len(wide) // 4, 0
-                while done < n:
-                    k = bisect_right(starts[q], x + done) - 1
-                    upto = min(n, starts[q][k + 1] - x)
-                    for v, take in phases[k].pieces(q, x + done - starts[q][k], upto - done, window):
-                        while take:
-                            seq, first, size = where(v)
-                            m = min(take, first + size - v)
-                            piece = (doc, source, done, m, zlib.crc32(wide[4 * done : 4 * (done + m)]), n, seq, v - first)
-                            for c, value in zip(cols, piece, strict=True):
-                                c.append(value)
-                            v, take, done = v + m, take - m, done + m
+                if (queue := queues.get((q, source))) is None:
+                    if len(queues) >= 2 * window:
+                        queues.clear()
+                    inner = tuple((shares.even(s["left"], s["right"]), s["side"]) for s in path or ())
+                    queue = queues[q, source] = shares.Queue(paths[q] + inner, count, window)
+                for v, take in queue.pieces(x, n):
+                    while take:
+                        seq, first, size = where(v)
+                        m = min(take, first + size - v)
+                        piece = (doc, source, done, m, zlib.crc32(wide[4 * done : 4 * (done + m)]), n, seq, v - first)
+                        for c, value in zip(cols, piece, strict=True):
+                            c.append(value)
+                        v, take, done = v + m, take - m, done + m
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, PIECES.types, strict=True)], PIECES.names)
 
     joined = tokens.join(bases, tokens.source.eqNullSafe(bases.s) & (tokens.part == bases.p))
-    return joined.select("doc_id", "source", "queue", (F.col("base") + F.col("before")).alias("x"), "ids").mapInArrow(shared.lean(run), PIECE_DDL)
+    return joined.select("doc_id", "source", "queue", (F.col("base") + F.col("before")).alias("x"), "path", "ids").mapInArrow(shared.lean(run), PIECE_DDL)
 
 
+TAIL_PATH = "array<struct<level:int,side:int,left:long,right:long>>"
 PIECE_DDL = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECES = pa.schema([(c, pa.string() if c == "source" else pa.int64()) for c in ("doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
