@@ -229,7 +229,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, queues = sequence_of(count, window), {}
         for batch in batches:
-            cols: list[list] = [[] for _ in PIECES]
+            out: list[tuple] = []
             for doc, source, q, x, path, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "queue", "x", "path", "ids")), strict=True):
                 wide = memoryview(np.frombuffer(ids, np.uint16).astype("<u4").tobytes())
                 n, done = len(wide) // 4, 0
@@ -242,10 +242,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
                     while take:
                         seq, first, size = where(v)
                         m = min(take, first + size - v)
-                        piece = (doc, source, done, m, zlib.crc32(wide[4 * done : 4 * (done + m)]), n, seq, v - first)
-                        for c, value in zip(cols, piece, strict=True):
-                            c.append(value)
+                        out.append((doc, source, done, m, zlib.crc32(wide[4 * done : 4 * (done + m)]), n, seq, v - first))
                         v, take, done = v + m, take - m, done + m
+            cols = zip(*out, strict=True) if out else [[]] * len(PIECES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, PIECES.types, strict=True)], PIECES.names)
 
     joined = tokens.join(bases, tokens.source.eqNullSafe(bases.s) & (tokens.part == bases.p))

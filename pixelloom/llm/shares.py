@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import lru_cache
 from itertools import accumulate, groupby
@@ -42,6 +42,13 @@ class Split:
         dry, weight, dry_left, weight_left = self.segments[bisect_left(self.ends, v)]
         return dry_left + (2 * weight_left * (v - dry) + weight) // (2 * weight)
 
+    def counter(self) -> Callable[[int], int]:
+        """``left``, without the search where nothing runs dry before the end."""
+        if len(self.ends) > 1:
+            return self.left
+        _, weight, _, weight_left = self.segments[0]
+        return lambda v: (2 * weight_left * v + weight) // (2 * weight)
+
     def position(self, side: int, y: int) -> int:
         """Where the y-th token of a side stands on the line (0: left, 1: right)."""
         k = bisect_left(self.upto[side], y + 1)
@@ -121,22 +128,39 @@ class Queue:
 
     def __init__(self, path: Path, total: int, window: int):
         self.path, self.total, self.window = path, total, window
+        self.lefts = [(split.counter(), side) for split, side in path]
         self.start = self.first = self.end = 0  # of the window looked at last
+        self.upto, self.marks = 0, [0] * len(path)  # its end, and what the left sides have given by then
+
+    def _next(self) -> None:
+        """Goes on by a window."""
+        start, marks, before = self.upto, self.marks, 0
+        self.upto = hi = min(start + self.window, self.total)
+        for k, (left, side) in enumerate(self.lefts):
+            given = left(hi)
+            if side:
+                before += given - marks[k]
+                hi -= given
+            else:
+                hi = given
+            marks[k] = given
+        self.start, self.first, self.end = start + before, self.end, hi
 
     def _look(self, x: int) -> None:
-        """Goes to the window that holds the queue's token x."""
+        """Goes to the window that holds the queue's token x: the next one, or where its place says."""
+        if x == self.end and self.upto < self.total:
+            self._next()
+            if x < self.end:
+                return
         v = x
         for split, side in reversed(self.path):
             v = split.position(side, v)
-        v0 = v - v % self.window
-        lo, hi, before = v0, min(v0 + self.window, self.total), 0
-        for split, side in self.path:
-            a, b = split.left(lo), split.left(hi)
-            if side:
-                lo, hi, before = lo - a, hi - b, before + b - a
-            else:
-                lo, hi = a, b
-        self.start, self.first, self.end = v0 + before, lo, hi
+        self.upto = at = v - v % self.window
+        for k, (left, side) in enumerate(self.lefts):
+            self.marks[k] = given = left(at)
+            at = at - given if side else given
+        self.end = at
+        self._next()
 
     def pieces(self, x: int, n: int) -> Iterator[tuple[int, int]]:
         """(position, length) of the queue's tokens x .. x+n, cut at windows."""
