@@ -50,7 +50,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (5-word shingles, similarity 0.8 or
-    more): the one with the smallest id (a null id ranks last), of rows that repeat it
+    more, verified exactly; candidates by SimHash, and by MinHash where fingerprints differ in
+    too many bits): the one with the smallest id (a null id ranks last), of rows that repeat it
     the first in the scan. Texts without words, null ones too, are alike; texts of any length are
     compared whole; an empty table gives no rows."""
     with _loose.step(spark):

@@ -64,9 +64,13 @@ def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
     """Majority of the shingles' bits, zero for a text without words."""
+    return majority(text, shingles(text, words, seed))
+
+
+def majority(text: str | None, hashes: np.ndarray) -> int:
+    """``fingerprint`` of a text whose shingles are known."""
     if not (text or "").encode("utf-8", "surrogatepass").strip():
         return 0
-    hashes = shingles(text, words, seed)
     n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 15):

@@ -1,10 +1,12 @@
 """Groups of texts whose word shingles have a given Jaccard similarity, verified exactly.
 
-A fingerprint's bits say little about such similarity (at 0.8 two texts differ in
-about 10 of 64 bits, and no covering reaches so far), so candidates come from
-MinHash: a text's ``BANDS * ROWS`` minima are cut into bands, and texts that agree
-in a whole band are candidates. A pair of similarity s is missed with probability
-(1 - s^ROWS)^BANDS: 7e-10 at 0.8, less above.
+Candidates come from SimHash: texts whose fingerprints differ in at most ``bits`` bits, found by
+op4's covering, are joined to the least id of their component. That finds what is nearly
+equal, but at 0.8 two texts differ in about 10 of 64 bits, and no covering reaches so
+far. So MinHash adds candidates for the rest: a text's ``BANDS * ROWS`` minima are cut into
+bands, and texts that agree in a whole band are candidates too. A pair of similarity s is
+missed by these with probability (1 - s^ROWS)^BANDS: 7e-10 at 0.8, less above. Links of
+either kind count only after the exact comparison that follows.
 
 Every text of a crowded band is first compared with the band's least id, one
 comparison a text however large the group of copies. Bands join their texts to
@@ -49,18 +51,32 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def bands(docs: DataFrame, words: int) -> DataFrame:
-    """(key, id), a row for each band of every text of ``docs`` (id, text)."""
+    """(key, id, fingerprint), a row for each band of every text of ``docs`` (id, text), and one for
+    its SimHash fingerprint, which is the key there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.empty((batch.num_rows, BANDS), np.uint64)
+            keys = np.empty((batch.num_rows, BANDS + 1), np.uint64)
             for i, text in enumerate(batch.column(1)):
-                rows = minima(simhash.shingles(text.as_py(), words)).reshape(BANDS, ROWS)
-                keys[i] = [xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in enumerate(rows)]
-            ids = np.repeat(batch.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], ["key", "id"])
+                hashes = simhash.shingles(text.as_py(), words)
+                rows = minima(hashes).reshape(BANDS, ROWS)
+                keys[i] = [*(xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in enumerate(rows)), simhash.majority(text.as_py(), hashes)]
+            ids = np.repeat(batch.column(0).to_numpy(), BANDS + 1)
+            last = np.tile(np.arange(BANDS + 1) == BANDS, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids), pa.array(last)], ["key", "id", "fingerprint"])
 
-    return docs.mapInArrow(shared.lean(run), "key long, id long")
+    return docs.mapInArrow(shared.lean(run), "key long, id long, fingerprint boolean")
+
+
+def fingerprint_stars(fps: DataFrame, bits: int = simhash.MAX_BITS) -> DataFrame:
+    """(id, least): texts of ``fps`` (fp, id) that links of at most ``bits`` differing bits join, each with the
+    least id of its component."""
+    distinct = shared.cut(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "fingerprints")
+    roots = components(simhash.link_forest(distinct, bits), "fingerprint-links").select(F.col("node").alias("fp"), "root")
+    placed = shared.cut(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
+    groups = placed.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("size")).where("size > 1")
+    known = shared.cut(placed.join(groups, "root").select("fp", F.col("first").alias("least"), "n"), "known")
+    return shared.join_side(fps, known, ["fp"], "n", fps.count()).where("id <> least").select("id", "least")
 
 
 def forest(sets: list[np.ndarray], at_least: float) -> list[tuple[int, int]]:
@@ -178,9 +194,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, root) of the texts that have another one as similar as ``at_least``, or are
     joined to it by a chain of such; ids are unique longs."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keys = shared.cut(bands(texts, words), "bands")
+    every = shared.cut(bands(texts, words), "bands")
+    keys = every.where("not fingerprint").select("key", "id")
+    alike = fingerprint_stars(every.where("fingerprint").select(F.col("key").alias("fp"), "id"))
     crowded = shared.cut(keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"), "crowded")
-    stars = shared.cut(shared.join_side(keys, crowded, ["key"], "n", keys.count()).where("id <> least").select("id", "least").distinct(), "stars")
+    stars = shared.cut(shared.join_side(keys, crowded, ["key"], "n", keys.count()).where("id <> least").select("id", "least").unionByName(alike).distinct(), "stars")
     clusters = components(stars.select(F.col("id").alias("a"), F.col("least").alias("b")), "candidates")
     sets = shared.cut(shingle_sets(texts.join(clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster")), "id").select("cluster", "id", "text"), words), "sets")
     sure = shared.cut(star_links(sets, stars, at_least, share), "sure")

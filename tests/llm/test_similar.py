@@ -6,7 +6,7 @@ from collections import defaultdict
 import corpus_pipeline as cp
 import numpy as np
 import pytest
-from pixelloom.llm import shared, similar_texts
+from pixelloom.llm import shared, simhash, similar_texts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -70,3 +70,22 @@ def test_bands_reach_the_similarity():
         a, b = (similar_texts.minima(s).reshape(similar_texts.BANDS, -1) for s in (x[:180], x[20:]))  # 160 of 200
         missed += not (a == b).all(axis=1).any()
     assert missed == 0
+
+
+def test_fingerprints_give_candidates(spark):
+    """Texts within five bits are joined to the least id that such links reach, by the covering."""
+    texts = [" ".join(f"v{i}" for i in range(400)), *planted()]  # the first has a copy below with one word changed
+    texts.append(texts[0].replace("v399", "other"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    every = similar_texts.bands(docs, 5).collect()
+    fps = {r.id: r.key for r in every if r.fingerprint}
+    assert fps == {i: int(np.uint64(simhash.fingerprint(t, 5)).view(np.int64)) for i, t in enumerate(texts)}
+    root = list(range(len(texts)))
+    for i in fps:
+        for j in range(i):
+            if ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= 5:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    got = similar_texts.fingerprint_stars(spark.createDataFrame([(fp, i) for i, fp in fps.items()], "fp long, id long"))
+    assert {r.id: r.least for r in got.collect()} == {i: r for i, r in enumerate(root) if r != i}
+    assert root[-1] == 0
