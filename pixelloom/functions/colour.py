@@ -1,57 +1,83 @@
-"""Per-pixel colour arithmetic as column expressions (stay inside codegen)."""
+"""Per-pixel colour arithmetic: as column expressions (which stay inside codegen), and up to
+``likelihood`` as well on whole arrays. The evidence of a pixel is an expression too long
+for the JVM to compile, so ``stages.evidence`` takes arrays; both give the same doubles."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Of pixels: a column, or an array.
+Values = Column | np.ndarray
+
+
+def _least(*v: Values) -> Values:
+    return F.least(*v) if isinstance(v[0], Column) else reduce(np.minimum, v)
+
+
+def _greatest(*v: Values) -> Values:
+    return F.greatest(*v) if isinstance(v[0], Column) else reduce(np.maximum, v)
+
+
+def _either(condition: Values, a: Values | float, b: Values | float) -> Values:
+    return F.when(condition, a).otherwise(b) if isinstance(condition, Column) else np.where(condition, a, b)
 
-def clip01(x: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
+def _real(v: Values) -> Values:
+    return v.cast("double") if isinstance(v, Column) else v.astype(float)
 
-def ramp_up(v: Column, lo: float, hi: float) -> Column:
+
+def clip01(x: Values) -> Values:
+    return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) if isinstance(x, Column) else np.clip(x, 0.0, 1.0)
+
+
+def ramp_up(v: Values, lo: float, hi: float) -> Values:
     """0 at lo or less, 1 at hi or more, straight between; a step where hi <= lo."""
     if hi <= lo:
-        return F.when(v >= lo, F.lit(1.0)).otherwise(F.lit(0.0))
-    return clip01((v - F.lit(float(lo))) / F.lit(float(hi - lo)))
+        return _either(v >= lo, 1.0, 0.0)
+    return clip01((v - float(lo)) / float(hi - lo))
 
 
-def ramp_down(v: Column, lo: float, hi: float) -> Column:
-    return F.lit(1.0) - ramp_up(v, lo, hi)
+def ramp_down(v: Values, lo: float, hi: float) -> Values:
+    return 1.0 - ramp_up(v, lo, hi)
 
 
-def band(v: Column, lo: float, hi: float, soft: float) -> Column:
+def band(v: Values, lo: float, hi: float, soft: float) -> Values:
     """1 from lo to hi with soft edges outside."""
-    return F.least(ramp_up(v, lo - soft, lo), ramp_down(v, hi, hi + soft))
+    return _least(ramp_up(v, lo - soft, lo), ramp_down(v, hi, hi + soft))
 
 
-def gate(signal: Column, support: Column, floor: float) -> Column:
+def gate(signal: Values, support: Values, floor: float) -> Values:
     """What a signal is worth where texture supports it only in part."""
-    return signal * (F.lit(floor) + F.lit(1.0 - floor) * support)
+    return signal * (floor + (1.0 - floor) * support)
 
 
-def half_up(x: Column) -> Column:
+def half_up(x: Values) -> Values:
     """Nearest integer, as an int, equal in every engine for x >= 0."""
-    return F.floor(x + F.lit(0.5)).cast("int")
+    return F.floor(x + F.lit(0.5)).cast("int") if isinstance(x, Column) else np.floor(x + 0.5).astype(np.int64)
 
 
-def hue(b: Column, g: Column, r: Column) -> Column:
+def hue(b: Values, g: Values, r: Values) -> Values:
     """Hue in half degrees, 0 to 179."""
-    top, low = F.greatest(b, g, r), F.least(b, g, r)
-    d = (top - low).cast("double")
-    degrees = F.when(top == low, F.lit(0.0)).when(top == r, F.lit(60.0) * (g - b) / d).when(top == g, F.lit(120.0) + F.lit(60.0) * (b - r) / d).otherwise(F.lit(240.0) + F.lit(60.0) * (r - g) / d)
-    turned = F.when(degrees < 0, degrees + F.lit(360.0)).otherwise(degrees)
-    return F.pmod(half_up(turned / F.lit(2.0)), F.lit(180))
+    top, low = _greatest(b, g, r), _least(b, g, r)
+    d = _real(top - low)
+    if not isinstance(d, Column):
+        d = np.where(d == 0, 1.0, d)
+    degrees = _either(top == low, 0.0, _either(top == r, 60.0 * (g - b) / d, _either(top == g, 120.0 + 60.0 * (b - r) / d, 240.0 + 60.0 * (r - g) / d)))
+    return half_up(_either(degrees < 0, degrees + 360.0, degrees) / 2.0) % 180
 
 
-def saturation(b: Column, g: Column, r: Column) -> Column:
-    top, low = F.greatest(b, g, r), F.least(b, g, r)
-    return F.when(top == 0, F.lit(0)).otherwise(half_up(F.lit(255.0) * (top - low) / top))
+def saturation(b: Values, g: Values, r: Values) -> Values:
+    top, low = _greatest(b, g, r), _least(b, g, r)
+    return _either(top == 0, 0, half_up(255.0 * (top - low) / (top if isinstance(top, Column) else np.maximum(top, 1))))
 
 
-def value(b: Column, g: Column, r: Column) -> Column:
-    return F.greatest(b, g, r).cast("int")
+def value(b: Values, g: Values, r: Values) -> Values:
+    top = _greatest(b, g, r)
+    return top.cast("int") if isinstance(top, Column) else top
 
 
 def gray(b: Column, g: Column, r: Column) -> Column:
@@ -95,43 +121,54 @@ def from_lab8(light: Column, a: Column, b_: Column) -> tuple[Column, Column, Col
     return byte(blue), byte(green), byte(red)
 
 
-def not_red(b: Column, g: Column, r: Column) -> Column:
-    return ramp_up(b - F.greatest(g, r), -4, 2)
+HSV = tuple[Values, Values, Values]
+
+
+def not_red(b: Values, g: Values, r: Values) -> Values:
+    return ramp_up(b - _greatest(g, r), -4, 2)
+
+
+def _hsv(b: Values, g: Values, r: Values) -> HSV:
+    return hue(b, g, r), saturation(b, g, r), value(b, g, r)
 
 
-def blue_cue(b: Column, g: Column, r: Column) -> Column:
-    h, s, v = hue(b, g, r), saturation(b, g, r), value(b, g, r)
+def blue_cue(b: Values, g: Values, r: Values, hsv: HSV | None = None) -> Values:
+    h, s, v = hsv or _hsv(b, g, r)
     lit_ = ramp_up(v, 10, 25)
-    by_hue = F.least(band(h, 85, 135, 8), ramp_up(s, 20, 35), lit_) * not_red(b, g, r)
-    return F.greatest(by_hue, F.least(ramp_up(b - F.greatest(g, r), 0, 6), lit_))
+    by_hue = _least(band(h, 85, 135, 8), ramp_up(s, 20, 35), lit_) * not_red(b, g, r)
+    return _greatest(by_hue, _least(ramp_up(b - _greatest(g, r), 0, 6), lit_))
 
 
-def turbid_cue(b: Column, g: Column, r: Column) -> Column:
-    return F.least(band(hue(b, g, r), 5, 35, 6), band(saturation(b, g, r), 25, 215, 20), band(value(b, g, r), 35, 255, 20))
+def turbid_cue(b: Values, g: Values, r: Values, hsv: HSV | None = None) -> Values:
+    h, s, v = hsv or _hsv(b, g, r)
+    return _least(band(h, 5, 35, 6), band(s, 25, 215, 20), band(v, 35, 255, 20))
 
 
-def dark_cue(b: Column, g: Column, r: Column) -> Column:
-    return F.least(ramp_down(value(b, g, r), 50, 70), ramp_down(saturation(b, g, r), 80, 110))
+def dark_cue(b: Values, g: Values, r: Values, hsv: HSV | None = None) -> Values:
+    _, s, v = hsv or _hsv(b, g, r)
+    return _least(ramp_down(v, 50, 70), ramp_down(s, 80, 110))
 
 
-def pale_cue(b: Column, g: Column, r: Column) -> Column:
-    return F.least(ramp_down(saturation(b, g, r), 30, 45), band(value(b, g, r), 55, 235, 20))
+def pale_cue(b: Values, g: Values, r: Values, hsv: HSV | None = None) -> Values:
+    _, s, v = hsv or _hsv(b, g, r)
+    return _least(ramp_down(s, 30, 45), band(v, 55, 235, 20))
 
 
-def vegetation(b: Column, g: Column, r: Column) -> Column:
-    excess = (2 * g - r - b) / F.greatest(b + g + r, F.lit(1)).cast("double")
-    return F.greatest(F.least(band(hue(b, g, r), 36, 84, 6), ramp_up(saturation(b, g, r), 30, 45)), ramp_up(excess, 0.02, 0.14))
+def vegetation(b: Values, g: Values, r: Values, hsv: HSV | None = None) -> Values:
+    h, s, _ = hsv or _hsv(b, g, r)
+    excess = (2 * g - r - b) / _real(_greatest(b + g + r, F.lit(1) if isinstance(b, Column) else 1))
+    return _greatest(_least(band(h, 36, 84, 6), ramp_up(s, 30, 45)), ramp_up(excess, 0.02, 0.14))
 
 
-def likelihood(b: Column, g: Column, r: Column, support: Column) -> Column:
+def likelihood(b: Values, g: Values, r: Values, support: Values, hsv: HSV | None = None) -> Values:
     """Water evidence, 0 to 1: the strongest gated cue less vegetation."""
-    best = F.greatest(
-        gate(blue_cue(b, g, r), support, 0.27),
-        gate(turbid_cue(b, g, r), support, 0.05),
-        gate(dark_cue(b, g, r), support, 0.15),
-        gate(pale_cue(b, g, r), support, 0.12),
+    best = _greatest(
+        gate(blue_cue(b, g, r, hsv), support, 0.27),
+        gate(turbid_cue(b, g, r, hsv), support, 0.05),
+        gate(dark_cue(b, g, r, hsv), support, 0.15),
+        gate(pale_cue(b, g, r, hsv), support, 0.12),
     )
-    return clip01(best - F.lit(0.45) * vegetation(b, g, r))
+    return clip01(best - 0.45 * vegetation(b, g, r, hsv))
 
 
 def support(chroma_std: Column, gray_std: Column, edges: Column) -> Column:

@@ -136,12 +136,12 @@ def labelled(runs: DataFrame) -> DataFrame:
     return whole.stream(out, ["y", "x0"], work, out.schema)
 
 
-def stats(labelled_: DataFrame) -> DataFrame:
-    """Area, bounding box and centroid of each component."""
+def stats(labelled_: DataFrame, *more: Column) -> DataFrame:
+    """Area, bounding box and centroid of each component, and further aggregates of its runs."""
     n = (F.col("x1") - F.col("x0") + 1).cast("long")
     out = labelled_.groupBy("image_id", "label").agg(
         area().alias("area"), F.min("x0").alias("left"), F.min("y").alias("top"), (F.max("x1") - F.min("x0") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"),
-        F.sum((F.col("x0") + F.col("x1")) * n).alias("_sx"), F.sum(F.col("y") * n).alias("_sy"),
+        F.sum((F.col("x0") + F.col("x1")) * n).alias("_sx"), F.sum(F.col("y") * n).alias("_sy"), *more,
     )
     return out.withColumn("cx", F.col("_sx") / (2.0 * F.col("area"))).withColumn("cy", F.col("_sy") / F.col("area").cast("double")).drop("_sx", "_sy")
 

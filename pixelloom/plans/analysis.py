@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import colour
 from ..operators import report as reports
-from ..operators import inference, stages, whole, windows
+from ..operators import around, inference, runs, stages, whole
 from ..sources import images, views
 from ..store import cut
 
@@ -31,28 +31,30 @@ class Analysis:
     isolated: DataFrame
 
 
-def of_masks(px: DataFrame, cfg: Config = Config()) -> Analysis:
+def of_masks(px: DataFrame, cfg: Config = Config(), ordered: bool = False) -> Analysis:
     """Everything that follows from water and canopy (image_id, y, x, w, h, water, canopy and
     more). Masks, labels and distances are stored once; the tables read from there."""
-    zoned = stages.zoned(stages.candidate_mask(px, cfg), cfg)
-    regions = cut(stages.regions(zoned, cfg), "regions")
+    rows = stages.zoned_rows(stages.candidate_mask(px, cfg, ordered), cfg, True)
+    regions = cut(stages.regions(rows, cfg), "regions")
     zones = stages.top_zones(stages.scored(regions, cfg), cfg)
-    sensors = cut(stages.sensor_zones(zones, zoned, cfg), "sensors")
-    band = stages.supply_band(zoned.select(*stages.PIXEL, "w", "h", "water", "canopy"), cfg)
+    sensors = cut(stages.sensor_zones(zones, rows, cfg), "sensors")
+    # dealt and sorted as runs, of which there are fewer than pixels
+    masks = runs.unpacked(whole.in_order(rows.select("image_id", "y", "x0", "x1", "w", "h", "water", "canopy"), "y", "x0"), [])
+    band = stages.band_rows(masks, cfg, True)
     segments = cut(stages.supply_segments(band, cfg), "segments")
-    isolated = cut(stages.isolated_regions(zoned, cfg), "isolated")
-    summary = reports.summary(stages.coverage(zoned), stages.band_totals(band), zones, sensors, segments, isolated, cfg)
+    isolated = cut(stages.isolated_regions(masks, cfg, True), "isolated")
+    summary = reports.summary(stages.coverage(rows), stages.band_totals(band), zones, sensors, segments, isolated, cfg)
     counted = regions.groupBy("image_id").agg(F.count("*").alias("regions"))
     summary = summary.join(counted, "image_id", "left").withColumn("regions", F.coalesce("regions", F.lit(0)))
-    return Analysis(cfg, zoned, band, cut(summary, "summary"), regions, zones, sensors, segments, isolated)
+    return Analysis(cfg, runs.unpacked(rows, stages.ZONED), runs.unpacked(band, stages.BAND), cut(summary, "summary"), regions, zones, sensors, segments, isolated)
 
 
-def analysis_copy(px: DataFrame) -> DataFrame:
-    """Adds ab, ag, ar: the display copy (b, g, r) softened, its lightness equalised. For detection only."""
-    soft = windows.gaussian(px.select("*", *[F.col(c).alias(f"a{c}") for c in "bgr"]).repartition("image_id"), ["ab", "ag", "ar"], 5)
+def analysis_copy(px: DataFrame, ordered: bool = False) -> DataFrame:
+    """Adds ab, ag, ar: the display copy (b, g, r) softened, its lightness equalised. For detection only. In order."""
+    soft = whole.add(px, ordered=ordered, **{f"a{c}": around.blurred(c, 5) for c in "bgr"})
     light, a, b = colour.lab8(F.col("ab"), F.col("ag"), F.col("ar"))
     lab = soft.select(*px.columns, light.alias("_l"), a.alias("_a"), b.alias("_b"))
-    even = whole.add(lab, _even=whole.equalised("_l"))
+    even = whole.add(lab, ordered=True, without=["_l"], _even=whole.equalised("_l"))
     back = colour.from_lab8(F.col("_even"), F.col("_a"), F.col("_b"))
     return even.select(*px.columns, *[v.alias(n) for v, n in zip(back, ("ab", "ag", "ar"), strict=True)])
 

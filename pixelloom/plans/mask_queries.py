@@ -111,7 +111,7 @@ FROM best b JOIN s USING (image_id, label) LEFT JOIN wet w ON w.image_id = b.ima
 def chamfer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate regions under the other metric: the points of most clearance, and their distances."""
     cfg = replace(CFG, metric="chamfer5")
-    zoned = stages.zoned(stages.candidate_mask(sc.scene_pixels(spark, sf_dir), cfg), cfg)
+    zoned = stages.zoned_rows(stages.candidate_mask(sc.scene_pixels(spark, sf_dir), cfg, True), cfg, True)
     return stages.regions(zoned, cfg).select("image_id", "label", "drop_x", "drop_y", "clearance", "water_clearance")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import colour
-from ..operators import stages, tables, whole, windows
+from ..operators import stages, tables
 from . import scenes as sc
 from .registry import CUES, _down, query
 
@@ -45,14 +45,13 @@ def canny_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the coloured scenes: softened, thinned, weak ones only where they hang on strong
     ones; and how many lie in the 15 x 15 pixels around."""
     px = sc.colour_pixels(spark, sf_dir).select("image_id", "y", "x", "w", "h", colour.gray(F.col("b"), F.col("g"), F.col("r")).alias("gray"))
-    px = stages.stored(px, "gray")
-    thin = windows.edges(windows.gaussian(px, ["gray"], 3), "gray", 60, 150)
-    held = whole.add(thin, edge=whole.reached("edge_weak", "edge_strong"))
     n = F.count_if
-    found = held.groupBy("image_id").agg(n("edge_weak").alias("weak"), n("edge_strong").alias("strong"), n("edge").alias("edges"), F.sum(F.when(F.col("edge"), F.col("x") * F.col("y")).otherwise(0)).alias("moment"))
     around = F.round(F.col("share") * 225).cast("long")
-    density = stages.edge_density(px, "gray", "share").groupBy("image_id").agg(F.sum(around).alias("around"), F.max(around).alias("most"))
-    return found.join(density, "image_id")
+    held = stages.edge_density(px, "gray", "share", ordered=True)
+    return held.groupBy("image_id").agg(
+        n("edge_weak").alias("weak"), n("edge_strong").alias("strong"), n("edge").alias("edges"), F.sum(F.when(F.col("edge"), F.col("x") * F.col("y")).otherwise(0)).alias("moment"),
+        F.sum(around).alias("around"), F.max(around).alias("most"),
+    )
 
 
 _LINEAR = ", ".join(f"CASE WHEN {c} / 255.0::DOUBLE <= 0.04045::DOUBLE THEN {c} / 255.0::DOUBLE / 12.92::DOUBLE ELSE pow(({c} / 255.0::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END AS l{c}" for c in "bgr")
@@ -72,7 +71,7 @@ SELECT image_id, sum(round(s * 1000)::BIGINT)::BIGINT AS support, count_if(s >=
 def texture_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How smooth the coloured scenes are: colour and brightness that vary little, and few edges."""
     px = sc.colour_pixels(spark, sf_dir).drop("support").select("*", *[F.col(c).alias(f"a{c}") for c in "bgr"])
-    out = stages.support_map(stages.stored(px, "colours"))
+    out = stages.support_map(px, ordered=True)
     s = F.round(F.col("support") * 1000).cast("long")
     return out.groupBy("image_id").agg(F.sum(s).alias("support"), F.count_if(F.col("support") >= 0.5).alias("smooth"), F.sum(s * F.col("x")).alias("by_x"))
 
