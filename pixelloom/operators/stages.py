@@ -158,15 +158,20 @@ def canopy_mask(px: DataFrame, cfg: Config = Config()) -> DataFrame:
     return out.withColumn("canopy", F.col("_stand") & ~F.col("water")).drop("_stand")
 
 
-def candidate_mask(px: DataFrame, cfg: Config = Config(), ordered: bool = False) -> DataFrame:
-    """Adds buffer (water grown) and candidate: open land outside the buffer, cleaned. In order."""
+def candidate_columns(px: DataFrame, cfg: Config = Config()) -> dict[str, whole.Added]:
+    """buffer (water grown) and candidate: open land outside the buffer, cleaned."""
     canopy = "canopy" in px.columns
 
     def land(get) -> np.ndarray:
         dry = ~get("water") & ~get("buffer")
         return around.close(around.open_(dry & ~get("canopy") if canopy else dry, cfg.candidate_kernel), cfg.candidate_kernel)
 
-    return whole.add(px, ordered=ordered, buffer=around.dilated("water", cfg.buffer_size), candidate=whole.Added(whole.BooleanType(), land))
+    return {"buffer": around.dilated("water", cfg.buffer_size), "candidate": whole.Added(whole.BooleanType(), land)}
+
+
+def candidate_mask(px: DataFrame, cfg: Config = Config(), ordered: bool = False) -> DataFrame:
+    """Adds ``candidate_columns``. In order."""
+    return whole.add(px, ordered=ordered, **candidate_columns(px, cfg))
 
 
 def coverage(px: DataFrame) -> DataFrame:
@@ -346,13 +351,14 @@ def closest(centres: Column) -> Column:
 
 
 def zoned_rows(px: DataFrame, cfg: Config = Config(), ordered: bool = False) -> DataFrame:
-    """Adds to candidate, buffer and water what regions, circles and drop points read: label
-    (of the candidate component), its perimeter, _clear (distance to the nearest pixel that is
-    no candidate), _free2 (squared, the buffer counting as none) and _wd (to water). Stored as runs."""
-    valid = px.withColumn("_valid", F.col("candidate") & ~F.col("buffer"))
+    """Adds to candidate, buffer and water (the first two made in the same pass if ``px`` has none) what
+    regions, circles and drop points read: label (of the candidate component), its perimeter, _clear
+    (distance to the nearest pixel that is no candidate), _free2 (squared, the buffer counting as none)
+    and _wd (to water). Stored as runs."""
+    before = {} if "candidate" in px.columns else candidate_columns(px, cfg)
     return in_runs(
-        valid, "zoned", ZONED, ["_valid"], ordered, label=whole.labels("candidate"), perimeter=whole.perimeters("candidate", cfg.candidate_min_area),
-        _clear=whole.clearance("candidate", padded=True, metric=cfg.metric), _free2=whole.squared("_valid", padded=True), _wd=whole.distance_to("water", cfg.metric),
+        px, "zoned", ZONED, ["_valid"], ordered, **before, _valid=whole.Added(whole.BooleanType(), lambda get: get("candidate") & ~get("buffer")), label=whole.labels("candidate"),
+        perimeter=whole.perimeters("candidate", cfg.candidate_min_area), _clear=whole.clearance("candidate", padded=True, metric=cfg.metric), _free2=whole.squared("_valid", padded=True), _wd=whole.distance_to("water", cfg.metric),
     )
 
 

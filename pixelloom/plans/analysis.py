@@ -13,7 +13,7 @@ from ..functions import colour
 from ..operators import report as reports
 from ..operators import around, inference, runs, stages, whole
 from ..sources import images, views
-from ..store import cut
+from ..store import cut, small_rows
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ class Analysis:
 def of_masks(px: DataFrame, cfg: Config = Config(), ordered: bool = False) -> Analysis:
     """Everything that follows from water and canopy (image_id, y, x, w, h, water, canopy and
     more). Masks, labels and distances are stored once; the tables read from there."""
-    rows = stages.zoned_rows(stages.candidate_mask(px, cfg, ordered), cfg, True)
+    rows = stages.zoned_rows(px, cfg, ordered)
     regions = cut(stages.regions(rows, cfg), "regions")
     zones = stages.top_zones(stages.scored(regions, cfg), cfg)
     sensors = cut(stages.sensor_zones(zones, rows, cfg), "sensors")
@@ -63,7 +63,9 @@ def of_pixels(px: DataFrame, cfg: Config = Config()) -> tuple[Analysis, DataFram
     """The analysis of colour pixels (image_id, y, x, w, h, b, g, r), and the scene models."""
     seen, model = stages.detect_water(stages.stored(analysis_copy(px), "copy"), cfg)
     seen = stages.stored(seen.drop("ab", "ag", "ar", "evidence", "support"), "water")
-    return of_masks(stages.stored(stages.canopy_mask(seen, cfg), "canopy"), cfg), model
+    land = stages.stored(stages.canopy_mask(seen, cfg), "canopy")
+    with small_rows(px.sparkSession):
+        return of_masks(land, cfg), model
 
 
 def analyse(spark: SparkSession, path: str, cfg: Config = Config(), drawn: tuple[str, ...] = (), manifest: DataFrame | None = None, detector: Callable[[], inference.Predict] | None = None) -> DataFrame:

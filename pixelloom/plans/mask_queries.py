@@ -76,7 +76,7 @@ def mask_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [_measured(m, name) for name, m in made.items()])
 
 
-@query(f"""WITH RECURSIVE {sc.PX}, {sc.labels("l", "px", "NOT water")}, {sc.stats_of("s", "l")} SELECT image_id, label, area, "left", top, width, height, round(cx, 4) AS cx, round(cy, 4) AS cy FROM s""")
+@query(f"""WITH RECURSIVE {sc.PX}, {sc.labels("l", "px", "NOT water")}, {sc.stats_of("s", "l")} SELECT image_id, label, area, "left", top, width, height, round(cx, 4) AS cx, round(cy, 4) AS cy FROM s""", pixels=True)
 def run_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land components, labelled on runs."""
     images = _images(spark, sf_dir)
@@ -91,7 +91,7 @@ _CHAMFER = """CASE WHEN greatest(abs(p.y - q.y), abs(p.x - q.x)) >= 2 * least(ab
 
 
 @query(f"""WITH {sc.PX}, d AS (SELECT p.image_id, p.y, p.x, min({_CHAMFER})::BIGINT AS units FROM px p JOIN (SELECT image_id, y, x FROM px WHERE water) q USING (image_id) GROUP BY ALL)
-SELECT image_id, sum(units)::BIGINT AS total, max(units)::BIGINT AS furthest, sum(units * x)::BIGINT AS by_x, sum(units * y)::BIGINT AS by_y FROM d GROUP BY image_id""")
+SELECT image_id, sum(units)::BIGINT AS total, max(units)::BIGINT AS furthest, sum(units * x)::BIGINT AS by_x, sum(units * y)::BIGINT AS by_y FROM d GROUP BY image_id""", pixels=True)
 def chamfer_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances to water by steps of the 5 x 5 mask, in ten-thousandths of a pixel."""
     px = sc.scene_pixels(spark, sf_dir).withColumn("dry", ~F.col("water"))
@@ -107,16 +107,16 @@ clr AS (SELECT p.image_id, p.y, p.x, p.label, min({_CHAMFER}) AS d FROM p JOIN o
 wet AS (SELECT p.image_id, p.y, p.x, min({_CHAMFER}) AS d FROM p JOIN (SELECT image_id, y, x FROM px WHERE water) q USING (image_id) GROUP BY ALL),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, label ORDER BY d DESC, y, x) AS n FROM clr) WHERE n = 1)
 SELECT b.image_id, b.label, b.x AS drop_x, b.y AS drop_y, round(b.d / 10000.0::DOUBLE, 2) AS clearance, round(least(coalesce(w.d / 10000.0::DOUBLE, 80.0::DOUBLE), 80.0::DOUBLE), 2) AS water_clearance
-FROM best b JOIN s USING (image_id, label) LEFT JOIN wet w ON w.image_id = b.image_id AND w.y = b.y AND w.x = b.x WHERE s.area >= 20 AND b.d >= 20000""")
+FROM best b JOIN s USING (image_id, label) LEFT JOIN wet w ON w.image_id = b.image_id AND w.y = b.y AND w.x = b.x WHERE s.area >= 20 AND b.d >= 20000""", pixels=True)
 def chamfer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate regions under the other metric: the points of most clearance, and their distances."""
     cfg = replace(CFG, metric="chamfer5")
-    zoned = stages.zoned_rows(stages.candidate_mask(sc.scene_pixels(spark, sf_dir), cfg, True), cfg, True)
+    zoned = stages.zoned_rows(sc.scene_pixels(spark, sf_dir), cfg, True)
     return stages.regions(zoned, cfg).select("image_id", "label", "drop_x", "drop_y", "clearance", "water_clearance")
 
 
 @query(f"""WITH RECURSIVE {_OPEN}, sq AS (SELECT image_id // 67108864 AS image_id, image_id % 67108864 AS label, count_if(n = 4) + count_if(n = 3) / 2.0::DOUBLE AS enclosed FROM per_s GROUP BY ALL)
-SELECT image_id, label, round(perimeter, 4) AS length, enclosed, "left", top, ("left" + width - 1) AS "right", (top + height - 1) AS bottom FROM opened JOIN sq USING (image_id, label)""")
+SELECT image_id, label, round(perimeter, 4) AS length, enclosed, "left", top, ("left" + width - 1) AS "right", (top + height - 1) AS bottom FROM opened JOIN sq USING (image_id, label)""", pixels=True)
 def zone_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outer contours of the candidate regions as points: their length, the area they enclose, their extent."""
     zoned = _zoned(spark, sf_dir)

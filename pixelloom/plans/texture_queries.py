@@ -40,7 +40,7 @@ edge AS (SELECT thin.*, held.label IS NOT NULL AS edge FROM thin LEFT JOIN lp US
 
 @query(f"""WITH RECURSIVE {_EDGES}, e AS (SELECT image_id, y, x, edge::INTEGER AS e FROM edge), {_mirrored("em", "e", 7, "e")}, {_boxes("eb", "em", 7, ("e",))},
 n AS (SELECT image_id, sum(e)::BIGINT AS around, max(e)::BIGINT AS most FROM eb GROUP BY image_id)
-SELECT image_id, count_if(weak) AS weak, count_if(strong) AS strong, count_if(edge) AS edges, sum(CASE WHEN edge THEN x * y ELSE 0 END)::BIGINT AS moment, around, most FROM edge JOIN n USING (image_id) GROUP BY image_id, around, most""")
+SELECT image_id, count_if(weak) AS weak, count_if(strong) AS strong, count_if(edge) AS edges, sum(CASE WHEN edge THEN x * y ELSE 0 END)::BIGINT AS moment, around, most FROM edge JOIN n USING (image_id) GROUP BY image_id, around, most""", pixels=True)
 def canny_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the coloured scenes: softened, thinned, weak ones only where they hang on strong
     ones; and how many lie in the 15 x 15 pixels around."""
@@ -67,7 +67,7 @@ lab2 AS (SELECT *, a * a AS a2, c * c AS c2 FROM lab), {_mirrored("lm", "lab2",
 g2 AS (SELECT image_id, y, x, v, v * v AS v2 FROM gray), {_mirrored("g2m", "g2", 4, "v, v2")}, {_boxes("gb", "g2m", 4, ("v", "v2"))},
 sup AS (SELECT image_id, y, x, least(greatest(0.40::DOUBLE * {_down(f"({_STD('a', 'a2', 225)} + {_STD('c', 'c2', 225)})", 6, 16)} + 0.20::DOUBLE * {_down(_STD("v", "v2", 81), 10, 34)} + 0.40::DOUBLE * {_down("(e / 225.0::DOUBLE)", 0.05, 0.22)}, 0.0::DOUBLE), 1.0::DOUBLE) AS s
   FROM lb JOIN gb USING (image_id, y, x) JOIN eb USING (image_id, y, x))
-SELECT image_id, sum(round(s * 1000)::BIGINT)::BIGINT AS support, count_if(s >= 0.5::DOUBLE) AS smooth, sum(round(s * 1000)::BIGINT * x)::BIGINT AS by_x FROM sup GROUP BY image_id""")
+SELECT image_id, sum(round(s * 1000)::BIGINT)::BIGINT AS support, count_if(s >= 0.5::DOUBLE) AS smooth, sum(round(s * 1000)::BIGINT * x)::BIGINT AS by_x FROM sup GROUP BY image_id""", pixels=True)
 def texture_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How smooth the coloured scenes are: colour and brightness that vary little, and few edges."""
     px = sc.colour_pixels(spark, sf_dir).drop("support").select("*", *[F.col(c).alias(f"a{c}") for c in "bgr"])
@@ -86,7 +86,7 @@ def cue_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {sc.PX}, {sc.labels("l", "px", "NOT water")}, {sc.pixels_of("p", "l")}, {sc.WATER_DISTANCE}
-SELECT image_id, label, count(*) AS area, sum(d2)::BIGINT AS d2_sum, max(d2)::BIGINT AS d2_max FROM p JOIN wd USING (image_id, y, x) GROUP BY image_id, label""")
+SELECT image_id, label, count(*) AS area, sum(d2)::BIGINT AS d2_sum, max(d2)::BIGINT AS d2_max FROM p JOIN wd USING (image_id, y, x) GROUP BY image_id, label""", pixels=True)
 def components_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land components and their distances to water, by a table function in SQL text."""
     tables.register(spark)

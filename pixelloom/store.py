@@ -56,6 +56,25 @@ def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark weighs an Arrow batch after each row against this limit, which costs more than to write a pixel.
+WEIGHED = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_rows(spark: SparkSession) -> Iterator[None]:
+    """Batches that go to Python are bounded by their number of rows alone. For jobs that run inside
+    and whose rows are pixels or runs; not for such as send whole images or texts."""
+    before = spark.conf.get(WEIGHED, None)
+    spark.conf.set(WEIGHED, str(2**31 - 1))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(WEIGHED)
+        else:
+            spark.conf.set(WEIGHED, before)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pixelloom import store
 from pixelloom.config import mini
 from pixelloom.operators import around, stages, whole, windows
 from pixelloom.plans import registry
@@ -59,3 +60,25 @@ def test_short_lines_are_as_long_ones(spark, monkeypatch):
         monkeypatch.setattr(whole, "SHORT", short)
         found[short] = [whole.squared_distance(mask, padded) for padded in (False, True)]
     assert all((a == b).all() for a, b in zip(found[128], found[0], strict=True))
+
+
+def test_batches_of_pixels_are_not_weighed(spark):
+    """Spark measures no batch of pixels after each row, and the session's own limit is back afterwards."""
+    limit = spark.conf.get(store.WEIGHED, None)
+    for name in ("canny_edges", "texture_support", "morphology", "sure_water", "scene_colours"):
+        text = plan(registry.queries()[name].__wrapped__(spark, SF))  # before its result is stored
+        assert "MapInArrow" in text and "REPARTITION_BY_COL" not in text and "Sort [" not in text
+        assert "MapInArrow" not in plan(registry.queries()[name](spark, SF))
+    with store.small_rows(spark):
+        assert spark.conf.get(store.WEIGHED) == str(2**31 - 1)
+        with pytest.raises(ValueError), store.small_rows(spark):
+            raise ValueError
+    assert spark.conf.get(store.WEIGHED, None) == limit
+
+
+def test_candidate_land_is_one_pass(spark):
+    """Masks and what is measured on them come of one pass, with the values of two."""
+    px = sc.scene_pixels(spark, SF).where("image_id < 3")
+    one = stages.zoned_rows(px, mini(), True)
+    two = stages.zoned_rows(stages.candidate_mask(px, mini(), True), mini(), True).select(*one.columns)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
