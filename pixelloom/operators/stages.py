@@ -210,38 +210,80 @@ def scene_seeds(px: DataFrame, cfg: Config = Config(), ordered: bool = False) ->
     return lab.where("_seed and _enough").select(*PIXEL, "cl", "ca", "cb")
 
 
-def k_means(data: np.ndarray, k: int, rng: np.random.Generator, rounds: int, least: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """Lloyd's rounds from k-means++ centres: the sum of squares, centres, each row's cluster."""
-    centres = [data[rng.integers(len(data))]]
-    while len(centres) < k:
-        d = np.min([((data - c) ** 2).sum(axis=1) for c in centres], axis=0)
-        centres.append(data[rng.choice(len(data), p=d / d.sum())])
-    at, columns = np.array(centres), np.ascontiguousarray(data.T)
+#: Seeds (times attempts) whose images are clustered together.
+TOGETHER = 1 << 15
 
-    def squares() -> np.ndarray:
-        """(centres, rows)"""
-        return sum((c - a[:, None]) ** 2 for c, a in zip(columns, at.T, strict=True))
 
+def starts(data: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ centres."""
+    centres, d = [data[rng.integers(len(data))]], np.inf
+    while len(centres) < k:
+        d = np.minimum(d, ((data - centres[-1]) ** 2).sum(axis=1))
+        centres.append(data[rng.choice(len(data), p=d / d.sum())])
+    return np.array(centres)
+
+
+def k_means(data: np.ndarray, sizes: np.ndarray, at: np.ndarray, rounds: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lloyd's rounds on several sets of rows that follow each other, from the centres ``at`` (sets, k, 3;
+    infinite: none) until a set's centres move by less than ``least``: each set's sum of squares,
+    centres, each row's cluster."""
+    at, columns = at.copy(), np.ascontiguousarray(data.T)
+    k = at.shape[1]
+
+    def nearest(columns: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row the squared distance to its set's nearest centre, and that."""
+        d = np.repeat(at.transpose(1, 2, 0), sizes, axis=2)  # (centres, 3, rows)
+        np.subtract(columns, d, out=d)
+        np.multiply(d, d, out=d)
+        d = d[:, 0] + d[:, 1] + d[:, 2]
+        low, own = d[0].copy(), np.zeros(d.shape[1], np.int64)
+        for j in range(1, k):
+            np.copyto(own, j, where=d[j] < low)
+            np.minimum(low, d[j], out=low)
+        return low, own
+
+    live, left, rows = np.arange(len(sizes)), sizes, columns
     for _ in range(rounds):
-        own = squares().argmin(axis=0)
-        n = np.bincount(own, minlength=k)[:, None]
-        sums = np.stack([np.bincount(own, c, k) for c in columns], axis=1)
-        moved = np.where(n > 0, sums / np.maximum(n, 1), at)
-        done, at = np.abs(moved - at).max() < least, moved
-        if done:
-            break
-    d = squares()
-    return d.min(axis=0).sum(), at, d.argmin(axis=0)
-
-
-def clustered(seeds: np.ndarray, cfg: Config = Config(), rounds: int = 50, attempts: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Centres, shares and acceptance of an image's seed colours; None if the largest cluster's share is too small.
-    The best of some attempts from seeded starts counts."""
-    rng = np.random.default_rng(0)
-    k = min(cfg.scene_clusters, len(np.unique(seeds, axis=0)))
-    _, centres, own = min((k_means(seeds, k, rng, rounds, 0.2) for _ in range(attempts)), key=lambda r: r[0])
-    share = np.bincount(own, minlength=k) / len(seeds)
-    return (centres, share, accepted_clusters(centres, share, cfg)) if share.max() >= cfg.scene_primary_share else None
+        own = nearest(rows, left, at[live])[1] + np.repeat(k * np.arange(len(live)), left)
+        n = np.bincount(own, minlength=k * len(live)).reshape(-1, k, 1)
+        sums = np.stack([np.bincount(own, c, k * len(live)) for c in rows], axis=1).reshape(-1, k, 3)
+        moved = np.where(n > 0, sums / np.maximum(n, 1), at[live])
+        go = np.abs(np.subtract(moved, at[live], out=np.zeros_like(moved), where=n > 0)).max(axis=(1, 2)) >= least
+        at[live] = moved
+        if not go.all():
+            rows, live, left = rows[:, np.repeat(go, left)], live[go], left[go]
+            if not len(live):
+                break
+    low, own = nearest(columns, sizes, at)
+    ends = np.cumsum(sizes)
+    return np.array([low[e - n : e].sum() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]), at, own
+
+
+def clustered(seeds: list[np.ndarray], cfg: Config = Config(), rounds: int = 50, attempts: int = 3) -> list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
+    """Centres, shares and acceptance of each image's seed colours; None where the largest cluster's share is too
+    small. The best of some attempts from seeded starts counts. Images are taken together by their seeds' number."""
+    out, first = [], 0
+    ends = np.cumsum([attempts * len(data) for data in seeds])
+    while first < len(seeds):
+        part = seeds[first : max(first + 1, np.searchsorted(ends, TOGETHER + (ends[first - 1] if first else 0), "right"))]
+        first += len(part)
+        at = np.full((len(part), attempts, cfg.scene_clusters, 3), np.inf)
+        for i, data in enumerate(part):
+            rng, k = np.random.default_rng(0), cfg.scene_clusters
+            if len(np.unique(data[:256], axis=0)) < k:  # few colours at the start may be few in all
+                k = min(k, len(np.unique(data, axis=0)))
+            for j in range(attempts):
+                at[i, j, :k] = starts(data, k, rng)
+        sizes = np.repeat([len(data) for data in part], attempts)
+        squares, centres, own = k_means(np.concatenate([data for data in part for _ in range(attempts)]), sizes, at.reshape(-1, *at.shape[2:]), rounds, 0.2)
+        end = np.cumsum(sizes)
+        for i in range(0, len(sizes), attempts):
+            best = i + int(squares[i : i + attempts].argmin())
+            there = np.isfinite(centres[best, :, 0])
+            share = np.bincount(own[end[best] - sizes[best] : end[best]], minlength=there.sum()) / sizes[best]
+            c = centres[best][there]
+            out.append((c, share, accepted_clusters(c, share, cfg)) if share.max() >= cfg.scene_primary_share else None)
+    return out
 
 
 def scene_clusters(seeds: DataFrame, cfg: Config = Config(), rounds: int = 50, attempts: int = 3, ordered: bool = False) -> DataFrame:
@@ -256,9 +298,9 @@ def scene_clusters(seeds: DataFrame, cfg: Config = Config(), rounds: int = 50, a
         bounds, out = whole.groups(table.column("image_id")), []
         data = np.stack([table.column(c).to_numpy().astype(float) for c in ("cl", "ca", "cb")], axis=1)
         y, x, h = (table.column(c).to_numpy() for c in ("y", "x", "_h"))
-        for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            drawn = start + np.lexsort((x[start:end], y[start:end], h[start:end]))[: cfg.scene_samples]
-            if found := clustered(data[drawn], cfg, rounds, attempts):
+        drawn = [start + np.lexsort((x[start:end], y[start:end], h[start:end]))[: cfg.scene_samples] for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for start, found in zip(bounds[:-1].tolist(), clustered([data[d] for d in drawn], cfg, rounds, attempts), strict=True):
+            if found:
                 centres, share, taken = found
                 out += [(table.column("image_id")[start].as_py(), c, *centres[c].tolist(), float(share[c]), bool(taken[c])) for c in range(len(share))]
         names = ["image_id", "c", "cl", "ca", "cb", "share", "accepted"]
@@ -310,15 +352,19 @@ def scene_match(px: DataFrame, cfg: Config = Config()) -> DataFrame:
         enough = _enough(seed, cfg)[:, 0, 0]
         out = np.full((*seed.shape, 5), np.nan)
         out[..., 2:4] = 0
-        for i in np.flatnonzero(enough).tolist():
+        data = colours.reshape(len(seed), -1, 3)
+
+        def drawn(i: int) -> np.ndarray:
             at = np.flatnonzero(seed[i])
-            data = colours[i].reshape(-1, 3)
-            found = clustered(data[at[np.argsort(h[i].flat[at], kind="stable")][: cfg.scene_samples]], cfg)
+            return data[i][at[np.argsort(h[i].flat[at], kind="stable")][: cfg.scene_samples]]
+
+        chosen = np.flatnonzero(enough).tolist()
+        for i, found in zip(chosen, clustered([drawn(i) for i in chosen], cfg), strict=True):
             if found:
                 centres, share, taken = found
                 for j, which in enumerate((centres[taken], centres[~taken])):
                     if len(which):
-                        d2 = [(data[:, 0] - c[0]) ** 2 + (data[:, 1] - c[1]) ** 2 + (data[:, 2] - c[2]) ** 2 for c in which]
+                        d2 = [(data[i, :, 0] - c[0]) ** 2 + (data[i, :, 1] - c[1]) ** 2 + (data[i, :, 2] - c[2]) ** 2 for c in which]
                         out[i, ..., j] = np.sqrt(np.min(d2, axis=0)).reshape(seed[i].shape)
                 out[i, ..., 2:] = len(share), (~taken).sum(), share.max()
         return out

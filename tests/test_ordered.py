@@ -82,3 +82,16 @@ def test_candidate_land_is_one_pass(spark):
     one = stages.zoned_rows(px, mini(), True)
     two = stages.zoned_rows(stages.candidate_mask(px, mini(), True), mini(), True).select(*one.columns)
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_images_are_clustered_together_as_alone(monkeypatch):
+    rng = np.random.default_rng(5)
+    seeds = [np.round(rng.normal(size=(n, 3)) * spread, 1) for n, spread in ((1, 9), (40, 0), (700, 20), (3, 5), (2500, 30), (90, 1))]
+    seeds += [np.repeat([[1.0, 2.0, 3.0], [40.0, 0.0, 9.0]], 30, axis=0)]
+    alone = [stages.clustered([s])[0] for s in seeds]
+    for together in (1, 2000, 1 << 20):
+        monkeypatch.setattr(stages, "TOGETHER", together)
+        for a, b in zip(alone, stages.clustered(seeds), strict=True):
+            assert (a is None) == (b is None) and (a is None or all(np.array_equal(x, y) for x, y in zip(a, b, strict=True)))
+    centres, share, _ = alone[-1]
+    assert sorted(map(tuple, centres)) == [(1.0, 2.0, 3.0), (40.0, 0.0, 9.0)] and set(share) == {0.5}
