@@ -3,7 +3,7 @@
 A text is cut into words (white space as U+2581 leads the word that follows),
 and each worker encodes a word form once. Unseen words are sorted by length, and
 equally long ones advance together, one end position a step: substrings are named
-by prefix polynomial hashes, whose values are probed among the sorted piece keys,
+by prefix polynomial hashes, whose values are probed in a table of the piece keys,
 each piece that ends here extends the best path to where it starts, and a
 vectorised maximum over the starts stores the backpointer.
 
@@ -50,6 +50,8 @@ REMEMBERED = 250_000
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = np.int64(1 << 60)
+#: Pairs of pieces whose fit is remembered: 2 to this power of places, where the last pair stays.
+PAIRS = 20
 #: Characters below this number are looked up in pairs.
 LATIN = 0x250
 #: Words above this length are cut out of the batches and encoded a few at a time.
@@ -68,6 +70,8 @@ class Pieces:
         self.keys, self.ids = keys[by], np.array(usable, np.int64)[by]
         if len(np.unique(self.keys)) < len(self.keys):
             raise ValueError("two pieces have one key")
+        self._place()
+        self.pairs = np.full(1 << PAIRS, -1, np.int64)
         self.score = np.array(scores, np.float64)
         # rank: the order in which BPE merges; equal scores have equal ranks
         self.rank = np.unique(-self.score, return_inverse=True)[1].astype(np.int64)
@@ -86,6 +90,25 @@ class Pieces:
                 if a < LATIN and b < LATIN:
                     self.beside[a, b] = True
 
+    def _place(self) -> None:
+        """Two tables of the keys' places by a product's first bits: a place is taken by the first key
+        that falls there, and the second table, by another factor, holds the others."""
+        n = len(self.keys)
+        self.placed = np.append(self.keys, np.uint64(0)), np.append(self.ids, -1)  # the last: no key
+        self.tables, rest, bits, factor = [], np.arange(n), max(8, n.bit_length() + 4), int(_BASE)
+        while True:
+            slot = (self.keys[rest] * np.uint64(factor)) >> np.uint64(64 - bits)
+            table = np.full(1 << bits, n, np.int32)
+            table[slot[::-1]] = rest[::-1]
+            out = rest[table[slot] != rest]
+            if not self.tables or not len(out):
+                self.tables.append((np.uint64(factor), np.uint64(64 - bits), table))
+                if len(self.tables) == 2:
+                    return
+                rest, bits = out, max(8, 2 * len(out).bit_length() - 2)
+            factor = (factor * int(_BASE) + 2) % (1 << 64) | 1
+            bits = min(bits + (factor % 16 == 1), 28)  # more room after some trials
+
     def _undo(self, names: list[str], ids: list[int]) -> None:
         """For each piece the two that its last merge joins. A number beyond the last
         stands for a character in no piece: nothing merges with it."""
@@ -118,7 +141,17 @@ class Pieces:
         """Whether merging by rank leaves the border between the pieces a and b alone."""
         ok = np.ones(len(a), bool)
         at = np.flatnonzero((a >= 0) & (a != self.outside) & (b != self.outside))
-        a, b = a[at], b[at]
+        pair = a[at] * (self.outside + 1) + b[at]
+        place = (pair.astype(np.uint64) * _BASE) >> np.uint64(64 - PAIRS)
+        known = self.pairs[place]  # the pair, and as last bit whether it fits
+        ok[at] = known & 1
+        new = np.flatnonzero(known >> 1 != pair)
+        ok[at[new]] = fits = self._fit(a[at[new]], b[at[new]])
+        self.pairs[place[new]] = pair[new] << 1 | fits
+        return ok
+
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ok, at = np.ones(len(a), bool), np.arange(len(a))
         used_a, used_b = np.full(len(a), _NEVER), np.full(len(a), _NEVER)  # when the half at the border is merged further
         while len(at):
             short = self.length[a] + self.length[b] <= self.longest
@@ -166,8 +199,13 @@ class Pieces:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Piece id of each key, -1 if there is none."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.ids[at], -1)
+        (own, ids), (first, second) = self.placed, self.tables
+
+        def probe(factor: np.uint64, shift: np.uint64, table: np.ndarray) -> np.ndarray:
+            at = table[(keys * factor) >> shift]
+            return np.where(own[at] == keys, ids[at], -1)
+
+        return np.maximum(probe(*first), probe(*second))
 
 
 class _Batch:
@@ -221,8 +259,8 @@ def best_paths(p: Pieces, words: list[str]) -> list[list[tuple[int, int]]]:
     return _backtracked(back)
 
 
-def bpe_paths(p: Pieces, words: list[str]) -> list[list[tuple[int, int]]]:
-    """Segmentation of equally long words whose neighbours all fit, as (start, end) spans."""
+def _fitting(p: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Backpointers of equally long words, and the piece that ends at each position, on paths whose neighbours all fit."""
     b = _Batch(words)
     last = np.full((b.n, b.length + 1), -1)  # the piece before each position on the path to it
     back = np.zeros((b.n, b.length + 1), np.int64)
@@ -239,7 +277,30 @@ def bpe_paths(p: Pieces, words: list[str]) -> list[list[tuple[int, int]]]:
         last[:, end] = np.where(score[row, at] == 0, piece[row, at], -1)
     if (last[:, -1] < 0).any():
         raise ValueError("no row of pieces fits: this is not a model of merges by rank")
-    return _backtracked(back)
+    return back, last
+
+
+def bpe_paths(p: Pieces, words: list[str]) -> list[list[tuple[int, int]]]:
+    """Segmentation of equally long words whose neighbours all fit, as (start, end) spans."""
+    return _backtracked(_fitting(p, words)[0])
+
+
+def bpe_ids(p: Pieces, words: list[str]) -> list[bytes | None]:
+    """The ids of ``bpe_paths`` as little-endian uint32 bytes; None for words with a character in no piece."""
+    back, last = _fitting(p, words)
+    live, end, steps = np.arange(len(words)), np.full(len(words), back.shape[1] - 1), []
+    while len(live):  # one piece of every word, from the last on
+        steps.append((live, last[live, end]))
+        end = back[live, end]
+        live, end = live[end > 0], end[end > 0]
+    n = np.bincount(np.concatenate([r for r, _ in steps]), minlength=len(words))
+    ends = np.cumsum(n)
+    flat, outside = np.empty(ends[-1], "<u4"), np.zeros(len(words), bool)
+    for i, (row, piece) in enumerate(steps):
+        flat[ends[row] - 1 - i] = piece
+        outside[row] |= piece == p.outside
+    data, ends = flat.tobytes(), (4 * ends).tolist()
+    return [None if out else data[a:b] for out, a, b in zip(outside.tolist(), [0, *ends], ends, strict=False)]
 
 
 def merge(p: Pieces, words: list[str]) -> tuple[list[list[tuple[int, int]]], np.ndarray]:
@@ -329,6 +390,12 @@ class Encoder(dict):
             step = max(1, 2_000_000 // (length * (1 if length < LONG else 8)))
             for at in range(0, len(same), step):
                 group = same[at : at + step]
+                if self.pieces.kind == "bpe":
+                    ids = bpe_ids(self.pieces, group)
+                    self.known.update((w, i) for w, i in zip(group, ids, strict=True) if i is not None)
+                    group = [w for w, i in zip(group, ids, strict=True) if i is None]
+                    if not group:
+                        continue
                 spans = segment(self.pieces, group)
                 flat = [w[a:b] for w, s in zip(group, spans, strict=True) for a, b in s]
                 found = self._ids(flat)

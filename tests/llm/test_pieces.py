@@ -65,3 +65,25 @@ def test_frames(spark):
     back = pieces.decoded(pieces.encoded(docs)).collect()
     assert sorted(map(tuple, back)) == [(i, t or "") for i, t, _ in rows]
     assert pieces.encoded(docs.where("false")).count() == 0
+
+
+def test_probes_and_remembered_pairs(monkeypatch):
+    """Every piece is found by its key and nothing else is; few places for pairs, and words with
+    characters in no piece, give the library's ids too."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "PAIRS", 3)
+    p = pieces.load.__wrapped__(pieces.default_model())
+    assert len(p.pairs) == 8
+    assert (p.find(p.keys) == p.ids).all()
+    others = np.random.default_rng(1).integers(0, 1 << 63, (300, 50)).astype(np.uint64)
+    assert (p.find(others) == np.where(np.isin(others, p.keys), 0, -1)).all() and p.find(np.array([0], np.uint64)) == -1
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    texts = ["the cat sat on the mat and the other catalogue", "naïve Σίσυφος 漢字 \U0001f600 áb", "xx" * 40 + " yy", "mississippi " * 5 + "1234567 12"]
+    got = [np.frombuffer(i, "<u4").tolist() for i in pieces.Encoder(p).encode(texts)]
+    assert got == [model.encode(t) for t in texts]
+    words = ["catalog", "mat́\U0001f600xy", "xxxxxxx"]
+    for w, ids in zip(words, (pieces.bpe_ids(p, [w])[0] for w in words), strict=True):
+        spans = pieces.bpe_paths(p, [w])[0]
+        want = [int(p.find(np.array([p.hash_of(w[a:b])], np.uint64))[0]) for a, b in spans]
+        assert ids is None if -1 in want else np.frombuffer(ids, "<u4").tolist() == want
