@@ -468,8 +468,9 @@ def isolated_regions(px: DataFrame, cfg: Config = Config(), ordered: bool = Fals
 
         return whole.Added(whole.LongType(), values)
 
+    # stretches of a line that have one label and the same neighbours
     land = whole.add(
-        px.select(*PIXEL, "w", "h", "water", (~F.col("water")).alias("_land")), ordered=ordered, without=["_land", "_off", "w", "h"], label=whole.labels("_land"), _off=whole.Added(whole.BooleanType(), off_main),
+        px.select(*PIXEL, "w", "h", "water"), runs.Packing(["_far"], ["_land", "_off", "w", "h"]), ordered, _land=whole.Added(whole.BooleanType(), lambda get: ~get("water")), label=whole.labels("_land"), _off=whole.Added(whole.BooleanType(), off_main),
         _far=whole.clearance("_off", padded=False, metric=cfg.metric), **{name: beside(*d) for name, d in sides.items()},
     )
     # each pixel counts for its own component, and for the ring of each other one that is beside it
@@ -477,13 +478,15 @@ def isolated_regions(px: DataFrame, cfg: Config = Config(), ordered: bool = Fals
     others = F.array_distinct(F.filter(F.array(*sides), lambda v: v.isNotNull() & ~v.eqNullSafe(F.col("label"))))
     ring = F.transform(others, lambda v: F.struct(v.alias("label"), F.lit(False).alias("own")))
     inner = " and ".join(f"({c} is null or {c} <=> label)" for c in sides)
-    parts = land.select("image_id", "y", "x", "water", "_far", F.explode(F.when(F.expr(inner), own).otherwise(F.concat(own, ring))).alias("_p")).select("image_id", "y", "x", "water", "_far", "_p.label", "_p.own").where("label is not null")
+    run = ("image_id", "y", "x0", "x1", "water", "_near")
+    parts = land.withColumn("_near", F.array_min("_far")).select(*run, F.explode(F.when(F.expr(inner), own).otherwise(F.concat(own, ring))).alias("_p")).select(*run, "_p.label", "_p.own").where("label is not null")
     mine = lambda c: F.when(F.col("own"), F.col(c))
     stat = parts.groupBy("image_id", "label").agg(
-        F.count_if("own").alias("area"), F.min(mine("x")).alias("left"), F.min(mine("y")).alias("top"), (F.max(mine("x")) - F.min(mine("x")) + 1).alias("width"), (F.max(mine("y")) - F.min(mine("y")) + 1).alias("height"),
-        F.sum(mine("x")).alias("_sx"), F.sum(mine("y")).alias("_sy"), F.min(mine("_far")).alias("_gap"), F.count_if(~F.col("own")).alias("_ring"), F.count_if(~F.col("own") & F.col("water")).alias("_wet"),
+        in_a_run("own").alias("area"), F.min(mine("x0")).alias("left"), F.min(mine("y")).alias("top"), (F.max(mine("x1")) - F.min(mine("x0")) + 1).alias("width"), (F.max(mine("y")) - F.min(mine("y")) + 1).alias("height"),
+        F.sum(F.expr("case when own then cast(x0 + x1 as long) * (x1 - x0 + 1) end")).alias("_sx"), F.sum(F.expr("case when own then cast(y as long) * (x1 - x0 + 1) end")).alias("_sy"), F.min(mine("_near")).alias("_gap"),
+        in_a_run("not own").alias("_ring"), in_a_run("not own and water").alias("_wet"),
     )
-    stat = stat.select("*", (F.col("_sx") / F.col("area").cast("double")).alias("cx"), (F.col("_sy") / F.col("area").cast("double")).alias("cy"))
+    stat = stat.select("*", (F.col("_sx") / (2.0 * F.col("area"))).alias("cx"), (F.col("_sy") / F.col("area").cast("double")).alias("cy"))
     image = Window.partitionBy("image_id")
     main = F.max_by("label", F.struct(F.col("area"), -F.col("label"))).over(image)
     out = stat.select("*", main.alias("main"), F.max("area").over(image).alias("main_area"), F.count("*").over(image).alias("lands"))

@@ -95,3 +95,18 @@ def test_images_are_clustered_together_as_alone(monkeypatch):
             assert (a is None) == (b is None) and (a is None or all(np.array_equal(x, y) for x, y in zip(a, b, strict=True)))
     centres, share, _ = alone[-1]
     assert sorted(map(tuple, centres)) == [(1.0, 2.0, 3.0), (40.0, 0.0, 9.0)] and set(share) == {0.5}
+
+
+def test_isolated_land_is_counted_by_stretches(spark):
+    """No pixel comes back from the pass: its rows are stretches of lines, of which there are few."""
+    px = sc.scene_pixels(spark, SF).where("image_id < 3")
+    assert "x0" in plan(stages.isolated_regions(px, mini(), True))
+
+
+def test_images_of_several_shapes_are_as_alone(spark):
+    px = sc.scene_pixels(spark, SF).where("image_id < 4")
+    cut = px.where("image_id % 2 = 0 or (y < 20 and x < 30)").withColumns({"w": F.expr("if(image_id % 2 = 0, w, 30)"), "h": F.expr("if(image_id % 2 = 0, h, 20)")}).coalesce(1)
+    added = {"label": whole.labels("water"), "d": whole.clearance("water", padded=False)}
+    rows = lambda df: sorted(map(str, df.collect()))
+    alone = [rows(whole.add(cut.where(f"image_id = {i}"), ordered=True, **added)) for i in range(4)]
+    assert rows(whole.add(cut, ordered=True, **added)) == sorted(sum(alone, [])) and alone[1]
