@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from . import whole
 from .windows import ellipse
@@ -151,10 +151,23 @@ def stats(labelled_: DataFrame, *more: Column) -> DataFrame:
 
 class Packing:
     """Sorted pixels of full rectangles -> a row for each stretch of a line on which all columns but
-    ``each`` are equal; those become arrays. ``without``: columns that are not kept."""
-
-    def __init__(self, each: Sequence[str], without: Sequence[str] = ()):
-        self.each, self.without = list(each), ("image_id", "y", "x", *each, *without)
+    ``each`` are equal; those become arrays. ``without``: columns that are not kept. ``peak``: a column whose
+    greatest value in a stretch is kept as _top, with its first place as _at (x), and further columns whose values
+    there are kept as _top and their name (where stages need no more, so that arrays need not be kept)."""
+
+    def __init__(self, each: Sequence[str], without: Sequence[str] = (), peak: Sequence[str] = ()):
+        self.each, self.peak, self.without = list(each), list(peak), ("image_id", "y", "x", *each, *without, *peak)
+
+    def _peaks(self, table: pa.Table, bounds: np.ndarray) -> dict[str, pa.Array]:
+        by, *more = self.peak
+        values = pc.fill_null(table.column(by), -np.inf).to_numpy()
+        top = np.maximum.reduceat(values, bounds[:-1])
+        run = np.repeat(np.arange(len(top)), np.diff(bounds))
+        hits = np.flatnonzero(values == top[run])
+        first = hits[np.diff(run[hits], prepend=-1) > 0]
+        none = top == -np.inf
+        out = {"_top": pa.array(top, mask=none), "_at": pa.array(table.column("x").to_numpy()[first], mask=none)}
+        return out | {f"_top{c}": table.column(c).take(pa.array(first, mask=none)).combine_chunks() for c in more}
 
     def table(self, table: pa.Table) -> pa.Table:
         same = [c for c in table.column_names if c not in self.without]
@@ -167,11 +180,13 @@ class Packing:
         first = table.take(pa.array(bounds[:-1]))
         lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), table.column(c).combine_chunks()) for c in self.each]
         x = table.column("x").to_numpy()
-        return pa.table([first.column("image_id"), first.column("y"), pa.array(x[bounds[:-1]]), pa.array(x[bounds[1:] - 1]), *[first.column(c) for c in same], *lists], ["image_id", "y", "x0", "x1", *same, *self.each])
+        peaks = self._peaks(table, bounds) if self.peak else {}
+        return pa.table([first.column("image_id"), first.column("y"), pa.array(x[bounds[:-1]]), pa.array(x[bounds[1:] - 1]), *[first.column(c) for c in same], *peaks.values(), *lists], ["image_id", "y", "x0", "x1", *same, *peaks, *self.each])
 
     def schema(self, px: StructType) -> StructType:
         same = [f for f in px.fields if f.name not in self.without]
-        return StructType([px["image_id"], px["y"], StructField("x0", IntegerType()), StructField("x1", IntegerType()), *same, *[StructField(c, ArrayType(px[c].dataType)) for c in self.each]])
+        peaks = [StructField("_top", DoubleType()), StructField("_at", IntegerType()), *[StructField(f"_top{c}", px[c].dataType) for c in self.peak[1:]]] if self.peak else []
+        return StructType([px["image_id"], px["y"], StructField("x0", IntegerType()), StructField("x1", IntegerType()), *same, *peaks, *[StructField(c, ArrayType(px[c].dataType)) for c in self.each]])
 
 
 def packed(px: DataFrame, each: Sequence[str]) -> DataFrame:

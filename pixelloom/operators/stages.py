@@ -401,11 +401,26 @@ def zoned_rows(px: DataFrame, cfg: Config = Config(), ordered: bool = False) ->
     regions, circles and drop points read: label (of the candidate component), its perimeter, _clear
     (distance to the nearest pixel that is no candidate), _free2 (squared, the buffer counting as none)
     and _wd (to water). Stored as runs."""
+    return in_runs(px, "zoned", ZONED, ["_valid"], ordered, **_zone_columns(px, cfg, ZONED))
+
+
+def _zone_columns(px: DataFrame, cfg: Config, each: list[str]) -> dict[str, whole.Added]:
+    """Label and perimeter of the candidate components, the first two columns if ``px`` has none, and those of ``each``."""
     before = {} if "candidate" in px.columns else candidate_columns(px, cfg)
-    return in_runs(
-        px, "zoned", ZONED, ["_valid"], ordered, **before, _valid=whole.Added(whole.BooleanType(), lambda get: get("candidate") & ~get("buffer")), label=whole.labels("candidate"),
-        perimeter=whole.perimeters("candidate", cfg.candidate_min_area), _clear=whole.clearance("candidate", padded=True, metric=cfg.metric), _free2=whole.squared("_valid", padded=True), _wd=whole.distance_to("water", cfg.metric),
-    )
+    far = {
+        "_clear": whole.clearance("candidate", padded=True, metric=cfg.metric), "_free2": whole.squared("_valid", padded=True), "_wd": whole.distance_to("water", cfg.metric),
+    }
+    valid = {"_valid": whole.Added(whole.BooleanType(), lambda get: get("candidate") & ~get("buffer"))} if "_free2" in each else {}
+    return {**before, **valid, "label": whole.labels("candidate"), "perimeter": whole.perimeters("candidate", cfg.candidate_min_area), **{c: far[c] for c in each}}
+
+
+def zone_rows(px: DataFrame, cfg: Config = Config(), ordered: bool = False, keep: tuple[str, ...] = (), each: tuple[str, ...] = ()) -> DataFrame:
+    """What ``regions`` reads of ``zoned_rows``: of each run its point of most clearance, and no distances of pixels
+    but those in ``each``. Runs are of one label and of one value of each column in ``keep`` (of water, canopy,
+    buffer, candidate). Not stored."""
+    made = _zone_columns(px, cfg, [*dict.fromkeys(("_clear", "_wd", *each))])
+    masks = [c for c in ("water", "canopy", "buffer", "candidate") if c not in keep]
+    return whole.add(px, runs.Packing(each, ["_valid", *masks], ("_clear", "_wd")), ordered, **made)
 
 
 #: What differs from pixel to pixel in ``zoned_rows``.
@@ -419,9 +434,14 @@ def zoned(px: DataFrame, cfg: Config = Config(), ordered: bool = False) -> DataF
 
 def regions(zoned_: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Candidate regions: size, box, the point of most clearance, water distance, openness."""
-    rows = as_runs(zoned_, "_clear", "_wd").select("image_id", "y", "x0", "x1", "w", "h", "label", "perimeter", "_clear", "_wd").where("label is not null")
+    run = ("image_id", "y", "x0", "x1", "w", "h", "label", "perimeter")
+    if "_top" in zoned_.columns:
+        rows = zoned_.select(*run, "_top", "_at", F.col("_top_wd").alias("_wd"))
+    else:
+        rows = topmost(as_runs(zoned_, "_clear", "_wd").select(*run, "_clear", "_wd"), "_clear", "_wd")
+    rows = rows.where("label is not null")
     at = F.max_by(F.struct(F.col("_at").alias("x"), "y", F.col("_top").alias("_clear"), "_wd"), F.struct(F.col("_top"), -F.col("y"), -F.col("_at"))).alias("p")
-    out = runs.stats(topmost(rows, "_clear", "_wd"), at, F.first("perimeter").alias("perimeter"), F.first("w").alias("w"), F.first("h").alias("h")).where(F.col("area") >= cfg.candidate_min_area)
+    out = runs.stats(rows, at, F.first("perimeter").alias("perimeter"), F.first("w").alias("w"), F.first("h").alias("h")).where(F.col("area") >= cfg.candidate_min_area)
     out = out.withColumn("_c", F.col("p._clear")).where(F.col("_c") >= cfg.min_clearance)
     # clearance is rounded before openness is derived from it
     open_ = scores.openness(F.round("_c", 2), F.col("area"), F.col("perimeter"), F.col("width"), F.col("height"))
@@ -553,7 +573,7 @@ def sensor_zones(zones: DataFrame, zoned_: DataFrame, cfg: Config = Config()) ->
     known = "water_clearance" in zones.columns  # as regions tell it of their points
     first = Window.partitionBy("image_id", "drop_x", "drop_y").orderBy("zone_id")
     z = zones.select("image_id", "zone_id", F.col("drop_x").alias("cx"), F.col("drop_y").alias("cy"), "label", F.row_number().over(first).alias("_nth"), *(["water_clearance"] if known else []))
-    state = as_runs(zoned_, "_wd").select("image_id", "y", "x0", "x1", "w", "h", "buffer", "_wd", F.col("label").alias("own"))
+    state = (zoned_ if known and "x0" in zoned_.columns else as_runs(zoned_, "_wd")).select("image_id", "y", "x0", "x1", "w", "h", "buffer", *([] if known else ["_wd"]), F.col("label").alias("own"))
     reach = cfg.max_radius + cfg.safety_margin + 1
     # only runs within reach of a centre take part; of a run, its nearest pixel. Zones and runs both
     # grow with the images: neither is sent to every task
@@ -561,8 +581,8 @@ def sensor_zones(zones: DataFrame, zoned_: DataFrame, cfg: Config = Config()) ->
     valid = F.coalesce((F.col("own") == F.col("label")) & ~F.col("buffer"), F.lit(False))
     d2 = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
     bad = F.when(~valid, F.struct(d2.alias("d2"), F.col("y").alias("y"), F.col("x").alias("x"), F.col("buffer").alias("buffer")))
-    at_centre = F.when((F.col("x") == F.col("cx")) & (F.col("y") == F.col("cy")), F.get("_wd", F.col("cx") - F.col("x0")))
-    near = near.select("image_id", "zone_id", "cx", "cy", "_nth", "w", "h", bad.alias("bad"), (F.col("water_clearance") if known else at_centre).alias("_wet"))
+    wet_ = F.col("water_clearance") if known else F.when((F.col("x") == F.col("cx")) & (F.col("y") == F.col("cy")), F.get("_wd", F.col("cx") - F.col("x0")))
+    near = near.select("image_id", "zone_id", "cx", "cy", "_nth", "w", "h", bad.alias("bad"), wet_.alias("_wet"))
     limit = near.groupBy("image_id", "zone_id", "cx", "cy", "_nth", "w", "h").agg(F.min("bad").alias("bad"), F.round(F.max("_wet"), 2).alias("water_clearance"))
     border = F.least("cx", "cy", F.col("w") - 1 - F.col("cx"), F.col("h") - 1 - F.col("cy")) + 1
     free = F.sqrt(F.col("bad.d2").cast("double"))

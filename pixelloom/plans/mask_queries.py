@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import outlines
 from ..operators import runs, stages, whole, windows
+from ..store import cut
 from . import scenes as sc
 from .registry import _OPEN, CFG, _zoned, query
 
@@ -111,7 +112,7 @@ FROM best b JOIN s USING (image_id, label) LEFT JOIN wet w ON w.image_id = b.ima
 def chamfer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate regions under the other metric: the points of most clearance, and their distances."""
     cfg = replace(CFG, metric="chamfer5")
-    zoned = stages.zoned_rows(sc.scene_pixels(spark, sf_dir), cfg, True)
+    zoned = stages.zone_rows(sc.scene_pixels(spark, sf_dir), cfg, True)
     return stages.regions(zoned, cfg).select("image_id", "label", "drop_x", "drop_y", "clearance", "water_clearance")
 
 
@@ -119,7 +120,7 @@ def chamfer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT image_id, label, round(perimeter, 4) AS length, enclosed, "left", top, ("left" + width - 1) AS "right", (top + height - 1) AS bottom FROM opened JOIN sq USING (image_id, label)""", pixels=True)
 def zone_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outer contours of the candidate regions as points: their length, the area they enclose, their extent."""
-    zoned = _zoned(spark, sf_dir)
+    zoned = cut(_zoned(spark, sf_dir).where("label is not null"), "zoned")
     regions = stages.regions(zoned, CFG).select("image_id", F.col("region_id").alias("zone_id"), "label")
     found = stages.zone_contours(regions, zoned).join(regions, ["image_id", "zone_id"])
     p = F.col("points")

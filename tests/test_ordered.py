@@ -1,5 +1,7 @@
 """Neighbourhoods of whole images against windows, pixels in order, and stages on runs."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -110,3 +112,35 @@ def test_images_of_several_shapes_are_as_alone(spark):
     rows = lambda df: sorted(map(str, df.collect()))
     alone = [rows(whole.add(cut.where(f"image_id = {i}"), ordered=True, **added)) for i in range(4)]
     assert rows(whole.add(cut, ordered=True, **added)) == sorted(sum(alone, [])) and alone[1]
+
+
+def test_outlines_are_measured_together(monkeypatch):
+    """Of all components of a stack in a few labellings, also of those inside of another's hole."""
+    mask = np.random.default_rng(5).random((6, 24, 40)) < 0.55
+    mask[0] = False
+    mask[0, 2:20, 3:30] = True
+    mask[0, 6:14, 8:20] = False
+    mask[0, 8:11, 11:16] = True
+    found, calls = whole.label(mask), []
+    plain = whole.label
+    monkeypatch.setattr(whole, "label", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    for strip in (1 << 20, 1200, 1):
+        calls.clear()
+        monkeypatch.setattr(whole, "STRIP", strip)
+        got, null = whole.perimeters("m", 4).values(lambda _: mask)
+        assert (null == ~mask).all() and (strip < 1 << 20 or len(calls) == 2)
+        for image, lengths in zip(found, got, strict=True):
+            for number in np.unique(image[image >= 0]):
+                part = image == number
+                assert set(lengths[part]) == {whole.outline_length(part) if part.sum() >= 4 else 0.0}
+
+
+@pytest.mark.parametrize("metric", ["exact", "chamfer5"])
+def test_regions_read_no_distances_of_pixels(spark, metric):
+    """A run tells its point of most clearance; regions are those of the pixels' distances."""
+    assert not [c for c, kind in registry._zoned(spark, SF).dtypes if kind.startswith("array")]
+    cfg = replace(mini(), metric=metric)
+    px = sc.scene_pixels(spark, SF).where("image_id < 4")
+    want = sorted(map(tuple, stages.regions(stages.zoned_rows(px, cfg, True), cfg).collect()))
+    for keep in ((), ("water", "buffer")):
+        assert sorted(map(tuple, stages.regions(stages.zone_rows(px, cfg, True, keep), cfg).collect())) == want != []
