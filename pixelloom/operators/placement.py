@@ -42,15 +42,18 @@ def _overlap(a: Column, b: Column) -> Column:
     return F.when((wide > 0) & (high > 0), wide * high).otherwise(0)
 
 
-def placed(labels: DataFrame, frames: DataFrame, taken: DataFrame, font: Font = Font(), below_first: bool = False, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
+def placed(labels: DataFrame, frames: DataFrame | None, taken: DataFrame, font: Font = Font(), below_first: bool = False, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """``labels`` (``by``, n, text, x, top, bottom; placed in order of n, a few an image) with text_x,
     text_y, their ground x1, y1, x2, y2, and its overlap with what was there before.
 
-    ``frames``: image_id, w, h. ``taken``: ``by``, x1, y1, x2, y2: what labels should stay off."""
-    numbers = F.struct(F.col("n").cast("int").alias("n"), F.col("x").cast("int").alias("x"), F.col("top").cast("int").alias("top"), F.col("bottom").cast("int").alias("bottom"), (F.length("text") * font.advance).alias("width"))
-    held = labels.groupBy(*by).agg(F.array_sort(F.collect_list(numbers)).alias("_labels"))
+    ``frames``: image_id, w, h; None if ``labels`` have w and h. ``taken``: ``by``, x1, y1, x2, y2: what labels should stay off."""
+    numbers = F.struct(F.col("n").cast("int").alias("n"), F.col("x").cast("int").alias("x"), F.col("top").cast("int").alias("top"), F.col("bottom").cast("int").alias("bottom"), (F.length("text") * font.advance).alias("width"), F.struct(*[c for c in labels.columns if c not in by]).alias("row"))
+    size = [F.first(c).alias(c) for c in ("w", "h")] if frames is None else []
+    held = labels.groupBy(*by).agg(F.array_sort(F.collect_list(numbers)).alias("_labels"), *size)
     boxes = taken.groupBy(*by).agg(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")])).alias("_taken"))
-    held = held.join(frames.select("image_id", "w", "h"), "image_id").join(boxes, list(by), "left").withColumn("_taken", F.coalesce("_taken", F.array().cast(_BOX)))
+    if frames is not None:
+        held = held.join(frames.select("image_id", "w", "h"), "image_id")
+    held = held.join(boxes, list(by), "left").withColumn("_taken", F.coalesce("_taken", F.array().cast(_BOX)))
 
     def place(done: Column, label: Column) -> Column:
         above, under = label["top"] - font.below - 6, label["bottom"] + font.height + 8
@@ -69,6 +72,6 @@ def placed(labels: DataFrame, frames: DataFrame, taken: DataFrame, font: Font =
 
         return F.concat(done, F.array(F.array_min(F.transform(F.array(*tried), judged))).cast(_PLACED))
 
-    out = held.select(*by, F.explode(F.aggregate("_labels", F.array().cast(_PLACED), place)).alias("_p"))
-    out = out.select(*by, *[F.col(f"_p.{c}").alias(c) for c in ("n", "text_x", "text_y", "x1", "y1", "x2", "y2", "overlap")])
-    return labels.join(out, [*by, "n"])
+    held = held.withColumn("_placed", F.aggregate("_labels", F.array().cast(_PLACED), place))
+    out = held.select(*by, F.explode(F.arrays_zip("_labels", "_placed")).alias("_p"))
+    return out.select(*[c if c in by else F.col("_p._labels.row")[c].alias(c) for c in labels.columns], *[F.col("_p._placed")[c].alias(c) for c in ("text_x", "text_y", "x1", "y1", "x2", "y2", "overlap")])

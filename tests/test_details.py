@@ -262,3 +262,13 @@ def test_table_function(spark):
     got = spark.sql("SELECT * FROM parts_of_images(TABLE(SELECT image_id, y, x, mask FROM some_pixels) PARTITION BY image_id ORDER BY (y, x))")
     want = whole.add(px, label=whole.labels("mask"), d2=whole.squared("mask", padded=True)).drop("mask")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select("image_id", "y", "x", "label", "d2").collect()))
+
+
+def test_places_of_labels_that_know_their_frame(spark):
+    """Labels with w and h need no frames, and are read once: what they carry goes along."""
+    labels = spark.createDataFrame([(i, n, "x" * (3 * n), 5 * n, 4, 9, f"note {i}{n}", 60 + i, 40) for i in range(3) for n in (1, 2, 5)], "image_id int, n int, text string, x int, top int, bottom int, note string, w int, h int")
+    boxes = spark.createDataFrame([(0, 1, 1, 30, 20)], "image_id int, x1 int, y1 int, x2 int, y2 int")
+    alone = placement.placed(labels, None, boxes)
+    want = placement.placed(labels.drop("w", "h"), labels.select("image_id", "w", "h").distinct(), boxes)
+    assert sorted(map(tuple, alone.drop("w", "h").collect())) == sorted(map(tuple, want.collect())) and alone.count() == 9
+    assert alone._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
