@@ -200,6 +200,16 @@ def _enough(mask: np.ndarray, cfg: Config) -> np.ndarray:
     return (n > 0) & (n >= cfg.seed_share * mask[0].size)
 
 
+def seed_counts(px: DataFrame, cfg: Config = Config(), ordered: bool = False) -> DataFrame:
+    """(image_id, seeds): how many pixels of an image are sure water, where they are any and a minimal share
+    of it. ``px``: the analysis copy (ab, ag, ar) and support. Pixels come back as runs of seeds and of others."""
+    seed = whole.Added(whole.BooleanType(), lambda get: (get("evidence") >= np.float32(cfg.water_threshold)) & (get("support") >= cfg.seed_support))
+    read = ["ab", "ag", "ar", "support"]
+    rows = whole.add(px.select(*PIXEL, "w", "h", *read), runs.Packing([], ["w", "h", *read, "evidence"]), ordered, evidence=EVIDENCE, _seed=seed)
+    counts = rows.groupBy("image_id").agg(in_a_run("_seed").alias("seeds"), in_a_run("true").alias("_all"))
+    return counts.where((F.col("seeds") > 0) & (F.col("seeds") >= cfg.seed_share * F.col("_all"))).select("image_id", "seeds")
+
+
 def scene_seeds(px: DataFrame, cfg: Config = Config(), ordered: bool = False) -> DataFrame:
     """(image_id, y, x, cl, ca, cb) of sure water: wet, and smooth around; none of images
     where that is less than a minimal share. Uses the colours of ``weighted_lab`` if ``px`` has them.
