@@ -472,11 +472,10 @@ def scored(regions_: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def zone_contours(zones: DataFrame, zoned_: DataFrame) -> DataFrame:
-    """(image_id, zone_id, points): the outer border of each zone's component, in order."""
-    ranked = zones.select("image_id", "zone_id", "label")
+    """(image_id, zone_id, label, points): the outer border of each zone's component, in order."""
     rows = as_runs(zoned_).select("image_id", "label", "y", "x0", "x1").where("label is not null")
-    found = whole.borders(rows.hint("merge").join(ranked.select("image_id", "label"), ["image_id", "label"], "left_semi"))
-    return ranked.join(found, ["image_id", "label"]).select("image_id", "zone_id", "points")
+    found = whole.borders(rows.hint("merge").join(zones.select("image_id", "zone_id", "label"), ["image_id", "label"]), "label", "zone_id")
+    return found.select("image_id", "zone_id", "label", "points")
 
 
 def top_zones(scored_: DataFrame, cfg: Config = Config()) -> DataFrame:

@@ -122,7 +122,7 @@ def zone_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outer contours of the candidate regions as points: their length, the area they enclose, their extent."""
     zoned = cut(_zoned(spark, sf_dir).where("label is not null"), "zoned")
     regions = stages.regions(zoned, CFG).select("image_id", F.col("region_id").alias("zone_id"), "label")
-    found = stages.zone_contours(regions, zoned).join(regions, ["image_id", "zone_id"])
+    found = stages.zone_contours(regions, zoned)
     p = F.col("points")
     side = lambda f, c: f(F.transform(p, lambda q: q[c]))
     return found.select(
